@@ -65,7 +65,7 @@ def _weigh(ratio: np.ndarray):
         for batch in batches:
             for lo, hi, buf, offsets in C.slices(C.rows_of(batch, "text")):
                 grams, doc = _buckets(buf, offsets)
-                total = np.bincount(doc, ratio[grams], minlength=hi - lo)
+                total = np.bincount(doc, ratio[grams], minlength=hi - lo).astype(float)  # integers if there is nothing to add
                 count = np.bincount(doc, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(count), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
 

@@ -77,7 +77,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def _signatures(width: int):
             sizes, keys, rows = np.zeros(n, np.int64), [None] * n, [None] * n
             for k, found in shingle_sets(C.rows_of(batch, "text"), width):
                 sizes[k], keys[k], rows[k] = len(found), _set_key(found), bands(signature(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -231,8 +231,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one of them has an id. An empty table gives no rows; other columns are not
     looked at.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = C.materialize(source.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    return _groups(docs, id_col, text_col, width, percent, block).drop("text_key")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int) -> DataFrame:
+    """near_groups() with text_key (xxhash64 of the text), which tells rows without an id apart."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    signed = C.materialize(source.mapInArrow(_signatures(width), "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"))
 
     # Documents with one set are one node, named by their smallest id.
     classes = C.materialize(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
@@ -266,7 +271,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     known = classes.join(final, classes.rep == final.node, "left").select(classes.set_key.alias("key"), F.coalesce("component", "rep").alias("found"))
     out = signed.join(known, signed.set_key == known.key, "left").withColumn("component_id", F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key")
 
 
 def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -275,8 +280,9 @@ def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat the id of a kept document leave one; rows without an id
     stay only if no document with an id is near.
     """
-    groups = near_groups(docs, width=width, percent=percent)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__tl_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left_semi")
-    return found.withColumn("__tl_rank", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).where("__tl_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = _groups(docs, "doc_id", "text", width, percent, BLOCK)
+    kept = groups.where("kept").select(F.col("doc_id").alias("__tl_id"), F.col("text_key").alias("__tl_kept")).distinct()
+    keyed = docs.withColumn("__tl_key", F.xxhash64("text"))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_kept")), "left_semi")
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__tl_key"))).orderBy("__tl_key")
+    return found.withColumn("__tl_rank", F.row_number().over(order)).where("__tl_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

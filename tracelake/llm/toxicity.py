@@ -31,8 +31,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e"}
 #: What may stand between spaced-out letters.
 GAPS = " .-_*~"
-#: Costs in nats: a sign read as a letter, a gap dropped, a drawn-out letter cut.
-SWAP, DROP, CUT = 0.7, 0.3, 0.5
+#: Costs in nats: a sign read as a letter, a gap dropped, a drawn-out letter cut, a sign read as the end of a word.
+SWAP, DROP, CUT, BREAK = 0.7, 0.3, 0.5, 6.0
 #: Longer words are keys, hashes and links, not disguises.
 LONGEST_WORD = 64
 _SIZE = 28  # 0: boundary, 1-26: letters, 27: any other letter
@@ -86,12 +86,12 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         c, n = run[1], len(run[0])
         if "a" <= c <= "z" or ord(c) > 127:
             # A drawn-out letter was one or two.
-            out.append([(c * k, 0.0 if k == n else CUT) for k in sorted({1, min(n, 2)})] if n > 2 else [(c * n, 0.0)] + ([(c, 2 * CUT)] if n == 2 else []))
+            out.append([(c * k, 0.0 if k == n else CUT) for k in sorted({1, min(n, 2)})] if n > 2 else [(c * n, 0.0)])
             continue
         for _ in range(n):
             # A gap that is kept ends a word; the model prices the boundary.
             readings = [(x, SWAP) for x in LEET.get(c, "")]
-            out.append(readings + ([("", DROP), (" ", DROP)] if c in GAPS else [(" ", 2.0)]))
+            out.append(readings + ([("", DROP), (" ", DROP)] if c in GAPS else [(" ", BREAK)]))
     return out
 
 
