@@ -13,6 +13,12 @@ def ordered(by: str = "session_id", t: str = "utc_s") -> Window:
     return Window.partitionBy(by).orderBy(t)
 
 
+def over_range(aggregate: str, before: float, after: float | None = None, by: str = "session_id", t: str = "utc_s") -> Column:
+    """A SQL aggregate over the rows within a span of a DOUBLE time (the DataFrame API takes whole numbers only)."""
+    span = f"{before!r}D PRECEDING AND {before if after is None else after!r}D FOLLOWING"
+    return F.expr(f"{aggregate} OVER (PARTITION BY {by} ORDER BY {t} RANGE BETWEEN {span})")
+
+
 def with_enu(track: DataFrame, by: str = "session_id", t: str = "utc_s") -> DataFrame:
     """track with e_m, n_m, u_m about the first row of its session."""
     w = ordered(by, t)
@@ -71,13 +77,11 @@ def rates(df: DataFrame, by: str = "session_id", t: str = "utc_s") -> DataFrame:
 
 
 def windowed_slope_velocity(enu: DataFrame, half_s: float = 2.0, sigma: float = 3.0, cols: tuple[str, ...] = ("e_m", "n_m", "u_m"), by: str = "session_id", t: str = "utc_s") -> DataFrame:
-    """sum((t - tc) x) / sum((t - tc)**2) over +-half_s (at least 3 rows), with its sigma; tc is the row's own window mean."""
-    w = Window.partitionBy(by).orderBy(t).rangeBetween(-half_s, half_s)
-    rel = F.col(t) - F.first(t).over(ordered(by, t))
-    rows = enu.withColumn("__t", rel)
-    n, st, stt = F.count("__t").over(w), F.sum("__t").over(w), F.sum(F.col("__t") ** 2).over(w)
-    sxx = stt - st * st / n
-    rows = rows.withColumns({"__n": n, "__tc": st / n, "__sxx": sxx})
-    out = {f"v_{c[0]}": F.when((F.col("__n") >= 3) & (F.col("__sxx") > 1e-12), (F.sum(F.col("__t") * F.col(c)).over(w) - F.col("__tc") * F.sum(c).over(w)) / F.col("__sxx")) for c in cols}
-    rows = rows.withColumns(out | {"v_sigma": F.when((F.col("__n") >= 3) & (F.col("__sxx") > 1e-12), sigma / F.sqrt("__sxx"))})
+    """Least-squares slope of each col in time over +-half_s (at least 3 rows), and its sigma for rows of the given sigma."""
+    rows = enu.withColumn("__t", F.col(t) - F.first(t).over(ordered(by, t)))
+    near = lambda agg: over_range(agg, half_s, by=by, t=t)
+    rows = rows.withColumns({"__n": near("count(__t)"), "__tc": near("avg(__t)"), "__sxx": near("regr_sxx(__t, __t)")})
+    ok = (F.col("__n") >= 3) & (F.col("__sxx") > 1e-12)
+    out = {f"v_{c[0]}": F.when(ok, near(f"regr_sxy({c}, __t)") / F.col("__sxx")) for c in cols}
+    rows = rows.withColumns(out | {"v_sigma": F.when(ok, sigma / F.sqrt("__sxx"))})
     return rows.drop("__t", "__n", "__tc", "__sxx")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.motion import over_range
+
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     """Normalised weights, truncate sigmas to either side."""
@@ -69,8 +71,7 @@ def gaussian_circular(df: DataFrame, col: str, sigma: float, by: str = "session_
 
 def gaussian_time(df: DataFrame, col: str, sigma_s: float, by: list[str], t: str = "utc_s", reach: float = 4.0, name: str | None = None) -> DataFrame:
     """col weighted by exp(-dt**2 / 2 sigma**2) over +-reach sigmas of time within each group of by."""
-    frame = Window.partitionBy(*by).orderBy(t).rangeBetween(-reach * sigma_s, reach * sigma_s)
-    rows = df.withColumn("__near", F.collect_list(F.struct(F.col(t).alias("t"), F.col(col).alias("x"))).over(frame))
+    rows = df.withColumn("__near", over_range(f"collect_list(struct({t} AS t, {col} AS x))", reach * sigma_s, by=", ".join(by), t=t))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
 
     def add(acc: Column, s: Column) -> Column:

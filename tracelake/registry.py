@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "speed_sigma_bands"
-MODULES = ("scalars",)
+MODULES = ("scalars", "gating", "joins", "statistics", "sequences")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
