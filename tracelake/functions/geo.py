@@ -20,30 +20,13 @@ def llh_to_ecef(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Co
     return (n + h) * F.cos(la) * F.cos(lo), (n + h) * F.cos(la) * F.sin(lo), (n * (1.0 - E2) + h) * F.sin(la)
 
 
-def ecef_to_llh(x: Column, y: Column, z: Column, rounds: int = 5) -> tuple[Column, Column, Column]:
-    """Inverse of llh_to_ecef by a fixed number of rounds; on the axis, a pole at height |z| - b."""
-    p = F.sqrt(x * x + y * y)
-    lat = F.atan2(z, p * (1.0 - E2))
-    for _ in range(rounds):
-        n = F.lit(A) / F.sqrt(1.0 - E2 * F.sin(lat) * F.sin(lat))
-        h = p / F.cos(lat) - n
-        lat = F.atan2(z, p * (1.0 - E2 * n / (n + h)))
-    n = F.lit(A) / F.sqrt(1.0 - E2 * F.sin(lat) * F.sin(lat))
-    polar = p < 1e-9
-    b = A * math.sqrt(1.0 - E2)
-    return (
-        F.when(polar, F.when(z >= 0, 90.0).otherwise(-90.0)).otherwise(F.degrees(lat)),
-        F.when(polar, 0.0).otherwise(F.degrees(F.atan2(y, x))),
-        F.when(polar, F.abs(z) - b).otherwise(p / F.cos(lat) - n),
-    )
-
-
 def ecef_to_llh_struct(x: Column, y: Column, z: Column, rounds: int = 5) -> Column:
-    """ecef_to_llh as one struct, each round bound once so that the expression grows linearly.
+    """Inverse of llh_to_ecef by a fixed number of rounds: a struct of lat_deg, lon_deg, h_m.
 
-    A one-element array carries the latitude from round to round.
+    On the axis it is a pole at height |z| - b. An aggregate over the rounds
+    carries the latitude, so that the expression doesn't double with each.
     """
-    p = F.sqrt(x * x + y * y)
+    p = F.greatest(F.sqrt(x * x + y * y), F.lit(1e-12))
 
     def better(lat: Column) -> Column:
         n = F.lit(A) / F.sqrt(1.0 - E2 * F.sin(lat) * F.sin(lat))
