@@ -23,7 +23,7 @@ BUCKETS = 1 << 14
 #: Most labelled rows that the target model is fitted on: the bound of the broadcast id table.
 TARGET_ROWS = 20_000
 #: Share of all documents that the sample keeps.
-KEEP = 0.8
+KEEP = 0.85
 _KIND = np.full(256, 2, np.uint8)  # punctuation
 _KIND[C.SPACE] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1  # letters, digits

@@ -23,6 +23,8 @@ from tracelake.llm import common as C
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: Bands whose stars are confirmed before those of all others are looked at.
+EARLY_BANDS = 4
 #: Sets that one task compares with as many others when clusters are finished.
 BLOCK = 4096
 #: Shingles of all sets of a block, which bounds a task's memory when sets are long.
@@ -128,6 +130,11 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds on {spark.sparkContext.appName}")
 
 
+def _forest(labels: DataFrame) -> DataFrame:
+    """One edge for each labelled node, to the component's smallest: joins what all edges did."""
+    return labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose sets have 100 * intersection >= percent * union."""
     left = edges.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -137,6 +144,15 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b")
 
 
+def _mixed_buckets(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """crowded with each node's component; and the buckets that hold more than one, with their centre's component and size."""
+    labelled = C.materialize(crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "centre", F.coalesce("component", "rep").alias("component")))
+    parts = labelled.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("of_centre"), F.count(F.lit(1)).alias("n")
+    )
+    return labelled, parts.where("low < high").select("bucket", "of_centre", "n")
+
+
 def links_in_block(left: list[int], right: list[int], sets: list[np.ndarray], group: list[int], percent: int) -> list[tuple[int, int]]:
     """Enough links between members of left and right to join all of their components that any link joins.
 
@@ -242,23 +258,27 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     # Documents with one set are one node, named by their smallest id.
     classes = C.materialize(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     nodes = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.rep)).select("rep", classes.set_key, "bands").dropDuplicates(["rep", "set_key"])
-    members = C.materialize(nodes.select("rep", "set_key", F.explode("bands").alias("bucket")))
+    members = C.materialize(nodes.select("rep", "set_key", F.posexplode("bands").alias("band", "bucket")))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
-    crowded = C.materialize(members.join(shared, "bucket").select("bucket", "rep", "centre", "set_key"))
-    star = C.materialize(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    crowded = C.materialize(members.join(shared, "bucket").select("bucket", "band", "rep", "centre", "set_key"))
 
     wanted = crowded.select("rep", "set_key").distinct()
     texts = source.join(wanted, source.doc_id == wanted.rep).select("doc_id", "text", "set_key")
     sets = C.materialize(texts.mapInArrow(_whole_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]))
-    good = C.materialize(_confirmed(star, sets, percent))
-    labels = connected(good)
-
-    # Buckets that still hold several components: finish their clusters exactly.
-    labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "centre", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2").select("bucket")
-    loose = C.materialize(labelled.join(mixed, "bucket"))
-    clusters = connected(loose.select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-    placed = loose.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+
+    # Stars of a few bands first; of all others only the edges that could still join two components.
+    edge = (F.col("centre").alias("a"), F.col("rep").alias("b"))
+    early = crowded.where((F.col("rep") != F.col("centre")) & (F.col("band") < EARLY_BANDS)).select(*edge).distinct()
+    labels = connected(C.materialize(_confirmed(early, sets, percent)))
+    labelled, mixed = _mixed_buckets(crowded, labels)
+    late = labelled.join(mixed, "bucket").where((F.col("component") != F.col("of_centre")) & (F.col("band") >= EARLY_BANDS)).select(*edge).distinct()
+    labels = connected(_forest(labels).union(C.materialize(_confirmed(late, sets, percent))))
+
+    # Buckets of three or more that still hold several components: finish their clusters exactly.
+    labelled, mixed = _mixed_buckets(crowded, labels)
+    loose = C.materialize(labelled.join(mixed.where("n > 2"), "bucket").select("rep", "component", "of_centre").distinct())
+    clusters = connected(loose.select(F.col("of_centre").alias("a"), F.col("component").alias("b")).distinct())
+    placed = loose.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
     placed = C.materialize(placed.join(sets.select("rep", F.size("shingles").alias("n")), "rep"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = placed.groupBy("cluster").agg(blocks.alias("blocks"))
@@ -267,7 +287,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     units = dealt.withColumn("other", with_other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "shingles")
     grouped = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
     rest = grouped.mapInArrow(_finish(percent), "a long, b long")
-    final = connected(good.union(C.materialize(rest)))
+    final = connected(_forest(labels).union(C.materialize(rest)))
 
     known = classes.join(final, classes.rep == final.node, "left").select(classes.set_key.alias("key"), F.coalesce("component", "rep").alias("found"))
     out = signed.join(known, signed.set_key == known.key, "left").withColumn("component_id", F.coalesce("found", "doc_id"))
