@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "speed_sigma_bands"
-MODULES = ("scalars", "gating", "joins", "statistics", "sequences", "kernels", "volume", "texts")
+MODULES = ("scalars", "gating", "joins", "statistics", "sequences", "kernels", "vehicles", "volume", "texts")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
