@@ -104,7 +104,7 @@ def stats_anderson_darling(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {STEPS}, d2 AS (SELECT *, e_m - lag(e_m) OVER w AS se, n_m - lag(n_m) OVER w AS sn FROM steps WINDOW w AS (PARTITION BY session_id ORDER BY utc_s)),
 m AS (SELECT {KEY}, utc_s, sqrt(power(se - ve * dt_s, 2) + power(sn - vn * dt_s, 2)) AS mis FROM d2),
-b AS (SELECT *, median(mis) OVER (PARTITION BY session_id) AS med FROM m), a AS (SELECT *, median(abs(mis - med)) OVER (PARTITION BY session_id) AS mad FROM b)
+b2 AS (SELECT *, median(mis) OVER (PARTITION BY session_id) AS med FROM m), a AS (SELECT *, median(abs(mis - med)) OVER (PARTITION BY session_id) AS mad FROM b2)
 SELECT {KEY}, coalesce(mis > greatest(3, med + 5 * mad) AND lead(mis) OVER (PARTITION BY session_id ORDER BY utc_s) > greatest(3, med + 5 * mad), false) AS rejected FROM a""")
 def gate_both_sided_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Epochs whose steps disagree with an independent velocity on both sides."""
