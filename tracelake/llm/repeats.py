@@ -59,24 +59,40 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most == hashes)
 
 
-_ANCHOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16()), ("anchor", pa.int64()), ("around", pa.int64())])
+_ANCHOR_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16()), ("times", pa.int32()), ("run", pa.int32()), ("anchor", pa.int64()), ("around", pa.int64())]
+)
+_ANCHOR_SQL = "doc_id long, text_key long, pos int, left smallint, right smallint, times int, run int, anchor long, around long"
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    low, signed = xxhash.xxh3_64_intdigest, lambda v: np.array(v, np.uint64).view(np.int64)
+    """Anchors with the keys of their bytes and of what surrounds them.
+
+    In periodic text one anchor with one surrounding comes again and again;
+    overlapping ones of a text are one row, with their number (times) and the
+    distance from the first to the last (run).
+    """
+    low = xxhash.xxh3_64_intdigest
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("text_key")
-        for lo, _, buf, offsets in C.slices(C.rows_of(batch, "text")):
+        for lo, _, buf, offsets in C.slices(C.rows_of(batch, "text"), 1 << 19):
             at = anchors(buf, offsets)
             doc = np.searchsorted(offsets, at, "right") - 1
             begin, end = np.maximum(offsets[doc], at - REACH), np.minimum(offsets[doc + 1], at + LENGTH)
             view = memoryview(buf)
-            key = [low(view[p : p + ANCHOR]) for p in at.tolist()]
+            key = np.array([low(view[p : p + ANCHOR]) for p in at.tolist()], np.uint64)
             # The seed tells apart equal bytes that lie differently around the anchor.
-            around = [low(view[a:b], seed=p - a + 1) for a, p, b in zip(begin.tolist(), at.tolist(), end.tolist(), strict=True)]
-            rows = pa.array(lo + doc)
+            around = np.array([low(view[a:b], seed=p - a + 1) for a, p, b in zip(begin.tolist(), at.tolist(), end.tolist(), strict=True)], np.uint64)
+            order = np.lexsort((at, key, around, doc))
+            at, doc, begin, end, key, around = (x[order] for x in (at, doc, begin, end, key, around))
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (around[1:] != around[:-1]) | (key[1:] != key[:-1]) | (begin[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            rows = pa.array(lo + doc[first])
+            columns = (at - offsets[doc], at - begin, end - at - ANCHOR)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), keys.take(rows), pa.array((at - offsets[doc]).astype(np.int32)), pa.array((at - begin).astype(np.int16)), pa.array((end - at - ANCHOR).astype(np.int16)), pa.array(signed(key)), pa.array(signed(around))],
+                [ids.take(rows), keys.take(rows), *(pa.array(c[first].astype(t)) for c, t in zip(columns, (np.int32, np.int16, np.int16), strict=True)), pa.array((last - first + 1).astype(np.int32)), pa.array((at[last] - at[first]).astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(around[first].view(np.int64))],
                 schema=_ANCHOR_SCHEMA,
             )
 
@@ -125,65 +141,105 @@ class _RangeMin:
         return out
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Repeats around one anchor: members, how far each agrees to the left with another, and to the right with all.
+def _walk(order: np.ndarray, common: np.ndarray, by_left: np.ndarray, steps: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Walks the interval tree of one anchor's suffixes.
 
-    lefts are read outwards from the anchor (reversed), rights likewise. Only
-    repeats of need bytes or more besides the anchor come out; a group whose
-    members all go on alike to both sides is part of a longer one.
+    order sorts them by what follows, common holds the shared prefixes of
+    neighbours in it (common[0] is 0); by_left and steps likewise for what comes
+    before. Yields members, how far each agrees to the left with another member
+    of the interval, and the interval's prefix.
     """
-    m = len(rights)
-    if m == 2:
-        left, right = _agree(lefts[0], lefts[1]), _agree(rights[0], rights[1])
-        if left + right >= need:
-            yield np.arange(2), np.array([left, left]), right
+    if len(order) == 2:
+        if steps[0] + common[1] >= need:
+            yield order, np.array([steps[0], steps[0]]), int(common[1])
         return
-    order = sorted(range(m), key=rights.__getitem__)
-    common = [0] + [_agree(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
-    by_left = sorted(range(m), key=lefts.__getitem__)
-    rank = np.empty(m, np.int64)
-    rank[by_left] = np.arange(m)
-    steps = np.array([_agree(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:], strict=False)], np.int64)
-    least = _RangeMin(steps)
-    widest = int(steps.max())
-    order = np.array(order)
-    for right, first, last in prefix_intervals(common):
+    rank = np.empty(len(order), np.int64)
+    rank[by_left] = np.arange(len(order))
+    widest, least = int(steps.max()), None
+    for right, first, last in prefix_intervals(common.tolist()):
         if right + widest < need:
             continue
+        least = least or _RangeMin(steps)
         ranks = np.sort(rank[order[first : last + 1]])
         near = least(ranks[:-1], ranks[1:])
         left = np.maximum(np.append(near, 0), np.append(0, near))
+        # Members that agree with no other one far enough to the left have no long repeat here.
         far = left + right >= need
         if far.any():
-            yield np.array(by_left)[ranks[far]], left[far], right
+            yield by_left[ranks[far]], left[far], right
+
+
+def _sorted_side(sides: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings within their groups, and how many bytes each shares with the one before it in that order."""
+    wide = np.array(sides, f"S{REACH}")
+    sizes = np.fromiter(map(len, sides), np.int64, len(sides))
+    order = np.lexsort((sizes, wide, group))  # a shorter side is padded with zeros and comes first
+    sizes = sizes[order]
+    grid = np.frombuffer(wide.tobytes(), np.uint8).reshape(len(sides), REACH)[order]
+    differ = grid[1:] != grid[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), REACH)
+    return order, np.append(0, np.minimum(same, np.minimum(sizes[1:], sizes[:-1])))
+
+
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], group: np.ndarray, need: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Repeats around the anchors of many groups (numbers, each group's rows together).
+
+    Yields members (rows), how far each agrees to the left with another, and to
+    the right with all. lefts are read outwards from the anchor (reversed),
+    rights likewise. Only repeats of need bytes or more besides the anchor come out.
+    """
+    order, common = _sorted_side(rights, group)
+    by_left, steps = _sorted_side(lefts, group)
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True):
+        if b - a > 1:
+            mine = common[a:b].copy()
+            mine[0] = 0
+            for members, left, right in _walk(order[a:b] - a, mine, by_left[a:b] - a, steps[a + 1 : b], need):
+                yield members + a, left, right
 
 
 _SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return table.to_batches()[0] if table.num_rows else batches[0].slice(0, 0)
+
+
 def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        spans: list[tuple] = []
-        if len(rows) > 1:
-            for members, left, right in maximal_repeats([r[4] for r in rows], [r[5] for r in rows]):
-                for x, reach in zip(members.tolist(), left.tolist(), strict=True):
-                    doc_id, key, pos, alone = rows[x][:4]
-                    if alone:
-                        spans.append((doc_id, key, pos - reach, pos + ANCHOR + right))
-        spans = list(dict.fromkeys(spans))
-        return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], schema=_SPAN_SCHEMA)
-
-    held: list[tuple] = []
-    name = None
+    """Spans of suffixes that occur once, from rows sorted by anchor; a batch's last anchor waits for the next batch."""
+
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        if not rows.num_rows:
+            return pa.RecordBatch.from_pylist([], schema=_SPAN_SCHEMA)
+        column = {n: rows.column(n) for n in rows.schema.names}
+        alone = np.asarray(column["alone"].to_pylist(), bool)
+        pos = column["pos"].to_numpy().astype(np.int64)
+        at, begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members, left, right in maximal_repeats(column["lefts"].to_pylist(), column["rights"].to_pylist(), column["anchor"].to_numpy()):
+            own = alone[members]
+            members = members[own]
+            at.append(members)
+            begin.append(pos[members] - left[own])
+            end.append(pos[members] + ANCHOR + right)
+        spans = np.unique(np.stack([np.concatenate(x) for x in (at, begin, end)], 1), axis=0)
+        rows_of = pa.array(spans[:, 0])
+        return pa.RecordBatch.from_arrays([column["doc_id"].take(rows_of), column["text_key"].take(rows_of), pa.array(spans[:, 1]), pa.array(spans[:, 2])], schema=_SPAN_SCHEMA)
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "pos", "alone", "lefts", "rights")), strict=True):
-            if anchor != name:
-                if held:
-                    yield solve(held)
-                name, held = anchor, []
-            held.append(tuple(row))
+        names = batch.column("anchor").to_numpy()
+        if not len(names):
+            continue
+        cut = int(np.flatnonzero(names == names[-1])[0])
+        if held and cut == 0 and held[-1].column("anchor")[-1].as_py() == names[0]:
+            held.append(batch)
+            continue
+        yield solve(_one([*held, batch.slice(0, cut)]))
+        held = [batch.slice(cut)]
     if held:
-        yield solve(held)
+        yield solve(_one(held))
 
 
 _CONTEXT_SCHEMA = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("alone", pa.bool_()), ("lefts", pa.binary()), ("rights", pa.binary())])
@@ -192,11 +248,10 @@ _CONTEXT_SCHEMA = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("t
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, key, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "raw", "found")), strict=True):
-            for f in found:
-                if f["compare"]:
-                    p = f["pos"]
-                    out.append((f["anchor"], doc_id, key, p, f["alone"], text[p - f["left"] : p][::-1], text[p + ANCHOR : p + ANCHOR + f["right"]]))
+        for doc_id, key, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "raw", "compare")), strict=True):
+            for f in found or []:
+                p = f["pos"]
+                out.append((f["anchor"], doc_id, key, p, f["alone"], text[p - f["left"] : p][::-1], text[p + ANCHOR : p + ANCHOR + f["right"]]))
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t.type) for k, t in enumerate(_CONTEXT_SCHEMA)], schema=_CONTEXT_SCHEMA)
 
 
@@ -214,22 +269,36 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_bytes", pa.binary())])
 
 
+def _spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of a column of lists of (begin, end)."""
+    sizes = np.diff(np.asarray(column.offsets))
+    flat = column.flatten()
+    known = np.asarray(column.is_valid().to_pylist(), bool)
+    rows = np.repeat(np.arange(len(column)), np.where(known, sizes, 0))
+    return rows, flat.field("begin").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, kept, sizes = [], [], []
-        for text, whole, more in zip(*(batch.column(c).to_pylist() for c in ("raw", "found", "more")), strict=True):
-            all_spans = [(f["pos"] - f["left"], f["pos"] + ANCHOR + f["right"]) for f in whole if f["whole"]] + [(s["begin"], s["end"]) for s in more or []]
-            merged: list[list[int]] = []
-            for a, b in sorted(all_spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            spans.append(merged)
-            edges = [0, *(x for s in merged for x in s), len(text)]
+        texts = batch.column("raw").to_pylist()
+        row, begin, end = (np.concatenate(x) for x in zip(_spans_of(batch.column("whole")), _spans_of(batch.column("more")), strict=True))
+        order = np.lexsort((end, begin, row))
+        row, begin, end = row[order], begin[order], end[order]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        # On one axis, with a gap between texts, overlapping or touching spans of a text are one run.
+        base = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        reach = np.maximum.accumulate(end + base[row]) if len(row) else end
+        new = np.append(True, begin[1:] + base[row[1:]] > reach[:-1])[: len(row)]
+        first = np.flatnonzero(new)
+        spans_row, spans_begin = row[first], begin[first]
+        spans_end = reach[np.append(first[1:], len(row)).astype(np.int64) - 1] - base[spans_row] if len(first) else np.zeros(0, np.int64)
+        at = np.searchsorted(spans_row, np.arange(len(texts) + 1))
+        kept = []
+        for k, text in enumerate(texts):
+            edges = [0, *np.stack([spans_begin[at[k] : at[k + 1]], spans_end[at[k] : at[k + 1]]], 1).ravel().tolist(), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            sizes.append(len(text))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, _CUT_SCHEMA.field("spans").type), pa.array(kept, pa.binary())], schema=_CUT_SCHEMA)
+        pairs = pa.ListArray.from_arrays(np.arange(0, 2 * len(first) + 1, 2, dtype=np.int32), pa.array(np.stack([spans_begin, spans_end], 1).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(at.astype(np.int32), pairs), pa.array(kept, pa.binary())], schema=_CUT_SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -243,19 +312,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = C.materialize(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors, "doc_id long, text_key long, pos int, left smallint, right smallint, anchor long, around long"))
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed"))
+    found = C.materialize(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors, _ANCHOR_SQL))
+    often = found.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed"))
     repeated = C.materialize(found.join(often, "anchor"))
     # One occurrence stands for all with the same surroundings.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "text_key", "pos")).alias("first")
-    kinds = repeated.where("mixed").groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), first)
+    kinds = repeated.where("mixed").groupBy("anchor", "around").agg(F.sum("times").alias("n"), first)
     marked = repeated.join(kinds, ["anchor", "around"], "left").withColumn("alone", F.col("n") == 1)
     whole = ~F.col("mixed") | (F.col("n") > 1)
     is_first = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "text_key", "pos") == F.col("first")
-    entry = F.struct("pos", "left", "right", "anchor", whole.alias("whole"), F.coalesce("alone", F.lit(False)).alias("alone"), (F.col("mixed") & is_first).alias("compare"))
-    by_text = marked.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), entry.alias("e")).where("e.whole OR e.compare").groupBy("d", "k").agg(F.collect_list("e").alias("found"))
+    span = F.when(whole, F.struct((F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("run") + ANCHOR + F.col("right")).alias("end")))
+    suffix = F.when(F.col("mixed") & is_first, F.struct("pos", "left", "right", "anchor", "alone"))
+    entries = marked.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), span.alias("w"), suffix.alias("c")).where("w IS NOT NULL OR c IS NOT NULL")
+    by_text = entries.groupBy("d", "k").agg(F.collect_list("w").alias("whole"), F.collect_list("c").alias("compare"))
     joined = source.join(by_text, source.doc_id.eqNullSafe(by_text.d) & (source.text_key == by_text.k), "left")
-    none = F.col("found").isNull()
+    none = F.col("whole").isNull()
     split = C.materialize(
         joined.select(
             "doc_id",
@@ -263,11 +334,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.octet_length("text").cast("long").alias("n_bytes"),
             F.when(none, F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
             F.when(~none, F.col("text").cast("binary")).alias("raw"),
-            "found",
+            "whole",
+            "compare",
         )
     )
-    touched = split.where("found IS NOT NULL").select("doc_id", "text_key", "raw", "found")
-    contexts = touched.mapInArrow(_contexts, "anchor long, doc_id long, text_key long, pos int, alone boolean, lefts binary, rights binary")
+    touched = split.where("whole IS NOT NULL").select("doc_id", "text_key", "raw", "whole", "compare")
+    contexts = touched.where(F.size("compare") > 0).select("doc_id", "text_key", "raw", "compare").mapInArrow(_contexts, "anchor long, doc_id long, text_key long, pos int, alone boolean, lefts binary, rights binary")
     sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > group).select("anchor")
     large = C.materialize(sizes)
     spans_schema = "doc_id long, text_key long, begin long, end long"
@@ -282,9 +354,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = contexts.repartition("anchor").sortWithinPartitions("anchor")
     spans = grouped.mapInArrow(_group_spans, spans_schema).unionByName(more)
     edges = spans.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct("begin", "end")).alias("more"))
-    cut = touched.join(edges, touched.doc_id.eqNullSafe(edges.d) & (touched.text_key == edges.k), "left").select("doc_id", "raw", "found", "more")
+    cut = touched.join(edges, touched.doc_id.eqNullSafe(edges.d) & (touched.text_key == edges.k), "left").select("doc_id", "raw", "whole", "more")
     done = cut.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<array<long>>, kept_bytes binary").withColumn("sha", F.sha2("kept_bytes", 256))
-    plain = split.where("found IS NULL").select("doc_id", "n_bytes", F.array().cast("array<array<long>>").alias("spans"), F.lit(None).cast("binary").alias("kept_bytes"), "sha")
+    plain = split.where("whole IS NULL").select("doc_id", "n_bytes", F.array().cast("array<array<long>>").alias("spans"), F.lit(None).cast("binary").alias("kept_bytes"), "sha")
     return done.unionByName(plain)
 
 
