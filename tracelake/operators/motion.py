@@ -85,3 +85,21 @@ def windowed_slope_velocity(enu: DataFrame, half_s: float = 2.0, sigma: float =
     out = {f"v_{c[0]}": F.when(ok, near(f"regr_sxy({c}, __t)") / F.col("__sxx")) for c in cols}
     rows = rows.withColumns(out | {"v_sigma": F.when(ok, sigma / F.sqrt("__sxx"))})
     return rows.drop("__t", "__n", "__tc", "__sxx")
+
+
+def trajectory_yaw(enu: DataFrame, half_s: float = 2.0, least_m: float = 1.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """yaw_deg from the first to the last place within half_s either way; null if both lie on one side or too close together."""
+    ends = {c: (over_range(f"first({c})", half_s, by=by, t=t), over_range(f"last({c})", half_s, by=by, t=t)) for c in ("e_m", "n_m", t)}
+    rows = enu.withColumns({"__e0": ends["e_m"][0], "__e1": ends["e_m"][1], "__n0": ends["n_m"][0], "__n1": ends["n_m"][1], "__t0": ends[t][0], "__t1": ends[t][1]})
+    de, dn = F.col("__e1") - F.col("__e0"), F.col("__n1") - F.col("__n0")
+    ok = (F.col("__t0") < F.col(t)) & (F.col("__t1") > F.col(t)) & (F.sqrt(de * de + dn * dn) >= least_m)
+    return rows.withColumn("yaw_deg", F.when(ok, geo.heading_from_enu(de, dn))).drop("__e0", "__e1", "__n0", "__n1", "__t0", "__t1")
+
+
+def step_stops(stepped: DataFrame, below: float = 0.5, min_s: float = 1.5, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """Runs of slow steps of at least min_s: from the row before the first slow step to the last slow row."""
+    from tracelake.operators.islands import with_runs
+
+    rows = stepped.withColumn("__before", F.lag(t).over(ordered(by, t))).withColumn("__slow", F.coalesce(F.col("speed_mps") < below, F.lit(False)))
+    runs = with_runs(rows, F.col("__slow"), by, t).where("__slow").groupBy(by, "run_id").agg(F.min("__before").alias("start_s"), F.max(t).alias("end_s"), F.count(F.lit(1)).alias("n"))
+    return runs.where(F.col("end_s") - F.col("start_s") >= min_s).drop("run_id")

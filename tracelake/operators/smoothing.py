@@ -100,3 +100,20 @@ def smooth_heights(track: DataFrame, sigma_s: float = 2.0, by: str = "session_id
 def moving_average(col: str, k: int, by: str = "session_id", t: str = "utc_s") -> Column:
     """Centred mean of k rows (fewer at the ends)."""
     return F.avg(col).over(Window.partitionBy(by).orderBy(t).rowsBetween(-(k // 2), k // 2))
+
+
+def gaussian_adaptive(df: DataFrame, col: str, sigma: Column, widest: float, by: str = "session_id", t: str = "utc_s", truncate: float = 3.0) -> DataFrame:
+    """col smoothed over rows with each row's own sigma (in rows, at most widest), truncated at truncate sigmas, ends not padded; nulls have no weight."""
+    half = math.ceil(truncate * widest)
+    w = Window.partitionBy(by).orderBy(t)
+    rows = df.withColumns({"__ix": F.row_number().over(w), "__sg": F.least(sigma, F.lit(widest))})
+    rows = rows.withColumn("__near", F.collect_list(F.struct(F.col("__ix").alias("i"), F.col(col).alias("x"))).over(w.rowsBetween(-half, half)))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+
+    def add(acc: Column, s: Column) -> Column:
+        d = s["i"] - F.col("__ix")
+        k = F.when(s["x"].isNotNull() & (F.abs(d) <= F.ceil(truncate * F.col("__sg"))), F.exp(-0.5 * (d / F.col("__sg")) ** 2)).otherwise(0.0)
+        return F.struct((acc["a"] + F.coalesce(k * s["x"], F.lit(0.0))).alias("a"), (acc["b"] + k).alias("b"))
+
+    rows = rows.withColumn("__in", F.aggregate("__near", zero, add))
+    return rows.withColumn(f"{col}_s", F.when(F.col("__in.b") > 0, F.col("__in.a") / F.col("__in.b"))).drop("__ix", "__sg", "__near", "__in")
