@@ -307,3 +307,24 @@ def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(frame(spark, [(1, "x", "en", "s")]), none).collect()} == {0}
     assert toxicity.toxicity(frame(spark, []), none).count() == 0
+
+
+def test_long_texts_are_scored_whole(spark, characters):
+    text = b"table chair m0r0n river d o o r garden " * 80_000
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": [text.decode()]})
+    (got,) = toxicity._texts(batch, toxicity.Restorer(characters))
+    assert got[2][0] == 80_000 * 9
+    short = __import__("pyarrow").RecordBatch.from_pydict({"text": [text[:39].decode()]})
+    (one,) = toxicity._texts(short, toxicity.Restorer(characters))
+    long_counts, short_counts = ({h: int(n) for h, n in zip(*np.unique(np.concatenate([h for h, _ in r[3]]), return_counts=True), strict=True)} for r in (got, one))
+    assert long_counts == {h: 80_000 * n for h, n in short_counts.items()}
+
+
+def test_long_texts_have_the_sum_of_their_bits(spark):
+    docs = spark.createDataFrame([("aa", "The cat sat. "), ("bb", "Der Hund und")], "lang string, text string")
+    trees = language_id.fit_trees(docs)
+    raw = np.frombuffer(b"the cat und der hund " * 50, np.uint8)
+    whole = language_id._bits(trees, raw, np.array([0, len(raw)]))
+    assert np.allclose(whole, language_id._bits(trees, raw, np.array([0, len(raw)]), piece=100))
+    both = np.concatenate([raw, raw])
+    assert np.allclose(language_id._bits(trees, both, np.array([0, len(raw), 2 * len(raw)])), np.concatenate([whole, whole]))

@@ -134,6 +134,18 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = BYTE_CODE, piece: int = 1 << 20) -> np.ndarray:
+    """range_hash of byte ranges in order of start, a piece of the bytes at a time: long texts need no long arrays of powers."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + piece, "right")))
+        lo, hi = int(start[i]), int(end[i:j].max())
+        out[i:j] = range_hash(prefix_hash(buf[lo:hi], code), start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each word."""
     n = len(buf)

@@ -43,7 +43,7 @@ def _buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
     doc = np.searchsorted(offsets, starts, "right") - 1
-    one = C.range_hash(C.prefix_hash(buf, C.BYTE_CODE_LOWER), starts, ends)
+    one = C.hash_ranges(buf, starts, ends, C.BYTE_CODE_LOWER)
     two, first = C.word_grams(one, doc, 2)
     return (np.concatenate([one, two]) >> np.uint64(64 - 14)).astype(np.int64), np.concatenate([doc, doc[first]])
 

@@ -180,6 +180,17 @@ def fit_trees(docs: DataFrame) -> Trees:
     return Trees(langs, rows["lang"].map(number).to_numpy(np.int64), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
+def _bits(trees: Trees, buf: np.ndarray, offsets: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """Code length of each text under each language's tree; a long text is summed piece by piece."""
+    grams = _grams(buf, offsets)[0]
+    if len(offsets) == 2:
+        parts = [trees.cost(grams[k : k + piece].astype(np.int64)).sum(0, dtype=np.float64) for k in range(0, len(grams), piece)]
+        return np.sum(parts or [np.zeros(len(trees.langs))], axis=0)[None]
+    sums = np.zeros((len(buf) + 1, len(trees.langs)))
+    np.cumsum(trees.cost(grams.astype(np.int64)), axis=0, dtype=np.float64, out=sums[1:])
+    return np.diff(sums[offsets], axis=0)
+
+
 def _predict(trees: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,10 +202,7 @@ def _predict(trees: Trees):
                 for k in np.flatnonzero(~letters & (sizes > 0)):
                     letters[k] = any(map(str.isalpha, texts[lo + int(k)].as_py()))
                 if trees.langs:
-                    cost = trees.cost(_grams(buf, offsets)[0].astype(np.int64))
-                    sums = np.zeros((len(buf) + 1, len(trees.langs)))
-                    np.cumsum(cost, axis=0, dtype=np.float64, out=sums[1:])
-                    bits = np.diff(sums[offsets], axis=0)
+                    bits = _bits(trees, buf, offsets)
                     best = bits.argmin(1)
                     excess = (bits - bits.min(1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))[:, None]
                     score = 1 / np.exp2(-excess).sum(1)

@@ -35,6 +35,8 @@ GAPS = " .-_*~"
 SWAP, DROP, CUT, BREAK = 0.7, 0.3, 0.5, 6.0
 #: Longer words are keys, hashes and links, not disguises.
 LONGEST_WORD = 64
+#: Bytes of a long text that are looked at together; it is parted after a blank.
+PIECE = 1 << 20
 _SIZE = 28  # 0: boundary, 1-26: letters, 27: any other letter
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = np.arange(1, 27)
@@ -52,8 +54,10 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     total = np.zeros(_SIZE**3, np.int64)
     for batch in batches:
         for _, _, buf, _ in C.slices(C.rows_of(batch, "text")):
-            c = _CLASS[np.concatenate([[32, 32], buf, [32, 32]])]
-            total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
+            text = np.concatenate([[32, 32], buf, [32, 32]]).astype(np.uint8)
+            for k in range(0, len(text) - 2, PIECE):
+                c = _CLASS[text[k : k + PIECE + 2]]
+                total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
@@ -169,39 +173,61 @@ def _features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.nda
     a, b = ahead[starts], behind[ends - 1] + 1
     real = (a < b) & (a < ends)
     a, b, doc = a[real], b[real], doc[real]
-    prefix = C.prefix_hash(buf, C.BYTE_CODE_LOWER)
-    yield C.range_hash(prefix, a, b), doc
+    yield C.hash_ranges(buf, a, b, C.BYTE_CODE_LOWER), doc
     for k in PREFIXES:
         longer = b - a > k
-        yield C.mix(C.range_hash(prefix, a[longer], a[longer] + k) + C.STEPS[40 + k]), doc[longer]
+        yield C.mix(C.hash_ranges(buf, a[longer], a[longer] + k, C.BYTE_CODE_LOWER) + C.STEPS[40 + k]), doc[longer]
+
+
+def _pieces(offsets: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """Offsets with a long text parted after blanks."""
+    if len(buf) <= 2 * PIECE:
+        return offsets
+    cuts = []
+    for k in range(PIECE, len(buf), PIECE):
+        blank = np.flatnonzero(C.SPACE[buf[k : k + PIECE]])
+        if len(blank):
+            cuts.append(k + int(blank[0]) + 1)
+    return np.unique(np.concatenate([offsets, np.array(cuts, np.int64)]))
 
 
 def _texts(batch: pa.RecordBatch, restore: Restorer) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
     """First and last row, words by text, and the features of the restored texts."""
     for lo, hi, buf, offsets in C.slices(C.rows_of(batch, "text"), 1 << 19):
-        starts, ends, doc = C.words(buf, offsets)
-        odd, runs = disguised(buf, starts, ends, doc)
-        said: list[tuple[int, str]] = []
-        raw = buf.tobytes()
-        for k in odd.tolist():
-            said.append((doc[k], restore(raw[starts[k] : ends[k]].decode("utf-8", "replace"))))
-        for a, b in runs:
-            said.append((doc[a], restore(raw[starts[a] : ends[b - 1]].decode("utf-8", "replace"))))
-        # Restored words count besides the rest; the words they come from don't.
-        plain = np.ones(len(starts), bool)
-        plain[odd] = False
-        for a, b in runs:
-            plain[a:b] = False
-        features = list(_features(buf, starts[plain], ends[plain], doc[plain]))
-        if said:
-            said.sort(key=lambda x: x[0])
-            more = " ".join(t for _, t in said).encode()
-            sizes = [len(t.encode()) + 1 for _, t in said]
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            other = np.frombuffer(more + b" ", np.uint8)
-            s, e, which = C.words(other, begin)
-            features += list(_features(other, s, e, np.array([d for d, _ in said])[which]))
-        yield lo, hi, np.bincount(doc, minlength=hi - lo), features
+        if hi - lo > 1:
+            words, features = _restored(buf, offsets, restore)
+        else:
+            words, features = np.zeros(1, np.int64), []
+            parted = _pieces(offsets, buf)
+            for a, b in zip(parted[:-1].tolist(), parted[1:].tolist(), strict=True):
+                more, found = _restored(buf[a:b], np.array([0, b - a]), restore)
+                words = words + more
+                features += found
+        yield lo, hi, words, features
+
+
+def _restored(buf: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    starts, ends, doc = C.words(buf, offsets)
+    odd, runs = disguised(buf, starts, ends, doc)
+    said: list[tuple[int, str]] = []
+    for k in odd.tolist():
+        said.append((doc[k], restore(buf[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"))))
+    for a, b in runs:
+        said.append((doc[a], restore(buf[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"))))
+    # Restored words count besides the rest; the words they come from don't.
+    plain = np.ones(len(starts), bool)
+    plain[odd] = False
+    for a, b in runs:
+        plain[a:b] = False
+    features = list(_features(buf, starts[plain], ends[plain], doc[plain]))
+    if said:
+        said.sort(key=lambda x: x[0])
+        encoded = [t.encode() + b" " for _, t in said]
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in encoded])])
+        other = np.frombuffer(b"".join(encoded), np.uint8)
+        s, e, which = C.words(other, begin)
+        features += list(_features(other, s, e, np.array([d for d, _ in said])[which]))
+    return np.bincount(doc, minlength=len(offsets) - 1), features
 
 
 def _count_features(model: np.ndarray):
@@ -334,7 +360,8 @@ def score_texts(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataF
     """docs with the score in (0, 1) in a new column.
 
     Null and empty texts have the score of a text without features. Rows are
-    scored alone, whole and of any length; repeated rows have equal scores.
+    scored alone, whole and of any length (letters spaced out across the parting
+    of a text above 2 MB are read as two runs); repeated rows have equal scores.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField("__tl_score", T.DoubleType())])
     return docs.mapInArrow(_score(scorer), schema).withColumnRenamed("__tl_score", column)
