@@ -88,6 +88,14 @@ def test_weighted_filter_trusts_good_epochs():
     assert abs(out["e_s"][30]) < 0.5 and out["disagree_m"][30] > 8
 
 
+def test_canyon_epochs_weigh_less():
+    t = np.arange(60.0)
+    bad = (t > 25) & (t < 35)
+    rows = pd.DataFrame({"utc_s": t, "e_m": np.where(bad, 6.0, 0.0), "n_m": 11.0 * t, "u_m": 0.0, "ve": 0.0, "vn": 11.0, "vu": np.nan, "sd_n": 0.5, "sd_e": 0.5, "ns": np.where(bad, 5, 12), "quality": np.where(bad, 2, 1)})
+    plain, canyon = (np.abs(kernels.epoch_weighted_v2(rows, **o)["e_s"]).max() for o in ({}, {"canyon": 15.0, "gate": 5.0}))
+    assert canyon < 0.5 * plain
+
+
 def test_kept_history_gate_and_spacing():
     rows = pd.DataFrame({"x": [0.0, 1, 2, 3, 4, 100, 101, 5], "y": 0.0, "z": 0.0, "reason": [None] * 8})
     assert list(kernels.jump_gate(rows)["reason"]) == [None] * 5 + ["position_jump"] * 2 + [None]

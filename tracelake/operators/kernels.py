@@ -128,21 +128,25 @@ def kalman_sigma(rows: pd.DataFrame, sigma_a: float = 0.5, floor: float = 0.05,
     return {"e_s": xs[:, 0], "n_s": xs[:, 1], "u_s": xs[:, 2], "ve_s": xs[:, 3], "vn_s": xs[:, 4], "vu_s": xs[:, 5], "sigma_h": np.hypot(sigma[:, 0], sigma[:, 1])}
 
 
-def epoch_weighted_v2(rows: pd.DataFrame, sigma_a: float = 0.15, floor: float = 0.1, ceiling: float = 8.0, zupt_speed: float = 0.3, zupt_sigma: float = 0.02, nhc_speed: float = 2.0, nhc_sigma: float = 0.5) -> dict[str, np.ndarray]:
+def epoch_weighted_v2(rows: pd.DataFrame, sigma_a: float = 0.15, floor: float = 0.1, ceiling: float = 8.0, zupt_speed: float = 0.3, zupt_sigma: float = 0.02, nhc_speed: float = 2.0, nhc_sigma: float = 0.5, canyon: float = 1.0, gate: float = np.inf) -> dict[str, np.ndarray]:
     """Six states with per-epoch sigmas, Doppler velocity, zero velocity when it stands, and no sideways motion when it drives.
 
-    Gives the smoothed state and the diagnostics eff_sigma, innovation and
-    disagreement with the input.
+    Position noise is multiplied by canyon where two of three signs of a street
+    canyon show (few satellites, no fix, a wide sigma), and by ten where the
+    innovation exceeds gate sigmas. Gives the smoothed state and the diagnostics
+    eff_sigma, innovation and disagreement with the input.
     """
     t = rows["utc_s"].to_numpy(float)
     z = rows[["e_m", "n_m", "u_m"]].to_numpy(float)
     v = rows[["ve", "vn", "vu"]].to_numpy(float)
     sd = np.hypot(rows["sd_n"].to_numpy(float), rows["sd_e"].to_numpy(float))
     sd = np.clip(np.sqrt(np.where(np.isfinite(sd), sd, 1.0) ** 2 + floor**2), floor, ceiling)
+    if canyon != 1.0:
+        signs = (rows["ns"].to_numpy() < 8).astype(int) + (rows["quality"].to_numpy() >= 2) + (sd > 2.0)
+        sd = np.where(signs >= 2, sd * np.sqrt(canyon), sd)
     gaps = np.maximum(np.diff(t, prepend=t[0]), 0.0)
     hp, hv = np.hstack([np.eye(3), np.zeros((3, 3))]), np.hstack([np.zeros((3, 3)), np.eye(3)])
     speed = np.hypot(v[:, 0], v[:, 1])
-    innovation = np.zeros(len(t))
 
     def measure(k: int) -> list:
         out = [(z[k], hp, np.diag([sd[k] ** 2, sd[k] ** 2, (2 * sd[k]) ** 2]))]
@@ -161,6 +165,8 @@ def epoch_weighted_v2(rows: pd.DataFrame, sigma_a: float = 0.15, floor: float =
     step = lambda k: tuple(np.kron(m, np.eye(3)) for m in _cv(gaps[k], sigma_a))
     forward, _ = _smooth(len(t), start, step, measure, two_way=False)
     innovation = np.hypot(*(z - forward[:, :3])[:, :2].T) / sd
+    if np.isfinite(gate):
+        sd = np.where(innovation > gate, sd * np.sqrt(10.0), sd)
     xs, _ = _smooth(len(t), start, step, measure)
     return {"e_s": xs[:, 0], "n_s": xs[:, 1], "u_s": xs[:, 2], "eff_sigma": sd, "innovation": innovation, "disagree_m": np.hypot(xs[:, 0] - z[:, 0], xs[:, 1] - z[:, 1])}
 

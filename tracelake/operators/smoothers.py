@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.operators import gates, kernels, smoothing
+from tracelake.operators import gates, inertial, kernels, smoothing
 
 Smoother = Callable[[DataFrame], DataFrame]
 _registry: dict[str, Smoother] = {}
@@ -134,6 +134,33 @@ def epoch_weight_v2(track: DataFrame) -> DataFrame:
     return kernels.per_session(track, lambda r: {k: v for k, v in kernels.epoch_weighted_v2(r).items() if k in OUT}, OUT)
 
 
+@register("v2_urban_canyon")
+def v2_urban_canyon(track: DataFrame) -> DataFrame:
+    return kernels.per_session(track, lambda r: {k: v for k, v in kernels.epoch_weighted_v2(r, canyon=15.0, gate=5.0).items() if k in OUT}, OUT)
+
+
+@register("ctrv")
+def ctrv(track: DataFrame) -> DataFrame:
+    """Constant turn rate and velocity for the horizontal; heights as they are."""
+
+    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
+        out = inertial.turn_rate_ekf(r["utc_s"].to_numpy(float), r[["e_m", "n_m"]].to_numpy(float))
+        return {"e_s": out[:, 0], "n_s": out[:, 1], "u_s": r["u_m"].to_numpy(float)}
+
+    return kernels.per_session(track, fold, OUT)
+
+
+@register("dead_reckoning")
+def dead_reckoning(track: DataFrame) -> DataFrame:
+    """The strapdown filter without inertial samples."""
+
+    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
+        out = inertial.strapdown_rts(r, pd.DataFrame({"utc_s": []}))
+        return {c: out[c].to_numpy() for c in OUT}
+
+    return kernels.per_session(track, fold, OUT)
+
+
 @register("kalman_sigma")
 def kalman_sigma(track: DataFrame) -> DataFrame:
     return kernels.per_session(track, lambda r: {k: v for k, v in kernels.kalman_sigma(r).items() if k in OUT}, OUT)
