@@ -180,3 +180,41 @@ def test_prefix_intervals_are_those_of_a_tree():
                 if (a == 0 or common[a] < least) and (b == 11 or common[b + 1] < least):
                     want.add((least, a, b))
         assert {g for g in got if g[2] > g[1]} == want
+
+
+def test_components_of_chains_stars_and_random_graphs(spark):
+    rng = random.Random(4)
+    chain = [(k, k + 1) for k in range(1, 150)] + [(5000 + k, 4999 + k) for k in range(1, 300)]
+    crossed = [(200 + (k * 37) % 41, 200 + ((k + 1) * 37) % 41) for k in range(40)]
+    star = [(300, 300 + k) for k in range(1, 20)]
+    loose = [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(45)]
+    edges = chain + crossed + star + loose
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in near_dedup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: top(x) for x in parent if x not in alone}
+    assert near_dedup.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pieces_of_long_texts_give_what_the_whole_gives():
+    import numpy as np
+
+    from tracelake.llm import common
+
+    rng = np.random.default_rng(5)
+    buf = rng.choice(np.frombuffer(b"abcdef  \n", np.uint8), 30_000)
+    buf[5000:9000] = buf[20_000:24_000]
+    offsets = np.array([0, 700, 700, 12_000, 30_000])
+    assert np.array_equal(repeats.anchors(buf, offsets, 1000), repeats._anchors(buf, offsets))
+    starts, ends, _ = common.words(buf, offsets)
+    whole = common.range_hash(common.prefix_hash(buf), starts, ends)
+    assert np.array_equal(common.hash_ranges(buf, starts, ends, piece=64), whole)

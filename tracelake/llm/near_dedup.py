@@ -42,7 +42,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
     """Number of each text with a word, and its sorted distinct shingle hashes."""
     for lo, hi, buf, offsets in C.slices(texts):
         starts, ends, doc = C.words(buf, offsets)
-        hashes = C.range_hash(C.prefix_hash(buf, C.BYTE_CODE_LOWER), starts, ends)
+        hashes = C.hash_ranges(buf, starts, ends, C.BYTE_CODE_LOWER)
         grams, first = C.word_grams(hashes, doc, width)
         of = doc[first] if len(first) else np.zeros(0, np.int64)
         at = np.searchsorted(of, np.arange(hi - lo + 1))
@@ -111,23 +111,33 @@ def _whole_sets(width: int):
 def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b).
 
-    Every round each node takes the smallest label among its neighbours' and its
-    own, then the label of that label, so chains shorten quickly. State is
-    written between rounds; the loop ends when no label changes.
+    Every round each node hooks to its smallest neighbour if that is smaller, and
+    follows the hooks to their end; edges move to those ends, and those within
+    one node go. Of the nodes with an edge at most half are left, so rounds and
+    passes are few for chains of any length. State is written between them; a
+    round without edges ends the loop.
     """
-    spark = edges.sparkSession
     both = C.materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = None
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        moved = C.materialize(nearer.join(jump, "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("jump", "next")).alias("component")))
-        changed = moved.where("was <> component").limit(1).count()
-        labels = moved.select("node", "component")
-        if not changed:
+        hooks = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("end")))
+        while True:
+            # Each pass doubles how far a node has followed the hooks, until all are at the smallest of their tree.
+            onward = hooks.select(F.col("node").alias("end"), F.col("end").alias("onward"))
+            passed = C.materialize(hooks.join(onward, "end").select("node", "end", "onward"))
+            hooks = passed.select("node", F.col("onward").alias("end"))
+            if not passed.where("end <> onward").limit(1).count():
+                break
+        if labels is None:
+            labels = hooks.withColumnRenamed("end", "component")
+        else:
+            moved = labels.join(hooks.withColumnRenamed("node", "component"), "component", "left")
+            labels = C.materialize(moved.select("node", F.coalesce("end", "component").alias("component")))
+        ends = both.join(hooks.withColumnRenamed("node", "a"), "a").select(F.col("end").alias("from"), "b").join(hooks.withColumnRenamed("node", "b"), "b")
+        both = C.materialize(ends.where(F.col("from") != F.col("end")).select(F.col("from").alias("a"), F.col("end").alias("b")).distinct())
+        if not both.limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds on {spark.sparkContext.appName}")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _forest(labels: DataFrame) -> DataFrame:
@@ -145,12 +155,12 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed_buckets(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """crowded with each node's component; and the buckets that hold more than one, with their centre's component and size."""
+    """crowded with each node's component; and the buckets that hold more than one, with their centre's component, their smallest component and size."""
     labelled = C.materialize(crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "centre", F.coalesce("component", "rep").alias("component")))
     parts = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("of_centre"), F.count(F.lit(1)).alias("n")
     )
-    return labelled, parts.where("low < high").select("bucket", "of_centre", "n")
+    return labelled, parts.where("low < high").select("bucket", "of_centre", "low", "n")
 
 
 def links_in_block(left: list[int], right: list[int], sets: list[np.ndarray], group: list[int], percent: int) -> list[tuple[int, int]]:
@@ -276,8 +286,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     # Buckets of three or more that still hold several components: finish their clusters exactly.
     labelled, mixed = _mixed_buckets(crowded, labels)
-    loose = C.materialize(labelled.join(mixed.where("n > 2"), "bucket").select("rep", "component", "of_centre").distinct())
-    clusters = connected(loose.select(F.col("of_centre").alias("a"), F.col("component").alias("b")).distinct())
+    loose = C.materialize(labelled.join(mixed.where("n > 2"), "bucket").select("rep", "component", "low").distinct())
+    clusters = connected(loose.select(F.col("low").alias("a"), F.col("component").alias("b")).distinct())
     placed = loose.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
     placed = C.materialize(placed.join(sets.select("rep", F.size("shingles").alias("n")), "rep"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
