@@ -41,8 +41,21 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc, pad: np.uint64) -> np.ndarra
     return op(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Positions of the anchors of all windows of LENGTH bytes that lie within one text."""
+def anchors(buf: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Positions of the anchors of all windows of LENGTH bytes that lie within one text.
+
+    Long texts go in pieces that overlap by all but one byte of a window.
+    """
+    if len(buf) <= 2 * piece:
+        return _anchors(buf, offsets)
+    found = []
+    for lo in range(0, len(buf), piece):
+        hi = min(len(buf), lo + piece + LENGTH - 1)
+        found.append(lo + _anchors(buf[lo:hi], np.unique(np.clip(offsets, lo, hi)) - lo))
+    return np.unique(np.concatenate(found))
+
+
+def _anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(buf) - ANCHOR + 1
     if len(buf) < LENGTH:
         return np.zeros(0, np.int64)
@@ -313,11 +326,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = C.materialize(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors, _ANCHOR_SQL))
-    often = found.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed"))
+    # Written first, so that the join has plain exchanges on both sides, whose hot keys adaptive execution can split.
+    often = found.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
+    often = C.materialize(often.select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")))
     repeated = C.materialize(found.join(often, "anchor"))
     # One occurrence stands for all with the same surroundings.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "text_key", "pos")).alias("first")
-    kinds = repeated.where("mixed").groupBy("anchor", "around").agg(F.sum("times").alias("n"), first)
+    kinds = C.materialize(repeated.where("mixed").groupBy("anchor", "around").agg(F.sum("times").alias("n"), first))
     marked = repeated.join(kinds, ["anchor", "around"], "left").withColumn("alone", F.col("n") == 1)
     whole = ~F.col("mixed") | (F.col("n") > 1)
     is_first = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "text_key", "pos") == F.col("first")
