@@ -160,7 +160,7 @@ def _mixed_buckets(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
     parts = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("of_centre"), F.count(F.lit(1)).alias("n")
     )
-    return labelled, parts.where("low < high").select("bucket", "of_centre", "low", "n")
+    return labelled, C.materialize(parts.where("low < high").select("bucket", "of_centre", "low", "n"))
 
 
 def links_in_block(left: list[int], right: list[int], sets: list[np.ndarray], group: list[int], percent: int) -> list[tuple[int, int]]:
@@ -269,7 +269,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     classes = C.materialize(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     nodes = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.rep)).select("rep", classes.set_key, "bands").dropDuplicates(["rep", "set_key"])
     members = C.materialize(nodes.select("rep", "set_key", F.posexplode("bands").alias("band", "bucket")))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
+    # Written before the join, whose exchanges adaptive execution can then split where a bucket is large.
+    shared = C.materialize(members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"))
     crowded = C.materialize(members.join(shared, "bucket").select("bucket", "band", "rep", "centre", "set_key"))
 
     wanted = crowded.select("rep", "set_key").distinct()
