@@ -216,6 +216,19 @@ def test_code_lengths_are_exact(spark):
         assert np.allclose(trees.cost(grams.astype(np.int64)).sum(0), [b(text) for b in bits], rtol=1e-5)
 
 
+def test_code_lengths_count_every_gram(spark):
+    rng = random.Random(12)
+    learn = {"aa": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150_000)), "bb": "".join(rng.choice("etaoin shé") for _ in range(5000))}
+    trees = language_id.fit_trees(spark.createDataFrame(list(learn.items()), "lang string, text string"))
+    assert len(trees.levels[3][0]) > 100_000
+    bits = [brute_bits([learn[lang]]) for lang in trees.langs]
+    for _ in range(10):
+        k = rng.randrange(140_000)
+        text = learn["aa"][k : k + 50] + "éé zq"
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert np.allclose(language_id._bits(trees, raw, np.array([0, len(raw)]))[0], [b(text) for b in bits], rtol=1e-5)
+
+
 def test_languages_of_held_out_documents(spark):
     rows = language_id.identify(common.documents(spark, SF)).join(common.documents(spark, SF).select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(rows) > 100 and (rows.lang_pred == rows.lang).mean() > 0.97

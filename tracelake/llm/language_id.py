@@ -5,22 +5,28 @@ over all of its learning texts. The counts are then frozen: a text's exact code
 length under a tree is the sum, over its bytes, of the cost of the byte in the
 longest known context, plus an escape for every longer known context that
 didn't have it. The shortest code names the language.
+
+No count is left out. The costs are worked out on Spark, and those of the two
+longest contexts, which grow with the text, are a file that tasks map into memory.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import common as C
 
 ORDER = 3
-#: Most contexts-with-byte kept for a language, and for all together: the bound of the model's size.
-GRAMS_EACH, GRAMS_ALL = 60_000, 400_000
 #: Bytes of evidence after which the score doesn't grow sharper.
 EVIDENCE = 32
 _SYM = np.zeros(256, np.uint32)  # 0: anything that isn't a letter
@@ -28,6 +34,8 @@ _SYM[97:123] = np.arange(1, 27)
 _SYM[65:91] = np.arange(1, 27)
 _SYM[128:] = np.arange(27, 155)
 SYMBOLS = 155
+#: Arrays of a level, and how they are stored.
+_PARTS = {"grams": np.int64, "cost": np.float32, "contexts": np.int64, "escape": np.float32}
 
 
 def _symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,105 +87,133 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
+def _level(k: int, size: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order k's grams, their cost by language, contexts and their escape; below: grams and cost of order k - 1."""
+    grams, own = np.unique(gram % SYMBOLS ** (k + 1), return_inverse=True)
+    contexts, of = np.unique(grams // SYMBOLS, return_inverse=True)
+    count = np.zeros((len(grams), size))
+    np.add.at(count, (own, lang), n)
+    total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+    np.add.at(total, of, count)
+    np.add.at(kinds, of, count > 0)
+    known = total > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Escape probability: distinct symbols over occurrences plus distinct symbols.
+        escape = np.where(known, -np.log2(np.where(known, kinds / (total + kinds), 1.0)), 0.0)
+        cost = -np.log2(count / (total + kinds)[of])
+    shorter = below[1][np.searchsorted(below[0], grams % SYMBOLS**k)] if below else np.full((len(grams), size), np.log2(256.0))
+    return grams, np.where(count > 0, cost, escape[of] + shorter), contexts, escape
+
+
+def _keys(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of order-k grams and of their contexts in the order of the tables: by the two symbols before the last first."""
+    if k < ORDER:
+        return gram, gram // SYMBOLS
+    pair, first = gram // SYMBOLS % SYMBOLS**2, gram // SYMBOLS**ORDER
+    return (pair * SYMBOLS + first) * SYMBOLS + gram % SYMBOLS, pair * SYMBOLS + first
+
+
+def _long_levels(number: dict[str, int], below: tuple[np.ndarray, np.ndarray], pairs: int):
+    """Orders 2 and 3 of the grams whose two symbols before the last are in one range; no other gram shares their contexts."""
+    size = len(number)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lang, gram, n = rows["lang"].map(number).to_numpy(np.int64), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        out, shorter = {"range": [int(gram[0] // SYMBOLS % SYMBOLS**2 // pairs)]}, below
+        for k in range(2, ORDER + 1):
+            grams, cost, contexts, escape = _level(k, size, lang, gram, n, shorter)
+            shorter = grams, cost
+            key = _keys(grams, k)[0]
+            at = _keys(contexts * SYMBOLS, k)[1]
+            order, by = np.argsort(key), np.argsort(at)
+            for name, x in (("grams", key[order]), ("cost", cost[order]), ("contexts", at[by]), ("escape", escape[by])):
+                out[f"{name}_{k}"] = [x.astype(_PARTS[name]).tobytes()]
+        return pd.DataFrame(out)
+
+    return run
+
+
 class Trees:
-    """Frozen counts of all languages, as cost tables for each context length."""
-
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        size = len(langs)
-        below_grams, below_cost = np.arange(SYMBOLS, dtype=np.int64), np.full((SYMBOLS, size), np.log2(256.0))
-        self.levels = []
-        for k in range(ORDER + 1):
-            own = gram % SYMBOLS ** (k + 1)
-            grams = np.unique(own)
-            contexts = np.unique(grams // SYMBOLS)
-            count = np.zeros((len(grams), size))
-            np.add.at(count, (np.searchsorted(grams, own), lang), n)
-            of = np.searchsorted(contexts, grams // SYMBOLS)
-            total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
-            np.add.at(total, of, count)
-            np.add.at(kinds, of, count > 0)
-            known = total > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # Escape probability: distinct symbols over occurrences plus distinct symbols.
-                escape = np.where(known, -np.log2(np.where(known, kinds / (total + kinds), 1.0)), 0.0)
-                cost = -np.log2(count / (total + kinds)[of])
-            shorter = below_cost[np.searchsorted(below_grams, grams % SYMBOLS**k)] if k else np.full((len(grams), size), np.log2(256.0))
-            cost = np.where(count > 0, cost, escape[of] + shorter)
-            self.levels.append((grams, cost.astype(np.float32), contexts, escape.astype(np.float32)))
-            below_grams, below_cost = grams, cost
-
-    def cost(self, gram: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """Bits of each gram's last symbol after its first k, by language."""
+    """Frozen counts of all languages, as cost tables for each context length.
+
+    Orders 0 and 1 are held; the longer ones are files of this name among the job's files.
+    """
+
+    def __init__(self, langs: list[str], levels: list[tuple[np.ndarray, ...]], name: str):
+        self.langs, self.held, self.name = langs, levels, name
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray, ...]]:
+        if "_levels" not in self.__dict__:
+            self._levels = self.held + [tuple(self._mapped(part, k) for part in _PARTS) for k in range(2, ORDER + 1)]
+        return self._levels
+
+    def _mapped(self, part: str, k: int) -> np.ndarray:
+        path = SparkFiles.get(f"{self.name}-{part}-{k}")
+        flat = np.memmap(path, _PARTS[part], "r") if os.path.getsize(path) else np.zeros(0, _PARTS[part])
+        return np.asarray(flat).reshape((-1, len(self.langs)) if part in ("cost", "escape") else -1)
+
+    def cost(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of each gram's last symbol after the others, by language."""
+        own, at = np.unique(gram, return_inverse=True)
+        return self._cost(own, ORDER)[at]
+
+    def _cost(self, gram: np.ndarray, k: int) -> np.ndarray:
         if k < 0:
             return np.full((len(gram), len(self.langs)), np.float32(8))
         grams, cost, contexts, escape = self.levels[k]
         out = np.zeros((len(gram), len(self.langs)), np.float32)
-        if not len(gram):
+        if not len(gram) or not len(grams):
             return out
-        if k == ORDER:
-            table, rows = self.index
-            at = rows[table[gram // SYMBOLS].astype(np.int64) * SYMBOLS + gram % SYMBOLS]
-            known = at >= 0
-            np.take(cost, at, 0, out, mode="clip")
-        else:
-            at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-            known = grams[at] == gram
-            out[known] = cost[at[known]]
+        key, context = _keys(gram, k)
+        at = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+        known = grams[at] == key
+        out[known] = cost[at[known]]
         rest = np.flatnonzero(~known)
         if len(rest):
-            context = gram[rest] // SYMBOLS
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            out[rest] = np.where((contexts[at] == context)[:, None], escape[at], np.float32(0)) + self.cost(gram[rest] % SYMBOLS**k if k else gram[rest], k - 1)
+            at = np.minimum(np.searchsorted(contexts, context[rest]), len(contexts) - 1)
+            out[rest] = np.where((contexts[at] == context[rest])[:, None], escape[at], np.float32(0)) + self._cost(gram[rest] % SYMBOLS**k if k else gram[rest], k - 1)
         return out
 
-    @property
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each longest context, and of each symbol after it in the cost table (-1: none)."""
-        if "_index" not in self.__dict__:
-            grams, _, contexts, _ = self.levels[ORDER]
-            table = np.full(SYMBOLS**ORDER, len(contexts), np.int32)
-            table[contexts] = np.arange(len(contexts))
-            rows = np.full((len(contexts) + 1) * SYMBOLS, -1, np.int32)
-            rows[table[grams // SYMBOLS].astype(np.int64) * SYMBOLS + grams % SYMBOLS] = np.arange(len(grams))
-            self._index = table, rows
-        return self._index
-
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
-
-
-def _most_frequent(counts: DataFrame, each: int) -> DataFrame:
-    """Up to each grams of each language, the most frequent ones, without sorting any language whole.
-
-    A histogram of counts (with a slot of the gram, to part equal counts) gives
-    the cut; it has a few rows for each distinct count.
-    """
-    slotted = counts.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(64)))
-    bars = slotted.groupBy("lang", "n", "slot").agg(F.count(F.lit(1)).alias("grams"))
-    upto = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n"), "slot"))
-    kept = bars.withColumn("upto", upto).where(F.col("upto") <= each).select("lang", "n", "slot")
-    cut = kept.groupBy("lang").agg(F.max(F.struct((-F.col("n")).alias("less"), "slot")).alias("cut"))
-    inside = F.struct((-F.col("n")).alias("less"), "slot") <= F.col("cut")
-    return slotted.join(F.broadcast(cut), "lang").where(inside).select("lang", "gram", "n")
+        return {k: v for k, v in self.__dict__.items() if k != "_levels"}
 
 
 def fit_trees(docs: DataFrame) -> Trees:
     """Counts docs (lang, text) into trees; rows with a null lang teach nothing.
 
-    All texts count. Each language keeps its most frequent grams, up to
-    GRAMS_EACH and to an equal share of GRAMS_ALL, so what comes to the driver
-    and goes out to the tasks is bounded.
+    All texts and all grams count. The driver holds orders 0 and 1, at most
+    SYMBOLS ** 2 rows for each language; the tables of the longer ones pass
+    through it part by part into files that go to every executor.
     """
     counts = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = C.materialize(counts)
-    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(GRAMS_ALL // 100 + 1).collect())
-    if len(langs) > GRAMS_ALL // 100:
-        raise ValueError(f"more than {GRAMS_ALL // 100} languages")
-    each = min(GRAMS_EACH, GRAMS_ALL // max(1, len(langs)))
-    rows = _most_frequent(counts, each).toPandas()
+    short = counts.groupBy("lang", (F.col("gram") % SYMBOLS**2).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(short["lang"].unique())
+    name = f"trees-{uuid.uuid4().hex}"
+    if not langs:
+        return Trees([], [], name)
     number = {lang: k for k, lang in enumerate(langs)}
-    return Trees(langs, rows["lang"].map(number).to_numpy(np.int64), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    below, held = None, []
+    for k in range(2):
+        level = _level(k, len(langs), short["lang"].map(number).to_numpy(np.int64), short["gram"].to_numpy(np.int64), short["n"].to_numpy(np.int64), below)
+        below = level[:2]
+        held.append(tuple(x.astype(t) for x, t in zip(level, _PARTS.values(), strict=True)))
+    pairs = max(1, 32 // len(langs))
+    fields = [f"{part}_{k}" for k in range(2, ORDER + 1) for part in _PARTS]
+    ranged = counts.groupBy(F.expr(f"((gram div {SYMBOLS}) % {SYMBOLS**2}) div {pairs}").alias("range"))
+    tables = C.materialize(ranged.applyInPandas(_long_levels(number, below, pairs), "range long, " + ", ".join(f"{f} binary" for f in fields)))
+    megabytes = tables.select(F.sum(sum((F.length(f) for f in fields), F.lit(0)))).first()[0] >> 20
+    folder = tempfile.mkdtemp(prefix="tracelake-")
+    paths = {f: os.path.join(folder, f"{name}-{f.replace('_', '-')}") for f in fields}
+    files = {f: open(path, "wb") for f, path in paths.items()}
+    for row in tables.repartitionByRange(megabytes // 32 + 1, "range").sortWithinPartitions("range").toLocalIterator():
+        for f in fields:
+            files[f].write(row[f])
+    for f in fields:
+        files[f].close()
+        docs.sparkSession.sparkContext.addFile(paths[f])
+    return Trees(langs, held, name)
 
 
 def _bits(trees: Trees, buf: np.ndarray, offsets: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
@@ -193,16 +229,18 @@ def _bits(trees: Trees, buf: np.ndarray, offsets: np.ndarray, piece: int = 1 <<
 
 def _predict(trees: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Bytes that are looked up together: their costs are a row of all languages each.
+        piece = max(1 << 12, (1 << 20) // max(1, len(trees.langs)))
         for batch in batches:
             texts = C.rows_of(batch, "text")
-            for lo, hi, buf, offsets in C.slices(texts, 1 << 18):
+            for lo, hi, buf, offsets in C.slices(texts, min(piece, 1 << 18)):
                 sizes = np.diff(offsets)
                 ascii_letter = np.concatenate([[0], np.cumsum((_SYM[buf] > 0) & (buf < 128))])[offsets]
                 letters = np.diff(ascii_letter) > 0
                 for k in np.flatnonzero(~letters & (sizes > 0)):
                     letters[k] = any(map(str.isalpha, texts[lo + int(k)].as_py()))
                 if trees.langs:
-                    bits = _bits(trees, buf, offsets)
+                    bits = _bits(trees, buf, offsets, min(piece, 1 << 18))
                     best = bits.argmin(1)
                     excess = (bits - bits.min(1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))[:, None]
                     score = 1 / np.exp2(-excess).sum(1)
