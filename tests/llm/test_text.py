@@ -281,6 +281,26 @@ def test_disguises_are_read(characters, said, meant):
     assert toxicity.decode(said, characters) == meant
 
 
+HIDDEN = [("hat3", "hate"), ("idio7", "idiot"), ("worthle$$", "worthless"), ("usele55", "useless"), ("1d107", "idiot"), ("$tup!d", "stupid"), ("i d 1 o t", "idiot"), ("t - r - a - s - h", "trash"), ("m 0 r o n", "moron"), ("iiddiioott", "idiot"), ("st" + "u" * 80 + "pid", "stupid"), ("i" + "." * 70 + "d.i.o.t", "idiot"), ("h@t€", "hate"), ("w0rthl€$$", "worthless")]
+
+
+@pytest.mark.parametrize(("said", "meant"), HIDDEN)
+def test_hidden_disguises_reach_the_channel(characters, said, meant):
+    raw = np.frombuffer(f"table {said} garden".encode(), np.uint8)
+    plain = np.frombuffer(f"table garden {meant}".encode(), np.uint8)
+    features = [toxicity._restored(b, np.array([0, len(b)]), toxicity.Restorer(characters))[1] for b in (raw, plain)]
+    a, b = (sorted(h for hashes, _ in f for h in hashes.tolist()) for f in features)
+    assert a == b
+
+
+def test_clean_words_stay(spark, characters):
+    words = {w for r in common.documents(spark, SF).select("text").collect() for w in (r.text or "").lower().split()}
+    doubled = sorted(w for w in words if re.fullmatch(r"[a-z]{4,}", w) and re.search(r"(.)\1", w) and not re.search(r"(.)\1\1", w))
+    assert len(doubled) > 1000 and sum(toxicity.decode(w, characters) == w for w in doubled) > 0.99 * len(doubled)
+    marked = sorted(w for w in words if re.fullmatch(r"[a-z]{4,}", w))[::50]
+    assert sum(toxicity.decode(w + "!", characters) == toxicity.decode(w, characters) for w in marked) > 0.99 * len(marked)
+
+
 def test_disguised_words_are_found():
     text = b"plain words, e.g. ends### i d i o t and m0ron sooo \xc3\xa9\xc3\xa9\xc3\xa9 x"
     buf = np.frombuffer(text, np.uint8)

@@ -10,6 +10,7 @@ logistic model fitted on labelled rows.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from math import inf, log
 
@@ -33,8 +34,10 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 GAPS = " .-_*~"
 #: Costs in nats: a sign read as a letter, a gap dropped, a drawn-out letter cut, a sign read as the end of a word.
 SWAP, DROP, CUT, BREAK = 0.7, 0.3, 0.5, 6.0
-#: Longer words are keys, hashes and links, not disguises.
-LONGEST_WORD = 64
+#: A doubled letter read as one (most are meant; where most letters of a word are doubled it costs CUT), an exclamation mark at the end read as one.
+HALVE, TAIL = 7.0, 2.0
+#: Longer words are read each time anew instead of being remembered.
+REMEMBERED = 64
 #: Bytes of a long text that are looked at together; it is parted after a blank.
 PIECE = 1 << 20
 _SIZE = 28  # 0: boundary, 1-26: letters, 27: any other letter
@@ -45,6 +48,9 @@ _CLASS[128:] = 27
 _LETTER = _CLASS > 0
 _LEET_BYTE = np.zeros(256, bool)
 _LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128] + [ord(c) for c in GAPS.strip()]] = True
+#: Gaps that can't be letters.
+_GAP_BYTE = np.zeros(256, bool)
+_GAP_BYTE[[ord(c) for c in GAPS if c not in LEET]] = True
 
 
 # -- character language model -------------------------------------------------------------------
@@ -86,25 +92,37 @@ def fit_characters(docs: DataFrame) -> np.ndarray:
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """What each place of a disguised word may be read as, and the channel's cost."""
     out: list[list[tuple[str, float]]] = []
-    for run in re.finditer(r"(.)\1*", word.lower(), re.DOTALL):
+    found = list(re.finditer(r"(.)\1*", word.lower(), re.DOTALL))
+    sizes = [len(run[0]) for run in found if run[1] not in GAPS]
+    halve = CUT if len(sizes) > 2 and 2 * sum(n > 1 for n in sizes) > len(sizes) else HALVE
+    for run in found:
         c, n = run[1], len(run[0])
-        if "a" <= c <= "z" or ord(c) > 127:
-            # A drawn-out letter was one or two.
-            out.append([(c * k, 0.0 if k == n else CUT) for k in sorted({1, min(n, 2)})] if n > 2 else [(c * n, 0.0)])
+        if "a" <= c <= "z" or (ord(c) > 127 and c not in LEET):
+            # A drawn-out or doubled letter was one or two.
+            out.append([(c * n, 0.0)] if n == 1 else [(c, halve if n == 2 else CUT), (c * 2, 0.0 if n == 2 else CUT)])
             continue
-        for _ in range(n):
+        marks = LEET.get(c, "")
+        if c in GAPS:
             # A gap that is kept ends a word; the model prices the boundary.
-            readings = [(x, SWAP) for x in LEET.get(c, "")]
-            out.append(readings + ([("", DROP), (" ", DROP)] if c in GAPS else [(" ", BREAK)]))
+            out += [[(x, SWAP) for x in marks] + [("", DROP), (" ", DROP)]] * n
+            continue
+        end = TAIL if c == "!" and run.end() == len(word) else BREAK * min(n, 2)
+        readings = [(x, SWAP + (0.0 if n == 1 else halve if n == 2 else CUT)) for x in marks] + [(" ", end)]
+        if n > 1:
+            readings += [(x + y, 2 * SWAP + (0.0 if n == 2 else CUT)) for x in marks for y in marks] + [(x + " ", SWAP + end) for x in marks] + [(" " + x, SWAP + end) for x in marks]
+        if n == 3:
+            readings += [(x + y + z, 3 * SWAP) for x in marks for y in marks for z in marks]
+        out.append(readings)
     return out
 
 
 def decode(word: str, model: np.ndarray, sign_cost: float = 0.0) -> str:
     """The cheapest reading of a word: Viterbi over its lattice, with the last two characters as the state."""
     number = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (sign_cost, "")}
+    # What was said so far is a chain of readings, so that the work is in proportion to the word.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (sign_cost, None)}
     for place in lattice(word):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in states.items():
             for reading, price in place:
                 x, y, total = a, b, cost + price
@@ -115,33 +133,51 @@ def decode(word: str, model: np.ndarray, sign_cost: float = 0.0) -> str:
                     total += model[x, y, z]
                     x, y = y, z
                 if total < nxt.get((x, y), (inf,))[0]:
-                    nxt[x, y] = total, said + reading
+                    nxt[x, y] = total, (said, reading)
         states = nxt
-    return min((cost + model[a, b, 0] * (b > 0), said) for (a, b), (cost, said) in states.items())[1].strip()
+    said = min(((cost + model[a, b, 0] * (b > 0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
+    parts = []
+    while said:
+        said, reading = said
+        parts.append(reading)
+    return "".join(reversed(parts)).strip()
 
 
 def disguised(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Words that look disguised, and runs (first word, last) of three or more single letters."""
-    letter = _LETTER[buf]
-    inside = np.zeros(len(buf) + 1, np.int64)
-    # A sign with a letter right after it, or with one on both sides of a run of signs.
-    sign = _LEET_BYTE[buf]
-    hit = np.zeros(len(buf), bool)
-    hit[:-1] = sign[:-1] & letter[1:]
-    three = np.zeros(len(buf), bool)
+    """Words with a letter and a sign, an inner gap or a repeated letter, and runs (first word, last) of single characters.
+
+    A run has three or more letters or signs, one of them a letter; gaps may stand between them.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    letter, sign, gap = _LETTER[buf], _LEET_BYTE[buf], _GAP_BYTE[buf]
     if len(buf) > 2:
-        lower = buf | 32
-        three[2:] = (lower[2:] == lower[1:-1]) & (lower[1:-1] == lower[:-2]) & (_CLASS[buf[2:]] % 27 > 0)
-    np.cumsum(hit | three, out=inside[1:])
-    letters = np.concatenate([[0], np.cumsum(letter)])
+        euro = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x82) & (buf[2:] == 0xAC))
+        sign[euro] = True
+        for k in range(3):
+            letter[euro + k] = False
+    twice = np.zeros(len(buf), bool)
+    twice[1:] = ((buf[1:] | 32) == (buf[:-1] | 32)) & (_CLASS[buf[1:]] % 27 > 0)
+    before = lambda x: np.concatenate([[0], np.cumsum(x)])
+    letters, signs, repeats = before(letter), before(sign), before(twice)
+    # Gaps at a word's ends are punctuation.
+    at = np.arange(len(buf))
+    a = np.minimum(np.minimum.accumulate(np.where(gap, len(buf), at)[::-1])[::-1][starts], ends)
+    b = np.maximum(np.maximum.accumulate(np.where(gap, -1, at))[ends - 1] + 1, a)
+    odd = (letters[ends] > letters[starts]) & ((signs[b] > signs[a]) | (repeats[b] > repeats[np.minimum(a + 1, b)])) & (b - a >= 2)
     size = ends - starts
-    odd = (inside[ends] > inside[starts]) & (letters[ends] - letters[starts] >= 2) & (size >= 3) & (size <= LONGEST_WORD)
-    single = (size == 1) & letter[starts] if len(starts) else np.zeros(0, bool)
+    one = (size == 1) | ((size == 3) & sign[starts] & (buf[starts] == 0xE2))
+    single = one & (letter[starts] | sign[starts])
     edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
     runs = []
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        cuts = [a, *(np.flatnonzero(np.diff(doc[a:b])) + a + 1).tolist(), b]
-        runs += [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= 3]
+    for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        if hi - lo < 3:
+            continue
+        cuts = [lo, *(np.flatnonzero(np.diff(doc[lo:hi])) + lo + 1).tolist(), hi]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            members = np.flatnonzero(~gap[starts[x:y]]) + x
+            if len(members) >= 3 and letter[starts[members]].any():
+                runs.append((int(members[0]), int(members[-1]) + 1))
     return np.flatnonzero(odd), runs
 
 
@@ -152,6 +188,8 @@ class Restorer:
         self.model, self.known = model, {}
 
     def __call__(self, word: str) -> str:
+        if len(word) > REMEMBERED:
+            return decode(word, self.model)
         if word not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -210,8 +248,16 @@ def _restored(buf: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[
     starts, ends, doc = C.words(buf, offsets)
     odd, runs = disguised(buf, starts, ends, doc)
     said: list[tuple[int, str]] = []
-    for k in odd.tolist():
-        said.append((doc[k], restore(buf[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"))))
+    # Each distinct word once; those that are read as they stand stay where they are.
+    _, first, same = np.unique(C.hash_ranges(buf, starts[odd], ends[odd], C.BYTE_CODE_LOWER), return_index=True, return_inverse=True)
+    meant = []
+    for k in odd[first].tolist():
+        word = buf[starts[k] : ends[k]].tobytes().decode("utf-8", "replace").lower()
+        read = restore(word)
+        meant.append(None if read == word.strip(string.digits + string.punctuation) else read)
+    changed = np.array([m is not None for m in meant], bool)[same]
+    odd, same = odd[changed], same[changed]
+    said += [(doc[k], meant[m]) for k, m in zip(odd.tolist(), same.tolist(), strict=True)]
     for a, b in runs:
         said.append((doc[a], restore(buf[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"))))
     # Restored words count besides the rest; the words they come from don't.
