@@ -1,8 +1,8 @@
 """Sequential filters: one session is one group, folded in time order by a NumPy kernel.
 
 Spark deals sessions to tasks and sorts them; the kernels are pure functions of
-one session's arrays. A session must fit in a task, so very long recordings are
-cut first where the filters restart anyway (islands.split_at_gaps).
+one session's arrays. A whole session must fit in a task; nothing cuts long
+recordings at holes.
 """
 
 from __future__ import annotations
