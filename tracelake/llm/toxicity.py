@@ -116,26 +116,41 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, model: np.ndarray, sign_cost: float = 0.0) -> str:
-    """The cheapest reading of a word: Viterbi over its lattice, with the last two characters as the state."""
-    number = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+def _number(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+
+
+def decode(word: str, model: np.ndarray | list[float]) -> str:
+    """The cheapest reading of a word: Viterbi over its lattice, with the last two characters as the state.
+
+    model holds the costs of fit_characters, or is a flat list of them.
+    """
+    if isinstance(model, np.ndarray):
+        model = model.ravel().tolist()
     # What was said so far is a chain of readings, so that the work is in proportion to the word.
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (sign_cost, None)}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for place in lattice(word):
+        if len(states) == 1 and len(place) == 1 and place[0][0] not in ("", " "):
+            # Nothing to choose: the cost is the same for all that follows.
+            (((x, y), (cost, said)),) = states.items()
+            for c in place[0][0]:
+                x, y = y, _number(c)
+            states = {(x, y): (cost, (said, place[0][0]))}
+            continue
         nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in states.items():
             for reading, price in place:
                 x, y, total = a, b, cost + price
                 for c in reading:
-                    z = number(c)
+                    z = _number(c)
                     if z == 0 and y == 0:
                         continue
-                    total += model[x, y, z]
+                    total += model[(x * _SIZE + y) * _SIZE + z]
                     x, y = y, z
                 if total < nxt.get((x, y), (inf,))[0]:
                     nxt[x, y] = total, (said, reading)
         states = nxt
-    said = min(((cost + model[a, b, 0] * (b > 0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
+    said = min(((cost + model[(a * _SIZE + b) * _SIZE] * (b > 0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
     parts = []
     while said:
         said, reading = said
@@ -143,10 +158,35 @@ def decode(word: str, model: np.ndarray, sign_cost: float = 0.0) -> str:
     return "".join(reversed(parts)).strip()
 
 
-def disguised(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _worth_halving(buf: np.ndarray, twice: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Marks doubled letters (at the second one) that decoding might read as one.
+
+    A letter doubled once, with single ones around it, is read as one if the
+    model gains more than HALVE by it; three or more in a row, and doubled
+    letters side by side, are always marked.
+    """
+    hard = np.zeros(len(buf), bool)
+    at = np.flatnonzero(twice)
+    if not len(at):
+        return hard
+    word = np.searchsorted(starts, at, "right") - 1
+    before, after = at - 2 >= starts[word], at + 1 < ends[word]
+    c = _CLASS[buf[at]]
+    x = np.where(before, _CLASS[buf[np.maximum(at - 2, 0)]], 0)
+    y = np.where(after, _CLASS[buf[np.minimum(at + 1, len(buf) - 1)]], 0)
+    gain = model[x, c, c] + model[c, c, y] - model[x, c, y]
+    near = np.flatnonzero(np.diff(at) <= 2)
+    hard[at] = gain >= HALVE
+    hard[at[near]] = hard[at[near + 1]] = True
+    return hard
+
+
+def disguised(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, model: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Words with a letter and a sign, an inner gap or a repeated letter, and runs (first word, last) of single characters.
 
-    A run has three or more letters or signs, one of them a letter; gaps may stand between them.
+    A run has three or more letters or signs, one of them a letter; gaps may
+    stand between them. With a model, words of letters alone whose few doubled
+    letters decode() would leave as they are don't count.
     """
     if not len(starts):
         return np.zeros(0, np.int64), []
@@ -164,7 +204,15 @@ def disguised(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.nda
     at = np.arange(len(buf))
     a = np.minimum(np.minimum.accumulate(np.where(gap, len(buf), at)[::-1])[::-1][starts], ends)
     b = np.maximum(np.maximum.accumulate(np.where(gap, -1, at))[ends - 1] + 1, a)
-    odd = (letters[ends] > letters[starts]) & ((signs[b] > signs[a]) | (repeats[b] > repeats[np.minimum(a + 1, b)])) & (b - a >= 2)
+    doubled = repeats[b] - repeats[np.minimum(a + 1, b)]
+    drawn = doubled > 0
+    if model is not None:
+        hard = before(_worth_halving(buf, twice, starts, ends, model))
+        first = np.minimum(np.minimum.accumulate(np.where(letter, at, len(buf))[::-1])[::-1][starts], ends)
+        last = np.maximum(np.maximum.accumulate(np.where(letter, at, -1))[ends - 1] + 1, first)
+        shown = letters[last] - letters[first] - doubled
+        drawn &= (hard[b] > hard[a]) | (letters[last] - letters[first] < last - first) | ((2 * doubled > shown) & (shown > 2))
+    odd = (letters[ends] > letters[starts]) & ((signs[b] > signs[a]) | drawn) & (b - a >= 2)
     size = ends - starts
     one = (size == 1) | ((size == 3) & sign[starts] & (buf[starts] == 0xE2))
     single = one & (letter[starts] | sign[starts])
@@ -185,15 +233,15 @@ class Restorer:
     """Decodes disguised words, each distinct one once in a task."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.costs, self.known = model, model.ravel().tolist(), {}
 
     def __call__(self, word: str) -> str:
         if len(word) > REMEMBERED:
-            return decode(word, self.model)
+            return decode(word, self.costs)
         if word not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[word] = decode(word, self.model)
+            self.known[word] = decode(word, self.costs)
         return self.known[word]
 
 
@@ -246,7 +294,7 @@ def _texts(batch: pa.RecordBatch, restore: Restorer) -> Iterator[tuple[int, int,
 
 def _restored(buf: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     starts, ends, doc = C.words(buf, offsets)
-    odd, runs = disguised(buf, starts, ends, doc)
+    odd, runs = disguised(buf, starts, ends, doc, restore.model)
     said: list[tuple[int, str]] = []
     # Each distinct word once; those that are read as they stand stay where they are.
     _, first, same = np.unique(C.hash_ranges(buf, starts[odd], ends[odd], C.BYTE_CODE_LOWER), return_index=True, return_inverse=True)
