@@ -25,7 +25,7 @@ from tracelake.llm import common as C
 #: Most labelled rows that the score is fitted on (those with the smallest id hashes), and features that it has.
 FIT_ROWS, FEATURES = 12_000, 2048
 #: A feature needs so many labelled texts.
-LEAST_TEXTS = 5
+LEAST_TEXTS = 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: What a sign may stand for.
