@@ -95,10 +95,45 @@ def test_compression_bands_reject_junk_and_keep_prose(spark):
     assert rows[1].kept and not rows[2].kept and not rows[3].kept and not rows[4].kept
 
 
+def test_ratios_chunks_and_verdict_by_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = lambda n: " ".join("".join(rng.choice("aeioustnrlh") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    noise = lambda n: "".join(rng.choice(letters) if rng.random() < 0.95 else " " for _ in range(n))
+    texts = [None, "", "a", *map(prose, (30, 300, 900, 2500, 6000)), prose(1600) + noise(4000), prose(1400) + " " + noise(3000), noise(9000), prose(200) * 9]
+    limits = compression_rules.Limits(np.array([9.0, 12.0, 14.0]), np.array([1.5, 2.0, 2.1]), np.array([0.1, 0.05, 0.05]))
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+
+    def inside(b):
+        at = np.log2(len(b))
+        beyond = max(0, 9 - at, at - 14)
+        centre = np.interp(at, [9, 12, 14], [1.5, 2.0, 2.1])
+        width = 4 * np.interp(at, [9, 12, 14], [0.1, 0.05, 0.05]) * (1 + 2 * beyond) + 0.3 * beyond
+        return centre - width <= len(b) / size(b) <= centre + width
+
+    for fitted in (limits, compression_rules.NO_LIMITS):
+        rows = {r.doc_id: r for r in compression_rules.quality_rules(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), fitted).collect()}
+        for i, t in enumerate(texts):
+            b, r = (t or "").encode(), rows[i]
+            assert r.ratio == (len(b) / size(b) if b else 0)
+            if fitted is limits and b:
+                chunks = [b[k : k + 4096] for k in range(0, len(b), 4096)]
+                outside = 1 - np.mean([inside(c) for c in chunks]) if len(b) > 4096 else 0
+                assert abs(r.chunks_outside - outside) < 1e-9 and r.inside == inside(b)
+            assert r.kept == (not r.base_failed and r.inside and r.chunks_outside <= 0.25)
+
+
 def test_quality_rules_on_labelled_documents(spark):
-    rows = compression_rules.quality_rules(common.documents(spark, SF)).join(common.labels(spark, SF), "doc_id").where("n_words >= 20").toPandas()
-    good = rows[rows.quality == 1]
-    assert good.kept.mean() > 0.99
+    docs, labels = common.documents(spark, SF), common.labels(spark, SF)
+    limits = compression_rules.fit_limits(docs, labels.where("quality = 1"))
+    rows = compression_rules.quality_rules(docs, limits).join(labels, "doc_id").where("not base_failed").toPandas()
+    assert rows[rows.quality == 1].kept.mean() > 0.99
+    assert rows[rows.quality == 0].kept.mean() < 0.5
+    none = compression_rules.fit_limits(docs.where("false"), labels)
+    assert not len(none.octaves)
+    assert compression_rules.quality_rules(docs.where("false"), limits).count() == 0
 
 
 def brute_mix(rows, quality):

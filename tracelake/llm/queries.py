@@ -36,7 +36,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compression_rules.quality_rules(C.documents(spark, sf_dir))
+    docs = C.documents(spark, sf_dir)
+    rows = compression_rules.quality_rules(docs, compression_rules.fit_limits(docs, C.labels(spark, sf_dir).where("quality = 1")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunks_outside")
 
 
