@@ -1,9 +1,9 @@
 """As-of joins with public window functions: bracketing, nearest and step.
 
 Queries and samples are put on one timeline and sorted once per session; the
-neighbours are the last sample strictly before a query and the first at or
-after it. One shuffle and one sort, no pairs. A session with very many rows
-can be cut to time slices first (slices(), below), whose edges carry over.
+neighbours are the last sample strictly before a query and, looking from the
+session's end, the last at or after it. One shuffle and two sorts, no pairs:
+both windows carry one row on, so the work is in proportion to the session.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ def bracket(queries: DataFrame, samples: DataFrame, cols: list[str], by: str = "
     q = queries.select(by, t, F.lit(0).alias("__side"), F.struct(key, *keep).alias("__q"), F.lit(None).cast(samples.select(F.struct(t, *cols)).schema[0].dataType).alias("__s"))
     s = samples.where(F.col(t).isNotNull()).select(by, t, F.lit(1).alias("__side"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.struct(F.col(t).alias(t), *cols).alias("__s"))
     # At equal times a query comes before samples, so that they are its hi and never its lo.
-    order = Window.partitionBy(by).orderBy(t, "__side")
-    lo = F.last("__s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first("__s", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    lo = F.last("__s", ignorenulls=True).over(Window.partitionBy(by).orderBy(t, "__side").rowsBetween(*so_far))
+    hi = F.last("__s", ignorenulls=True).over(Window.partitionBy(by).orderBy(F.desc(t), F.desc("__side")).rowsBetween(*so_far))
     both = q.unionByName(s).withColumn("lo", lo).withColumn("hi", hi)
     return both.where("__side = 0").select(by, t, "__q.*", "lo", "hi")
 

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from tracelake.functions import timefn
 
 
-def _fit(rows: DataFrame, by: str) -> DataFrame:
-    """Line about the means of x relative to the session's first x, which keeps nanoseconds exact."""
-    return rows.groupBy(by).agg(F.regr_slope("y_s", "__dx").alias("__b"), F.avg("__dx").alias("__xm"), F.avg("y_s").alias("__ym"))
-
-
 def fit_anchors(anchors: DataFrame, rounds: int = 3, times: float = 5.0, by: str = "session_id") -> DataFrame:
     """slope, xmean, ymean, n, n_rejected, rmse_s, max_abs_s, sxx of each session's anchors (x_ns, y_s).
 
@@ -25,13 +20,15 @@ def fit_anchors(anchors: DataFrame, rounds: int = 3, times: float = 5.0, by: str
     rows = anchors.where("x_ns IS NOT NULL AND y_s IS NOT NULL").select(by, "x_ns", F.col("y_s").cast("double").alias("y_s"))
     rows = rows.withColumns({"__x0": F.min("x_ns").over(w), "__n0": F.count(F.lit(1)).over(w)}).where("__n0 >= 2")
     rows = rows.withColumn("__dx", (F.col("x_ns") - F.col("__x0")).cast("double"))
+    # The line about the means of x relative to the session's first x, which keeps nanoseconds exact; one window serves all rounds.
+    line = {"__b": F.regr_slope("y_s", "__dx").over(w), "__xm": F.avg("__dx").over(w), "__ym": F.avg("y_s").over(w)}
     residual = F.col("y_s") - F.col("__ym") - F.col("__b") * (F.col("__dx") - F.col("__xm"))
     for _ in range(rounds):
-        judged = rows.join(_fit(rows, by), by).withColumn("__r", F.abs(residual)).withColumn("__mad", F.median("__r").over(w))
+        judged = rows.withColumns(line).withColumn("__r", F.abs(residual)).withColumn("__mad", F.median("__r").over(w))
         inside = F.col("__r") <= times * F.col("__mad")
         judged = judged.withColumn("__left", F.count_if(inside).over(w))
         rows = judged.where((F.col("__mad") <= 0) | (F.col("__left") < 2) | inside).select(by, "x_ns", "y_s", "__x0", "__n0", "__dx")
-    last = rows.join(_fit(rows, by), by).withColumn("__r", residual)
+    last = rows.withColumns(line).withColumn("__r", residual)
     return last.groupBy(by).agg(
         F.first("__b").alias("slope"),
         (F.first("__xm") + F.first("__x0")).alias("xmean"),

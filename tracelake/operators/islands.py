@@ -59,8 +59,9 @@ def bridge_bad_runs(flagged: DataFrame, bad: str, cols: list[str], max_rows: int
     w = ordered(by, t)
     rows = with_runs(flagged, F.col(bad), by, t)
     good = F.when(~F.col(bad), F.struct(t, *cols))
+    # Both windows carry the last good row on; the second one runs from the session's end.
     rows = rows.withColumn("__lo", F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__hi", F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("__hi", F.last(good, ignorenulls=True).over(Window.partitionBy(by).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, -1)))
     n = F.count(F.lit(1)).over(Window.partitionBy(by, "run_id"))
     rows = rows.withColumn("__n", n)
     short = (F.col("__n") <= max_rows) & (F.col(f"__hi.{t}") - F.col(f"__lo.{t}") <= max_s)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.motion import over_range
+from tracelake.operators.stats import upper_median
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -85,12 +86,10 @@ def gaussian_time(df: DataFrame, col: str, sigma_s: float, by: list[str], t: str
 def smooth_heights(track: DataFrame, sigma_s: float = 2.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:
     """h_m smoothed in time, split at gaps longer than max(5 median steps, 2 sigma); segments below 3 rows stay."""
     w = Window.partitionBy(by).orderBy(t)
-    whole = Window.partitionBy(by)
-    rows = track.withColumn("__dt", F.col(t) - F.lag(t).over(w))
-    steps = F.array_sort(F.collect_list(F.when(F.col("__dt") > 0, F.col("__dt"))).over(whole))
-    rows = rows.withColumn("__steps", steps)
-    upper = F.try_element_at(F.col("__steps"), (F.floor(F.size("__steps") / 2) + 1).cast("int"))
-    rows = rows.withColumn("__gap", F.greatest(5.0 * upper, F.lit(2.0 * sigma_s))).drop("__steps")
+    rows = track.withColumn("__dt", F.col(t) - F.lag(t).over(w)).withColumn("__step", F.when(F.col("__dt") > 0, F.col("__dt")))
+    # One row for each session with its usual step, joined back to the rows.
+    usual = rows.groupBy(by).agg(upper_median("__step").alias("__upper"))
+    rows = rows.join(usual, by).withColumn("__gap", F.greatest(5.0 * F.col("__upper"), F.lit(2.0 * sigma_s))).drop("__upper", "__step")
     rows = rows.withColumn("__seg", F.sum(F.coalesce((F.col("__dt") > F.col("__gap")).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = gaussian_time(rows, "h_m", sigma_s, [by, "__seg"], t, name="__h")
     n = F.count(F.lit(1)).over(Window.partitionBy(by, "__seg"))

@@ -107,9 +107,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: str) -> DataFrame:
 
 
 def upper_median(col: str) -> Column:
-    """The element at n // 2 of the sorted values: not a mean of two."""
-    s = F.array_sort(F.collect_list(col))
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+    """The element at n // 2 of the sorted values: not a mean of two. The buffer holds counts of distinct values, combined before the shuffle."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")
 
 
 def error_model(samples: DataFrame, by: list[str], col: str, least: int = 5) -> DataFrame:
@@ -120,12 +119,33 @@ def error_model(samples: DataFrame, by: list[str], col: str, least: int = 5) ->
     return out.where(F.col("n") >= least).select(*by, "n", F.greatest("__mad", "__rms", F.lit(1e-6)).alias("sigma_m"))
 
 
-def min_max_scores(df: DataFrame, col: str, name: str, higher_is_better: bool = False) -> DataFrame:
-    """0 best to 1 worst over all rows; missing is 1, and 0.5 if all are equal. For small result tables: one window over all."""
-    w = Window.partitionBy()
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    s = (hi - F.col(col)) / (hi - lo) if higher_is_better else (F.col(col) - lo) / (hi - lo)
-    return df.withColumn(name, F.when(F.col(col).isNull(), 1.0).when(hi == lo, 0.5).otherwise(s))
+def min_max_scores(df: DataFrame, scores: dict[str, tuple[str, bool]]) -> DataFrame:
+    """df with a column for each entry name: (column, whether higher is better).
+
+    0 best to 1 worst over all rows; missing is 1, and 0.5 if all are equal. One
+    row of least and largest values is broadcast.
+    """
+    ends = df.agg(*[f(c).alias(f"__{n}_{k}") for n, (c, _) in scores.items() for k, f in (("lo", F.min), ("hi", F.max))])
+    out = {}
+    for name, (col, higher) in scores.items():
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        s = (hi - F.col(col)) / (hi - lo) if higher else (F.col(col) - lo) / (hi - lo)
+        out[name] = F.when(F.col(col).isNull(), 1.0).when(hi == lo, 0.5).otherwise(s)
+    return df.join(F.broadcast(ends), how="cross").withColumns(out).drop(*ends.columns)
+
+
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with the row's place (from 1) in the order of all rows, which must be a total one.
+
+    Ranges of the order are dealt to partitions; the numbers of rows in earlier
+    ones, a row for each partition, are added to the place within.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__within", within).join(F.broadcast(counts), "__part").withColumn(name, (F.col("__within") + F.col("__earlier")).cast("long")).drop("__part", "__within", "__earlier")
 
 
 def erfinv(x: Column) -> Column:

@@ -158,7 +158,8 @@ def fill_by_index(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("utc_s")
     rows = track(spark, sf).withColumn("h", F.when(F.col("k") % 8 != 0, F.col("h_m"))).withColumn("ix", F.row_number().over(w))
     good = F.when(F.col("h").isNotNull(), F.struct("ix", "h"))
-    lo, hi = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(good, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("session_id").orderBy(F.desc("utc_s"))
+    lo, hi = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(good, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"lo": lo, "hi": hi})
     line = F.col("lo.h") + (F.col("hi.h") - F.col("lo.h")) * (F.col("ix") - F.col("lo.ix")) / (F.col("hi.ix") - F.col("lo.ix"))
     value = F.when(F.col("lo").isNull(), F.col("hi.h")).when(F.col("hi").isNull(), F.col("lo.h")).when(F.col("hi.ix") == F.col("lo.ix"), F.col("h")).otherwise(line)
@@ -173,7 +174,7 @@ def clock_discontinuities(spark: SparkSession, sf: str) -> DataFrame:
 
     w = Window.partitionBy("session_id").orderBy("utc_s")
     rows = track(spark, sf).withColumn("ctr", F.col("k") % 4).withColumn("jump", F.col("ctr") != F.lag("ctr").over(w))
-    return rounded(rows.groupBy("session_id").agg(F.count_if("jump").alias("jumps"), upper_median("ctr").alias("upper_median"), F.avg("ctr").alias("mean")))
+    return rounded(rows.groupBy("session_id").agg(F.count_if("jump").alias("jumps"), upper_median("ctr").cast("long").alias("upper_median"), F.avg("ctr").alias("mean")))
 
 
 @query(f"""WITH {TRACK}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY utc_s) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM track)
