@@ -16,23 +16,27 @@ from tracelake.llm.queries import model_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity score doesn't reject. Null and empty texts stay; without labels or rows nothing is rejected."""
     return toxicity.keep_rows(docs, C.labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text (A-Z lower-cased, null is empty): that with the largest doc_id, also where rows repeat it or have none."""
     return exact_dedup.keep_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each component of texts that share 80 % of their five-word shingles: that with the smallest doc_id. Texts without words are alone."""
     return near_dedup.keep_rows(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources (null is one): each row as often as its source's target takes it; rows without words never."""
     return mixing.mix_rows(docs, C.labels(spark, sf_dir))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids for every row of the mix."""
+    """doc_id, source, n_tokens and ids for every row of the mix; null text has no ids, repeated rows have equal ones."""
     from pyspark.sql import functions as F
 
     path = model_path()
