@@ -1,6 +1,7 @@
 """Exact and near dedup against brute force."""
 
 import hashlib
+import os
 import random
 import string
 
@@ -121,7 +122,23 @@ def test_near_rows_keep_one_of_each_group(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def brute_repeats(texts, length=400):
+def test_rows_without_an_id_and_repeated_ids(spark):
+    rng = random.Random(9)
+    base = [words(rng, 60) for _ in range(6)]
+    near = lambda k: " ".join(base[k][:-1] + [f"x{rng.random()}"])
+    texts = [(None, near(0)), (None, near(0)), (None, near(1)), (7, near(1)), (3, near(2)), (3, near(3)), (9, near(3)), (None, " ".join(base[4])), (None, " ".join(base[4]).upper()), (4, "   "), (None, ""), (None, " ")]
+    rows = near_dedup.near_groups(frame(spark, texts), width=5, percent=80).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(r.component_id)
+    assert found[7] == [7] and found[3] == [3, 3] and found[9] == [3] and found[4] == [4]
+    assert sorted(found[None], key=lambda x: (x is None, x)) == [7] + [None] * 6
+    left = near_dedup.keep_rows(frame(spark, texts)).collect()
+    # One of each: the two without an id, 7, 3 (with 9), the copies in two cases, 4, and the row without text or id.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == [(False, 3), (False, 4), (False, 7)] + [(True, 0)] * 3
+
+
+def brute_cover(texts, length):
     seen = {}
     raw = [(t or "").encode() for _, t in texts]
     for k, b in enumerate(raw):
@@ -132,10 +149,26 @@ def brute_repeats(texts, length=400):
         if len(places) > 1:
             for k, p in places:
                 cover[k][p : p + length] = b"\x01" * length
+    return raw, cover
+
+
+def brute_passages(raw, cover):
+    runs = "".join(chr(x) for x in cover).split("\x00")
+    at, found = 0, 0
+    for run in runs:
+        piece = raw[at : at + len(run)]
+        found += len([w for w in __import__("re").split(rb"[\x20\x09-\x0D]+", piece) if w]) >= 50
+        at += len(run) + 1
+    return found
+
+
+def brute_repeats(texts):
     out = set()
-    for (i, _), b, c in zip(texts, raw, cover, strict=True):
+    raw, cover = brute_cover(texts, 400)
+    _, short = brute_cover(texts, 300)
+    for (i, _), b, c, p in zip(texts, raw, cover, short, strict=True):
         spans = sum(1 for p in range(len(c)) if c[p] and (p == 0 or not c[p - 1]))
-        out.add((i, len(b), sum(c), spans, hashlib.sha256(bytes(x for x, gone in zip(b, c, strict=True) if not gone)).hexdigest()))
+        out.add((i, len(b), sum(c), spans, hashlib.sha256(bytes(x for x, gone in zip(b, c, strict=True) if not gone)).hexdigest(), brute_passages(b, p)))
     return out
 
 
@@ -161,6 +194,48 @@ def test_repeats(spark, seed, group):
     assert got == brute_repeats(texts)
 
 
+@pytest.mark.parametrize(("seed", "group"), [(5, 65_536), (6, 3)])
+def test_repeat_groups_hold_all_occurrences(spark, seed, group):
+    rng, texts = random.Random(seed), repeat_texts(seed)
+    raw, cover = brute_cover(texts, 300)
+    at = {i: k for k, (i, _) in enumerate(texts)}
+    groups = {}
+    for r in repeats.repeat_groups(frame(spark, texts), group=group).collect():
+        groups.setdefault((r.group_id, r.length), set()).add((at[r.doc_id], r.begin))
+    covered = [bytearray(len(b)) for b in raw]
+    looked = set(rng.sample(sorted(groups), min(60, len(groups))))
+    for (name, length), places in groups.items():
+        pieces = {raw[k][p : p + length] for k, p in places}
+        assert len(pieces) == 1 and len(places) > 1 and length >= 300 and len(next(iter(pieces))) == length
+        piece = pieces.pop()
+        if (name, length) in looked:
+            # Every occurrence in the table.
+            found = {(k, p) for k, b in enumerate(raw) for p in range(len(b) - length + 1) if b.startswith(piece, p)}
+            assert found == places
+        for k, p in places:
+            covered[k][p : p + length] = b"\x01" * length
+    assert covered == cover
+
+
+def test_classes_of_the_interval_tree_are_the_maximal_repeats():
+    rng = random.Random(8)
+    for _ in range(40):
+        n = rng.randrange(2, 12)
+        lefts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 6))) for _ in range(n)]
+        rights = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 6))) for _ in range(n)]
+        got = {(frozenset(m.tolist()), a, b) for m, a, b in repeats.maximal_repeats(lefts, rights, __import__("numpy").zeros(n, int), need=3, walk=repeats._classes)}
+        want = set()
+        for i in range(n):
+            for j in range(i):
+                a, b = repeats._agree(lefts[i], lefts[j]), repeats._agree(rights[i], rights[j])
+                if a + b >= 3:
+                    members = frozenset(k for k in range(n) if lefts[k][:a] == lefts[i][:a] and len(lefts[k]) >= a and rights[k][:b] == rights[i][:b] and len(rights[k]) >= b)
+                    want.add((members, a, b))
+        # Pairs name every class: a class's members share exactly what some two of them share on each side.
+        shared = lambda m: (len(os.path.commonprefix([lefts[k] for k in m])), len(os.path.commonprefix([rights[k] for k in m])))
+        assert got == {(m, *shared(m)) for m, _, _ in want}
+
+
 def test_repeated_rows_lose_long_texts(spark):
     text = "".join(chr(97 + (k * k) % 26) + str(k) for k in range(200))
     got = repeats.digest(repeats.remove_repeats(frame(spark, [(1, text), (1, text), (None, text), (2, "x")]))).collect()
