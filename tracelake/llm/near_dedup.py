@@ -25,8 +25,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bands whose stars are confirmed before those of all others are looked at.
 EARLY_BANDS = 4
-#: Sets that one task compares with as many others when clusters are finished.
-BLOCK = 4096
+#: Most sets that one task compares with as many others when clusters are finished. A cluster has PARTS blocks at least, of LEAST_BLOCK sets or more.
+BLOCK, PARTS, LEAST_BLOCK = 4096, 16, 128
 #: Shingles of all sets of a block, which bounds a task's memory when sets are long.
 BLOCK_SHINGLES = 4 << 20
 #: Postings that a task looks at in one step.
@@ -35,6 +35,8 @@ POSTINGS = 1 << 22
 _rng = np.random.Generator(np.random.PCG64(77))
 _PROBE = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
+#: From here on nodes have names that aren't ids: sets of rows without an id, and further sets of a repeated id.
+UNNAMED = 1 << 62
 _BAND_CODE = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -98,7 +100,7 @@ def _whole_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, rows, want = [], [], batch.column("set_key").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("rep").to_pylist()
             for k, found in shingle_sets(C.rows_of(batch, "text"), width):
                 if _set_key(found) == want[k]:
                     reps.append(ids[k])
@@ -252,29 +254,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its words as one run if it has fewer. Texts are linked if 100 * intersection
     >= percent * union; component_id is the smallest id that links reach. Texts
     without a word (empty, null) have 0 shingles and are linked with nothing.
-    Rows that repeat an id are the same document. Ids must be integers; a row
-    with a null id joins the component of its copies and is itself never kept if
-    one of them has an id. An empty table gives no rows; other columns are not
-    looked at.
+    Rows that repeat an id are the same document, whatever their texts. Ids must
+    be integers below 2 ** 62. Rows with a null id take part like all others; if
+    no id is reachable their component_id is null, and kept is true. An empty
+    table gives no rows; other columns are not looked at.
     """
-    return _groups(docs, id_col, text_col, width, percent, block).drop("text_key")
+    return _groups(docs, id_col, text_col, width, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int) -> DataFrame:
-    """near_groups() with text_key (xxhash64 of the text), which tells rows without an id apart."""
+    """near_groups() with text_key (xxhash64 of the text), and names of the row's set (rep) and of its component (found)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     signed = C.materialize(source.mapInArrow(_signatures(width), "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"))
 
-    # Documents with one set are one node, named by their smallest id.
-    classes = C.materialize(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    nodes = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.rep)).select("rep", classes.set_key, "bands").dropDuplicates(["rep", "set_key"])
+    # Documents with one set are one node, named by their smallest id, or by a hash if another node has that name.
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    hashed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("set_key"), 2)
+    turn = F.row_number().over(Window.partitionBy(F.coalesce("least", hashed)).orderBy("set_key"))
+    classes = C.materialize(classes.withColumn("rep", F.when(F.col("least").isNull() | (turn > 1), hashed).otherwise(F.col("least"))))
+    nodes = signed.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("rep", "set_key", "bands").dropDuplicates(["rep", "set_key"])
     members = C.materialize(nodes.select("rep", "set_key", F.posexplode("bands").alias("band", "bucket")))
     # Written before the join, whose exchanges adaptive execution can then split where a bucket is large.
     shared = C.materialize(members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"))
     crowded = C.materialize(members.join(shared, "bucket").select("bucket", "band", "rep", "centre", "set_key"))
 
-    wanted = crowded.select("rep", "set_key").distinct()
-    texts = source.join(wanted, source.doc_id == wanted.rep).select("doc_id", "text", "set_key")
+    wanted = C.materialize(crowded.select("rep", "set_key").distinct())
+    unnamed = signed.select("set_key", "text_key").join(wanted.where(F.col("rep") >= UNNAMED), "set_key").dropDuplicates(["rep"])
+    texts = source.join(wanted.where(F.col("rep") < UNNAMED), F.col("doc_id") == F.col("rep")).select("rep", "text", "set_key")
+    texts = texts.union(source.join(unnamed, "text_key").select("rep", "text", "set_key"))
     sets = C.materialize(texts.mapInArrow(_whole_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]))
 
     # Stars of a few bands first; of all others only the edges that could still join two components.
@@ -291,29 +298,45 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     clusters = connected(loose.select(F.col("low").alias("a"), F.col("component").alias("b")).distinct())
     placed = loose.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
     placed = C.materialize(placed.join(sets.select("rep", F.size("shingles").alias("n")), "rep"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = placed.groupBy("cluster").agg(blocks.alias("blocks"))
-    dealt = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
-    with_other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = dealt.withColumn("other", with_other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "shingles")
+    # Links within a cluster's largest component change nothing: its blocks meet only those of the other components.
+    parts = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("n", "component", "shingles"))
+    sizes = parts.groupBy("cluster").agg(largest.alias("major"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    most = F.least(F.lit(block), F.greatest(F.lit(min(block, LEAST_BLOCK)), F.col("n") / PARTS))
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / most, shingles / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("cluster", F.col("major.component").alias("major"), blocks(F.col("n") - F.col("major.n"), F.col("shingles") - F.col("major.shingles")).alias("few"), blocks(F.col("major.n"), F.col("major.shingles")).alias("many"))
+    minor = F.col("component") != F.col("major")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    dealt = placed.join(sizes, "cluster").withColumn("block", F.when(minor, deal(F.col("few"))).otherwise(F.col("few") + deal(F.col("many"))))
+    with_other = F.explode(F.sequence(F.lit(0), F.when(minor, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)))
+    pairs = dealt.withColumn("other", with_other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    units = pairs.join(sets, "rep")
     grouped = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
     rest = grouped.mapInArrow(_finish(percent), "a long, b long")
-    final = connected(_forest(labels).union(C.materialize(rest)))
+    # Sets of one repeated id are linked.
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
+    of_id = C.materialize(signed.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "rep"))
+    same_id = of_id.groupBy("doc_id").agg(F.min("rep").alias("a")).join(of_id, "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
+    final = connected(_forest(labels).union(C.materialize(rest)).union(same_id))
 
-    known = classes.join(final, classes.rep == final.node, "left").select(classes.set_key.alias("key"), F.coalesce("component", "rep").alias("found"))
-    out = signed.join(known, signed.set_key == known.key, "left").withColumn("component_id", F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key")
+    known = classes.join(final, classes.rep == final.node, "left").select(F.col("set_key").alias("key"), "rep", F.coalesce("component", "rep").alias("found"))
+    out = signed.join(known, signed.set_key == known.key, "left")
+    component = F.when(F.col("found") < UNNAMED, F.col("found")).when(F.col("found").isNull(), F.col("doc_id"))
+    out = out.withColumn("component_id", component)
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key", "rep", "found")
 
 
 def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (doc_id, text, ...) that stay: one for each component.
 
-    Rows that repeat the id of a kept document leave one; rows without an id
-    stay only if no document with an id is near.
+    Rows that repeat the id of a kept document leave one. Rows without an id stay
+    only if no document with an id is near, and of those near each other one
+    stays. Texts without a word are kept, one for each id; without an id, one.
     """
     groups = _groups(docs, "doc_id", "text", width, percent, BLOCK)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__tl_id"), F.col("text_key").alias("__tl_kept")).distinct()
+    stays = F.col("kept") & (F.col("doc_id").isNotNull() | F.col("rep").isNull() | (F.col("rep") == F.col("found")))
+    kept = groups.where(stays).select(F.col("doc_id").alias("__tl_id"), F.col("text_key").alias("__tl_kept"), F.coalesce("found", "doc_id").alias("__tl_found")).distinct()
     keyed = docs.withColumn("__tl_key", F.xxhash64("text"))
-    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_kept")), "left_semi")
-    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__tl_key"))).orderBy("__tl_key")
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_kept")))
+    order = Window.partitionBy("__tl_found").orderBy(F.asc_nulls_last("doc_id"), "__tl_key")
     return found.withColumn("__tl_rank", F.row_number().over(order)).where("__tl_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
