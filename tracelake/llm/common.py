@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -42,12 +43,18 @@ def id_crc32(doc_id: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor can reach."""
+    """A new folder of this application under spark.checkpoint.dir, which every executor can reach.
+
+    Only a local session may go without that setting; it gets a temporary folder.
+    All folders of an application lie in one, to be deleted when its results are written.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tracelake/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tracelake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -267,7 +267,9 @@ def identify(docs: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learns from the rows that aren't held out, predicts all.
 
     A row is held out if crc32 of its decimal id, modulo folds, is held_fold (a
-    null id counts as the empty string and so is held out).
+    null id counts as the empty string and so is held out). Repeated rows have
+    equal results; an empty table gives no rows; columns but doc_id, text and
+    lang may have any name.
     """
     held = C.id_crc32(F.col("doc_id")) % folds == held_fold
     trees = fit_trees(docs.where(~held).select("lang", "text"))

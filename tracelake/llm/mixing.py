@@ -57,7 +57,9 @@ def mix_plan(docs: DataFrame, quality: DataFrame | None = None, share: float = S
     of the empty string. Ties of the key (repeated ids) go by id, then size.
     taken = size * copies and copies is at most MOST; the document whose middle
     passes the budget is left out, so that a source's taken words miss its
-    target by at most half of one document. Sources without words take none.
+    target by at most half of one document. Sources without words take none. An
+    empty table gives no rows; only the columns named are read, others may have
+    any name.
     """
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     if quality is not None:
@@ -81,7 +83,8 @@ def mix_rows(docs: DataFrame, quality: DataFrame | None = None, share: float = S
     """The mix itself, with the columns of docs: each row as often as the plan takes it.
 
     Rows that repeat a doc_id with texts of one size share one decision (the
-    fewest copies of theirs).
+    fewest copies of theirs). An empty table gives no rows; further columns of
+    docs pass through under any name but those that begin with __tl_.
     """
     plan = mix_plan(docs, quality, share, weights)
     copies = plan.groupBy(F.col("doc_id").alias("__tl_id"), F.col("size").alias("__tl_size")).agg(F.min("copies").alias("__tl_copies")).where("__tl_copies > 0")

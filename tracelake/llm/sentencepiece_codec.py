@@ -153,7 +153,8 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     """The keep columns and ids array<int> for every row of docs: the library's ids, without begin or end.
 
     Null text counts as empty; empty text has no ids. Rows stay as they are,
-    repeated or not; a text of any length is one list. model_path must be a file
+    repeated or not; a text of any length is one list; an empty table gives no
+    rows. keep must not name a column ids. model_path must be a file
     that every executor has, with pieces that don't cross whitespace markers
     (ValueError otherwise).
     """

@@ -451,12 +451,13 @@ def _constant(model: np.ndarray) -> Scorer:
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
-    """docs with the score in (0, 1) in a new column.
+    """docs with the score in (0, 1) in a new column, which takes the place of one of that name.
 
-    Null and empty texts have the score of a text without features. Rows are
+    An empty table gives no rows; other columns pass through under any name. Null and empty texts have the score of a text without features. Rows are
     scored alone, whole and of any length (letters spaced out across the parting
     of a text above 2 MB are read as two runs); repeated rows have equal scores.
     """
+    docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField("__tl_score", T.DoubleType())])
     return docs.mapInArrow(_score(scorer), schema).withColumnRenamed("__tl_score", column)
 
