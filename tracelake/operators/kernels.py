@@ -1,13 +1,15 @@
-"""Sequential filters: one session is one group, folded in time order by a NumPy kernel.
+"""Sequential filters: sessions are folded in time order by NumPy kernels.
 
-Spark deals sessions to tasks and sorts them; the kernels are pure functions of
-one session's arrays. A whole session must fit in a task; nothing cuts long
-recordings at holes.
+Spark deals sessions to tasks and sorts them. Two-state filters fold many
+sessions side by side, one step of time for all of them at once
+(per_sessions); the others are pure functions of one session's arrays
+(per_session). A whole session must fit in a task; nothing cuts long recordings
+at holes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,162 @@ def per_session(df: DataFrame, run: Callable[[pd.DataFrame], dict[str, np.ndarra
     return df.groupBy(by).applyInPandas(fold, schema)
 
 
+#: Rows of whole sessions that per_sessions() folds at once (or one session, if it is longer).
+SIDE_BY_SIDE = 200_000
+
+
+def per_sessions(df: DataFrame, run: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], out: dict[str, T.DataType], by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """df with the columns of run(rows, cuts): rows of whole sessions in order of time, session s at rows cuts[s] to cuts[s + 1]."""
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in out), *(T.StructField(n, k) for n, k in out.items())])
+
+    def fold(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        return rows.assign(**run(rows, np.append(_session_starts(rows[by]), len(rows))))[schema.names]
+
+    def fold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            cut = int(_session_starts(batch[by])[-1])
+            if held and sum(map(len, held)) + cut >= SIDE_BY_SIDE:
+                # All but the batch's last session are whole, unless the batch goes on with the one that is held.
+                if cut or not _same(held[-1][by].iloc[-1], batch[by].iloc[0]):
+                    yield fold([*held, batch.iloc[:cut]] if cut else held)
+                    held, batch = [], batch.iloc[cut:]
+            held.append(batch)
+        if held:
+            yield fold(held)
+
+    return df.repartition(by).sortWithinPartitions(by, t).mapInPandas(fold_all, schema)
+
+
+def _same(a: object, b: object) -> bool:
+    return bool(a == b) or bool(pd.isna(a) and pd.isna(b))
+
+
+def _session_starts(names: pd.Series) -> np.ndarray:
+    """Where a new session begins; missing names are one session."""
+    before = names.shift()
+    new = ~((names == before) | (names.isna() & before.isna()))
+    new.iloc[0] = True
+    return np.flatnonzero(new.to_numpy(bool))
+
+
+class _SideBySide:
+    """Rows of sessions of any lengths by their place k in the session: the longest first, so that those still running are the first ones."""
+
+    def __init__(self, cuts: np.ndarray):
+        sizes = np.diff(cuts)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.begin = cuts[:-1][self.order]
+        self.longest = int(sizes.max())
+        self.running = np.searchsorted(-sizes[self.order], -np.arange(1, self.longest + 1), "right")
+
+    def rows(self, k: int) -> np.ndarray:
+        return self.begin[: self.running[k]] + k
+
+
+def two_state(
+    cuts: np.ndarray, z: np.ndarray, r: np.ndarray, dt: np.ndarray, sigma_a: np.ndarray | float, start: tuple[np.ndarray, ...], v: np.ndarray | None = None, rv: np.ndarray | None = None, restart: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Constant-velocity filter and smoother of many sessions and axes at once.
+
+    z, v: measured positions and velocities (rows by axes, missing is NaN) with
+    variances r, rv; dt: the step to each row from the one before (that to a
+    session's first row included); start: position, velocity and their variances
+    of each session (sessions by axes). Where restart, the velocity is forgotten
+    and every variance grows by 100. Gives positions, velocities and their
+    variances.
+    """
+    side, shape = _SideBySide(cuts), z.shape
+    sigma2 = np.broadcast_to(np.asarray(sigma_a, float) ** 2, shape[1:])
+    x, vel, a, c = (np.array(np.broadcast_to(s, (len(cuts) - 1, *shape[1:]))[side.order], float) for s in start)
+    b = np.zeros_like(a)
+    after, before = np.empty((5, *shape)), np.empty((5, *shape))
+    jump = np.zeros(shape[0], bool) if restart is None else restart
+    with_z, with_v = np.isfinite(z), np.isfinite(v) if v is not None else None
+    for k in range(side.longest):
+        at = side.rows(k)
+        n = len(at)
+        x, vel, a, b, c = (s[:n] for s in (x, vel, a, b, c))
+        h, new = dt[at][:, None], jump[at][:, None]
+        grown = a + 2 * h * b + h * h * c + sigma2 * h**4 / 4, b + h * c + sigma2 * h**3 / 2, c + sigma2 * h * h
+        x, vel = np.where(new, x, x + h * vel), np.where(new, 0.0, vel)
+        a, b, c = (np.where(new, other, g) for other, g in zip((a + 100.0, 0.0, 100.0), grown, strict=True))
+        before[:, at] = x, vel, a, b, c
+        seen = with_z[at]
+        s = a + r[at]
+        g0, g1 = np.where(seen, a / s, 0.0), np.where(seen, b / s, 0.0)
+        miss = np.where(seen, z[at] - x, 0.0)
+        x, vel = x + g0 * miss, vel + g1 * miss
+        a, b, c = (1 - g0) * a, (1 - g0) * b, c - g1 * b
+        if v is not None:
+            seen = with_v[at]
+            s = c + rv[at]
+            g0, g1 = np.where(seen, b / s, 0.0), np.where(seen, c / s, 0.0)
+            miss = np.where(seen, v[at] - vel, 0.0)
+            x, vel = x + g0 * miss, vel + g1 * miss
+            a, b, c = a - g0 * b, (1 - g1) * b, (1 - g1) * c
+        after[:, at] = x, vel, a, b, c
+    for k in range(side.longest - 2, -1, -1):
+        nxt = side.rows(k + 1)
+        at = nxt - 1
+        h, new = dt[nxt][:, None], jump[nxt][:, None]
+        x, vel, a, b, c = after[:, at]
+        px, pv, pa, pb, pc = before[:, nxt]
+        det = pa * pc - pb * pb
+        # The smoother's gain: covariance times transition over the predicted covariance.
+        m00, m01, m10, m11 = np.where(new, a, a + h * b), np.where(new, 0.0, b), np.where(new, b, b + h * c), np.where(new, 0.0, c)
+        c00, c01, c10, c11 = (m00 * pc - m01 * pb) / det, (m01 * pa - m00 * pb) / det, (m10 * pc - m11 * pb) / det, (m11 * pa - m10 * pb) / det
+        dx, dv = after[0, nxt] - px, after[1, nxt] - pv
+        da, db, dc = after[2, nxt] - pa, after[3, nxt] - pb, after[4, nxt] - pc
+        after[:, at] = (
+            x + c00 * dx + c01 * dv,
+            vel + c10 * dx + c11 * dv,
+            a + c00 * c00 * da + 2 * c00 * c01 * db + c01 * c01 * dc,
+            b + c00 * c10 * da + (c00 * c11 + c01 * c10) * db + c01 * c11 * dc,
+            c + c10 * c10 * da + 2 * c10 * c11 * db + c11 * c11 * dc,
+        )
+    return after[0], after[1], after[2], after[4]
+
+
+def _first_known(cuts: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of the first known value of each session and axis, and whether there is one."""
+    at = np.where(np.isfinite(z), np.arange(len(z))[:, None], len(z))
+    first = np.minimum.reduceat(at, cuts[:-1], axis=0)
+    return np.minimum(first, cuts[1:, None] - 1), first < cuts[1:, None]
+
+
+def usual_step(t: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Median positive step of each session, for each of its rows; 1 without one."""
+    out = np.ones(len(t))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        gaps = np.diff(t[a:b])
+        gaps = gaps[gaps > 0]
+        out[a:b] = np.median(gaps) if len(gaps) else 1.0
+    return out
+
+
+def cv_rts_all(cuts: np.ndarray, z: np.ndarray, dt: np.ndarray, sigma_z: np.ndarray | float = 2.0, sigma_a: float = 0.5) -> np.ndarray:
+    """cv_rts of many sessions and axes (columns of z)."""
+    r = np.broadcast_to(np.asarray(sigma_z, float) ** 2, z.shape)
+    first, known = _first_known(cuts, z)
+    start = np.take_along_axis(z, first, 0), 0.0, r[cuts[:-1]], 1.0
+    x = two_state(cuts, z, r, dt, sigma_a, (np.where(known, start[0], 0.0), *start[1:]))[0]
+    return np.where(np.repeat(known, np.diff(cuts), axis=0), x, np.nan)
+
+
+def cv_rts_pv_all(cuts: np.ndarray, z: np.ndarray, v: np.ndarray, dt: np.ndarray, sigma_p: np.ndarray | float, sigma_v: np.ndarray | float, sigma_a: np.ndarray | float) -> np.ndarray:
+    """cv_rts_pv of many sessions and axes; velocities that don't count are NaN."""
+    r, rv = (np.broadcast_to(np.asarray(s, float) ** 2, z.shape) for s in (sigma_p, sigma_v))
+    first, known = _first_known(cuts, z)
+    pick = lambda x: np.take_along_axis(x, first, 0)
+    start = np.where(known, pick(z), 0.0), np.nan_to_num(pick(v)), pick(r), 1.0
+    x = two_state(cuts, z, r, dt, sigma_a, start, v, rv)[0]
+    return np.where(np.repeat(known, np.diff(cuts), axis=0), x, np.nan)
+
+
 def _smooth(n: int, start: tuple[np.ndarray, np.ndarray], step: Callable[[int], tuple[np.ndarray, np.ndarray]], measure: Callable[[int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]], two_way: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Kalman filter and, with two_way, Rauch-Tung-Striebel smoother.
 
@@ -63,69 +221,47 @@ def _cv(dt: float, sigma_a: float) -> tuple[np.ndarray, np.ndarray]:
 
 def cv_rts(z: np.ndarray, dt: float, sigma_z: float = 2.0, sigma_a: float = 0.5) -> np.ndarray:
     """Positions smoothed at a fixed step; missing ones are only predicted. All missing gives all missing."""
-    known = np.isfinite(z)
-    if not known.any():
-        return np.full(len(z), np.nan)
-    f, q = _cv(dt, sigma_a)
-    h, r = np.array([[1.0, 0.0]]), np.array([[sigma_z**2]])
-    start = np.array([z[known.argmax()], 0.0]), np.diag([sigma_z**2, 1.0])
-    return _smooth(len(z), start, lambda _: (f, q), lambda k: [(z[k : k + 1], h, r)] if known[k] else [])[0][:, 0]
+    return cv_rts_all(np.array([0, len(z)]), z[:, None], np.full(len(z), dt), sigma_z, sigma_a)[:, 0]
 
 
 def cv_rts_pv(z: np.ndarray, v: np.ndarray, use_v: np.ndarray, dt: float, sigma_p: np.ndarray | float = 4.0, sigma_v: np.ndarray | float = 0.3, sigma_a: float = 0.2) -> np.ndarray:
     """Like cv_rts with velocity measurements where use_v; sigmas may be one for each row."""
-    known = np.isfinite(z)
-    if not known.any():
-        return np.full(len(z), np.nan)
-    sp, sv = np.broadcast_to(sigma_p, len(z)), np.broadcast_to(sigma_v, len(z))
-    f, q = _cv(dt, sigma_a)
-    hp, hv = np.array([[1.0, 0.0]]), np.array([[0.0, 1.0]])
-    ok_v = use_v & np.isfinite(v)
-    first = int(known.argmax())
-    start = np.array([z[first], v[first] if ok_v[first] else 0.0]), np.diag([sp[first] ** 2, 1.0])
+    sp, sv = (np.broadcast_to(s, len(z))[:, None] for s in (sigma_p, sigma_v))
+    return cv_rts_pv_all(np.array([0, len(z)]), z[:, None], np.where(use_v, v, np.nan)[:, None], np.full(len(z), dt), sp, sv, sigma_a)[:, 0]
 
-    def measure(k: int) -> list:
-        out = [(z[k : k + 1], hp, np.array([[sp[k] ** 2]]))] if known[k] else []
-        return out + ([(v[k : k + 1], hv, np.array([[sv[k] ** 2]]))] if ok_v[k] else [])
 
-    return _smooth(len(z), start, lambda _: (f, q), measure)[0][:, 0]
+def rts_irregular_all(cuts: np.ndarray, z: np.ndarray, t: np.ndarray, variance: float | None = None, noise: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Position and velocity of many sessions at uneven times; without a variance, half of that of a session's differences."""
+    r = np.empty((len(z), 1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        known = z[a:b][np.isfinite(z[a:b])]
+        r[a:b] = variance if variance is not None else max(float(np.var(np.diff(known))) / 2 if len(known) > 2 else 1.0, 1e-12)
+    gaps = np.maximum(np.diff(t, prepend=t[0]), 0.0)
+    gaps[cuts[:-1]] = 0.0
+    first, known = _first_known(cuts, z[:, None])
+    start = np.where(known, z[first], 0.0), 0.0, np.maximum(r[cuts[:-1]], 1e-9), 100.0
+    x, v, _, _ = two_state(cuts, z[:, None], r, gaps, noise, start)
+    there = np.repeat(known[:, 0], np.diff(cuts))
+    return np.where(there, x[:, 0], np.nan), np.where(there, v[:, 0], np.nan)
 
 
 def rts_irregular(z: np.ndarray, t: np.ndarray, variance: float | None = None, noise: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Position and velocity at uneven times; without a variance, half of that of the differences."""
-    known = np.isfinite(z)
-    if not known.any():
-        return np.full(len(z), np.nan), np.full(len(z), np.nan)
-    r = variance if variance is not None else max(float(np.var(np.diff(z[known]))) / 2 if known.sum() > 2 else 1.0, 1e-12)
-    h = np.array([[1.0, 0.0]])
-    gaps = np.diff(t, prepend=t[0])
-    start = np.array([z[known.argmax()], 0.0]), np.diag([max(r, 1e-9), 100.0])
-    xs, _ = _smooth(len(z), start, lambda k: _cv(max(gaps[k], 0.0), noise), lambda k: [(z[k : k + 1], h, np.array([[r]]))] if known[k] else [])
-    return xs[:, 0], xs[:, 1]
+    """rts_irregular_all of one session."""
+    return rts_irregular_all(np.array([0, len(z)]), z, t, variance, noise)
 
 
-def kalman_sigma(rows: pd.DataFrame, sigma_a: float = 0.5, floor: float = 0.05, fallback: float = 1.0, max_dt: float = 5.0) -> dict[str, np.ndarray]:
-    """Six states (position and velocity), position noise from the reported sigmas; a hole restarts the velocity."""
+def kalman_sigma(rows: pd.DataFrame, cuts: np.ndarray | None = None, sigma_a: float = 0.5, floor: float = 0.05, fallback: float = 1.0, max_dt: float = 5.0) -> dict[str, np.ndarray]:
+    """Position and velocity of each axis, position noise from the reported sigmas; a hole restarts the velocity. The axes don't touch, so they are three filters of two states."""
+    cuts = np.array([0, len(rows)]) if cuts is None else cuts
     t = rows["utc_s"].to_numpy(float)
     z = rows[["e_m", "n_m", "u_m"]].to_numpy(float)
     sd = rows[["sd_e", "sd_n", "sd_u"]].to_numpy(float)
     sd = np.maximum(np.where(np.isfinite(sd) & (sd > 0), sd, fallback), floor)
-    h = np.hstack([np.eye(3), np.zeros((3, 3))])
     gaps = np.diff(t, prepend=t[0])
-
-    def step(k: int) -> tuple[np.ndarray, np.ndarray]:
-        dt = gaps[k]
-        if k == 0:
-            return np.eye(6), np.zeros((6, 6))
-        if dt <= 0 or dt > max_dt:
-            return np.diag([1.0, 1, 1, 0, 0, 0]), np.diag([100.0] * 6)
-        f, q = _cv(dt, sigma_a)
-        return np.kron(f, np.eye(3)), np.kron(q, np.eye(3))
-
-    start = z[0].tolist() + [0.0] * 3, np.diag([*(sd[0] ** 2), 100, 100, 100])
-    xs, ps = _smooth(len(t), (np.array(start[0]), start[1]), step, lambda k: [(z[k], h, np.diag(sd[k] ** 2))])
-    sigma = np.sqrt(np.diagonal(ps, axis1=1, axis2=2))
-    return {"e_s": xs[:, 0], "n_s": xs[:, 1], "u_s": xs[:, 2], "ve_s": xs[:, 3], "vn_s": xs[:, 4], "vu_s": xs[:, 5], "sigma_h": np.hypot(sigma[:, 0], sigma[:, 1])}
+    restart = (gaps <= 0) | (gaps > max_dt)
+    gaps[cuts[:-1]], restart[cuts[:-1]] = 0.0, False
+    x, v, a, _ = two_state(cuts, z, sd**2, gaps, sigma_a, (z[cuts[:-1]], 0.0, sd[cuts[:-1]] ** 2, 100.0), restart=restart)
+    return {"e_s": x[:, 0], "n_s": x[:, 1], "u_s": x[:, 2], "ve_s": v[:, 0], "vn_s": v[:, 1], "vu_s": v[:, 2], "sigma_h": np.sqrt(a[:, 0] + a[:, 1])}
 
 
 def epoch_weighted_v2(rows: pd.DataFrame, sigma_a: float = 0.15, floor: float = 0.1, ceiling: float = 8.0, zupt_speed: float = 0.3, zupt_sigma: float = 0.02, nhc_speed: float = 2.0, nhc_sigma: float = 0.5, canyon: float = 1.0, gate: float = np.inf) -> dict[str, np.ndarray]:
@@ -207,35 +343,40 @@ def keep_by_motion(t: np.ndarray, speed: np.ndarray, turn_dps: np.ndarray, spaci
     return keep
 
 
-def envelope_gates(rows: pd.DataFrame, accel: float = 11.313708498984761, margin: float = 3.0, lateral: float = 8.0, safety: float = 2.5, min_speed: float = 5.0, min_step: float = 2.0, min_dt: float = 0.5) -> dict[str, np.ndarray]:
-    """Speed jumps and turn rates beyond what a car can do, judged against the last consistent epoch (not the last)."""
-    t, e, n = (rows[c].to_numpy(float) for c in ("utc_s", "e_m", "n_m"))
+#: What a car can do along and across its way, in m/s**2.
+CAR_ALONG = CAR_ACROSS = 8.0
+
+
+def envelope_gates(rows: pd.DataFrame, along: float = CAR_ALONG, across: float = CAR_ACROSS, margin: float = 3.0, safety: float = 2.5, min_speed: float = 5.0, min_step: float = 2.0, min_dt: float = 0.5) -> dict[str, np.ndarray]:
+    """Speed jumps and turn rates beyond what a car can do.
+
+    Each step's velocity and heading is judged against the last step that held
+    (a clean epoch within both limits), however long ago that was, so that one
+    bad epoch doesn't spoil the next.
+    """
+    t = rows["utc_s"].to_numpy(float)
+    dt = np.diff(t, prepend=np.nan)
+    way = np.diff(rows["e_m"].to_numpy(float) + 1j * rows["n_m"].to_numpy(float), prepend=np.nan)  # east + i north
     clean = rows["reasons"].map(len).to_numpy() == 0
     speed_jump, turn = np.zeros(len(t), bool), np.zeros(len(t), bool)
-    ref: tuple[float, float, float] | None = None
-    for k in range(1, len(t)):
-        dt = t[k] - t[k - 1]
-        if dt <= 0:
-            continue
-        v = (e[k] - e[k - 1]) / dt, (n[k] - n[k - 1]) / dt
-        if ref is not None and np.hypot(v[0] - ref[0], v[1] - ref[1]) > accel * max(t[k] - ref[2], dt) + margin / dt:
-            speed_jump[k] = True
-        elif clean[k]:
-            ref = (*v, t[k])
-    head: tuple[float, float, float] | None = None
-    for k in range(1, len(t)):
-        dt = t[k] - t[k - 1]
-        step = np.hypot(e[k] - e[k - 1], n[k] - n[k - 1])
-        if dt < min_dt or step < min_step or step / dt < min_speed:
-            continue
-        h = np.arctan2(e[k] - e[k - 1], n[k] - n[k - 1])
-        if head is not None:
-            change = abs((h - head[0] + np.pi) % (2 * np.pi) - np.pi)
-            if change / max(t[k] - head[1], dt) > safety * lateral / max(min(step / dt, head[2]), min_speed):
-                turn[k] = True
-                continue
+    timed = dt > 0
+    velocity = np.divide(way, dt, out=np.full(len(t), np.nan + 0j), where=timed)
+    held = None
+    limit = np.hypot(along, across)
+    for k in np.flatnonzero(timed).tolist():
+        if held is not None:
+            speed_jump[k] = abs(velocity[k] - velocity[held]) > limit * max(t[k] - t[held], dt[k]) + margin / dt[k]
         if clean[k] and not speed_jump[k]:
-            head = h, t[k], step / dt
+            held = k
+    # Turns: only steps long and fast enough to have a heading take part.
+    pace = np.abs(velocity)
+    held = None
+    for k in np.flatnonzero(timed & (dt >= min_dt) & (np.abs(way) >= min_step) & (pace >= min_speed)).tolist():
+        if held is not None:
+            rate = abs(np.angle(way[k] * np.conj(way[held]))) / max(t[k] - t[held], dt[k])
+            turn[k] = rate > safety * across / max(min(pace[k], pace[held]), min_speed)
+        if clean[k] and not speed_jump[k] and not turn[k]:
+            held = k
     return {"speed_jump": speed_jump, "turn_rate": turn}
 
 

@@ -77,56 +77,67 @@ def gaussian_aggressive(track: DataFrame) -> DataFrame:
     return _gaussian(track, 5.0, 20.0)
 
 
-def _step(rows: pd.DataFrame) -> float:
-    gaps = np.diff(rows["utc_s"])
-    gaps = gaps[gaps > 0]
-    return float(np.median(gaps)) if len(gaps) else 1.0
+AXES = ("e_m", "n_m", "u_m")
+
+
+def _each_axis(x: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: x[:, k] for k, c in enumerate(OUT)}
+
+
+def _steps(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+    return kernels.usual_step(rows["utc_s"].to_numpy(float), cuts)
 
 
 @register("cv_rts")
 def cv_rts(track: DataFrame) -> DataFrame:
-    return kernels.per_session(track, lambda r: {f"{c[0]}_s": kernels.cv_rts(r[c].to_numpy(float), _step(r), s) for c, s in (("e_m", 2.0), ("n_m", 2.0), ("u_m", 4.0))}, OUT)
+    fold = lambda r, cuts: _each_axis(kernels.cv_rts_all(cuts, r[[*AXES]].to_numpy(float), _steps(r, cuts), np.array([2.0, 2.0, 4.0])))
+    return kernels.per_sessions(track, fold, OUT)
 
 
 def _gated(track: DataFrame, k: float) -> DataFrame:
     return gates.doppler_gate(gates.bad_doppler(track), k)
 
 
-def _fill(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    at = np.arange(len(x))
-    return np.interp(at, at[~bad], x[~bad]) if (~bad).any() else x
+def _fill(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+    """Positions with rejected epochs put on the line between their neighbours in the session."""
+    bad, x = rows["doppler_reject"].to_numpy(bool), rows[[*AXES]].to_numpy(float).copy()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        good = np.flatnonzero(~bad[a:b]) + a
+        if bad[a:b].any() and len(good):
+            for k in range(3):
+                x[a:b, k] = np.interp(np.arange(a, b), good, x[good, k])
+    return x
+
+
+def _velocities(rows: pd.DataFrame) -> np.ndarray:
+    return np.where(rows["bad_doppler"].to_numpy(bool)[:, None], np.nan, rows[["ve", "vn", "vu"]].to_numpy(float))
 
 
 @register("cv_rts_pv")
 def cv_rts_pv(track: DataFrame) -> DataFrame:
-    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
-        bad, use = r["doppler_reject"].to_numpy(bool), ~r["bad_doppler"].to_numpy(bool)
-        out = {}
-        for c, v, sv, sa in (("e_m", "ve", 0.3, 0.2), ("n_m", "vn", 0.3, 0.2), ("u_m", "vu", 0.5, 0.5)):
-            out[f"{c[0]}_s"] = kernels.cv_rts_pv(_fill(r[c].to_numpy(float), bad), r[v].to_numpy(float), use, _step(r), 4.0, sv, sa)
-        return out
+    def fold(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
+        return _each_axis(kernels.cv_rts_pv_all(cuts, _fill(r, cuts), _velocities(r), _steps(r, cuts), 4.0, np.array([0.3, 0.3, 0.5]), np.array([0.2, 0.2, 0.5])))
 
-    return kernels.per_session(_gated(track, 5.0), fold, OUT)
+    return kernels.per_sessions(_gated(track, 5.0), fold, OUT)
 
 
 @register("gate_then_cv")
 def gate_then_cv(track: DataFrame) -> DataFrame:
-    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
-        bad = r["doppler_reject"].to_numpy(bool)
-        return {f"{c[0]}_s": kernels.cv_rts(_fill(r[c].to_numpy(float), bad), _step(r), s) for c, s in (("e_m", 1.0), ("n_m", 1.0), ("u_m", 2.0))}
-
-    return kernels.per_session(_gated(track, 5.0), fold, OUT)
+    fold = lambda r, cuts: _each_axis(kernels.cv_rts_all(cuts, _fill(r, cuts), _steps(r, cuts), np.array([1.0, 1.0, 2.0])))
+    return kernels.per_sessions(_gated(track, 5.0), fold, OUT)
 
 
 @register("epoch_weight")
 def epoch_weight(track: DataFrame) -> DataFrame:
-    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
+    def fold(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
         sd = np.hypot(r["sd_n"].to_numpy(float), r["sd_e"].to_numpy(float))
-        sd = np.sqrt(np.where(np.isfinite(sd), sd, np.nanmedian(sd)) ** 2 + 0.1**2)
-        use = ~r["bad_doppler"].to_numpy(bool)
-        return {f"{c[0]}_s": kernels.cv_rts_pv(r[c].to_numpy(float), r[v].to_numpy(float), use, _step(r), sd, 0.3) for c, v in (("e_m", "ve"), ("n_m", "vn"), ("u_m", "vu"))}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            known = sd[a:b][np.isfinite(sd[a:b])]
+            sd[a:b] = np.where(np.isfinite(sd[a:b]), sd[a:b], np.median(known) if len(known) else 1.0)
+        sd = np.sqrt(sd**2 + 0.1**2)[:, None]
+        return _each_axis(kernels.cv_rts_pv_all(cuts, r[[*AXES]].to_numpy(float), _velocities(r), _steps(r, cuts), sd, 0.3, 0.2))
 
-    return kernels.per_session(_gated(track, 4.0), fold, OUT)
+    return kernels.per_sessions(_gated(track, 4.0), fold, OUT)
 
 
 @register("epoch_weight_v2")
@@ -163,4 +174,4 @@ def dead_reckoning(track: DataFrame) -> DataFrame:
 
 @register("kalman_sigma")
 def kalman_sigma(track: DataFrame) -> DataFrame:
-    return kernels.per_session(track, lambda r: {k: v for k, v in kernels.kalman_sigma(r).items() if k in OUT}, OUT)
+    return kernels.per_sessions(track, lambda r, cuts: {k: v for k, v in kernels.kalman_sigma(r, cuts).items() if k in OUT}, OUT)

@@ -55,24 +55,24 @@ def kernel_forward_filter(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_cv_rts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "u_m")
 
-    def run(r: pd.DataFrame) -> dict[str, np.ndarray]:
-        dt = float(np.median(np.diff(r["utc_s"]))) if len(r) > 1 else 1.0
-        return {f"{c[0]}_s": kernels.cv_rts(r[c].to_numpy(float), dt, 4.0 if c == "u_m" else 2.0) for c in ("e_m", "n_m", "u_m")}
+    def run(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
+        x = kernels.cv_rts_all(cuts, r[["e_m", "n_m", "u_m"]].to_numpy(float), kernels.usual_step(r["utc_s"].to_numpy(float), cuts), np.array([2.0, 2.0, 4.0]))
+        return {"e_s": x[:, 0], "n_s": x[:, 1], "u_s": x[:, 2]}
 
-    return rounded(kernels.per_session(rows, run, {"e_s": D, "n_s": D, "u_s": D}), 4)
+    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "n_s": D, "u_s": D}), 4)
 
 
 @query()
 def kernel_rts_irregular(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m")
-    run = lambda r: dict(zip(("e_s", "ve_s"), kernels.rts_irregular(r["e_m"].to_numpy(float), r["utc_s"].to_numpy(float)), strict=True))
-    return rounded(kernels.per_session(rows, run, {"e_s": D, "ve_s": D}), 4)
+    run = lambda r, cuts: dict(zip(("e_s", "ve_s"), kernels.rts_irregular_all(cuts, r["e_m"].to_numpy(float), r["utc_s"].to_numpy(float)), strict=True))
+    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "ve_s": D}), 4)
 
 
 @query()
 def kernel_kalman_sigma(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "u_m", "sd_n", "sd_e", "sd_u")
-    return rounded(kernels.per_session(rows, kernels.kalman_sigma, {c: D for c in ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s", "sigma_h")}), 4)
+    return rounded(kernels.per_sessions(rows, kernels.kalman_sigma, {c: D for c in ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s", "sigma_h")}), 4)
 
 
 @query()
