@@ -73,3 +73,12 @@ def test_spectrum_peaks_at_the_tone(spark):
     blocks = spark.createDataFrame([("f", rate, 0, x.tolist())], "file string, rate long, start long, samples array<double>")
     rows = media.spectrogram(blocks).collect()
     assert len(rows) == 15 and all(int(np.argmax(r.power_db)) == 16 for r in rows)
+
+
+def test_spectra_do_not_depend_on_the_blocks(spark):
+    x = np.random.default_rng(3).normal(size=5000)
+    schema = "file string, start long, samples array<double>"
+    whole = spark.createDataFrame([("f", 0, x.tolist())], schema)
+    parts = spark.createDataFrame([("f", k, x[k : k + 1100].tolist()) for k in range(0, 5000, 1100)], schema)
+    one, many = ({(r.start, tuple(r.power_db)) for r in media.spectrogram(b).collect()} for b in (whole, parts))
+    assert len(one) == (5000 - 1024) // 512 + 1 and one == many

@@ -11,21 +11,29 @@ from tracelake.operators import kernels
 
 
 def spectrogram(blocks: DataFrame, window: int = 1024, hop: int = 512, bins: int = 64) -> DataFrame:
-    """file, start, power_db array<double>: Hann spectra of blocks of samples (file, rate, start, samples), pooled by maximum to so many bins."""
+    """file, start, power_db array<double>: Hann spectra of blocks of samples (file, start, samples), pooled by maximum to so many bins.
+
+    Spectra start at multiples of hop from the file's first sample, whatever the
+    blocks: those that reach beyond a block take samples from the next, so each
+    block but a file's last must have window - 1 samples or more.
+    """
     hann = np.hanning(window)
 
     def run(batches):
         for batch in batches:
             out = []
-            for file, start, samples in zip(batch["file"], batch["start"], batch["samples"], strict=True):
+            for file, start, size, samples in zip(batch["file"], batch["start"], batch["size"], batch["samples"], strict=True):
                 x = np.asarray(samples)
-                for k in range(0, len(x) - window + 1, hop):
+                for k in range(-int(start) % hop, min(int(size), len(x) - window + 1), hop):
                     power = np.abs(np.fft.rfft(x[k : k + window] * hann))[:-1] ** 2
                     pooled = power.reshape(bins, -1).max(1)
                     out.append((file, int(start) + k, (10 * np.log10(pooled + 1e-12)).tolist()))
             yield pd.DataFrame(out, columns=["file", "start", "power_db"])
 
-    return blocks.select("file", "start", "samples").mapInPandas(run, "file string, start long, power_db array<double>")
+    after = F.lead("samples").over(Window.partitionBy("file").orderBy("start"))
+    rows = blocks.withColumn("after", after).withColumn("size", F.size("samples"))
+    rows = rows.select("file", "start", "size", F.concat("samples", F.coalesce(F.slice("after", 1, window - 1), F.array().cast("array<double>"))).alias("samples"))
+    return rows.mapInPandas(run, f"file {dict(blocks.dtypes)['file']}, start long, power_db array<double>")
 
 
 def discontinuities(pairs: DataFrame, fit: DataFrame, bar_ms: float = 50.0, by: str = "session_id") -> DataFrame:

@@ -12,7 +12,9 @@ from tracelake.functions import geo
 from tracelake.operators import gates, kernels, masks, smoothers
 from tracelake.operators.motion import with_enu
 from tracelake.operators.ranges import common_times
-from tracelake.plans.tracks import ENU, TRACK, rounded, track
+from tracelake.plans import recursions
+from tracelake.plans.gating import _PLAUSIBLE, _STATIC
+from tracelake.plans.tracks import ENU, TRACK, rounded, sql_ecef, track
 from tracelake.plans.tracks import masks as mask_rows
 from tracelake.registry import query
 
@@ -51,7 +53,7 @@ def kernel_forward_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kernels.per_session(_enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m"), run, {"e_f": D}).select("session_id", "epoch_ix", "e_f"), 4)
 
 
-@query()
+@query(recursions.CV_RTS)
 def kernel_cv_rts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "u_m")
 
@@ -59,20 +61,21 @@ def kernel_cv_rts(spark: SparkSession, sf: str) -> DataFrame:
         x = kernels.cv_rts_all(cuts, r[["e_m", "n_m", "u_m"]].to_numpy(float), kernels.usual_step(r["utc_s"].to_numpy(float), cuts), np.array([2.0, 2.0, 4.0]))
         return {"e_s": x[:, 0], "n_s": x[:, 1], "u_s": x[:, 2]}
 
-    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "n_s": D, "u_s": D}), 4)
+    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "n_s": D, "u_s": D}).select("session_id", "epoch_ix", "e_s", "n_s", "u_s"), 4)
 
 
-@query()
+@query(recursions.RTS_IRREGULAR)
 def kernel_rts_irregular(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m")
     run = lambda r, cuts: dict(zip(("e_s", "ve_s"), kernels.rts_irregular_all(cuts, r["e_m"].to_numpy(float), r["utc_s"].to_numpy(float)), strict=True))
-    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "ve_s": D}), 4)
+    return rounded(kernels.per_sessions(rows, run, {"e_s": D, "ve_s": D}).select("session_id", "epoch_ix", "e_s", "ve_s"), 4)
 
 
-@query()
+@query(recursions.KALMAN_SIGMA)
 def kernel_kalman_sigma(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "u_m", "sd_n", "sd_e", "sd_u")
-    return rounded(kernels.per_sessions(rows, kernels.kalman_sigma, {c: D for c in ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s", "sigma_h")}), 4)
+    out = ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s", "sigma_h")
+    return rounded(kernels.per_sessions(rows, kernels.kalman_sigma, dict.fromkeys(out, D)).select("session_id", "epoch_ix", *out), 4)
 
 
 @query()
@@ -81,7 +84,7 @@ def kernel_epoch_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kernels.per_session(rows, kernels.epoch_weighted_v2, {c: D for c in ("e_s", "n_s", "u_s", "eff_sigma", "innovation", "disagree_m")}), 4)
 
 
-@query()
+@query(recursions.JUMP_GATE.format(track=TRACK, reason=_STATIC.replace("> 0.5", "> 5"), **dict(zip("xyz", sql_ecef("lat_deg", "lon_deg", "h_m"), strict=True))))
 def kernel_jump_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cascade: static gates, then jumps from the median of kept rows."""
     t = track(spark, sf).withColumn("age_s", F.col("ratio"))
@@ -104,14 +107,14 @@ def kernel_keep_spaced(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("keep").select("session_id", "epoch_ix")
 
 
-@query()
+@query(recursions.KEEP_BY_MOTION.format(track=TRACK))
 def kernel_keep_by_motion(spark: SparkSession, sf: str) -> DataFrame:
     rows = track(spark, sf).select("session_id", "epoch_ix", "utc_s", F.sqrt(F.col("ve") ** 2 + F.col("vn") ** 2).alias("speed"), (F.col("k") % 12).cast("double").alias("turn"))
     out = kernels.per_session(rows, lambda r: {"keep": kernels.keep_by_motion(r["utc_s"].to_numpy(float), r["speed"].to_numpy(float), r["turn"].to_numpy(float), spacing=20.0)}, {"keep": T.BooleanType()})
     return out.where("keep").select("session_id", "epoch_ix")
 
 
-@query()
+@query(recursions.ENVELOPE.format(clean=_PLAUSIBLE + ", clean AS MATERIALIZED (SELECT session_id, epoch_ix, utc_s, e_m, n_m, len(reasons) = 0 AS fine FROM reasons)"))
 def kernel_envelope_gates(spark: SparkSession, sf: str) -> DataFrame:
     rows = gates.plausibility(track(spark, sf)).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "reasons")
     return kernels.per_session(rows, kernels.envelope_gates, {"speed_jump": T.BooleanType(), "turn_rate": T.BooleanType()}).select("session_id", "epoch_ix", "speed_jump", "turn_rate")
@@ -122,7 +125,7 @@ def kernel_fuse_masks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(masks.fuse(common_times(mask_rows(spark, sf), "mask")), 4)
 
 
-@query()
+@query(recursions.ALLAN.format(track=TRACK))
 def kernel_allan(spark: SparkSession, sf: str) -> DataFrame:
     """Allan deviation of a rate of each session, in long form."""
 
@@ -139,7 +142,7 @@ def kernel_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
     def run(r: pd.DataFrame) -> pd.DataFrame:
         x = r.sort_values("utc_s")["sd_n"].to_numpy(float)
-        a, b = kernels.bootstrap_interval(x, np.median, times=200), kernels.bootstrap_interval(x, np.median, block=min(10, len(x)), times=200)
+        a, b = kernels.bootstrap_interval(x, np.median), kernels.bootstrap_interval(x, np.median, block=min(10, len(x)))
         return pd.DataFrame({"session_id": [r["session_id"].iloc[0]], "lo": [a[0]], "hi": [a[1]], "block_lo": [b[0]], "block_hi": [b[1]]})
 
     return track(spark, sf).select("session_id", "utc_s", "sd_n").groupBy("session_id").applyInPandas(run, "session_id long, lo double, hi double, block_lo double, block_hi double")
@@ -173,7 +176,7 @@ def kernel_clock_offset(spark: SparkSession, sf: str) -> DataFrame:
     return track(spark, sf).select("session_id", "utc_s", "sd_n").groupBy("session_id").applyInPandas(run, "session_id long, lag_s double, confidence double")
 
 
-@query()
+@query(recursions.MAHONY.format(track=TRACK))
 def kernel_mahony(spark: SparkSession, sf: str) -> DataFrame:
     """Attitude from ten inertial samples a second, at the epochs' rate."""
 

@@ -48,12 +48,23 @@ def export_lines(spark: SparkSession, sf: str) -> DataFrame:
     return track(spark, sf).where("quality = 1").groupBy("session_id").agg(F.count(F.lit(1)).alias("points"), F.array_join(packed, " ").alias("line"))
 
 
-@query()
+def _half_up(x: str, digits: int) -> str:
+    """SQL for x rounded half up by its shortest decimal form, as format_string() does."""
+    return f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, {digits})) AS DOUBLE)"
+
+
+@query(f"""WITH {TRACK} SELECT session_id, strftime(make_timestamp(CAST(floor(utc_s * 1000 + 0.5E0) AS BIGINT) * 1000), '%Y/%m/%d %H:%M:%S.%g')
+  || printf(' %14.9f %14.9f %10.4f %3d %3d %8.4f %8.4f %8.4f', {_half_up('lat_deg', 9)}, {_half_up('lon_deg', 9)}, {_half_up('h_m', 4)}, quality, CAST(ns AS INT), {_half_up('coalesce(sd_n, 0)', 4)}, {_half_up('coalesce(sd_e, 0)', 4)}, {_half_up('coalesce(sd_u, 0)', 4)}) AS value FROM track""")
 def export_pos_lines(spark: SparkSession, sf: str) -> DataFrame:
     return files.pos_lines(track(spark, sf)).select("session_id", "value")
 
 
-@query()
+@query(f"""WITH {TRACK}, c AS (SELECT *, CASE WHEN quality IS DISTINCT FROM lag(quality) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM track WINDOW w AS (PARTITION BY session_id ORDER BY utc_s)),
+r AS (SELECT session_id, utc_s, lat_deg, lon_deg, h_m, quality, sum(new) OVER (PARTITION BY session_id ORDER BY utc_s) AS run_id FROM c),
+nxt AS (SELECT *, lead(run_id) OVER w AS run_after, lead(quality) OVER w AS quality_after FROM r WINDOW w AS (PARTITION BY session_id ORDER BY utc_s)),
+s AS (SELECT session_id, utc_s, lat_deg, lon_deg, h_m, quality, run_id FROM r UNION ALL SELECT session_id, utc_s, lat_deg, lon_deg, h_m, quality_after, run_after FROM nxt WHERE run_after > run_id)
+SELECT session_id, CAST(run_id AS BIGINT) AS run_id, '<Placemark><name>run ' || run_id || '</name><styleUrl>#q' || quality || '</styleUrl><LineString><altitudeMode>absolute</altitudeMode><coordinates>'
+  || string_agg(printf('%.8f,%.8f,%.3f', {_half_up('lon_deg', 8)}, {_half_up('lat_deg', 8)}, {_half_up('h_m', 3)}), ' ' ORDER BY utc_s) || '</coordinates></LineString></Placemark>' AS value FROM s GROUP BY session_id, run_id, quality HAVING count(*) >= 2""")
 def export_trust_placemarks(spark: SparkSession, sf: str) -> DataFrame:
     """Map lines by quality, bridged between runs."""
     segments = files.coordinates(islands.colored_segments(track(spark, sf)), ["session_id", "run_id", "quality"])

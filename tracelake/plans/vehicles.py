@@ -123,3 +123,15 @@ def clock_audio_jumps(spark: SparkSession, sf: str) -> DataFrame:
     pairs = t.select("session_id", x.alias("x"), (x + F.when(F.col("epoch_ix") % 30 >= 15, 9.0e7).otherwise(0.0)).alias("y"))
     fit = t.select("session_id").distinct().select("session_id", F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept"))
     return rounded(media.discontinuities(pairs, fit))
+
+
+@query(f"""WITH {TRACK}, x AS (SELECT session_id, epoch_ix AS i, sd_n AS x, count(*) OVER (PARTITION BY session_id) AS n FROM track),
+s AS (SELECT a.session_id, a.i AS start, f.k, sum(b.x * (0.5E0 - 0.5E0 * cos(2 * pi() * (b.i - a.i) / 15)) * cos(2 * pi() * f.k * (b.i - a.i) / 16)) AS re, sum(b.x * (0.5E0 - 0.5E0 * cos(2 * pi() * (b.i - a.i) / 15)) * sin(2 * pi() * f.k * (b.i - a.i) / 16)) AS im
+  FROM x a JOIN x b ON a.session_id = b.session_id AND b.i BETWEEN a.i AND a.i + 15, range(8) AS f(k) WHERE a.i % 8 = 0 AND a.i + 16 <= a.n GROUP BY ALL)
+SELECT session_id, start, CAST(k // 2 AS INT) AS bin, round(10 * log10(max(re * re + im * im) + 1E-12), 4) + 0.0E0 AS power_db FROM s GROUP BY ALL""")
+def media_spectrogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Short spectra of each session's sigmas, dealt in blocks of twenty samples as sound is."""
+    one = F.struct(F.col("epoch_ix").alias("i"), F.col("sd_n").alias("x"))
+    blocks = track(spark, sf).groupBy(F.col("session_id").alias("file"), (F.floor(F.col("epoch_ix") / 20) * 20).alias("start")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]).alias("samples"))
+    spectra = media.spectrogram(blocks, window=16, hop=8, bins=4)
+    return rounded(spectra.select(F.col("file").alias("session_id"), "start", F.posexplode("power_db").alias("bin", "power_db")), 4)
