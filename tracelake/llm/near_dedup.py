@@ -25,8 +25,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bands whose stars are confirmed before those of all others are looked at.
 EARLY_BANDS = 4
-#: Most sets that one task compares with as many others when clusters are finished. A cluster has PARTS blocks at least, of LEAST_BLOCK sets or more.
-BLOCK, PARTS, LEAST_BLOCK = 4096, 16, 128
+#: Sets that one task compares with as many others when clusters are finished.
+BLOCK = 4096
 #: Shingles of all sets of a block, which bounds a task's memory when sets are long.
 BLOCK_SHINGLES = 4 << 20
 #: Postings that a task looks at in one step.
@@ -298,15 +298,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     clusters = connected(loose.select(F.col("low").alias("a"), F.col("component").alias("b")).distinct())
     placed = loose.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
     placed = C.materialize(placed.join(sets.select("rep", F.size("shingles").alias("n")), "rep"))
-    # Links within a cluster's largest component change nothing: its blocks meet only those of the other components.
+    # A cluster of more than a block is dealt out: links within its largest component change nothing, so that one's blocks meet only those of the others.
     parts = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
     largest = F.max(F.struct("n", "component", "shingles"))
     sizes = parts.groupBy("cluster").agg(largest.alias("major"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    most = F.least(F.lit(block), F.greatest(F.lit(min(block, LEAST_BLOCK)), F.col("n") / PARTS))
-    blocks = lambda n, shingles: F.ceil(F.greatest(n / most, shingles / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("cluster", F.col("major.component").alias("major"), blocks(F.col("n") - F.col("major.n"), F.col("shingles") - F.col("major.shingles")).alias("few"), blocks(F.col("major.n"), F.col("major.shingles")).alias("many"))
-    minor = F.col("component") != F.col("major")
-    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / block, shingles / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("n") <= block) & (F.col("shingles") <= BLOCK_SHINGLES)
+    few = F.when(one, 1).otherwise(blocks(F.col("n") - F.col("major.n"), F.col("shingles") - F.col("major.shingles")))
+    many = F.when(one, 0).otherwise(blocks(F.col("major.n"), F.col("major.shingles")))
+    sizes = sizes.select("cluster", F.col("major.component").alias("major"), few.alias("few"), many.alias("many"))
+    minor = (F.col("component") != F.col("major")) | (F.col("many") == 0)
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
     dealt = placed.join(sizes, "cluster").withColumn("block", F.when(minor, deal(F.col("few"))).otherwise(F.col("few") + deal(F.col("many"))))
     with_other = F.explode(F.sequence(F.lit(0), F.when(minor, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)))
     pairs = dealt.withColumn("other", with_other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
