@@ -184,3 +184,32 @@ def zone_epsg(zone: Column) -> Column:
     band = F.upper(F.regexp_extract(zone, r"^\s*(\d{1,2})\s*([A-Za-z])\s*$", 2))
     base = F.when(band == "S", 32700).when(band >= "N", 32600).otherwise(32700)
     return F.when(number.between(1, 60), base + number).cast("int")
+
+
+def base_spec(text: Column) -> Column:
+    """A station's place as struct x, y, z: 'ecef:x,y,z', 'llh:lat,lon,h', or three bare numbers of either kind; else null.
+
+    Bare numbers are Cartesian if all exceed 100 km, geodetic if the first two
+    can be latitude and longitude.
+    """
+    s = F.trim(text)
+    kind = F.lower(F.regexp_extract(s, r"^([A-Za-z]+):", 1))
+    numbers = F.transform(F.split(F.regexp_replace(s, r"^[A-Za-z]+:", ""), ","), lambda p: F.trim(p).try_cast("double"))
+    point = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def place(v: Column) -> Column:
+        kind, n = v["kind"], v["n"]
+        a, b, c = (F.try_element_at(n, F.lit(k)) for k in (1, 2, 3))
+        fine = (F.size(n) == 3) & F.forall(n, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+        far = F.forall(n, lambda x: F.abs(x) > 1.0e5)
+        cartesian = (kind == "ecef") | ((kind == "") & far)
+        geodetic = (kind == "llh") | ((kind == "") & ~far & (F.abs(a) <= 90.0) & (F.abs(b) <= 180.0))
+        return F.when(fine & cartesian, point(a, b, c)).when(fine & geodetic, point(*llh_to_ecef(a, b, c)))
+
+    # Through an array of one, so that the text is parsed once.
+    return F.get(F.transform(F.array(F.struct(kind.alias("kind"), numbers.alias("n"))), place), 0)
+
+
+def on_surface(x: Column, y: Column, z: Column) -> Column:
+    """Whether Cartesian metres can be a place on Earth."""
+    return F.sqrt(x * x + y * y + z * z).between(6.0e6, 7.0e6)

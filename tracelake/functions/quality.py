@@ -83,3 +83,49 @@ def velocity_disagreement(ce: Column, cn: Column, cu: Column, ve: Column, vn: Co
     """Length of the difference; vertical counts if both are known; null if the horizontal isn't."""
     up = F.when(cu.isNotNull() & vu.isNotNull(), (cu - vu) * (cu - vu)).otherwise(0.0)
     return F.sqrt((ce - ve) * (ce - ve) + (cn - vn) * (cn - vn) + up)
+
+
+#: What a solution's quality costs as a signal.
+Q_PENALTY = {1: 0.0, 2: 0.3, 4: 0.8, 5: 1.0}
+
+
+def trust_signals(eff_sig: Column, disagree: Column, innovation: Column, two_way: Column, innovation_norm: Column, max_speed: float = 40.0) -> dict[str, Column]:
+    """Ten signs of a bad epoch, higher is worse; of quality, ns, sd_n, sd_e, vn, ve, ratio and of what a smoother says.
+
+    Missing sigmas, speeds and smoother values count as 0 (the effective sigma
+    as 4, within 0.1 to 8), a missing ratio as 0.1.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    speed = F.sqrt(zero(F.col("vn")) ** 2 + zero(F.col("ve")) ** 2)
+    return {
+        "eff_sig": clip(F.coalesce(eff_sig, F.lit(4.0)), 0.1, 8.0),
+        "disagree": zero(disagree),
+        "innovation_h": zero(innovation),
+        "fwd_bwd_h": zero(two_way),
+        "innovation_norm": zero(innovation_norm),
+        "q_penalty": by_quality(F.col("quality"), Q_PENALTY, 1.0),
+        "ns_penalty": F.greatest(F.lit(0.0), 1.0 - F.col("ns") / 20.0),
+        "sd_h": sd_h(zero(F.col("sd_n")), zero(F.col("sd_e"))),
+        "slowness": 1.0 - F.least(speed / max_speed, F.lit(1.0)),
+        "ratio_inv": 1.0 / F.greatest(F.coalesce(F.col("ratio"), F.lit(0.1)), F.lit(0.1)),
+    }
+
+
+def normalized(signals: dict[str, Column], bounds: dict[str, tuple[float, float]]) -> dict[str, Column]:
+    """Each signal between its bounds as 0 to 1 (unknown bounds are 0 to 1; empty ones give 0)."""
+    out = {}
+    for name, signal in signals.items():
+        lo, hi = bounds.get(name, (0.0, 1.0))
+        out[name] = clip((signal - lo) / (hi - lo), 0.0, 1.0) if hi > lo else F.lit(0.0)
+    return out
+
+
+def composite(normed: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted mean of signals from 0 to 1; 0 without weights."""
+    used = {n: w for n, w in weights.items() if n in normed and w > 0}
+    if not used:
+        return F.lit(0.0)
+    total = F.lit(0.0)
+    for name, weight in used.items():
+        total = total + normed[name] * weight
+    return clip(total / sum(used.values()), 0.0, 1.0)

@@ -47,3 +47,35 @@ def residuals(anchors: DataFrame, fits: DataFrame, by: str = "session_id") -> Da
     line = timefn.anchor_utc(F.col("x_ns"), F.col("slope"), F.col("xmean"), F.col("ymean"))
     sigma = timefn.anchor_sigma(F.col("x_ns"), F.col("rmse_s"), F.col("n"), F.col("xmean"), F.col("sxx"))
     return rows.select(*anchors.columns, (F.col("y_s") - line).alias("residual_s"), sigma.alias("sigma_s"))
+
+
+def cubic_gain(anchors: DataFrame, by: str = "session_id") -> DataFrame:
+    """by, n, linear_rmse_s, cubic_rmse_s: how much better a cubic fits a session's anchors (x_ns, y_s); below five anchors the cubic is null.
+
+    Polynomials orthogonal on the session's own x are built one from another by
+    window sums, so nothing is solved and nothing leaves the executors.
+    """
+    w = Window.partitionBy(by)
+    rows = anchors.where("x_ns IS NOT NULL AND y_s IS NOT NULL").select(by, "x_ns", F.col("y_s").cast("double").alias("__y"))
+    rows = rows.withColumn("__x", (F.col("x_ns") - F.min("x_ns").over(w)).cast("double"))
+    rows = rows.withColumn("__x", F.try_divide(F.col("__x") - F.avg("__x").over(w), F.max("__x").over(w)))
+    rows = rows.withColumns({"__p0": F.lit(1.0), "__r": F.col("__y") - F.avg("__y").over(w)})
+    for k in range(1, 4):
+        p, older = F.col(f"__p{k - 1}"), F.col(f"__p{max(k - 2, 0)}")
+        shift = F.try_divide(F.sum(F.col("__x") * p * p).over(w), F.sum(p * p).over(w))
+        back = F.try_divide(F.sum(p * p).over(w), F.sum(older * older).over(w)) if k > 1 else F.lit(0.0)
+        rows = rows.withColumns({"__s": shift, "__k": back}).withColumn(f"__p{k}", (F.col("__x") - F.col("__s")) * p - F.col("__k") * older)
+        part = F.try_divide(F.sum(F.col("__r") * F.col(f"__p{k}")).over(w), F.sum(F.col(f"__p{k}") ** 2).over(w))
+        rows = rows.withColumn("__c", F.coalesce(part, F.lit(0.0))).withColumn("__r", F.col("__r") - F.col("__c") * F.col(f"__p{k}"))
+        if k == 1:
+            rows = rows.withColumn("__linear", F.col("__r"))
+    n = F.count(F.lit(1))
+    return rows.groupBy(by).agg(n.alias("n"), F.sqrt(F.avg(F.col("__linear") ** 2)).alias("linear_rmse_s"), F.when(n >= 5, F.sqrt(F.avg(F.col("__r") ** 2))).alias("cubic_rmse_s"))
+
+
+def video_zero(sessions: DataFrame, clip_anchors: DataFrame, manifests: DataFrame, anchors: DataFrame, by: str = "session_id") -> DataFrame:
+    """by, t0_ns: when sample 0 of a session's video was, by the least boot_ns of its cut clip, else its manifest (video_t0_boottime_ns), else the least boot_ns of its frames; null for none."""
+    least = lambda df, name: df.groupBy(by).agg(F.min("boot_ns").alias(name))
+    named = manifests.groupBy(by).agg(F.max("video_t0_boottime_ns").alias("__manifest"))
+    rows = sessions.select(by).distinct().join(least(clip_anchors, "__clip"), by, "left").join(named, by, "left").join(least(anchors, "__frames"), by, "left")
+    return rows.select(by, F.coalesce("__clip", "__manifest", "__frames").alias("t0_ns"))

@@ -94,3 +94,41 @@ def device_track_gate(interpolated: DataFrame, max_m: float = 10.0) -> DataFrame
     east = (F.col("lon_deg") - F.col("d_lon")) * 111320.0 * F.cos(F.radians("lat_deg"))
     far = F.sqrt(north * north + east * east)
     return interpolated.withColumn("disagree_m", far).withColumn("keep", F.coalesce(far <= max_m, F.lit(True)))
+
+
+def inertial_velocity(track: DataFrame, imu: DataFrame, max_sd: float = 0.1, least: int = 30, times: float = 3.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """track (ve, vn, sd_ve, sd_vn) with imu_score and imu_reject: changes of velocity that inertial samples don't explain.
+
+    imu holds accelerations turned to east and north without gravity (a_e, a_n),
+    of which steps of up to 0.1 s between two epochs are summed. Epochs with
+    sure velocities (at least so many, with more than ten samples) give the
+    session's bias and spread; without them, or with a spread of nothing, no
+    epoch is rejected. Samples and epochs are put on one timeline: one shuffle.
+    """
+    w = ordered(by, t)
+    marks = track.select(by, t, F.lit(1).alias("__epoch"), F.lit(None).cast("double").alias("a_e"), F.lit(None).cast("double").alias("a_n"))
+    line = marks.unionByName(imu.select(by, t, F.lit(0).alias("__epoch"), "a_e", "a_n"))
+    place = F.sum("__epoch").over(Window.partitionBy(by).orderBy(t, F.desc("__epoch")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    samples = line.withColumn("__k", place).where("__epoch = 0")
+    inside = Window.partitionBy(by, "__k").orderBy(t)
+    samples = samples.withColumn("__dt", F.lead(t).over(inside) - F.col(t))
+    used = (F.col("__dt") > 0) & (F.col("__dt") <= 0.1)
+    sums = samples.groupBy(by, "__k").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.when(used, F.col(f"a_{c}") * F.col("__dt")).otherwise(0.0)).alias(f"__i{c}") for c in "en"])
+    rows = track.withColumn("__k", F.row_number().over(w).cast("long"))
+    # What lies before the k-th epoch are the samples after the one before it.
+    sums = sums.withColumn("__k", F.col("__k") + 1).where("__k > 1")
+    rows = rows.join(sums, [by, "__k"], "left")
+    known = F.coalesce(F.col("__n"), F.lit(0)) >= 2
+    change = {f"__g{c}": F.coalesce(F.col(f"v{c}") - F.lag(f"v{c}").over(w), F.lit(0.0)) for c in "en"}
+    rows = rows.withColumns(change).withColumns({f"__i{c}": F.when(known, F.col(f"__i{c}")).otherwise(0.0) for c in "en"})
+    sure = F.coalesce((F.col("__n") > 10) & (F.sqrt(F.col("sd_ve") ** 2 + F.col("sd_vn") ** 2) < max_sd), F.lit(False))
+    whole = Window.partitionBy(by)
+    rows = rows.withColumn("__sure", sure)
+    rows = rows.withColumns({f"__d{c}": F.col(f"__g{c}") - F.col(f"__i{c}") for c in "en"})
+    rows = rows.withColumns({f"__b{c}": F.median(F.when(F.col("__sure"), F.col(f"__d{c}"))).over(whole) for c in "en"} | {f"__s{c}": F.stddev_pop(F.when(F.col("__sure"), F.col(f"__d{c}"))).over(whole) for c in "en"} | {"__sured": F.count_if("__sure").over(whole)})
+    fit = (F.col("__sured") >= least) & (F.col("__se") >= 1e-6) & (F.col("__sn") >= 1e-6)
+    judged = F.coalesce(fit & (F.col("__n") >= 5), F.lit(False))
+    off = {c: F.abs(F.col(f"__d{c}") - F.col(f"__b{c}")) / F.col(f"__s{c}") for c in "en"}
+    score = F.when(judged, F.sqrt(off["e"] ** 2 + off["n"] ** 2)).otherwise(0.0)
+    reject = judged & ((off["e"] > times) | (off["n"] > times))
+    return rows.withColumns({"imu_score": score, "imu_reject": F.coalesce(reject, F.lit(False))}).select(*track.columns, "imu_score", "imu_reject")

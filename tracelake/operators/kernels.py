@@ -474,3 +474,29 @@ def spline_offset(t: np.ndarray, base: np.ndarray, anchors_t: np.ndarray, anchor
         scale = max(1.4826 * np.median(r), 1e-9)
         weight = np.minimum(1.0, huber * scale / np.maximum(r, 1e-12))
     return base + basis(t) @ c
+
+
+def extrapolated_jumps(rows: pd.DataFrame, jump_m: float) -> dict[str, np.ndarray]:
+    """Epochs that neither the last kept epoch's velocity nor the next one's leads to within jump_m; the ends stay."""
+    t = rows["utc_s"].to_numpy(float)
+    xyz = rows[["e_m", "n_m", "u_m"]].to_numpy(float)
+    v = np.nan_to_num(rows[["ve", "vn", "vu"]].to_numpy(float))
+    from_next = np.full(len(t), np.inf)
+    if len(t) > 1:
+        from_next[:-1] = np.linalg.norm(xyz[:-1] - (xyz[1:] - v[1:] * np.diff(t)[:, None]), axis=1)
+    drop, kept = np.zeros(len(t), bool), 0
+    for k in range(1, len(t)):
+        if k < len(t) - 1 and from_next[k] >= jump_m:
+            drop[k] = np.linalg.norm(xyz[k] - xyz[kept] - v[kept] * (t[k] - t[kept])) >= jump_m
+        if not drop[k]:
+            kept = k
+    return {"jump": drop}
+
+
+def lowpass(x: np.ndarray, alpha: float = 0.02) -> np.ndarray:
+    """One-pole low-pass along the rows, started at the first."""
+    out, state = np.empty_like(x, dtype=float), x[0].astype(float)
+    for k, row in enumerate(x):
+        state = state + alpha * (row - state)
+        out[k] = state
+    return out

@@ -103,3 +103,65 @@ def step_stops(stepped: DataFrame, below: float = 0.5, min_s: float = 1.5, by: s
     rows = stepped.withColumn("__before", F.lag(t).over(ordered(by, t))).withColumn("__slow", F.coalesce(F.col("speed_mps") < below, F.lit(False)))
     runs = with_runs(rows, F.col("__slow"), by, t).where("__slow").groupBy(by, "run_id").agg(F.min("__before").alias("start_s"), F.max(t).alias("end_s"), F.count(F.lit(1)).alias("n"))
     return runs.where(F.col("end_s") - F.col("start_s") >= min_s).drop("run_id")
+
+
+def sideways_weight(enu: DataFrame, sigma_m: float, smooth_rows: float, min_speed: float, chord_rows: int = 1, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """enu with side_m and side_weight: exp(-side**2 / 2 sigma**2) of how far an epoch lies beside its smoothed path.
+
+    smooth_rows and chord_rows are the smoothing time and about a second in rows
+    of the sessions' usual step; the path's direction is the chord of chord_rows
+    either way, cut at the ends. Slow epochs (Doppler speed, else the chord's)
+    have weight 1 and no side_m.
+    """
+    from tracelake.operators.smoothing import gaussian_rows
+
+    w = ordered(by, t)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = gaussian_rows(enu, ["e_m", "n_m"], smooth_rows, by, t, suffix="_path")
+    chord = {c: F.coalesce(F.lead(c, chord_rows).over(w), F.last(c).over(whole)) - F.coalesce(F.lag(c, chord_rows).over(w), F.first(c).over(whole)) for c in ("e_m_path", "n_m_path", t)}
+    rows = rows.withColumns({"__de": chord["e_m_path"], "__dn": chord["n_m_path"], "__dt": chord[t]})
+    span = F.when(F.col("__dt") > 1e-9, F.col("__dt")).otherwise(1.0)
+    fe, fn = F.col("__de") / span, F.col("__dn") / span
+    speed = F.sqrt(fe * fe + fn * fn)
+    size = F.when(speed > 1e-6, speed).otherwise(1.0)
+    side = ((F.col("e_m") - F.col("e_m_path")) * fn - (F.col("n_m") - F.col("n_m_path")) * fe) / size
+    active = F.coalesce(F.sqrt(F.col("vn") ** 2 + F.col("ve") ** 2), speed) >= min_speed
+    rows = rows.withColumn("side_m", F.when(active, side))
+    weight = F.when(F.col("side_m").isNotNull(), F.exp(-((F.col("side_m") / sigma_m) ** 2) / 2)).otherwise(1.0)
+    return rows.withColumn("side_weight", weight).select(*enu.columns, "side_m", "side_weight")
+
+
+def places_on_track(frames: DataFrame, enu: DataFrame, max_m: float = 25.0, cell_m: float = 100.0, by: str = "session_id", t: str = "utc_s", key: str = "frame") -> DataFrame:
+    """by, key, utc_s, off_m: when a track was nearest to each frame's place (fe_m, fn_m), between its epochs too.
+
+    The nearest epoch's two segments are looked at; frames farther than max_m
+    from them have no row. Epochs meet frames through square cells: those within
+    cell_m of a frame are always seen, so cell_m must exceed max_m plus half of
+    the longest step that counts.
+    """
+    w = ordered(by, t)
+    around = {f"{n}{k}": f(c).over(w) for k, f in (("0", F.lag), ("1", F.lead)) for n, c in (("__e", "e_m"), ("__n", "n_m"), ("__t", t))}
+    epochs = enu.select(by, t, "e_m", "n_m").withColumns(around)
+    cell = lambda c: F.floor(F.col(c) / cell_m)
+    epochs = epochs.withColumns({"__ce": cell("e_m"), "__cn": cell("n_m")})
+    near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    asked = frames.select(by, key, "fe_m", "fn_m").withColumns({"__ce": cell("fe_m"), "__cn": cell("fn_m")})
+    asked = asked.withColumn("__x", near).withColumn("__y", near).withColumns({"__ce": F.col("__ce") + F.col("__x"), "__cn": F.col("__cn") + F.col("__y")}).drop("__x", "__y")
+    d2 = (F.col("e_m") - F.col("fe_m")) ** 2 + (F.col("n_m") - F.col("fn_m")) ** 2
+    best = asked.join(epochs, [by, "__ce", "__cn"]).withColumn("__d2", d2)
+    best = best.groupBy(by, key).agg(F.min(F.struct("__d2", t, "fe_m", "fn_m", "e_m", "n_m", "__e0", "__n0", "__t0", "__e1", "__n1", "__t1")).alias("b")).select(by, key, "b.*")
+
+    def on(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column]:
+        """Distance and time of the nearest place on a segment of (east, north, time) ends; null for none."""
+        de, dn = b[0] - a[0], b[1] - a[1]
+        sq = de * de + dn * dn
+        u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("fe_m") - a[0]) * de + (F.col("fn_m") - a[1]) * dn) / F.when(sq >= 1e-12, sq)))
+        return F.sqrt((F.col("fe_m") - a[0] - u * de) ** 2 + (F.col("fn_m") - a[1] - u * dn) ** 2), a[2] + u * (b[2] - a[2])
+
+    here = (F.col("e_m"), F.col("n_m"), F.col(t))
+    d0, t0 = on((F.col("__e0"), F.col("__n0"), F.col("__t0")), here)
+    d1, t1 = on(here, (F.col("__e1"), F.col("__n1"), F.col("__t1")))
+    rows = best.withColumns({"__d": F.sqrt("__d2"), "__da": F.coalesce(d0, F.lit(float("inf"))), "__ta": t0, "__db": F.coalesce(d1, F.lit(float("inf"))), "__tb": t1})
+    off = F.least("__d", "__da", "__db")
+    when = F.when((F.col("__da") < F.col("__d")) & (F.col("__da") <= F.col("__db")), F.col("__ta")).when(F.col("__db") < F.col("__d"), F.col("__tb")).otherwise(F.col(t))
+    return rows.select(by, key, when.alias(t), off.alias("off_m")).where(F.col("off_m") <= max_m)

@@ -160,3 +160,17 @@ def normal_scores(df: DataFrame, col: str, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(col)
     p = (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(by))
     return df.where(F.col(col).isNotNull()).withColumn("z", 1.4142135623730951 * erfinv(2.0 * p - 1.0))
+
+
+def weighted_median(df: DataFrame, col: str, weight: Column, by: str = "session_id") -> DataFrame:
+    """by, value: the first value, in rising order, up to which half of all weight lies; the upper median where no weight is positive."""
+    rows = df.where(F.col(col).isNotNull()).select(by, F.col(col).alias("value"), weight.alias("__w"))
+    w = Window.partitionBy(by)
+    rows = rows.withColumns({"__all": F.sum("__w").over(w), "__so_far": F.sum("__w").over(w.orderBy("value"))})
+    half = F.min(F.when((F.col("__all") > 0) & (F.col("__so_far") >= F.col("__all") / 2), F.col("value")))
+    return rows.groupBy(by).agg(F.coalesce(half, upper_median("value")).alias("value"))
+
+
+def winner(a: Column, b: Column, names: tuple[str, str]) -> Column:
+    """Which of two errors is smaller, 'tie', or 'n/a' if one is missing."""
+    return F.when(a.isNull() | b.isNull(), "n/a").when(a < b, names[0]).when(b < a, names[1]).otherwise("tie")
