@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from tracelake.functions import geo, timefn
 from tracelake.operators import asof, islands, kernels, masks, ranges, smoothers, smoothing
@@ -183,3 +184,40 @@ def test_geodesy_and_clocks(spark):
     assert abs(values(spark, geo.parse_dms(lit("32 30 0 S"))) + 32.5) < 1e-12
     assert [values(spark, timefn.leap_seconds(lit(float(s)))) for s in (0, 1483228799, 1483228800)] == [0, 17, 18]
     assert values(spark, timefn.fraction(lit("30000/1001"))) == 30000 / 1001 and values(spark, timefn.fraction(lit("1/0"))) is None
+
+
+def test_many_sessions_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(5)
+    sizes = [3, 40, 1, 17]
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    z = rng.normal(size=(cuts[-1], 2)).cumsum(0)
+    z[rng.random(z.shape) < 0.2] = np.nan
+    z[cuts[2]] = np.nan
+    dt = np.full(cuts[-1], 1.3)
+    together = kernels.cv_rts_all(cuts, z, dt)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for k in range(2):
+            assert np.allclose(together[a:b, k], kernels.cv_rts(z[a:b, k], 1.3), equal_nan=True)
+
+
+def test_two_state_smoother_equals_the_matrix_form():
+    rng = np.random.default_rng(6)
+    z, t = rng.normal(size=30).cumsum(), np.cumsum(rng.random(30))
+    gaps = np.diff(t, prepend=t[0])
+    h, r = np.array([[1.0, 0.0]]), np.array([[0.7]])
+    start = np.array([z[0], 0.0]), np.diag([0.7, 100.0])
+    want, cov = kernels._smooth(30, start, lambda k: kernels._cv(gaps[k], 0.5), lambda k: [(z[k : k + 1], h, r)])
+    x, v, a, c = kernels.two_state(np.array([0, 30]), z[:, None], np.full((30, 1), 0.7), gaps, 0.5, (z[0], 0.0, 0.7, 100.0))
+    assert np.allclose(np.stack([x[:, 0], v[:, 0]], 1), want) and np.allclose(a[:, 0], cov[:, 0, 0]) and np.allclose(c[:, 0], cov[:, 1, 1])
+
+
+def test_sessions_are_whole_when_batches_part_them(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "SIDE_BY_SIDE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = spark.createDataFrame([(s, float(t)) for s in range(7) for t in range(1 + 3 * (s % 4))], "session_id long, utc_s double").repartition(2)
+        count = lambda r, cuts: {"n": np.repeat(np.diff(cuts), np.diff(cuts))}
+        got = kernels.per_sessions(rows, count, {"n": types.LongType()}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == rows.count() and all(r.n == 1 + 3 * (r.session_id % 4) for r in got)

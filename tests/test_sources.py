@@ -198,3 +198,32 @@ def test_chosen_columns(spark):
     with pytest.raises(ValueError, match="there are"):
         files.export_columns(track(spark), ("nowhere",))
     assert math.isclose(out.agg(F.max("t_s")).first()[0], 5.0)
+
+
+def test_session_folders(spark):
+    from tracelake.sources import sessions
+
+    core = ["measurements_1.txt", "recording_1.txt", "sensors_1.txt"]
+    listing = {
+        "old": core + ["recording_1.mp4", "notes.doc"],
+        "new": core + ["recording_1.video_anchor.txt", "capture_meta.json", "audio_1.wav", "audio_anchor_1.txt", "z.mp4"],
+        "cut": core + ["recording_1.mp4"],
+        "cut/chop_7": ["chop_7.chop_meta.json", "chop_7.mp4", "chop_7.video_anchor.txt"],
+        "many": core + ["sensors_2.txt"],
+        "half": ["measurements_1.txt"],
+    }
+    files = spark.createDataFrame([(f"file:/d/{d}/{n}",) for d, names in listing.items() for n in names], "file string")
+    got = {r.session.rsplit("/", 1)[1]: r for r in sessions.resolve(files).collect()}
+    assert set(got) == {"old", "new", "cut", "many", "half"}
+    assert got["old"].format == "old" and got["old"].video.endswith("recording_1.mp4") and got["old"].problem is None
+    assert got["new"].format == "new" and got["new"].recording.endswith("/recording_1.txt") and got["new"].video.endswith("z.mp4") and got["new"].audio is not None
+    assert got["cut"].clip.endswith("chop_7") and got["cut"].video.endswith("chop_7.mp4") and got["cut"].video_anchor.endswith("chop_7.video_anchor.txt")
+    assert got["many"].problem == "several sensors files" and got["half"].problem == "no recording file; no sensors file"
+
+
+def test_listing_reads_no_contents(spark, tmp_path):
+    from tracelake.sources import sessions
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "sensors_1.txt").write_text("x")
+    assert [r.file.rsplit("/", 2)[1:] for r in sessions.list_files(spark, str(tmp_path)).collect()] == [["s", "sensors_1.txt"]]

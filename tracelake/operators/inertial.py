@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelake.operators import kernels
+from tracelake.operators import islands, kernels
+from tracelake.operators.ranges import interval_join
 
 G = 9.80665
 
@@ -154,3 +157,64 @@ def nees(errors: np.ndarray, covariances: np.ndarray, alpha: float = 0.05) -> tu
     m = float(np.mean(np.einsum("ni,ni->n", errors, np.linalg.solve(covariances, errors[:, :, None])[:, :, 0])))
     lo, hi = chi_square_interval(errors.shape[1], len(errors), alpha)
     return m, lo, hi, lo <= m <= hi
+
+
+def position_filter(track: DataFrame, imu: DataFrame, sigma_a: float = 0.5, sigma_p: float = 3.0, sigma_v: float = 0.5, two_way: bool = False, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, t, epoch, e_s, n_s, u_s, ve_s, vn_s, vu_s at every sample and epoch from a session's first epoch on.
+
+    imu holds accelerations in local axes without gravity (a_e, a_n, a_u), which
+    drive constant-velocity filters of each axis; epochs (e_m, n_m, u_m, ve, vn,
+    vu; missing ones are skipped) correct them, so that holes between epochs are
+    bridged by the samples. two_way smooths. Samples and epochs are one timeline,
+    with one shuffle; a whole session is in a task.
+    """
+    axes, rates, forces = ("e_m", "n_m", "u_m"), ("ve", "vn", "vu"), ("a_e", "a_n", "a_u")
+    none = lambda cols: [F.lit(None).cast("double").alias(c) for c in cols]
+    epochs = track.select(by, t, F.lit(1).alias("epoch"), *axes, *rates, *none(forces))
+    line = epochs.unionByName(imu.select(by, t, F.lit(0).alias("epoch"), *none(axes), *none(rates), *forces))
+    so_far = Window.partitionBy(by).orderBy(t, "epoch").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("epoch") == 1, F.col(t))).over(Window.partitionBy(by))
+    line = line.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(0.0)) for c in forces} | {"__first": first})
+    line = line.where((F.col("epoch") == 1) | (F.col(t) > F.col("__first"))).drop("__first")
+
+    def fold(rows: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
+        z, v, force = (rows[[*c]].to_numpy(float) for c in (axes, rates, forces))
+        gaps = np.maximum(np.diff(rows[t].to_numpy(float), prepend=rows[t].iloc[0]), 0.0)
+        gaps[cuts[:-1]] = 0.0
+        start = np.nan_to_num(z[cuts[:-1]]), np.nan_to_num(v[cuts[:-1]]), sigma_p**2, 4.0
+        shape = lambda sigma: np.full(z.shape, sigma**2)
+        x, vel, _, _ = kernels.two_state(cuts, z, shape(sigma_p), gaps, sigma_a, start, v, shape(sigma_v), push=force, two_way=two_way)
+        return {f"{c}_s": x[:, k] for k, c in enumerate("enu")} | {f"v{c}_s": vel[:, k] for k, c in enumerate("enu")}
+
+    out = {c: T.DoubleType() for c in ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s")}
+    return kernels.per_sessions(line, fold, out, by, t).select(by, t, "epoch", *out)
+
+
+def calibrate(imu: DataFrame, track: DataFrame | None = None, max_speed: float = 0.4, min_s: float = 2.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, axis, random_walk, bias_instability, rate_random_walk, reliable, n, source: noise of each inertial axis (ax to gz).
+
+    Without a track the samples are taken to be at rest (dedicated_static);
+    otherwise those within its standing periods count (mined_zupt), and a session
+    without one has no row. Axes below eight samples have none either; without
+    any noise all is 0.
+    """
+    source, still = "dedicated_static", imu
+    if track is not None:
+        source = "mined_zupt"
+        still = interval_join(imu, islands.static_periods(track, max_speed, min_s, by, t), t=t, by=by).select(*imu.columns)
+    names = [by, "axis", "random_walk", "bias_instability", "rate_random_walk", "reliable", "n", "source"]
+    long = still.unpivot([by, t], ["ax", "ay", "az", "gx", "gy", "gz"], "axis", "x")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(t)
+        steps = np.diff(rows[t])
+        steps = steps[steps > 0]
+        out = {by: rows[by].iloc[0], "axis": rows["axis"].iloc[0], "n": len(rows), "source": source}
+        if len(rows) < 8 or not len(steps):
+            return pd.DataFrame(columns=names)
+        x = rows["x"].to_numpy(float)
+        noise = allan_parameters(x, float(1 / np.median(steps))) if x.std() > 0 else dict.fromkeys(names[2:5], 0.0) | {"reliable": False}
+        return pd.DataFrame([out | noise])[names]
+
+    kind = dict(imu.dtypes)[by]
+    return long.groupBy(by, "axis").applyInPandas(run, f"{by} {kind}, axis string, random_walk double, bias_instability double, rate_random_walk double, reliable boolean, n long, source string")

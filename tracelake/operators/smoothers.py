@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.operators import gates, inertial, kernels, smoothing
+from tracelake.operators import constraints, gates, inertial, kernels, smoothing
 
 Smoother = Callable[[DataFrame], DataFrame]
 _registry: dict[str, Smoother] = {}
@@ -175,3 +175,37 @@ def dead_reckoning(track: DataFrame) -> DataFrame:
 @register("kalman_sigma")
 def kalman_sigma(track: DataFrame) -> DataFrame:
     return kernels.per_sessions(track, lambda r, cuts: {k: v for k, v in kernels.kalman_sigma(r, cuts).items() if k in OUT}, OUT)
+
+
+@register("kalman_simple_cv")
+def kalman_simple_cv(track: DataFrame) -> DataFrame:
+    """The forward filter alone on positions and velocities of the horizontal; heights as they are."""
+
+    def fold(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
+        z, v = r[["e_m", "n_m"]].to_numpy(float), r[["ve", "vn"]].to_numpy(float)
+        v = np.where(np.isfinite(v).all(1, keepdims=True), v, np.nan)
+        gaps = np.maximum(np.diff(r["utc_s"].to_numpy(float), prepend=r["utc_s"].iloc[0]), 0.0)
+        gaps[cuts[:-1]] = 0.0
+        start = z[cuts[:-1]], np.nan_to_num(v[cuts[:-1]]), 9.0, 4.0
+        x = kernels.two_state(cuts, z, np.full(z.shape, 9.0), gaps, 0.5, start, v, np.full(z.shape, 1.0), two_way=False)[0]
+        return {"e_s": x[:, 0], "n_s": x[:, 1], "u_s": r["u_m"].to_numpy(float)}
+
+    return kernels.per_sessions(track, fold, OUT)
+
+
+#: Mean horizontal sigma of the filter from which on a session gets a second pass.
+SMART_SIGMA = 0.40
+
+
+@register("kalman_smart")
+def kalman_smart(track: DataFrame) -> DataFrame:
+    """kalman_sigma, and where its mean horizontal sigma is large the adaptive choice of a filter on top of it."""
+    out = OUT | {"sigma_h": T.DoubleType()}
+    first = kernels.per_sessions(track, lambda r, cuts: {k: v for k, v in kernels.kalman_sigma(r, cuts).items() if k in out}, out)
+    poor = first.groupBy("session_id").agg((F.avg("sigma_h") >= SMART_SIGMA).alias("__poor"))
+    rows = first.join(poor, "session_id")
+    moved = rows.where("__poor").withColumns({"e_m": F.col("e_s"), "n_m": F.col("n_s"), "u_m": F.col("u_s")})
+    second = constraints.adaptive(moved).select("session_id", "utc_s", *[F.col(c).alias(f"__{c}") for c in ("e_m", "n_m", "u_m")])
+    both = rows.join(second, ["session_id", "utc_s"], "left")
+    # Epochs that the second pass leaves out keep what the first one says.
+    return both.withColumns({s: F.coalesce(f"__{c}", s) for s, c in zip(OUT, ("e_m", "n_m", "u_m"), strict=True)}).drop("__poor", "sigma_h", "__e_m", "__n_m", "__u_m")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import angles, geo, quality
-from tracelake.operators import clocks, gates, kernels, motion, stats
+from tracelake.operators import clocks, gates, inertial, kernels, motion, stats
 from tracelake.operators.motion import with_enu
+from tracelake.plans import recursions
 from tracelake.plans.sequences import _sql_gauss
 from tracelake.plans.tracks import ANCHORS, ENU, TRACK, anchors, rounded, sql_ecef, sql_rounded, track
 from tracelake.registry import query
@@ -183,3 +184,26 @@ def motion_sideways_weight(spark: SparkSession, sf: str) -> DataFrame:
     """How far epochs lie beside their smoothed path."""
     rows = motion.sideways_weight(with_enu(track(spark, sf)), 1.0, 2.0, 2.0)
     return rounded(rows.select("session_id", "epoch_ix", "side_m", "side_weight"), 4)
+
+
+@query(recursions.POSITION_FILTER.format(enu=ENU))
+def kernel_position_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Accelerations between the epochs drive the filter, epochs correct it."""
+    enu = with_enu(track(spark, sf))
+    j = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")
+    imu = enu.select("session_id", "utc_s", "k", j).select("session_id", (F.col("utc_s") + 0.1 + 0.2 * F.col("j")).alias("utc_s"), (0.1 * ((F.col("k") + F.col("j")) % 5 - 2)).alias("a_e"), F.lit(0.0).alias("a_n"), F.lit(0.0).alias("a_u"))
+    rows = inertial.position_filter(enu, imu).where("epoch = 1")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("utc_s")) - 1
+    return rounded(rows.select("session_id", place.cast("long").alias("epoch_ix"), "e_s", "ve_s"), 4)
+
+
+@query()
+def kernel_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise of inertial axes within standing periods: epochs 5 to 9 of every twenty."""
+    t = track(spark, sf)
+    slow = F.col("epoch_ix") % 20
+    still = t.withColumns({c: F.when(slow.between(5, 9), 0.0).otherwise(F.col(c)) for c in ("ve", "vn")})
+    j = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")
+    sample = (F.col("k") * 7 + F.col("j") * 13) % 11 / 100.0
+    imu = t.select("session_id", "utc_s", "k", j).select("session_id", (F.col("utc_s") + F.col("j") / 12.0).alias("utc_s"), *[(sample + n).alias(c) for n, c in enumerate(("ax", "ay", "az"))], *[(sample / (n + 2)).alias(c) for n, c in enumerate(("gx", "gy", "gz"))])
+    return rounded(inertial.calibrate(imu, still), 6)

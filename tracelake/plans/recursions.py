@@ -123,3 +123,20 @@ q AS (
             2 * (q.x * q.z - q.w * q.y) AS dx, 2 * (q.w * q.x + q.y * q.z) AS dy, q.w * q.w - q.x * q.x - q.y * q.y + q.z * q.z AS dz
           FROM q JOIN n ON n.session_id = q.session_id AND n.ix = q.ix + 1))))))
 SELECT session_id, ix AS epoch_ix, round(w, 5) + 0.0E0 AS qw, round(x, 5) + 0.0E0 AS qx, round(y, 5) + 0.0E0 AS qy, round(z, 5) + 0.0E0 AS qz FROM q WHERE ix >= 0"""
+
+#: Samples drive the filter, epochs (z, with velocity w where known) correct it; forwards only.
+POSITION_FILTER = """WITH RECURSIVE {enu},
+line AS (SELECT session_id, utc_s, 1 AS epoch, e_m, ve, NULL::DOUBLE AS a_e FROM enu UNION ALL SELECT session_id, utc_s + 0.1E0 + 0.2E0 * j, 0, NULL::DOUBLE, NULL::DOUBLE, 0.1E0 * ((k + j) % 5 - 2) FROM enu, range(4) AS r(j)),
+src AS MATERIALIZED (SELECT session_id, row_number() OVER w - 1 AS ix, utc_s, epoch, e_m AS z, ve AS w, coalesce(utc_s - lag(utc_s) OVER w, 0) AS dt,
+  coalesce(last_value(a_e IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY utc_s, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM line WINDOW w AS (PARTITION BY session_id ORDER BY utc_s, epoch)),
+fw AS (
+  SELECT session_id, CAST(-1 AS BIGINT) AS ix, z AS x, coalesce(w, 0) AS v, 9.0E0 AS a, 0.0E0 AS b, 4.0E0 AS c, 0 AS epoch, utc_s FROM src WHERE ix = 0
+  UNION ALL
+  SELECT session_id, ix, CASE WHEN w IS NULL THEN x1 ELSE x1 + b1 / (c1 + 0.25E0) * (w - v1) END, CASE WHEN w IS NULL THEN v1 ELSE v1 + c1 / (c1 + 0.25E0) * (w - v1) END,
+    CASE WHEN w IS NULL THEN a1 ELSE a1 - b1 * b1 / (c1 + 0.25E0) END, CASE WHEN w IS NULL THEN b1 ELSE b1 - b1 * c1 / (c1 + 0.25E0) END, CASE WHEN w IS NULL THEN c1 ELSE c1 - c1 * c1 / (c1 + 0.25E0) END, epoch, utc_s
+  FROM (SELECT *, CASE WHEN z IS NULL THEN px ELSE px + pa / (pa + 9) * (z - px) END AS x1, CASE WHEN z IS NULL THEN pv ELSE pv + pb / (pa + 9) * (z - px) END AS v1,
+      CASE WHEN z IS NULL THEN pa ELSE pa - pa * pa / (pa + 9) END AS a1, CASE WHEN z IS NULL THEN pb ELSE pb - pa * pb / (pa + 9) END AS b1, CASE WHEN z IS NULL THEN pc ELSE pc - pb * pb / (pa + 9) END AS c1
+    FROM (SELECT s.*, f.x + s.dt * f.v + s.dt * s.dt / 2 * s.u AS px, f.v + s.dt * s.u AS pv, f.a + 2 * s.dt * f.b + s.dt * s.dt * f.c + 0.25E0 * power(s.dt, 4) / 4 AS pa,
+        f.b + s.dt * f.c + 0.25E0 * power(s.dt, 3) / 2 AS pb, f.c + 0.25E0 * s.dt * s.dt AS pc
+      FROM fw f JOIN src s ON s.session_id = f.session_id AND s.ix = f.ix + 1)))
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY utc_s) - 1 AS BIGINT) AS epoch_ix, round(x, 4) + 0.0E0 AS e_s, round(v, 4) + 0.0E0 AS ve_s FROM fw WHERE epoch = 1"""
