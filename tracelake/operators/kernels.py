@@ -403,13 +403,16 @@ def similarity(src: np.ndarray, dst: np.ndarray, with_scale: bool = True) -> tup
     return scale, r, dst.mean(0) - scale * r @ src.mean(0)
 
 
-def bootstrap_interval(x: np.ndarray, statistic: Callable[[np.ndarray], float], block: int = 1, times: int = 2000, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of a statistic under resampling of rows, or of blocks of consecutive rows."""
+def bootstrap_interval(x: np.ndarray, statistic: Callable[..., np.ndarray], block: int = 1, times: int = 2000, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of a statistic (of rows, with axis=1) under resampling of rows, or of blocks of consecutive rows."""
     rng = np.random.default_rng(seed)
     starts = rng.integers(0, len(x) - block + 1, (times, -(-len(x) // block)))
-    at = (starts[:, :, None] + np.arange(block)).reshape(times, -1)[:, : len(x)]
-    got = np.array([statistic(x[row]) for row in at])
-    return tuple(np.percentile(got, [50 * (1 - level), 50 * (1 + level)]))
+    many = max(1, (1 << 22) // len(x))
+    got = []
+    for k in range(0, times, many):
+        at = (starts[k : k + many, :, None] + np.arange(block)).reshape(len(starts[k : k + many]), -1)[:, : len(x)]
+        got.append(statistic(x[at], axis=1))
+    return tuple(np.percentile(np.concatenate(got), [50 * (1 - level), 50 * (1 + level)]))
 
 
 def clock_offset(ta: np.ndarray, a: np.ndarray, tb: np.ndarray, b: np.ndarray, rate: float = 20.0, max_lag: float = 5.0) -> tuple[float, float]:

@@ -87,11 +87,11 @@ def frame_clock_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("session_id", "pts", (F.round(timefn.anchor_utc(boot, F.col("slope"), F.col("xmean"), F.col("ymean")), 5) + 0.0).alias("utc_s"), F.when(F.col("pts") >= 1, F.round(F.col("pts") - 1, 6)).alias("audio_s"))
 
 
-@query(f"""WITH {TRACK}, c AS (SELECT session_id, round(utc_s, 3) AS t, lat_deg + 1E-6 AS la, h_m + 0.5E0 AS h FROM track WHERE k % 2 = 0)
+@query(f"""WITH {TRACK}, c AS (SELECT session_id, round(utc_s, 3) AS t, lat_deg + 1E-6 AS la, h_m + 0.5E0 AS h FROM track)
 SELECT a.session_id, count(*) AS n, round(avg(abs(c.la - a.lat_deg) * 111320), 5) AS mean_n_m, round(max(abs(c.h - a.h_m)), 5) AS max_v_m FROM track a JOIN c ON a.session_id = c.session_id AND round(a.utc_s, 3) = c.t GROUP BY a.session_id""")
 def compare_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Differences of two solutions at equal milliseconds."""
     t = track(spark, sf).withColumn("t", F.round("utc_s", 3))
-    c = t.where("k % 2 = 0").select("session_id", "t", (F.col("lat_deg") + 1e-6).alias("la"), (F.col("h_m") + 0.5).alias("h"))
+    c = t.select("session_id", "t", (F.col("lat_deg") + 1e-6).alias("la"), (F.col("h_m") + 0.5).alias("h"))
     j = t.join(c, ["session_id", "t"])
     return rounded(j.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("la") - F.col("lat_deg")) * 111320).alias("mean_n_m"), F.max(F.abs(F.col("h") - F.col("h_m"))).alias("max_v_m")), 5)

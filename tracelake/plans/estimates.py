@@ -163,14 +163,14 @@ def compare_winners(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("session_id", stats.winner(F.col("a1"), F.col("b1"), names).alias("horizontal"), stats.winner(F.col("a2"), F.col("b2"), names).alias("speed"))
 
 
-@query(f"""WITH {TRACK}, s AS (SELECT DISTINCT session_id FROM track), c AS (SELECT session_id, min(k) AS t0 FROM track WHERE session_id % 4 = 0 GROUP BY 1), m AS (SELECT session_id, 1000 + session_id AS t0 FROM s WHERE session_id % 3 = 0), f AS (SELECT session_id, min(epoch_ix + 5000) AS t0 FROM track WHERE session_id % 2 = 0 GROUP BY 1)
+@query(f"""WITH {TRACK}, s AS (SELECT DISTINCT session_id FROM track), c AS (SELECT session_id, min(k) AS t0 FROM track WHERE provider = 'error' AND quality = 5 GROUP BY 1), m AS (SELECT DISTINCT session_id, 1000 + session_id AS t0 FROM track WHERE provider = 'purchase' AND quality = 4), f AS (SELECT session_id, min(epoch_ix + 5000) AS t0 FROM track WHERE quality = 1 GROUP BY 1)
 SELECT s.session_id, coalesce(c.t0, m.t0, f.t0) AS t0_ns FROM s LEFT JOIN c USING (session_id) LEFT JOIN m USING (session_id) LEFT JOIN f USING (session_id)""")
 def clock_video_zero(spark: SparkSession, sf: str) -> DataFrame:
     """The first sample of a video by clip, manifest or frames, in that order."""
     t = track(spark, sf)
-    clips = t.where("session_id % 4 = 0").select("session_id", F.col("k").alias("boot_ns"))
-    manifests = t.where("session_id % 3 = 0").select("session_id", (F.lit(1000) + F.col("session_id")).alias("video_t0_boottime_ns")).distinct()
-    frames = t.where("session_id % 2 = 0").select("session_id", (F.col("epoch_ix") + 5000).alias("boot_ns"))
+    clips = t.where("provider = 'error' AND quality = 5").select("session_id", F.col("k").alias("boot_ns"))
+    manifests = t.where("provider = 'purchase' AND quality = 4").select("session_id", (F.lit(1000) + F.col("session_id")).alias("video_t0_boottime_ns")).distinct()
+    frames = t.where("quality = 1").select("session_id", (F.col("epoch_ix") + 5000).alias("boot_ns"))
     return clocks.video_zero(t, clips, manifests, frames)
 
 

@@ -141,24 +141,25 @@ def masks_wide(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("session_id", "utc_s").pivot("mk", ["m5", "m10", "m15", "m20"]).agg(F.first("e"))
 
 
-@query(f"""WITH {TRACK}, o AS (SELECT session_id, 'img_' || epoch_ix AS stem, lat_deg + 1E-6 * (k % 5) AS lat, lon_deg - 1E-6 AS lon, h_m + 1 AS h FROM track WHERE epoch_ix % 3 = 0),
+@query(f"""WITH {TRACK}, o AS (SELECT session_id, 'img_' || epoch_ix AS stem, lat_deg + 1E-6 * (k % 5) AS lat, lon_deg - 1E-6 AS lon, h_m + 1 AS h FROM track),
 j AS (SELECT t.session_id, 'img_' || t.epoch_ix AS stem, (o.lat - t.lat_deg) * 110000 AS dn, o.h - t.h_m AS du FROM track t JOIN o ON t.session_id = o.session_id AND 'img_' || t.epoch_ix = o.stem)
 SELECT session_id, stem, round(du, 3) AS du, round(dn / 0.5E0) * 0.5E0 + 0.0E0 AS dn_half FROM j""")
 def join_frame_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """Two coordinate sets of the same frames, joined by stem: offset of one about the other, in local metres."""
     t = track(spark, sf).withColumn("stem", F.concat(F.lit("img_"), "epoch_ix"))
-    o = t.where("epoch_ix % 3 = 0").select("session_id", "stem", (F.col("lat_deg") + 1e-6 * (F.col("k") % 5)).alias("lat"), (F.col("lon_deg") - 1e-6).alias("lon"), (F.col("h_m") + 1).alias("h"))
+    o = t.select("session_id", "stem", (F.col("lat_deg") + 1e-6 * (F.col("k") % 5)).alias("lat"), (F.col("lon_deg") - 1e-6).alias("lon"), (F.col("h_m") + 1).alias("h"))
     _, n, u = geo.llh_to_enu(F.col("lat"), F.col("lon"), F.col("h"), (F.col("lat_deg"), F.col("lon_deg"), F.col("h_m")))
     return t.join(o, ["session_id", "stem"]).select("session_id", "stem", F.round(u, 3).alias("du"), (F.round(n / 0.5) * 0.5 + 0.0).alias("dn_half"))
 
 
-@query(f"""WITH {TRACK}, a1 AS (SELECT session_id, round(utc_s) AS s, min_by(h_m, utc_s) AS h FROM track WHERE k % 2 = 0 GROUP BY 1, 2), b1 AS (SELECT session_id, round(utc_s) AS s, min_by(h_m, utc_s) AS h FROM track WHERE k % 3 = 0 GROUP BY 1, 2)
+@query(f"""WITH {TRACK}, a1 AS (SELECT session_id, round(utc_s) AS s, min_by(h_m, utc_s) AS h FROM track GROUP BY 1, 2), b1 AS (SELECT session_id, round(utc_s + 0.3E0) AS s, min_by(h_m + 0.1E0 * (k % 4), utc_s) AS h FROM track GROUP BY 1, 2)
 SELECT a1.session_id, a1.s, round(a1.h - b1.h, 6) + 0.0E0 AS dh FROM a1 JOIN b1 ON a1.session_id = b1.session_id AND a1.s = b1.s""")
 def join_by_second(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams matched on the whole second, the first row of each."""
     t = track(spark, sf).withColumn("s", F.round("utc_s"))
-    a = t.where("k % 2 = 0").groupBy("session_id", "s").agg(F.min_by("h_m", "utc_s").alias("h"))
-    b = t.where("k % 3 = 0").groupBy("session_id", "s").agg(F.min_by("h_m", "utc_s").alias("hb"))
+    a = t.groupBy("session_id", "s").agg(F.min_by("h_m", "utc_s").alias("h"))
+    later = t.select("session_id", "utc_s", F.round(F.col("utc_s") + 0.3).alias("s"), (F.col("h_m") + 0.1 * (F.col("k") % 4)).alias("hb"))
+    b = later.groupBy("session_id", "s").agg(F.min_by("hb", "utc_s").alias("hb"))
     return rounded(a.join(b, ["session_id", "s"]).select("session_id", "s", (F.col("h") - F.col("hb")).alias("dh")))
 
 

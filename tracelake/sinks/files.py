@@ -44,10 +44,12 @@ def placemarks(segments: DataFrame, name: Column, style: Column) -> DataFrame:
 
 
 def write_kml(marks: DataFrame, path: str, by: str = "session_id", order: str = "run_id") -> None:
-    """A map document for each session: head, placemarks in order, foot."""
-    body = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "value"))), lambda x: x["value"])
-    doc = marks.groupBy(by).agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>\n'), F.array_join(body, "\n"), F.lit("\n</Document></kml>")).alias("value"))
-    doc.write.mode("overwrite").partitionBy(by).text(path)
+    """A map document for each session, line by line: head, placemarks in order, foot. No cell holds more than one placemark."""
+    ends = marks.select(by).distinct()
+    head = ends.select(by, F.lit(0).alias("__part"), F.lit(None).cast(dict(marks.dtypes)[order]).alias(order), F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>').alias("value"))
+    foot = head.select(by, F.lit(2).alias("__part"), order, F.lit("</Document></kml>").alias("value"))
+    lines = head.unionByName(marks.select(by, F.lit(1).alias("__part"), order, "value")).unionByName(foot)
+    lines.repartition(by).sortWithinPartitions(by, "__part", order).select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 
 
 def export_columns(track: DataFrame, coords: tuple[str, ...] = ("llh",), clocks: tuple[str, ...] = ("utc",)) -> DataFrame:
