@@ -99,12 +99,10 @@ def _whole_sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, rows, want = [], [], batch.column("set_key").to_pylist()
-            ids = batch.column("rep").to_pylist()
+            reps, rows, ids = [], [], batch.column("rep").to_pylist()
             for k, found in shingle_sets(C.rows_of(batch, "text"), width):
-                if _set_key(found) == want[k]:
-                    reps.append(ids[k])
-                    rows.append(found.view(np.int64))
+                reps.append(ids[k])
+                rows.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], schema=schema)
 
     return run
@@ -272,16 +270,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     hashed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("set_key"), 2)
     turn = F.row_number().over(Window.partitionBy(F.coalesce("least", hashed)).orderBy("set_key"))
     classes = C.materialize(classes.withColumn("rep", F.when(F.col("least").isNull() | (turn > 1), hashed).otherwise(F.col("least"))))
-    nodes = signed.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("rep", "set_key", "bands").dropDuplicates(["rep", "set_key"])
-    members = C.materialize(nodes.select("rep", "set_key", F.posexplode("bands").alias("band", "bucket")))
+    nodes = signed.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("rep", "text_key", "bands").dropDuplicates(["rep"])
+    members = C.materialize(nodes.select("rep", "text_key", F.posexplode("bands").alias("band", "bucket")))
     # Written before the join, whose exchanges adaptive execution can then split where a bucket is large.
     shared = C.materialize(members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"))
-    crowded = C.materialize(members.join(shared, "bucket").select("bucket", "band", "rep", "centre", "set_key"))
+    crowded = C.materialize(members.join(shared, "bucket").select("bucket", "band", "rep", "centre", "text_key"))
 
-    wanted = C.materialize(crowded.select("rep", "set_key").distinct())
-    unnamed = signed.select("set_key", "text_key").join(wanted.where(F.col("rep") >= UNNAMED), "set_key").dropDuplicates(["rep"])
-    texts = source.join(wanted.where(F.col("rep") < UNNAMED), F.col("doc_id") == F.col("rep")).select("rep", "text", "set_key")
-    texts = texts.union(source.join(unnamed, "text_key").select("rep", "text", "set_key"))
+    # One text of each node: that of the row with its name, or any equal one where no id names it.
+    texts = source.join(crowded.select("rep", "text_key").distinct(), "text_key").where((F.col("doc_id") == F.col("rep")) | (F.col("rep") >= UNNAMED)).select("rep", "text")
     sets = C.materialize(texts.mapInArrow(_whole_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]))
 
     # Stars of a few bands first; of all others only the edges that could still join two components.
