@@ -396,3 +396,135 @@ def test_long_texts_have_the_sum_of_their_bits(spark):
     assert np.allclose(whole, language_id._bits(trees, raw, np.array([0, len(raw)]), piece=100))
     both = np.concatenate([raw, raw])
     assert np.allclose(language_id._bits(trees, both, np.array([0, len(raw), 2 * len(raw)])), np.concatenate([whole, whole]))
+
+
+def brute_weight(text, ratio):
+    """Log weight by splitting in Python: runs of letters and digits or of punctuation, and pairs of neighbours."""
+    kinds = {c: 0 for c in b" \t\n\v\f\r"} | {c: 1 for c in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]}
+    tokens, last = [], None
+    for c in (text or "").encode():
+        kind = kinds.get(c, 2)
+        if kind:
+            if kind == last:
+                tokens[-1].append(c)
+            else:
+                tokens.append([c])
+        last = kind
+    hashes = []
+    for t in tokens:
+        b = np.array(t, np.uint8)
+        hashes.append(int(common.hash_ranges(b, np.array([0]), np.array([len(b)]), common.BYTE_CODE_LOWER)[0]))
+    pairs = [int(common.mix(np.array([(a * int(common.STEPS[0]) + b * int(common.STEPS[1])) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:], strict=False)]
+    return sum(ratio[h >> 50] for h in hashes + pairs)
+
+
+def test_importance_selection_by_brute_force(spark):
+    rng = random.Random(21)
+    pool = ["good", "fine", "words", "spam!!", "###", "buy", "now", "é", "a1"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 12))), "en", "s") for i in range(60)] + [(None, "good fine", "en", "s"), (61, None, "en", "s")]
+    docs, target = frame(spark, rows), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    ratio = importance.fit_ratio(docs, target)
+    got = {(r.doc_id): r for r in importance.importance_sample(docs, target, keep=0.4).collect()}
+    keys = {}
+    for i, t, _, _ in rows:
+        uniform = (int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        keys[i] = brute_weight(t, ratio) - np.log(-np.log(uniform))
+        assert abs(got[i].log_weight - brute_weight(t, ratio)) < 1e-6 and abs(got[i].gumbel_key - keys[i]) < 1e-6
+    best = sorted(keys, key=lambda i: (-keys[i], i is None, i))[: round(0.4 * len(rows))]
+    assert {i for i, r in got.items() if r.kept} == set(best)
+
+
+def test_decoding_by_trying_all_readings(characters):
+    import itertools
+
+    rng = random.Random(8)
+    costs = characters
+    number = toxicity._number
+    for _ in range(60):
+        word = "".join(rng.choice("ab10$@!.-ss") for _ in range(rng.randrange(2, 6)))
+
+        def price(readings):
+            x = y = 0
+            total = sum(p for _, p in readings)
+            for c in "".join(r for r, _ in readings):
+                z = number(c)
+                if z or y:
+                    total += costs[x, y, z]
+                    x, y = y, z
+            return total + (costs[x, y, 0] if y else 0)
+
+        every = [(price(r), "".join(c for c, _ in r).strip()) for r in itertools.product(*toxicity.lattice(word))]
+        best = min(every)[0]
+        assert any(abs(cost - best) < 1e-9 and said == toxicity.decode(word, costs) for cost, said in every)
+
+
+def test_scores_by_brute_force(spark, characters):
+    words = ["idiot", "hello", "there", "1d10t", "worthle$$", "fine", "morons", "$tation", "ok"]
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 15))) for _ in range(40)] + ["", "t r a s h here"]
+    one = lambda w: int(common.hash_ranges(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), common.BYTE_CODE_LOWER)[0])
+
+    def features(text):
+        said = re.sub(r"\bt r a s h\b", "trash", text).split()
+        said = [toxicity.decode(w, characters) if re.search(r"[0-9$]", w) else w for w in said]
+        out = []
+        for w in " ".join(said).split():
+            out.append(one(w))
+            for k in toxicity.PREFIXES:
+                if len(w) > k:
+                    out.append(int(common.mix(np.array([(one(w[:k]) + int(common.STEPS[40 + k])) % 2**64], np.uint64))[0]))
+        return out
+
+    every = sorted({f for t in texts for f in features(t)})
+    scorer = toxicity.Scorer(np.array(every, np.uint64), characters)
+    scorer.weights = np.array([rng.uniform(-1, 1) for _ in range(2 * len(every))])
+    scorer.bias = -0.3
+    got = {r.doc_id: r.score for r in toxicity.score_texts(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), scorer).collect()}
+    for i, t in enumerate(texts):
+        count = {}
+        for f in features(t):
+            count[f] = count.get(f, 0) + 1
+        n = max(len(t.split()), 10)
+        total = scorer.bias + sum(scorer.weights[every.index(f)] + scorer.weights[every.index(f) + len(every)] * np.log1p(100 * c / n) for f, c in count.items())
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9, t
+
+
+def test_doubled_letters_are_priced_before_they_are_decoded(characters):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("aeilnorst") * rng.choice([1, 1, 1, 1, 2]) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    text = " ".join(words).encode()
+    buf = np.frombuffer(text, np.uint8)
+    starts, ends, doc = common.words(buf, np.array([0, len(buf)]))
+    every, _ = toxicity.disguised(buf, starts, ends, doc)
+    some, _ = toxicity.disguised(buf, starts, ends, doc, characters)
+    for k in set(every.tolist()) - set(some.tolist()):
+        word = text[starts[k] : ends[k]].decode()
+        assert toxicity.decode(word, characters) == word
+
+
+def test_empty_tables_clashing_names_and_long_texts(spark):
+    none = frame(spark, [])
+    path = model_path()
+    assert sentencepiece_codec.digests(sentencepiece_codec.decode(sentencepiece_codec.encode(none, path), path)).count() == 0
+    assert mixing.mix_plan(none).count() == 0 and mixing.mix_rows(none).count() == 0
+    assert sharding.assign_shards(none).count() == 0
+    assert language_id.identify(none).count() == 0
+    assert toxicity.toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(900)) for _ in range(400_000))
+    names = ["size", "score", "key", "before", "position", "kept", "ids", "component_id", "digest"]
+    docs = frame(spark, [(1, long, "en", "a"), (2, "short text", "en", "b"), (3, None, None, None)])
+    for n in names:
+        docs = docs.withColumn(n, docs.source)
+    assert {r.doc_id: r.size for r in mixing.mix_plan(docs).collect()} == {1: 400_000, 2: 2, 3: 0}
+    assert {r.doc_id: r.size for r in sharding.assign_shards(docs).collect()} == {1: len(long) + 1, 2: 11, 3: 1}
+    assert set(mixing.mix_rows(docs).columns) == set(docs.columns)
+    rows = {r.doc_id: r for r in compression_rules.quality_rules(docs).collect()}
+    assert rows[1].n_words == 400_000 and rows[3].n_words == 0
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = {r.doc_id: list(r.ids) for r in sentencepiece_codec.encode(docs, path).collect()}
+    assert ids[1] == library.encode(long) and ids[3] == []
+    weights = {r.doc_id: r.n_grams for r in importance.importance_sample(docs, docs.select("doc_id")).collect()}
+    assert weights[1] == 2 * 400_000 - 1 and weights[3] == 0
