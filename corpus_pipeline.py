@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources (null is one): each row as often as its source's target takes it; rows without words never."""
+    """The mix of the sources (null is one): each row as often as its source's target takes it, rows without words as often as all of it is taken."""
     return mixing.mix_rows(docs, C.labels(spark, sf_dir))
 
 
