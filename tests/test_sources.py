@@ -227,3 +227,15 @@ def test_listing_reads_no_contents(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "sensors_1.txt").write_text("x")
     assert [r.file.rsplit("/", 2)[1:] for r in sessions.list_files(spark, str(tmp_path)).collect()] == [["s", "sensors_1.txt"]]
+
+
+def test_video_probes(spark, tmp_path):
+    video = {"codec_type": "video", "width": 1920, "height": "1080", "avg_frame_rate": "30000/1001", "duration": "9.5", "tags": {"Lens": "wide", "Focal_Length": "4.2"}}
+    (tmp_path / "a.json").write_text(json.dumps({"streams": [{"codec_type": "audio"}, video], "format": {"size": "1000", "tags": {"lens": "7"}}}))
+    (tmp_path / "b.json").write_text(json.dumps({"streams": [], "format": {"duration": "3", "tags": {"lens": "7"}}}))
+    (tmp_path / "c.json").write_text("{")
+    rows = {r.file[-6]: r for r in device.read_probe(spark, str(tmp_path)).collect()}
+    assert (rows["a"].width, rows["a"].height, rows["a"].duration_s, rows["a"].size_bytes, rows["a"].focal_length) == (1920, 1080, 9.5, 1000, 4.2)
+    assert abs(rows["a"].fps - 29.97) < 0.01
+    assert rows["b"].width is None and rows["b"].duration_s == 3 and rows["b"].focal_length == 7
+    assert rows["c"].width is None and rows["c"].focal_length is None

@@ -129,3 +129,25 @@ def composite(normed: dict[str, Column], weights: dict[str, float]) -> Column:
     for name, weight in used.items():
         total = total + normed[name] * weight
     return clip(total / sum(used.values()), 0.0, 1.0)
+
+
+def noise_scale(quality: Column, fixed: float = 0.5, differential: float = 2.0, single: float = 3.0) -> Column:
+    """What a solution's quality multiplies a variance by; null for what isn't a quality."""
+    return F.when(quality == 1, fixed**2).when(quality == 2, 1.0).when(quality == 4, differential**2).when(quality.isin(0, 3, 5, 6, 7, 8), single**2)
+
+
+def bounded_sigma(sigma: Column, floor: float, ceiling: float) -> Column:
+    """sigma within bounds; a missing one is the least."""
+    return clip(F.coalesce(sigma, F.lit(floor)), floor, ceiling)
+
+
+def run_status(code: Column, size: Column, said: Column) -> Column:
+    """Why a solver's run gave nothing (size null: no file), or null."""
+    short = F.substring(F.coalesce(said, F.lit("")), 1, 200)
+    return F.when(code != 0, F.format_string("failed rc=%d: %s", code, short)).when(F.coalesce(size, F.lit(0)) == 0, F.format_string("no output rc=%d: %s", code, short))
+
+
+def mask_text(threshold: Column, bins: int = 9) -> Column:
+    """A threshold for each elevation bin, as a solver's option reads it."""
+    one = F.when(threshold == F.floor(threshold), threshold.cast("long").cast("string")).otherwise(threshold.cast("string"))
+    return F.array_join(F.array_repeat(one, bins), ",")

@@ -218,3 +218,20 @@ def calibrate(imu: DataFrame, track: DataFrame | None = None, max_speed: float =
 
     kind = dict(imu.dtypes)[by]
     return long.groupBy(by, "axis").applyInPandas(run, f"{by} {kind}, axis string, random_walk double, bias_instability double, rate_random_walk double, reliable boolean, n long, source string")
+
+
+def static_bias(imu: DataFrame, periods: DataFrame, clip: float = 1.0, least: int = 20, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, bias_x, bias_y, bias_z: acceleration beyond gravity in the session's first standing period with enough samples, cut at +-clip.
+
+    imu holds ax, ay, az and gravity in the body (gx_m, gy_m, gz_m, from its
+    attitude) at each sample; the one in the middle of the period counts.
+    periods: start_s (included), end_s (excluded).
+    """
+    inside = interval_join(imu, periods, t=t, by=by).where(F.col(t) < F.col("end_s"))
+    w = Window.partitionBy(by, "start_s")
+    rows = inside.withColumns({"__i": F.row_number().over(w.orderBy(t)), "__n": F.count(F.lit(1)).over(w)}).where(F.col("__n") >= least)
+    middle = F.col("__i") == F.floor(F.col("__n") / 2) + 1
+    sums = rows.groupBy(by, "start_s").agg(*[(F.avg(f"a{c}") - F.max(F.when(middle, F.col(f"g{c}_m")))).alias(f"__{c}") for c in "xyz"])
+    first = sums.groupBy(by).agg(F.min(F.struct("start_s", "__x", "__y", "__z")).alias("b"))
+    cut = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col(f"b.__{c}")))
+    return first.select(by, cut("x").alias("bias_x"), cut("y").alias("bias_y"), cut("z").alias("bias_z"))

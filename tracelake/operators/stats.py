@@ -174,3 +174,13 @@ def weighted_median(df: DataFrame, col: str, weight: Column, by: str = "session_
 def winner(a: Column, b: Column, names: tuple[str, str]) -> Column:
     """Which of two errors is smaller, 'tie', or 'n/a' if one is missing."""
     return F.when(a.isNull() | b.isNull(), "n/a").when(a < b, names[0]).when(b < a, names[1]).otherwise("tie")
+
+
+def ellipse_points(df: DataFrame, x: str, y: str, k: float, by: str = "session_id", points: int = 80) -> DataFrame:
+    """by, i, x, y: the k-sigma ellipse of each group's points; groups below three have none."""
+    g = df.groupBy(by).agg(F.count(F.col(x) + F.col(y)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("a"), F.covar_samp(x, y).alias("b"), F.var_samp(y).alias("c")).where("n >= 3")
+    half, root = (F.col("a") + F.col("c")) / 2, F.sqrt(((F.col("a") - F.col("c")) / 2) ** 2 + F.col("b") ** 2)
+    g = g.withColumns({"big": F.sqrt(F.greatest(half + root, F.lit(0.0))), "small": F.sqrt(F.greatest(half - root, F.lit(0.0))), "turn": F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2})
+    g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("i") * (2 * 3.141592653589793 / (points - 1)))
+    u, v = k * F.col("big") * F.cos("at"), k * F.col("small") * F.sin("at")
+    return g.select(by, "i", (F.col("mx") + u * F.cos("turn") - v * F.sin("turn")).alias("x"), (F.col("my") + u * F.sin("turn") + v * F.cos("turn")).alias("y"))

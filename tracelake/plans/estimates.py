@@ -207,3 +207,39 @@ def kernel_calibration(spark: SparkSession, sf: str) -> DataFrame:
     sample = (F.col("k") * 7 + F.col("j") * 13) % 11 / 100.0
     imu = t.select("session_id", "utc_s", "k", j).select("session_id", (F.col("utc_s") + F.col("j") / 12.0).alias("utc_s"), *[(sample + n).alias(c) for n, c in enumerate(("ax", "ay", "az"))], *[(sample / (n + 2)).alias(c) for n, c in enumerate(("gx", "gy", "gz"))])
     return rounded(inertial.calibrate(imu, still), 6)
+
+
+@query(f"""WITH {ENU}, g AS (SELECT session_id, count(*) AS n, avg(e_m) AS mx, avg(n_m) AS my, var_samp(e_m) AS a, covar_samp(e_m, n_m) AS b2, var_samp(n_m) AS c FROM enu GROUP BY 1 HAVING count(*) >= 3),
+h AS (SELECT *, sqrt(greatest((a + c) / 2 + sqrt(power((a - c) / 2, 2) + b2 * b2), 0)) AS big, sqrt(greatest((a + c) / 2 - sqrt(power((a - c) / 2, 2) + b2 * b2), 0)) AS small, atan2(2 * b2, a - c) / 2 AS turn FROM g),
+p AS (SELECT *, 2 * pi() * i / 8 AS at_ FROM h, range(9) AS r(i))
+SELECT session_id, CAST(i AS INT) AS i, round(mx + 2 * big * cos(at_) * cos(turn) - 2 * small * sin(at_) * sin(turn), 2) + 0.0E0 AS x, round(my + 2 * big * cos(at_) * sin(turn) + 2 * small * sin(at_) * cos(turn), 2) + 0.0E0 AS y FROM p""")
+def stats_ellipse_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The two-sigma ellipse of a session's places as points."""
+    return rounded(stats.ellipse_points(with_enu(track(spark, sf)), "e_m", "n_m", 2.0, points=9), 2)
+
+
+@query(f"""WITH {TRACK}, imu AS (SELECT session_id, utc_s + j * 0.04E0 AS t, epoch_ix, 0.1E0 + ((k + j) % 5) / 50.0E0 AS ax, 0.02E0 * j AS ay, 9.9E0 AS az, 0.05E0 AS gx, 0.01E0 * (k % 3) AS gy FROM track, range(10) AS r(j)),
+p AS (SELECT session_id, epoch_ix // 20 AS no, min(utc_s) AS start_s, max(utc_s) AS end_s FROM track WHERE epoch_ix % 20 BETWEEN 5 AND 9 GROUP BY ALL),
+s AS (SELECT i.*, p.start_s, row_number() OVER w AS rn, count(*) OVER (PARTITION BY i.session_id, p.start_s) AS n FROM imu i JOIN p ON i.session_id = p.session_id AND i.t >= p.start_s AND i.t < p.end_s WINDOW w AS (PARTITION BY i.session_id, p.start_s ORDER BY i.t)),
+m AS (SELECT session_id, start_s, avg(ax) - max(gx) FILTER (rn = n // 2 + 1) AS x, avg(ay) - max(gy) FILTER (rn = n // 2 + 1) AS y, avg(az) - 9.80665E0 AS z FROM s WHERE n >= 20 GROUP BY 1, 2)
+SELECT session_id, round(greatest(-0.1E0, least(0.1E0, arg_min(x, start_s))), 6) + 0.0E0 AS bias_x, round(greatest(-0.1E0, least(0.1E0, arg_min(y, start_s))), 6) + 0.0E0 AS bias_y, round(greatest(-0.1E0, least(0.1E0, arg_min(z, start_s))), 6) + 0.0E0 AS bias_z FROM m GROUP BY 1""")
+def interval_static_bias(spark: SparkSession, sf: str) -> DataFrame:
+    """Bias of an accelerometer from the first standing period of each session."""
+    t = track(spark, sf)
+    j = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")
+    k, n = F.col("k"), F.col("j")
+    imu = t.select("session_id", "utc_s", "k", j).select("session_id", (F.col("utc_s") + n * 0.04).alias("utc_s"), (0.1 + (k + n) % 5 / 50.0).alias("ax"), (0.02 * n).alias("ay"), F.lit(9.9).alias("az"), F.lit(0.05).alias("gx_m"), (0.01 * (k % 3)).alias("gy_m"), F.lit(9.80665).alias("gz_m"))
+    periods = t.where("epoch_ix % 20 BETWEEN 5 AND 9").groupBy("session_id", F.floor(F.col("epoch_ix") / 20).alias("no")).agg(F.min("utc_s").alias("start_s"), F.max("utc_s").alias("end_s")).drop("no")
+    return rounded(inertial.static_bias(imu, periods, clip=0.1))
+
+
+@query(f"""WITH {TRACK} SELECT {KEY}, CASE WHEN quality = 1 THEN 0.25E0 WHEN quality = 2 THEN 1.0E0 WHEN quality = 4 THEN 4.0E0 WHEN quality = 5 THEN 9.0E0 END AS scale, round(greatest(0.05E0, least(0.1E0, sd_n)), 6) AS sigma,
+  CASE WHEN k % 7 = 0 THEN 'failed rc=' || (k % 7 + 2) || ': ' || provider WHEN k % 3 = 0 THEN 'no output rc=0: ' || provider END AS status, array_to_string(list_transform(range(9), lambda i: CASE WHEN k % 2 = 0 THEN CAST(30 + k % 5 AS VARCHAR) ELSE CAST(30 + k % 5 AS VARCHAR) || '.5' END), ',') AS mask FROM track""")
+def quality_run_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance factors, bounded sigmas, a run's status and the text of a mask."""
+    k = F.col("k")
+    code = F.when(k % 7 == 0, 2).otherwise(0)
+    size = F.when(k % 3 != 0, 10)
+    threshold = 30.0 + k % 5 + F.when(k % 2 == 0, 0.0).otherwise(0.5)
+    rows = track(spark, sf).select("session_id", "epoch_ix", quality.noise_scale(F.col("quality")).alias("scale"), quality.bounded_sigma(F.col("sd_n"), 0.05, 0.1).alias("sigma"), quality.run_status(code, size, F.col("provider")).alias("status"), quality.mask_text(threshold).alias("mask"))
+    return rounded(rows)

@@ -61,3 +61,8 @@ def export_columns(track: DataFrame, coords: tuple[str, ...] = ("llh",), clocks:
             raise ValueError(f"unknown choice {odd[0]!r}; there are {', '.join(all_)}")
     cols = [c for name in dict.fromkeys(coords) for c in known[name]]
     return track.select("session_id", *[times[c] for c in dict.fromkeys(clocks)], *cols, "quality")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A folder of JSON records, such as calibrations or error reports; it appears only when all parts are written."""
+    df.write.mode("overwrite").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,3 +106,39 @@ def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
 def find_calibration(calibrations: DataFrame, label: str) -> DataFrame:
     """The latest calibration of a device, whatever the label's case; unreadable ones have no label and drop out."""
     return calibrations.where(F.lower(F.trim("device_label")) == label.strip().lower()).orderBy(F.desc("date")).limit(1)
+
+
+PROBE = (
+    "streams array<struct<codec_type: string, width: string, height: string, avg_frame_rate: string, r_frame_rate: string, duration: string, tags: map<string, string>>>, "
+    "format struct<duration: string, size: string, tags: map<string, string>>"
+)
+#: Tags that may hold a focal length, in the order in which they are tried. Fixed values.
+FOCAL_TAGS = ("focal_length", "focallength", "focal_length_35mm", "focal_length_in_35mm_format", "focallengthin35mmfilm", "com.apple.quicktime.camera.focal_length_35mm_equivalent", "lens", "lensmodel")
+
+
+def _focal(tags: Column) -> Column:
+    """The first positive number among the tags, whatever their case."""
+    lower = F.transform_keys(F.coalesce(tags, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
+    values = [number(F.try_element_at(lower, F.lit(k))) for k in FOCAL_TAGS]
+    return F.coalesce(*[F.when(v > 0, v) for v in values])
+
+
+def read_probe(spark: SparkSession, path: str) -> DataFrame:
+    """file, width, height, fps, duration_s, size_bytes, focal_length of video probes in JSON; what is missing or no number is null.
+
+    Size and rate are the first video stream's, the duration the container's,
+    else the stream's; the focal length comes from the stream's tags, else the
+    container's.
+    """
+    rows = spark.read.schema(PROBE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
+    rows = rows.withColumn("v", F.get(F.filter("streams", lambda s: s["codec_type"] == "video"), 0))
+    fps = F.coalesce(timefn.fraction(F.col("v.avg_frame_rate")), timefn.fraction(F.col("v.r_frame_rate")))
+    return rows.select(
+        "file",
+        number(F.col("v.width")).cast("int").alias("width"),
+        number(F.col("v.height")).cast("int").alias("height"),
+        fps.alias("fps"),
+        F.coalesce(number(F.col("format.duration")), number(F.col("v.duration"))).alias("duration_s"),
+        number(F.col("format.size")).cast("long").alias("size_bytes"),
+        F.coalesce(_focal(F.col("v.tags")), _focal(F.col("format.tags"))).alias("focal_length"),
+    )
