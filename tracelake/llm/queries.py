@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import common as C
-from tracelake.llm import compression_rules, exact_dedup, importance, language_id, mixing, near_dedup, repeats, sentencepiece_codec, sharding, toxicity
+from tracelake.llm import compression_rules, exact_dedup, importance, language_id, mixing, near_dedup, packing, periodic_runs, repeats, sentencepiece_codec, sharding, toxicity, vector_codes
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def model_path() -> str:
@@ -61,6 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(C.documents(spark, sf_dir), C.labels(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_table(C.documents(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(C.documents(spark, sf_dir), public_tokenizers.path(BYTE_MODEL))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 EXACT_SQL = f"""
@@ -101,9 +116,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_array_dedup,
         op9_sharding,
         op10_toxicity,
+        op11_vector_codes,
+        op12_periodic_runs,
+        op13_packing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op6_source_mixing": mixing.PLAN_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op6_source_mixing": mixing.PLAN_SQL, "op11_vector_codes": vector_codes.code_sql(), "op12_periodic_runs": periodic_runs.RUNS_SQL}
