@@ -14,10 +14,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from tracelake.llm import common as C
 
 #: Ids of a sequence, of a step in which lengths are counted, and of a gap that is worth a cut; the id that ends each text.
 WINDOW, STEP, LEAST_CUT, END_ID = 2048, 8, 64, 1
-#: Distinct chunks and ids of them that a task keeps from block to block, and bytes of text in a block.
-TABLE_CHUNKS, TABLE_IDS, BLOCK_BYTES = 300_000, 4_000_000, 2 << 20
+#: Distinct chunks and ids of them that a worker keeps from block to block, and from task to task, and bytes of text in a block.
+TABLE_CHUNKS, TABLE_IDS, BLOCK_BYTES = 500_000, 4_000_000, 2 << 20
 
 # -- ids ----------------------------------------------------------------------------------------
 
@@ -61,42 +62,69 @@ def chunks_of(text: str) -> list[str]:
     return [text] if _OTHER.search(text) else _WIDE.findall(text)
 
 
+def _byte_names() -> list[str]:
+    """The vocabulary's character for each byte: printable ones of Latin-1 are their own, the others follow from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+_NAMES = dict(enumerate(_byte_names()))
+_SPACE = _NAMES[32]
+
+
 class IdTable:
     """Ids of each distinct chunk seen so far, back to back; chunk 0 is the end of a text."""
 
     def __init__(self, path: str):
         self.library = _library(path)
+        self.model = self.library.model
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str | None, int] = {None: 0}
+        self.number: defaultdict[str | None, int] = defaultdict(count().__next__)
+        self.number[None]
         self.ids = np.array([END_ID], np.int32)
         self.begin = np.array([0, 1], np.int64)
 
+    def _found(self, chunk: str) -> list[int]:
+        # A chunk is not to be cut again, so it goes to the library's model at once, spelled in its characters.
+        if chunk.isascii() and chunk.isprintable():
+            return [t.id for t in self.model.tokenize(chunk.replace(" ", _SPACE))]
+        if _OTHER.search(chunk):
+            return self.library.encode(chunk, add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_NAMES))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts, and all their ids, each text's end included."""
         if len(self.number) > TABLE_CHUNKS or len(self.ids) > TABLE_IDS:
             self.clear()
-        cut = [[*chunks_of(t), None] for t in texts]
-        new = [c for c in dict.fromkeys(c for chunks in cut for c in chunks) if c not in self.number]
-        if new:
-            found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        cut = [chunks_of(t) for t in texts]
+        for chunks in cut:
+            chunks.append(None)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        known = len(self.number)
+        rows = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if len(self.number) > known:
+            found = [self._found(c) for c in islice(self.number, known, None)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        number = self.number
-        rows = np.fromiter((number[c] for chunks in cut for c in chunks), np.int64)
         sizes = self.begin[rows + 1] - self.begin[rows]
         ends = np.cumsum(sizes)
         at = np.repeat(self.begin[rows] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-        return np.concatenate([[0], ends])[np.cumsum([0] + [len(c) for c in cut])], self.ids[at]
+        return np.concatenate([[0], ends])[np.cumsum(np.append(0, counts))], self.ids[at]
+
+
+@lru_cache(maxsize=1)
+def _table(path: str) -> IdTable:
+    return IdTable(path)
 
 
 def _windows(path: str, keep: list[str], window: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        table, seen, part = IdTable(path), np.zeros(window // step + 1, np.int64), TaskContext.get().partitionId()
+        table, seen, part = _table(path), np.zeros(window // step + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             texts = C.rows_of(batch, "__tl_text")
             for lo, hi, _, _ in C.slices(texts, BLOCK_BYTES):
