@@ -87,7 +87,7 @@ class _SideBySide:
 
 def two_state(
     cuts: np.ndarray, z: np.ndarray, r: np.ndarray, dt: np.ndarray, sigma_a: np.ndarray | float, start: tuple[np.ndarray, ...], v: np.ndarray | None = None, rv: np.ndarray | None = None, restart: np.ndarray | None = None,
-    push: np.ndarray | None = None, two_way: bool = True,
+    push: np.ndarray | tuple[np.ndarray, np.ndarray] | None = None, two_way: bool = True,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Constant-velocity filter and smoother of many sessions and axes at once.
 
@@ -96,8 +96,9 @@ def two_state(
     session's first row included); start: position, velocity and their variances
     of each session (sessions by axes). Where restart, the velocity is forgotten
     and every variance grows by 100. push: known accelerations during the step
-    to each row. Without two_way only the filter runs. Gives positions,
-    velocities and their variances.
+    to each row, or what is known to be added to place and velocity in it.
+    Without two_way only the filter runs. Gives positions, velocities and their
+    variances.
     """
     side, shape = _SideBySide(cuts), z.shape
     sigma2 = np.broadcast_to(np.asarray(sigma_a, float) ** 2, shape[1:])
@@ -112,8 +113,8 @@ def two_state(
         x, vel, a, b, c = (s[:n] for s in (x, vel, a, b, c))
         h, new = dt[at][:, None], jump[at][:, None]
         grown = a + 2 * h * b + h * h * c + sigma2 * h**4 / 4, b + h * c + sigma2 * h**3 / 2, c + sigma2 * h * h
-        force = 0.0 if push is None else push[at]
-        x, vel = np.where(new, x, x + h * vel + h * h / 2 * force), np.where(new, 0.0, vel + h * force)
+        shift, kick = (0.0, 0.0) if push is None else (push[0][at], push[1][at]) if isinstance(push, tuple) else (h * h / 2 * push[at], h * push[at])
+        x, vel = np.where(new, x, x + h * vel + shift), np.where(new, 0.0, vel + kick)
         a, b, c = (np.where(new, other, g) for other, g in zip((a + 100.0, 0.0, 100.0), grown, strict=True))
         before[:, at] = x, vel, a, b, c
         seen = with_z[at]

@@ -1,4 +1,4 @@
-"""Registry of smoothers: each takes a track in local metres and returns it with e_s, n_s, u_s."""
+"""Registry of smoothers: each takes a track in local metres, some inertial samples too, and returns it with e_s, n_s, u_s."""
 
 from __future__ import annotations
 
@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.operators import constraints, gates, inertial, kernels, smoothing
+from tracelake.operators import constraints, error_state, gates, inertial, kernels, preintegration, reckoning, smoothing
 
-Smoother = Callable[[DataFrame], DataFrame]
+Smoother = Callable[..., DataFrame]
 _registry: dict[str, Smoother] = {}
 OUT = {"e_s": T.DoubleType(), "n_s": T.DoubleType(), "u_s": T.DoubleType()}
 
 
 def register(name: str) -> Callable[[Smoother], Smoother]:
-    """Adds a smoother; a name is never taken twice, and it must take one DataFrame."""
+    """Adds a smoother; a name is never taken twice, and it must take one DataFrame, and samples under the name imu if it uses them."""
 
     def add(f: Smoother) -> Smoother:
         if name in _registry:
@@ -36,17 +36,19 @@ def names() -> list[str]:
     return list(_registry)
 
 
-def run(name: str, track: DataFrame) -> DataFrame:
+def run(name: str, track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """The named smoother on a track; imu (ax to gz in the body: forward, left, up) reaches those that use it."""
     if name not in _registry:
         raise KeyError(f"unknown smoother {name!r}; there are {', '.join(_registry)}")
-    return _registry[name](track)
+    f = _registry[name]
+    return f(track, imu=imu) if "imu" in inspect.signature(f).parameters else f(track)
 
 
-def run_all(track: DataFrame, truth: DataFrame, only: list[str] | None = None, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+def run_all(track: DataFrame, truth: DataFrame, only: list[str] | None = None, by: str = "session_id", t: str = "utc_s", imu: DataFrame | None = None) -> DataFrame:
     """smoother, n, h_rmse_m, h_p95_m after the median offset from truth (gt_e, gt_n), best first; those without a score last."""
     scored = None
     for place, name in enumerate(only or names()):
-        got = run(name, track).select(by, t, "e_s", "n_s").join(truth, [by, t])
+        got = run(name, track, imu).select(by, t, "e_s", "n_s").join(truth, [by, t])
         d = got.select(by, (F.col("e_s") - F.col("gt_e")).alias("de"), (F.col("n_s") - F.col("gt_n")).alias("dn"))
         d = d.withColumns({"me": F.expr(f"median(de) OVER (PARTITION BY {by})"), "mn": F.expr(f"median(dn) OVER (PARTITION BY {by})")})
         h = F.sqrt((F.col("de") - F.col("me")) ** 2 + (F.col("dn") - F.col("mn")) ** 2)
@@ -161,15 +163,50 @@ def ctrv(track: DataFrame) -> DataFrame:
     return kernels.per_session(track, fold, OUT)
 
 
+def _local(imu: DataFrame | None) -> DataFrame | None:
+    return None if imu is None else preintegration.local_forces(imu)
+
+
+def _no_samples(track: DataFrame) -> DataFrame:
+    """An empty table of samples."""
+    kind = dict(track.dtypes)["session_id"]
+    return track.sparkSession.createDataFrame([], f"session_id {kind}, utc_s double, ax double, ay double, az double, gx double, gy double, gz double")
+
+
 @register("dead_reckoning")
 def dead_reckoning(track: DataFrame) -> DataFrame:
-    """The strapdown filter without inertial samples."""
+    """Nine states with acceleration, without inertial samples."""
+    return reckoning.dead_reckon(track)
 
-    def fold(r: pd.DataFrame) -> dict[str, np.ndarray]:
-        out = inertial.strapdown_rts(r, pd.DataFrame({"utc_s": []}))
-        return {c: out[c].to_numpy() for c in OUT}
 
-    return kernels.per_session(track, fold, OUT)
+@register("gnss_imu_dr")
+def gnss_imu_dr(track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """Dead reckoning; with samples the error-state smoother, more trusting of them."""
+    return reckoning.dead_reckon(track) if imu is None else error_state.smooth_sessions(track, imu, sigma_f=0.05, accel=1.0)
+
+
+@register("ekf_smoothed")
+def ekf_smoothed(track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """The error-state smoother with biases."""
+    return error_state.smooth_sessions(track, _no_samples(track) if imu is None else imu)
+
+
+@register("v2_imu_adaptive")
+def v2_imu_adaptive(track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """Tiers of epochs, the poorer ones carried by samples less the Doppler bias."""
+    return preintegration.tiered_filter(track, _local(imu))
+
+
+@register("epoch_weight_v2_imu_bridge")
+def epoch_weight_v2_imu_bridge(track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """Only weak epochs and holes are carried by samples, without a bias."""
+    return preintegration.tiered_filter(track, _local(imu), medium=6.0, alpha=None)
+
+
+@register("fgo")
+def fgo(track: DataFrame, imu: DataFrame | None = None) -> DataFrame:
+    """The robust chain of all epochs."""
+    return reckoning.factor_chain(track, _local(imu))
 
 
 @register("kalman_sigma")

@@ -209,4 +209,6 @@ def smoother_bake_off(spark: SparkSession, sf: str) -> DataFrame:
     """Every registered smoother, scored against the track before its noise, best first."""
     t = _enu(spark, sf)
     noisy = t.withColumns({"e_m": F.col("e_m") + ((F.col("k") * 7919) % 13 - 6) / 4.0, "n_m": F.col("n_m") + ((F.col("k") * 104729) % 11 - 5) / 4.0})
-    return smoothers.run_all(noisy, t.select("session_id", "utc_s", F.col("e_m").alias("gt_e"), F.col("n_m").alias("gt_n")))
+    from tracelake.plans.inertial_motion import body
+
+    return smoothers.run_all(noisy, t.select("session_id", "utc_s", F.col("e_m").alias("gt_e"), F.col("n_m").alias("gt_n")), imu=body(spark, sf))
