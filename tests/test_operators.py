@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from tracelake.functions import geo, timefn
-from tracelake.operators import asof, islands, kernels, masks, ranges, smoothers, smoothing
+from tracelake.operators import asof, islands, kernels, masks, ranges, smoothers, smoothing, stats
 
 T = "session_id long, utc_s double, v double"
 
@@ -221,3 +221,20 @@ def test_sessions_are_whole_when_batches_part_them(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == rows.count() and all(r.n == 1 + 3 * (r.session_id % 4) for r in got)
+
+
+def test_quantiles_and_ranks_of_large_groups(spark):
+    """A group with two thirds of the rows, frequent values, null keys and missing values."""
+    rng = np.random.default_rng(9)
+    rows = [(None if k % 11 == 0 else "a" if k % 3 else "b", None if k % 13 == 0 else float("nan") if k % 29 == 0 else float(rng.integers(0, 8) if k % 2 else rng.normal(0, 5)), k) for k in range(3000)] + [("c", 4.0, -1), ("d", None, -2)]
+    df = spark.createDataFrame(rows, "g string, x double, k long")
+    got = {r.g: r for r in stats.quantiles(df, "x", {"lo": 0.0, "q": 0.3, "med": 0.5, "hi": 1.0}, ["g"], buckets=7).collect()}
+    groups = {g: np.array([x for h, x, _ in rows if h == g and x is not None and x == x]) for g in (None, "a", "b", "c")}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g].n == len(x) and np.allclose([got[g].lo, got[g].q, got[g].med, got[g].hi], np.quantile(x, [0, 0.3, 0.5, 1]))
+    clean = df.where("NOT isnan(x)")
+    for r in stats.ranks(clean, "x", ["k"], ["g"], buckets=7).collect():
+        mine = sorted((x, k) for h, x, k in rows if h == r.g and x is not None and x == x)
+        assert mine[r["rank"] - 1] == (r.x, r.k) and r.up_to == sum(x <= r.x for x, _ in mine) and r.n == len(mine)
+    assert stats.quantiles(df.limit(0), "x", {"med": 0.5}, ["g"]).count() == 0 and stats.ranks(df.limit(0), "x", ["k"], ["g"]).count() == 0

@@ -89,15 +89,15 @@ def doppler_bias(steps: DataFrame, alpha: float = 0.05, medium: float = 5.0, mos
 
 
 def tiered_filter(
-    track: DataFrame, imu: DataFrame | None, medium: float = 5.0, weak: float = 6.0, wider: float = 2.5, gap_s: float = 3.0, sigma_a: float = 0.15, floor: float = 0.1, ceiling: float = 8.0, alpha: float | None = 0.05, max_hold: float = 0.1,
+    track: DataFrame, imu: DataFrame | None, medium: float = 5.0, weak: float = 6.0, wider: float = 2.5, gap_s: float = 3.0, sigma_a: float = 0.15, floor: float = 0.1, ceiling: float = 8.0, alpha: float | None = 0.05, max_hold: float = 0.1, least: int = 10,
     zupt_speed: float = 0.3, zupt_sigma: float = 0.02, by: str = "session_id", t: str = "utc_s",
 ) -> DataFrame:
     """track with e_s, n_s, u_s, ve_s, vn_s, vu_s and tier: a two-way filter that samples carry where epochs are poor.
 
     sigma_eff (from sd_e, sd_n) makes an epoch strong (below medium), medium, or
     weak (from weak on, or gated by Doppler); from medium to weak the position's sigma
-    grows to wider times. Into medium and weak epochs with more than 10 samples, and over
-    steps longer than gap_s, the samples' sums less the Doppler bias (none where alpha is None) carry the state;
+    grows to wider times. Over steps with more than least samples that lead into or out of a medium or weak epoch, and over
+    those longer than gap_s, the samples' sums less the Doppler bias (none where alpha is None) carry the state;
     elsewhere velocity is constant. Standing epochs are held still. A step of gap_s with samples for less
     than half of it isn't carried.
     """
@@ -113,10 +113,13 @@ def tiered_filter(
     step = F.coalesce(F.col(t) - F.lag(t).over(Window.partitionBy(by).orderBy(t)), zero)
     tier = F.when(F.col("doppler_reject") | (F.col("sigma_eff") >= weak), "weak").when(F.col("sigma_eff") >= medium, "medium").otherwise("strong")
     gap = (step > gap_s) & (F.col("covered_s") >= step / 2)
-    carried = F.coalesce((gap | ((tier != "strong") & (step <= gap_s))) & (F.col("n_imu") > 10), F.lit(False))
+    order = Window.partitionBy(by).orderBy(t)
+    rows = rows.withColumn("tier", tier)
+    poor = (F.col("tier") != "strong") | (F.lag("tier").over(order) != "strong")
+    carried = F.coalesce((gap | (poor & (step <= gap_s))) & (F.col("n_imu") > least), F.lit(False))
     # The bias is one of a usual step; over a longer one it adds up.
     usual = F.percentile(F.when(step > 0, step), F.lit(0.5)).over(Window.partitionBy(by))
-    rows = rows.withColumns({"__dt": step, "tier": tier, "__carried": carried, "__usual": F.coalesce(usual, F.lit(1.0))})
+    rows = rows.withColumns({"__dt": step, "__carried": carried, "__usual": F.coalesce(usual, F.lit(1.0))})
 
     def fold(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
         z, v = r[[*AXES]].to_numpy(float), r[[*RATES]].to_numpy(float)

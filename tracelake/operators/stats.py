@@ -99,13 +99,70 @@ def empirical_cdf(df: DataFrame, col: str, by: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str) -> DataFrame:
-    """Counts in equal-width bins between a group's least and largest value; the largest is in the last bin."""
-    w = Window.partitionBy(by)
-    rows = df.where(F.col(col).isNotNull()).withColumns({"__lo": F.min(col).over(w), "__hi": F.max(col).over(w)})
+    """Counts in equal-width bins between a group's least and largest value; the largest is in the last bin.
+
+    The groups' ends are an aggregate (a row a group) joined back, which adaptive
+    execution broadcasts where it is small enough; no group is in one task.
+    """
+    known = df.where(F.col(col).isNotNull())
+    ends = known.groupBy(F.col(by).alias("__by")).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    rows = known.join(ends, F.col(by).eqNullSafe(F.col("__by")))
     place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(col) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0)
     return rows.select(by, place.cast("int").alias("bin")).groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _buckets(values: DataFrame, col: str, buckets: int) -> Column:
+    """A bucket for each value, by ends that part the table's values about evenly: equal values share one, larger values have later ones."""
+    ends = sorted(set(values.approxQuantile(col, [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in ends]), lambda x: x < F.col(col))) if ends else F.lit(0)
+
+
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str], buckets: int = 64) -> DataFrame:
+    """by and a column for each entry: exact quantiles (linear between neighbours) of each group's values, n with them.
+
+    Rows are first counted by value, which Spark combines before the shuffle, so
+    that a frequent value is one row. Ranks are running counts within a bucket of values plus what earlier
+    buckets hold (buckets rows a group): a group of any size is dealt over its buckets, and no task holds
+    all values of one. Missing values don't count; groups without any have no row. Null keys are a group.
+    """
+    counts = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = counts.withColumn("__b", _buckets(counts, "__v", buckets))
+    sums = dealt.groupBy(*by, "__b").agg(F.sum("__n").alias("__s"))
+    w = Window.partitionBy(*by)
+    sums = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(w).alias("n"))
+    same = F.col("__b") == F.col("__kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    ranked = dealt.join(sums, same).withColumn("__last", F.col("__before") + F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v")) - 1)
+    first = F.col("__last") - F.col("__n") + 1
+    out = []
+    for name, p in probs.items():
+        at = p * (F.col("n") - 1)
+        lo, hi = (F.max(F.when((first <= k) & (k <= F.col("__last")), F.col("__v"))) for k in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        out.append((lo + (hi - lo) * share).alias(name))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *out)
+
+
+def ranks(df: DataFrame, col: str, ties: list[str], by: list[str], buckets: int = 64) -> DataFrame:
+    """df with rank (from 1, ties in order of the ties columns), up_to (rows with at most the value) and n (rows) within each group.
+
+    Groups are dealt over buckets of values as in quantiles(). Equal values are in one task: a value that most rows have makes it a large one. Missing values have no rank and are left out.
+    """
+    known = df.where(F.col(col).isNotNull())
+    dealt = known.withColumn("__b", _buckets(known, col, buckets))
+    w = Window.partitionBy(*by)
+    sums = dealt.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__s"))
+    sums = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(w).alias("n"))
+    same = F.col("__b") == F.col("__kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inner = Window.partitionBy(*by, "__b")
+    # The default frame of an ordered count ends with the row's peers.
+    out = {"rank": F.col("__before") + F.row_number().over(inner.orderBy(col, *ties)), "up_to": F.col("__before") + F.count(F.lit(1)).over(inner.orderBy(col))}
+    return dealt.join(sums, same).withColumns(out).drop("__b", "__kb", "__before", *[f"__k{i}" for i in range(len(by))])
+
+
 def upper_median(col: str) -> Column:
     """The element at n // 2 of the sorted values: not a mean of two. The buffer holds counts of distinct values, combined before the shuffle."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")

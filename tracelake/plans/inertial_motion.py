@@ -144,7 +144,7 @@ def inertial_error_state(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def inertial_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Strong, medium and weak epochs; the last two carried by samples."""
-    got = preintegration.tiered_filter(enu(spark, sf), forces(spark, sf), medium=0.6, weak=0.9, max_hold=HOLD)
+    got = preintegration.tiered_filter(enu(spark, sf), forces(spark, sf), medium=0.6, weak=0.9, max_hold=HOLD, least=5)
     return rounded(got.select("session_id", "epoch_ix", "tier", "n_imu", "e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s"), 3)
 
 

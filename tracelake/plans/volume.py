@@ -40,16 +40,20 @@ def volume_top_three(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_returnflag, l_linestatus, median(l_quantity) AS med, quantile_cont(l_extendedprice, [0.5, 0.95]) AS p FROM lineitem GROUP BY 1, 2)
 SELECT l_returnflag, l_linestatus, med, round(p[1], 4) AS p50, round(p[2], 4) AS p95 FROM m""")
 def volume_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.median("l_quantity").alias("med"), F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
-    return g.select("l_returnflag", "l_linestatus", "med", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"))
+    li, by = table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"]
+    quantity = stats.quantiles(li, "l_quantity", {"med": 0.5}, by).drop("n")
+    price = stats.quantiles(li, "l_extendedprice", {"p50": 0.5, "p95": 0.95}, by).drop("n")
+    return quantity.join(price, by).select(*by, "med", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("""WITH s AS (SELECT c_custkey, c_acctbal, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q, cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS cd FROM customer)
 SELECT c_custkey, CAST(q AS BIGINT) AS quartile, round(cd, 6) AS cume FROM s""")
 def volume_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey")
-    c = table(spark, sf, "customer")
-    return c.select("c_custkey", F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).cast("long").alias("quartile"), F.round(F.cume_dist().over(w.orderBy("c_acctbal")), 6).alias("cume"))
+    r = stats.ranks(table(spark, sf, "customer"), "c_acctbal", ["c_custkey"], ["c_nationkey"])
+    # The first n % 4 quartiles have one row more.
+    size, more, at = F.floor(F.col("n") / 4), F.col("n") % 4, F.col("rank") - 1
+    quartile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    return r.select("c_custkey", quartile.cast("long").alias("quartile"), F.round(F.col("up_to") / F.col("n"), 6).alias("cume"))
 
 
 @query("""SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))), 4) AS norm, min(len(embedding)) AS width FROM embeddings GROUP BY label""")
