@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import common, compression_rules, importance, language_id, mixing, sentencepiece_codec, sharding, toxicity
 from tracelake.llm.queries import model_path
@@ -371,6 +372,27 @@ def test_toxicity_of_disguised_words(spark):
     assert {r.doc_id for r in kept.where("doc_id >= 1000").collect()} == {1002, 1003, 1004}
 
 
+@pytest.mark.parametrize("every", [2, 3, 10])
+def test_texts_without_features_stay_whatever_the_labels(spark, every):
+    rng = random.Random(every)
+    plain = "table chair window river mountain paper garden yellow".split()
+    rows = [(k, " ".join([rng.choice(plain) for _ in range(20)] + (["moron"] if k % every == 0 else [])), "en", "s") for k in range(400)]
+    blank = [None, "", " \n", "42 17", "?!... 7", "日本 語", "qzxv wvzq"]
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(blank)] + [(2000, "table chair moron", "en", "s"), (2001, "river table", "en", "s")]
+    labels = spark.createDataFrame([(k, int(k % every == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, rows), labels).collect()}
+    assert all(got[1000 + i].predicted == 0 and 0 < got[1000 + i].score < 0.05 for i in range(len(blank)))
+    assert got[2000].predicted == 1 and got[2001].predicted == 0
+    kept = {r.doc_id for r in toxicity.keep_rows(frame(spark, rows), labels).collect()}
+    assert kept >= {1000 + i for i in range(len(blank))} and 2000 not in kept and 2001 in kept
+
+
+def test_kept_columns_give_way_to_new_ones(spark):
+    docs = frame(spark, [(1, "a b", "en", "s")]).withColumn("ids", F.lit("x")).withColumn("odd name", F.lit(5))
+    got = sentencepiece_codec.encode(docs, model_path(), keep=("doc_id", "ids", "odd name", "text"))
+    assert got.columns == ["doc_id", "odd name", "text", "ids"] and got.first().text == "a b" and len(got.first().ids) == 2
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(frame(spark, [(1, "x", "en", "s")]), none).collect()} == {0}

@@ -85,7 +85,7 @@ def _encoder(model_path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
         for batch in batches:
-            texts = C.rows_of(batch, "text")
+            texts = C.rows_of(batch, "__tl_text")
             for lo, hi, _, _ in C.slices(texts, BLOCK_BYTES):
                 offsets, ids = table.encode(texts.slice(lo, hi - lo).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -154,13 +154,14 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
 
     Null text counts as empty; empty text has no ids. Rows stay as they are,
     repeated or not; a text of any length is one list; an empty table gives no
-    rows. keep must not name a column ids. model_path must be a file
+    rows. A kept column called ids gives its place to the new one. model_path must be a file
     that every executor has, with pieces that don't cross whitespace markers
     (ValueError otherwise).
     """
     types = dict(docs.dtypes)
+    keep = [c for c in keep if c != "ids"]
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "ids array<int>"])
-    return docs.select(*keep, F.col(text_col).alias("text")).mapInArrow(_encoder(model_path, list(keep)), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__tl_text")).mapInArrow(_encoder(model_path, keep), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

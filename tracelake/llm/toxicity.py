@@ -27,6 +27,8 @@ FIT_ROWS, FEATURES = 12_000, 2048
 #: A feature needs so many labelled texts.
 LEAST_TEXTS = 2
 THRESHOLD = 0.3
+#: The score of a text in which no feature is found.
+CLEAN = 0.005
 PREFIXES = (4, 5, 6, 7, 8)
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e"}
@@ -370,8 +372,9 @@ class Scorer:
         return doc, pairs % size, np.log1p(100 * count / np.maximum(words[doc], 10))
 
     def score(self, n: int, doc: np.ndarray, feature: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """Scores of n texts from rows(); a text without any feature says nothing of toxicity, however common that is, and gets CLEAN."""
         total = self.bias + np.bincount(doc, self.weights[feature] + self.weights[feature + len(self.features)] * rate, minlength=n)
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        return np.where(np.bincount(doc, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(total, -30, 30))), CLEAN)
 
     def fit(self, label: np.ndarray, doc: np.ndarray, feature: np.ndarray, rate: np.ndarray, rounds: int = 400, pace: float = 0.2, decay: float = 2e-4) -> None:
         """Logistic regression by gradient steps, each weight with a pace of its own."""
@@ -453,7 +456,7 @@ def _constant(model: np.ndarray) -> Scorer:
 def score_texts(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """docs with the score in (0, 1) in a new column, which takes the place of one of that name.
 
-    An empty table gives no rows; other columns pass through under any name. Null and empty texts have the score of a text without features. Rows are
+    An empty table gives no rows; other columns pass through under any name. Null, empty and letterless texts, as all without a feature, score CLEAN. Rows are
     scored alone, whole and of any length (letters spaced out across the parting
     of a text above 2 MB are read as two runs); repeated rows have equal scores.
     """
@@ -475,6 +478,10 @@ def toxicity(docs: DataFrame, labelled: DataFrame, folds: int = 4, held_fold: in
 
 
 def keep_rows(docs: DataFrame, labelled: DataFrame, folds: int = 4, held_fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold."""
+    """The rows of docs whose score is below the threshold, with all their columns.
+
+    Null, empty and letterless texts stay whatever the labels; repeated rows stay or go
+    together; an empty table gives no rows, and without toxic labels all rows stay.
+    """
     scorer = fit_scorer(docs, labelled.where(C.id_crc32(F.col("doc_id")) % folds != held_fold))
     return score_texts(docs, scorer, "__tl_score").where(F.col("__tl_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
