@@ -114,7 +114,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str) -> DataFrame:
 def _buckets(values: DataFrame, col: str, buckets: int) -> Column:
     """A bucket for each value, by ends that part the table's values about evenly: equal values share one, larger values have later ones."""
     ends = sorted(set(values.approxQuantile(col, [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
-    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in ends]), lambda x: x < F.col(col))) if ends else F.lit(0)
+    return sum((F.when(F.col(col) > float(x), 1).otherwise(0) for x in ends), F.lit(0))
 
 
 def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str], buckets: int = 64) -> DataFrame:
