@@ -29,6 +29,8 @@ LEAST_TEXTS = 2
 THRESHOLD = 0.3
 #: The score of a text in which no feature is found.
 CLEAN = 0.005
+#: The largest share of toxic texts that the fit starts from.
+MOST_TOXIC = 0.2
 PREFIXES = (4, 5, 6, 7, 8)
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e"}
@@ -377,7 +379,13 @@ class Scorer:
         return np.where(np.bincount(doc, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(total, -30, 30))), CLEAN)
 
     def fit(self, label: np.ndarray, doc: np.ndarray, feature: np.ndarray, rate: np.ndarray, rounds: int = 400, pace: float = 0.2, decay: float = 2e-4) -> None:
-        """Logistic regression by gradient steps, each weight with a pace of its own."""
+        """Logistic regression by gradient steps, each weight with a pace of its own.
+
+        Where more than MOST_TOXIC of the labels are toxic, blank clean texts fill up to that share: labels are
+        often picked to be balanced, and a text that says little should not start out as toxic.
+        """
+        toxic = float(label.sum())
+        label = np.append(label, np.zeros(max(0, int(toxic / MOST_TOXIC) - len(label))))
         n, k = len(label), len(self.features)
         rows, columns, values = np.concatenate([doc, doc]), np.concatenate([feature, feature + k]), np.concatenate([np.ones(len(doc)), rate])
         share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
