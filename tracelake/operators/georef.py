@@ -18,9 +18,9 @@ from tracelake.functions.angles import lerp, lerp_deg, wrap_deg
 
 @dataclass(frozen=True)
 class Stream:
-    """Samples and how to read them: columns taken on a line, along the shorter arc (degrees, to 0..360), or from the nearer sample.
+    """Samples and how to read them: columns taken on a line, along the shorter arc (degrees, to 0..360), from the nearer sample, or from the latest one so far (held) or the next (ahead), one at the query's time included.
 
-    Between samples more than max_gap apart there is no line or arc; the nearer
+    Between samples more than max_gap apart there is no line or arc; a single
     sample counts up to max_gap away. Names are those of the result: no two
     streams share one.
     """
@@ -30,14 +30,20 @@ class Stream:
     circular: tuple[str, ...] = ()
     nearest: tuple[str, ...] = ()
     max_gap: float = 2.0
+    held: tuple[str, ...] = ()
+    ahead: tuple[str, ...] = ()
     cols: tuple[str, ...] = field(init=False)
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "cols", (*self.linear, *self.circular, *self.nearest))
+        object.__setattr__(self, "cols", (*self.linear, *self.circular, *self.nearest, *self.held, *self.ahead))
 
 
 def _value(stream: Stream, col: str, lo: Column, hi: Column, t: Column) -> Column:
     before, after = t - lo["__t"], hi["__t"] - t
+    if col in stream.held:
+        return F.when(after == 0, hi[col]).when(before <= stream.max_gap, lo[col])
+    if col in stream.ahead:
+        return F.when(after <= stream.max_gap, hi[col])
     if col in stream.nearest:
         early = lo.isNotNull() & (hi.isNull() | (before <= after))
         near = F.when(early, before).otherwise(after)

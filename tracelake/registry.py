@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "speed_sigma_bands"
-MODULES = ("scalars", "gating", "joins", "statistics", "sequences", "kernels", "vehicles", "details", "volume", "texts", "estimates", "georeference", "inertial_motion", "alignment")
+MODULES = ("scalars", "gating", "joins", "statistics", "sequences", "kernels", "vehicles", "details", "volume", "texts", "estimates", "georeference", "inertial_motion", "alignment", "attitudes")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
