@@ -217,6 +217,18 @@ def test_repeat_groups_hold_all_occurrences(spark, seed, group):
     assert covered == cover
 
 
+@pytest.mark.parametrize("group", [65_536, 2])
+def test_a_long_repeat_is_one_group(spark, group):
+    rng = random.Random(9)
+    alone = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    long, longer, once = alone(1500), alone(6000), alone(900)
+    texts = [(1, alone(50) + "X" + long + "P" + alone(400)), (2, "Y" + long + "Q"), (3, "R" + longer + "T" + longer + "S" + alone(10)), (4, longer), (5, once), (None, alone(30) + "Z" + long), (6, None)]
+    groups = {}
+    for r in repeats.repeat_groups(frame(spark, texts), group=group).collect():
+        groups.setdefault((r.group_id, r.length), set()).add((r.doc_id, r.begin))
+    assert sorted((n, sorted(p, key=str)) for (_, n), p in groups.items()) == [(1500, [(1, 51), (2, 1), (None, 31)]), (6000, [(3, 1), (3, 6002), (4, 0)])]
+
+
 def test_classes_of_the_interval_tree_are_the_maximal_repeats():
     rng = random.Random(8)
     for _ in range(40):

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import common as C
@@ -526,9 +526,11 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The members of a group have the same bytes, and no further byte on either
     side is the same in all. What is compared reaches REACH bytes to either side
-    of an anchor, so a longer repeat comes as groups that overlap along it, cut
-    off there; those of anchors with more than group surroundings come as windows
-    of SHORT bytes. Nulls, empty tables and other columns as in remove_repeats.
+    of an anchor (around anchors with more than group surroundings, windows of SHORT bytes); pieces
+    that the same members share at the same distance are joined to one group of any length. Only where more members than
+    those of a group agree over all that is compared, it comes as parts on both sides of
+    there. Text in short periods repeats itself at every length, so its groups' rows
+    grow with the square of its length. Nulls, empty tables and other columns as in remove_repeats.
     """
     source, repeated, kinds = _repeated_anchors(docs, id_col, text_col, every=True)
     _, contexts = _surroundings(source, repeated, kinds, with_anchor=True)
@@ -542,7 +544,28 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     even = F.when(F.col("times") > 1, (F.col("run") / (F.col("times") - 1)).cast("int")).otherwise(1)
     places = repeated.withColumn("at", F.explode(F.sequence("pos", F.col("pos") + F.col("run"), even)))
     found = places.join(classes, ["anchor", "around"])
-    return found.select("group_id", "length", "doc_id", (F.col("at") - F.col("before")).cast("long").alias("begin")).distinct()
+    return _joined(C.materialize(found.select("group_id", "length", "doc_id", (F.col("at") - F.col("before")).cast("long").alias("begin")).distinct()))
+
+
+def _joined(members: DataFrame) -> DataFrame:
+    """Groups that have the same members but for one shift, and that overlap or touch, as one (under the name of the first).
+
+    Members are compared by two 64-bit keys over all of them and their number, which
+    Spark combines before the shuffle; a text's groups with the same members are one
+    window, and the members themselves move once.
+    """
+    heads = members.groupBy("group_id", "length").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "begin")).alias("head"))
+    away = F.col("begin") - F.col("head.begin")
+    keys = members.join(heads, ["group_id", "length"]).groupBy("group_id", "length", "head", "n")
+    keys = keys.agg(F.bit_xor(F.xxhash64("doc_id", away)).alias("k1"), F.bit_xor(F.xxhash64(away, "doc_id", F.lit(1))).alias("k2"))
+    alike = Window.partitionBy("head.doc_id", "n", "k1", "k2").orderBy("head.begin", F.desc("length"), "group_id")
+    before = alike.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("head.begin") + F.col("length")
+    runs = keys.withColumn("end", end).withColumn("new", F.coalesce((F.col("head.begin") > F.max("end").over(before)).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("new").over(alike.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = Window.partitionBy("head.doc_id", "n", "k1", "k2", "run")
+    first = runs.withColumn("whole", (F.max("end").over(whole) - F.min("head.begin").over(whole)).cast("int")).where("new = 1").select("group_id", "length", "whole")
+    return members.join(first, ["group_id", "length"]).select("group_id", F.col("whole").alias("length"), "doc_id", "begin")
 
 
 def digest(removed: DataFrame) -> DataFrame:
