@@ -41,6 +41,25 @@ def fit_anchors(anchors: DataFrame, rounds: int = 3, times: float = 5.0, by: str
     )
 
 
+def fit_with_fallback(sources: dict[str, DataFrame], rounds: int = 3, times: float = 5.0, by: str = "session_id") -> DataFrame:
+    """by, source and fit_anchors()'s columns: each session by the first of the sources (name to anchors, best first) that has a line for it.
+
+    All sources are fitted in one pass over their union, keyed by session and
+    source. A session has no row if none of them has two anchors at different x; a source
+    whose x are all equal has no slope and doesn't count.
+    """
+    united = None
+    for place, (name, anchors) in enumerate(sources.items()):
+        one = anchors.select(F.struct(F.col(by).alias("who"), F.lit(place).alias("place"), F.lit(name).alias("source")).alias("__key"), "x_ns", "y_s")
+        united = one if united is None else united.unionByName(one)
+    if united is None:
+        raise ValueError("no sources")
+    fits = fit_anchors(united, rounds, times, "__key").where("slope IS NOT NULL")
+    cols = [c for c in fits.columns if c != "__key"]
+    best = fits.groupBy(F.col("__key.who").alias(by)).agg(F.min_by(F.struct(F.col("__key.source").alias("source"), *cols), "__key.place").alias("__f"))
+    return best.select(by, "__f.*")
+
+
 def residuals(anchors: DataFrame, fits: DataFrame, by: str = "session_id") -> DataFrame:
     """Every anchor with residual_s and the fit's sigma_s there."""
     rows = anchors.join(fits, by)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.functions import geo
 from tracelake.operators import constraints, error_state, gates, inertial, kernels, preintegration, reckoning, smoothing
 
 Smoother = Callable[..., DataFrame]
@@ -58,6 +59,18 @@ def run_all(track: DataFrame, truth: DataFrame, only: list[str] | None = None, b
     return scored.orderBy(F.asc_nulls_last("h_rmse_m"), "place").drop("place")
 
 
+def tracks(enu: DataFrame, only: list[str] | None = None, imu: DataFrame | None = None, by: str = "session_id", t: str = "utc_s") -> dict[str, DataFrame]:
+    """Every smoother's track in degrees (by, t, lat_deg, lon_deg, h_m), for the layers of a map; enu is with_enu()'s track, whose first row is the origin."""
+    first = Window.partitionBy(by).orderBy(t)
+    origin = {f"__{c}": F.first(c).over(first) for c in ("lat_deg", "lon_deg", "h_m")}
+    found = {}
+    for name in only or names():
+        rows = run(name, enu.withColumns(origin), imu)
+        place = geo.enu_to_llh(F.col("e_s"), F.col("n_s"), F.col("u_s"), tuple(F.col(c) for c in origin))
+        found[name] = rows.select(by, t, place.alias("__p")).select(by, t, "__p.*")
+    return found
+
+
 @register("raw")
 def raw(track: DataFrame) -> DataFrame:
     return track.withColumns({"e_s": F.col("e_m"), "n_s": F.col("n_m"), "u_s": F.col("u_m")})

@@ -195,6 +195,26 @@ def clock_robust_fit(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("session_id", F.round((F.col("slope") * 1e9 - 1) * 1e6, 4).alias("drift_ppm"), "n", "n_rejected", F.round("rmse_s", 6).alias("rmse_s"), F.round("max_abs_s", 6).alias("max_abs_s"))
 
 
+def _sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """A recording that two of three sessions have, raw measurements that every second has, and fixes, 0.12 s early."""
+    a = anchors(spark, sf)
+    return {
+        "recording": a.where("session_id % 3 <> 0"),
+        "measurements": a.where("session_id % 2 = 0").withColumn("y_s", F.col("y_s") - 0.0001),
+        "fixes": a.where("session_id % 9 <> 0").withColumn("y_s", F.col("y_s") - 0.12),
+    }
+
+
+@query(f"""WITH {ANCHORS}, s AS (SELECT session_id, 0 AS place, 'recording' AS source, x_ns, y_s FROM anchors WHERE session_id % 3 <> 0 UNION ALL SELECT session_id, 1, 'measurements', x_ns, y_s - 0.0001E0 FROM anchors WHERE session_id % 2 = 0
+  UNION ALL SELECT session_id, 2, 'fixes', x_ns, y_s - 0.12E0 FROM anchors WHERE session_id % 9 <> 0),
+f AS (SELECT session_id, place, source, count(*) AS n, (regr_slope(y_s, (x_ns - 0.0E0) / 1E9) - 1) * 1E6 AS ppm, avg(y_s) AS ymean FROM s GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT x_ns) > 1)
+SELECT session_id, source, n, round(ppm, 3) + 0.0E0 AS drift_ppm, round(ymean, 4) AS ymean FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY place) = 1""")
+def clock_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A line for each session from the best source of anchors that it has, without rounds."""
+    f = clocks.fit_with_fallback(_sources(spark, sf), rounds=0)
+    return f.select("session_id", "source", "n", (F.round((F.col("slope") * 1e9 - 1) * 1e6, 3) + 0.0).alias("drift_ppm"), F.round("ymean", 4).alias("ymean"))
+
+
 @query(f"""WITH {_ROBUST} SELECT a.session_id, a.x_ns, round(a.y_s - (ymean + b * (a.x_ns - xmean)), 5) + 0.0E0 AS residual_s,
   round(rmse * sqrt(n / (n - 2.0E0)) * sqrt(1.0E0 / n + power(a.x_ns - xmean, 2) / sxx), 7) AS sigma_s FROM anchors a JOIN fit USING (session_id)""")
 def clock_residuals(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import quality, timefn
-from tracelake.operators import asof, gates, islands
+from tracelake.operators import asof, gates, islands, smoothers
 from tracelake.operators.motion import with_enu
-from tracelake.plans.tracks import QUERIES_T, STEPS, TRACK, queries_t, rounded, table, track
+from tracelake.plans.tracks import FIXES, QUERIES_T, STEPS, TRACK, fixes, queries_t, rounded, table, track
 from tracelake.registry import query
 from tracelake.sinks import files
 
@@ -71,6 +71,40 @@ def export_trust_placemarks(spark: SparkSession, sf: str) -> DataFrame:
     return files.placemarks(segments, F.concat(F.lit("run "), F.col("run_id")), F.concat(F.lit("q"), F.col("quality"))).select("session_id", "run_id", "value")
 
 
+def _layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    t = track(spark, sf)
+    return {"solved": t, "fixed": t.where("quality = 1 AND session_id % 4 <> 0"), "device": fixes(spark, sf).select("session_id", "utc_s", F.col("d_lat").alias("lat_deg"), F.col("d_lon").alias("lon_deg"), F.lit(None).cast("double").alias("h_m"))}
+
+
+_LAYERS = f"""{TRACK}, {FIXES}, l AS (SELECT session_id, 'solved' AS layer, utc_s, lat_deg, lon_deg, h_m FROM track UNION ALL SELECT session_id, 'fixed', utc_s, lat_deg, lon_deg, h_m FROM track WHERE quality = 1 AND session_id % 4 <> 0
+  UNION ALL SELECT session_id, 'device', utc_s, d_lat, d_lon, 0 FROM fixes)"""
+
+
+@query(f"""WITH {_LAYERS}, i AS (SELECT *, row_number() OVER (PARTITION BY session_id, layer ORDER BY utc_s) - 1 AS ix FROM l),
+p AS (SELECT *, ix // 40 AS part FROM i UNION ALL SELECT *, ix // 40 - 1 FROM i WHERE ix % 40 = 0 AND ix > 0)
+SELECT session_id, layer, part, '<Placemark><name>' || layer || ' ' || part || '</name><styleUrl>#' || layer || '</styleUrl><LineString><altitudeMode>absolute</altitudeMode><coordinates>'
+  || string_agg(printf('%.8f,%.8f,%.3f', {_half_up('lon_deg', 8)}, {_half_up('lat_deg', 8)}, {_half_up('h_m', 3)}), ' ' ORDER BY utc_s) || '</coordinates></LineString></Placemark>' AS value FROM p GROUP BY session_id, layer, part HAVING count(*) >= 2""")
+def export_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Several tracks as layers of a map, in lines of forty steps that meet."""
+    return files.layer_marks(files.layers(_layers(spark, sf)), most=40).select("session_id", "layer", "part", "value")
+
+
+@query(f"""WITH {_LAYERS}, n AS (SELECT session_id, layer, count(*) AS points FROM l GROUP BY 1, 2)
+SELECT s.session_id, s.layer, coalesce(points, 0) AS points, CASE WHEN coalesce(points, 0) = 0 THEN 'no rows' WHEN points = 1 THEN 'one row' END AS skipped
+FROM (SELECT DISTINCT session_id, unnest(['solved', 'fixed', 'device']) AS layer FROM track) s LEFT JOIN n USING (session_id, layer)""")
+def export_layer_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Which layers have no document, and why."""
+    return files.layer_report(_layers(spark, sf), track(spark, sf))
+
+
+@query(f"""WITH {TRACK} SELECT session_id, layer, utc_s, CASE layer WHEN 'raw' THEN round(lat_deg, 8) END AS lat_deg, CASE layer WHEN 'raw' THEN round(lon_deg, 8) END AS lon_deg FROM track, (SELECT unnest(['raw', 'gaussian_car']) AS layer)""")
+def export_smoother_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothers' tracks in degrees as layers; the places of the one without smoothing are told, as the SQL knows them."""
+    got = files.layers(smoothers.tracks(with_enu(track(spark, sf)), ["raw", "gaussian_car"]))
+    told = lambda c: F.when(F.col("layer") == "raw", F.round(c, 8)).alias(c)
+    return got.select("session_id", "layer", "utc_s", told("lat_deg"), told("lon_deg"))
+
+
 @query(f"""WITH {TRACK}, f AS (SELECT session_id, 'rows' AS item, CASE WHEN count(*) >= 60 THEN 'pass' WHEN count(*) >= 40 THEN 'warn' ELSE 'fail' END AS level FROM track GROUP BY 1
   UNION ALL SELECT session_id, 'span', CASE WHEN max(utc_s) - min(utc_s) >= 90 THEN 'pass' ELSE 'warn' END FROM track GROUP BY 1 UNION ALL SELECT session_id, 'fix', CASE WHEN avg(CASE WHEN quality = 1 THEN 1.0E0 ELSE 0 END) >= 0.5 THEN 'pass' ELSE 'fail' END FROM track GROUP BY 1)
 SELECT item, level, count(*) AS n FROM f GROUP BY 1, 2""")

@@ -37,6 +37,14 @@ def coordinates(track: DataFrame, group: list[str], t: str = "utc_s", decimals:
     return track.groupBy(*group).agg(F.array_join(packed, " ").alias("line"), F.count(F.lit(1)).alias("points"))
 
 
+def parts(track: DataFrame, group: list[str], most: int = 1000, t: str = "utc_s") -> DataFrame:
+    """track with part: a group's epochs in order, most steps a part; the epoch between two parts is in both, so that lines meet and no cell holds more than most + 1 points."""
+    ix = F.row_number().over(Window.partitionBy(*group).orderBy(t)) - 1
+    rows = track.withColumn("__ix", ix).withColumn("part", F.floor(F.col("__ix") / most))
+    edge = (F.col("__ix") % most == 0) & (F.col("__ix") > 0)
+    return rows.withColumn("part", F.explode(F.when(edge, F.array(F.col("part") - 1, "part")).otherwise(F.array("part")))).drop("__ix")
+
+
 def placemarks(segments: DataFrame, name: Column, style: Column) -> DataFrame:
     """value: one line element of a map file for each segment of two points or more."""
     text = F.concat(F.lit("<Placemark><name>"), name, F.lit("</name><styleUrl>#"), style, F.lit("</styleUrl><LineString><altitudeMode>absolute</altitudeMode><coordinates>"), F.col("line"), F.lit("</coordinates></LineString></Placemark>"))
@@ -52,6 +60,36 @@ def write_kml(marks: DataFrame, path: str, by: str = "session_id", order: str =
     lines.repartition(by).sortWithinPartitions(by, "__part", order).select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 
 
+_LAYER = ("lat_deg", "lon_deg", "h_m")
+
+
+def layers(tracks: dict[str, DataFrame], by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, layer, utc_s, lat_deg, lon_deg, h_m of several tracks, each a layer of a map; rows without a place or a time are left out, a missing height is 0."""
+    united = None
+    for name, rows in tracks.items():
+        one = rows.dropna(subset=[t, "lat_deg", "lon_deg"]).select(by, F.lit(name).alias("layer"), t, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _LAYER])
+        united = one if united is None else united.unionByName(one)
+    if united is None:
+        raise ValueError("no tracks")
+    return united
+
+
+def layer_marks(united: DataFrame, most: int = 1000, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, layer, file, part, value: the lines of every layer, in parts of most steps; write_kml(..., by="file", order="part") makes a document of each session and layer."""
+    lines = coordinates(parts(united, [by, "layer"], most, t), [by, "layer", "part"], t)
+    marks = placemarks(lines, F.concat("layer", F.lit(" "), "part"), F.col("layer"))
+    return marks.select(by, "layer", F.concat_ws("_", F.col(by).cast("string"), "layer").alias("file"), "part", "value")
+
+
+def layer_report(tracks: dict[str, DataFrame], sessions: DataFrame, by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """by, layer, points, skipped for every session and layer: why there is no document (no rows, one row), null where there is one."""
+    asked = sessions.select(by).distinct().withColumn("layer", F.explode(F.array(*map(F.lit, tracks))))
+    counts = layers(tracks, by, t).groupBy(by, "layer").agg(F.count(F.lit(1)).alias("points"))
+    n = F.coalesce("points", F.lit(0))
+    reason = F.when(n == 0, "no rows").when(n == 1, "one row")
+    return asked.join(counts, [by, "layer"], "left").select(by, "layer", n.alias("points"), reason.alias("skipped"))
+
+
 def export_columns(track: DataFrame, coords: tuple[str, ...] = ("llh",), clocks: tuple[str, ...] = ("utc",)) -> DataFrame:
     """The chosen coordinate and clock columns of a track (with e_m, n_m, u_m for enu)."""
     known = {"llh": ("lat_deg", "lon_deg", "h_m"), "enu": ("e_m", "n_m", "u_m")}
