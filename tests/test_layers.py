@@ -57,3 +57,15 @@ def test_clocks_take_the_best_source(spark):
     got = {r.session_id: (r.source, r.n, round(r.slope * 1e9, 9)) for r in clocks.fit_with_fallback(dict(zip(("recording", "raw", "fixes"), frames))).collect()}
     assert got == {1: ("recording", 5, 1.0), 2: ("raw", 4, 1.0), 3: ("fixes", 3, 1.0)}
     assert clocks.fit_with_fallback({"a": frames[0].limit(0)}).count() == 0
+
+
+def test_times_in_a_video_are_corrected(spark):
+    times = spark.createDataFrame([(1, 10.0, "a"), (2, 1.0, "b")], "session_id long, rel_s double, name string")
+    fits = spark.createDataFrame([(1, 1.00001e-9, 0.0, 1704067200.0, 0.1, 10, 1e20)], "session_id long, slope double, xmean double, ymean double, rmse_s double, n long, sxx double")
+    starts = spark.createDataFrame([(1, 1483228785.0)], "session_id long, start_utc_s double")
+    got = {r.name: r for r in clocks.corrected_times(times, fits, starts, 0.5).collect()}
+    a = got["a"]
+    assert abs(a.anchored_utc_s - 1704067210.500105) < 1e-6 and abs(a.naive_utc_s - 1483228795.5) < 1e-6 and a.leap_s == 18
+    assert abs(a.naive_gpst_s - a.naive_utc_s - 17) < 1e-6 and abs(a.anchored_gpst_s - a.anchored_utc_s - 18) < 1e-6 and a.sigma_s > 0
+    b = got["b"]
+    assert b.video_s == 1.5 and b.anchored_utc_s is None and b.naive_utc_s is None

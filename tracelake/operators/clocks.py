@@ -68,6 +68,27 @@ def residuals(anchors: DataFrame, fits: DataFrame, by: str = "session_id") -> Da
     return rows.select(*anchors.columns, (F.col("y_s") - line).alias("residual_s"), sigma.alias("sigma_s"))
 
 
+def corrected_times(times: DataFrame, fits: DataFrame, starts: DataFrame, offset_s: float = 0.0, by: str = "session_id") -> DataFrame:
+    """times (by, rel_s and any keys) with video_s, naive and anchored times in UTC and GPST, leap_s, correction_s and sigma_s.
+
+    Naive is the video's start (starts: by, start_utc_s) plus the time in it; anchored is the session's fit
+    (fit_anchors()) there. A session without a start or a fit keeps its rows with nulls.
+    """
+    rows = times.join(starts.select(by, F.col("start_utc_s").alias("__start")), by, "left").join(fits.select(by, "slope", "xmean", "ymean", "rmse_s", "n", "sxx"), by, "left")
+    rows = rows.withColumn("video_s", F.col("rel_s") + offset_s).withColumn("__ns", F.col("video_s") * 1e9)
+    line = timefn.anchor_utc(F.col("__ns"), F.col("slope"), F.col("xmean"), F.col("ymean"))
+    rows = rows.withColumns({"naive_utc_s": F.col("__start") + F.col("video_s"), "anchored_utc_s": line})
+    leaps = timefn.leap_seconds(F.col("anchored_utc_s"))
+    out = {
+        "naive_gpst_s": F.col("naive_utc_s") + timefn.leap_seconds(F.col("naive_utc_s")),
+        "anchored_gpst_s": F.col("anchored_utc_s") + leaps,
+        "leap_s": leaps,
+        "correction_s": F.col("anchored_utc_s") - F.col("naive_utc_s"),
+        "sigma_s": timefn.anchor_sigma(F.col("__ns"), F.col("rmse_s"), F.col("n"), F.col("xmean"), F.col("sxx")),
+    }
+    return rows.withColumns(out).select(*times.columns, "video_s", "naive_utc_s", "anchored_utc_s", *out)
+
+
 def cubic_gain(anchors: DataFrame, by: str = "session_id") -> DataFrame:
     """by, n, linear_rmse_s, cubic_rmse_s: how much better a cubic fits a session's anchors (x_ns, y_s); below five anchors the cubic is null.
 

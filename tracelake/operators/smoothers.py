@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,12 @@ def run_all(track: DataFrame, truth: DataFrame, only: list[str] | None = None, b
     return scored.orderBy(F.asc_nulls_last("h_rmse_m"), "place").drop("place")
 
 
+def _ecef(p: Column) -> Column:
+    ref = p["__lat_deg"], p["__lon_deg"], p["__h_m"]
+    away = geo.enu_vec_to_ecef(p["e_s"], p["n_s"], p["u_s"], ref[0], ref[1])
+    return F.struct(*[(o + d).alias(c) for c, o, d in zip("xyz", geo.llh_to_ecef(*ref), away, strict=True)])
+
+
 def tracks(enu: DataFrame, only: list[str] | None = None, imu: DataFrame | None = None, by: str = "session_id", t: str = "utc_s") -> dict[str, DataFrame]:
     """Every smoother's track in degrees (by, t, lat_deg, lon_deg, h_m), for the layers of a map; enu is with_enu()'s track, whose first row is the origin."""
     first = Window.partitionBy(by).orderBy(t)
@@ -66,8 +72,9 @@ def tracks(enu: DataFrame, only: list[str] | None = None, imu: DataFrame | None
     found = {}
     for name in only or names():
         rows = run(name, enu.withColumns(origin), imu)
-        place = geo.enu_to_llh(F.col("e_s"), F.col("n_s"), F.col("u_s"), tuple(F.col(c) for c in origin))
-        found[name] = rows.select(by, t, place.alias("__p")).select(by, t, "__p.*")
+        found[name] = rows.select(by, t, F.inline(F.transform(F.array(F.struct(*OUT, *origin)), _ecef)).alias("__x", "__y", "__z"))
+        # Each step is a row of its own, so that no expression is taken twice.
+        found[name] = found[name].select(by, t, F.inline(F.array(geo.ecef_to_llh_struct(F.col("__x"), F.col("__y"), F.col("__z")))))
     return found
 
 

@@ -87,6 +87,20 @@ def frame_clock_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("session_id", "pts", (F.round(timefn.anchor_utc(boot, F.col("slope"), F.col("xmean"), F.col("ymean")), 5) + 0.0).alias("utc_s"), F.when(F.col("pts") >= 1, F.round(F.col("pts") - 1, 6)).alias("audio_s"))
 
 
+@query(f"""WITH {_ROBUST}, v AS (SELECT session_id, x_ns, x_ns / 1E9 + 0.25E0 + 0.5E0 AS video_s FROM anchors),
+z AS (SELECT session_id, min(y_s) - 1 AS start_s FROM anchors WHERE session_id % 5 <> 0 GROUP BY 1),
+u AS (SELECT v.*, start_s + video_s AS naive, ymean + b * (video_s * 1E9 - xmean) AS anch, rmse * sqrt(n / (n - 2.0E0)) * sqrt(1.0E0 / n + power(video_s * 1E9 - xmean, 2) / sxx) AS sigma FROM v JOIN fit USING (session_id) LEFT JOIN z USING (session_id))
+SELECT session_id, x_ns, round(video_s, 6) AS video_s, round(anch, 4) AS anchored_utc_s, round(anch + 0, 4) AS anchored_gpst_s, round(naive + 0, 4) AS naive_gpst_s, round(anch - naive, 4) + 0.0E0 AS correction_s, round(sigma, 7) AS sigma_s FROM u""")
+def clock_corrected_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times picked in a video, half a second late, by its start and by the session's anchors; every fifth session has no start."""
+    a = anchors(spark, sf)
+    fits = clocks.fit_anchors(a)
+    starts = a.where("session_id % 5 <> 0").groupBy("session_id").agg((F.min("y_s") - 1).alias("start_utc_s"))
+    got = clocks.corrected_times(a.select("session_id", "x_ns", (F.col("x_ns") / 1e9 + 0.25).alias("rel_s")), fits, starts, offset_s=0.5)
+    digits = {"video_s": 6, "anchored_utc_s": 4, "anchored_gpst_s": 4, "naive_gpst_s": 4, "correction_s": 4, "sigma_s": 7}
+    return got.select("session_id", "x_ns", *[(F.round(c, d) + 0.0).alias(c) for c, d in digits.items()])
+
+
 @query(f"""WITH {TRACK}, c AS (SELECT session_id, round(utc_s, 3) AS t, lat_deg + 1E-6 AS la, h_m + 0.5E0 AS h FROM track)
 SELECT a.session_id, count(*) AS n, round(avg(abs(c.la - a.lat_deg) * 111320), 5) AS mean_n_m, round(max(abs(c.h - a.h_m)), 5) AS max_v_m FROM track a JOIN c ON a.session_id = c.session_id AND round(a.utc_s, 3) = c.t GROUP BY a.session_id""")
 def compare_tracks(spark: SparkSession, sf: str) -> DataFrame:
