@@ -238,3 +238,26 @@ def test_quantiles_and_ranks_of_large_groups(spark):
         mine = sorted((x, k) for h, x, k in rows if h == r.g and x is not None and x == x)
         assert mine[r["rank"] - 1] == (r.x, r.k) and r.up_to == sum(x <= r.x for x, _ in mine) and r.n == len(mine)
     assert stats.quantiles(df.limit(0), "x", {"med": 0.5}, ["g"]).count() == 0 and stats.ranks(df.limit(0), "x", ["k"], ["g"]).count() == 0
+
+
+def _events(spark, tmp_path, rows):
+    """A table of events (event_id, minute, user, value, k) in files of one row each, so that they come in any order."""
+    day = "TIMESTAMP '2024-01-01 00:00:00'"
+    df = spark.createDataFrame(rows, "event_id long, minute int, user_id long, value double, k long")
+    df = df.selectExpr("event_id", f"{day} + make_interval(0, 0, 0, 0, 0, minute) AS ts", "user_id", "'view' AS event_type", "value", "concat('{\"k\": ', k, '}') AS props")
+    df.repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_equal_sessions_rank_by_their_ids(spark, tmp_path):
+    from tracelake import registry
+
+    values = [0.1, 0.7, 1e5, 0.3, 12.7, 0.9, 33.3, 1e-3]
+    # The same values, in files and orders of their own.
+    rows = [(100 * u + i, i, u, values[(i * (2 * u + 1)) % 8], 1) for u in range(20) for i in range(8)] + [(9000, 0, 50, 1e6, 1), (9001, 0, 51, 0.0, 9)]
+    got = {r.session_id: r.place for r in registry.queries()["rank_variants"](spark, _events(spark, tmp_path, rows)).collect()}
+    places = [got[u] for u in range(20)]
+    assert places == list(range(places[0], places[0] + 20))
+    odd = spark.createDataFrame([(1, 1.0), (1, float("nan")), (2, None), (3, 1e300), (3, 3e300), (4, None), (4, 0.5)], "g long, v double")
+    means = {r.g: r.m for r in odd.groupBy("g").agg(stats.steady_avg("v").alias("m")).collect()}
+    assert means[1] != means[1] and means[2] is None and means[3] == 2e300 and means[4] == 0.5

@@ -168,6 +168,13 @@ def upper_median(col: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")
 
 
+def steady_avg(col: str) -> Column:
+    """The mean, the same for the same values in any order: their sum is one of decimals of 18 places. Groups with a value of 1e9 or more, or not a number, have the usual one."""
+    x = F.col(col).cast("double")
+    exact = F.when(F.abs(x) < 1e9, x).cast("decimal(38,18)")
+    return F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def error_model(samples: DataFrame, by: list[str], col: str, least: int = 5) -> DataFrame:
     """Sigma of each bin with enough samples: max(1.4826 * MAD by upper medians, RMS, 1e-6)."""
     med = samples.groupBy(*by).agg(upper_median(col).alias("__m"), F.count(F.lit(1)).alias("n"))

@@ -243,8 +243,8 @@ z AS (SELECT *, (acc - min(acc) OVER ()) / (max(acc) OVER () - min(acc) OVER ())
 s AS (SELECT *, 0.7E0 * za + 0.2E0 * zm + 0.1E0 * zf AS score FROM z)
 SELECT session_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, session_id) AS place FROM s""")
 def rank_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted scores of variants (here: sessions), best first."""
-    m = track(spark, sf).groupBy("session_id").agg(F.avg("sd_n").alias("acc"), F.avg("sd_u").alias("mp"), F.avg((F.col("quality") == 1).cast("double")).alias("fix"))
+    """Weighted scores of variants (here: sessions), best first; equal data have equal scores, whatever order their rows came in."""
+    m = track(spark, sf).groupBy("session_id").agg(stats.steady_avg("sd_n").alias("acc"), stats.steady_avg("sd_u").alias("mp"), F.avg((F.col("quality") == 1).cast("double")).alias("fix"))
     m = stats.min_max_scores(m, {"za": ("acc", False), "zm": ("mp", False), "zf": ("fix", True)})
     m = m.select("session_id", (0.7 * F.col("za") + 0.2 * F.col("zm") + 0.1 * F.col("zf")).alias("score"))
     return stats.places(m, [F.asc("score"), F.asc("session_id")]).select("session_id", F.round("score", 6).alias("score"), "place")
