@@ -249,6 +249,15 @@ def _events(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_of_equally_frequent_qualities_the_first_counts(spark, tmp_path):
+    from tracelake import registry
+
+    # k 9 is quality 5, k 0 is quality 1; both users have two of each.
+    rows = [(i, i, 1, 1.0, k) for i, k in enumerate([9, 0, 0, 9])] + [(10 + i, i, 2, 1.0, k) for i, k in enumerate([0, 9, 9, 0])]
+    got = {r.session_id: r.mostly_fix for r in registry.queries()["report_accuracy"](spark, _events(spark, tmp_path, rows)).collect()}
+    assert got == {1: False, 2: True}
+
+
 def test_equal_sessions_rank_by_their_ids(spark, tmp_path):
     from tracelake import registry
 

@@ -168,6 +168,12 @@ def upper_median(col: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")
 
 
+def first_mode(df: DataFrame, col: str, by: str, t: str) -> DataFrame:
+    """by, mode: the most frequent value of each group, of equally frequent ones the one that comes first by t."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(by, col).agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__first"))
+    return counts.groupBy(by).agg(F.min_by(col, F.struct(-F.col("__n"), "__first")).alias("mode"))
+
+
 def steady_avg(col: str) -> Column:
     """The mean, the same for the same values in any order: their sum is one of decimals of 18 places. Groups with a value of 1e9 or more, or not a number, have the usual one."""
     x = F.col(col).cast("double")

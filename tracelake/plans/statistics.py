@@ -120,10 +120,13 @@ def report_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Solution shares, sigma and its interval, satellites, speed and duration."""
     sd = F.sqrt((F.col("sd_n") ** 2 + F.col("sd_e") ** 2) / 2)
     share = lambda q: 100 * F.avg((F.col("quality") == q).cast("double"))
-    return track(spark, sf).groupBy("session_id").agg(
+    rows = track(spark, sf)
+    shares = rows.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(share(1), 5).alias("fix_pct"), F.round(share(5), 5).alias("single_pct"), F.round(F.avg(sd), 6).alias("sigma_m"), F.round(1.96 * F.avg(sd), 6).alias("ci95_m"),
-        F.round(F.avg("ns"), 5).alias("mean_ns"), F.round(F.avg(F.sqrt(F.col("ve") ** 2 + F.col("vn") ** 2)), 5).alias("speed_mps"), F.round(F.max("utc_s") - F.min("utc_s"), 4).alias("duration_s"), (F.mode("quality") == 1).alias("mostly_fix"),
+        F.round(F.avg("ns"), 5).alias("mean_ns"), F.round(F.avg(F.sqrt(F.col("ve") ** 2 + F.col("vn") ** 2)), 5).alias("speed_mps"), F.round(F.max("utc_s") - F.min("utc_s"), 4).alias("duration_s"),
     )
+    most = stats.first_mode(rows, "quality", "session_id", "epoch_ix").select(F.col("session_id").alias("__by"), "mode")
+    return shares.join(most, F.col("session_id").eqNullSafe(F.col("__by")), "left").select(*shares.columns, (F.col("mode") == 1).alias("mostly_fix"))
 
 
 @query(f"""WITH {TRACK} SELECT session_id, quality, CAST(grouping(quality) AS BIGINT) AS all_qualities, count(*) AS n, round(avg(sd_n), 6) AS sd_n, round(quantile_cont(sd_n, 0.95), 8) AS p95 FROM track GROUP BY GROUPING SETS ((session_id, quality), (session_id))""")
