@@ -249,6 +249,13 @@ def _events(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_of_equal_sigmas_the_first_epoch_is_worst(spark, tmp_path):
+    from tracelake import registry
+
+    sf = _events(spark, tmp_path, [(i, i, 1, v, 1) for i, v in enumerate([1.0, 9.0, 2.0, 9.0, 9.0])])
+    assert registry.queries()["worst_epoch"](spark, sf).first().worst_epoch == 1
+
+
 def test_of_equally_frequent_qualities_the_first_counts(spark, tmp_path):
     from tracelake import registry
 

@@ -189,6 +189,7 @@ def decimate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TRACK} SELECT session_id, count(*) AS n, round(min(lat_deg), 10) AS lat_min, round(max(lon_deg), 10) AS lon_max, max_by(epoch_ix, sd_u) AS worst_epoch, round(max(sd_u), 6) AS worst_sd FROM track GROUP BY session_id""")
 def worst_epoch(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the largest sigma of a session is."""
-    g = track(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("lat_deg").alias("lat_min"), F.max("lon_deg").alias("lon_max"), F.max_by("epoch_ix", "sd_u").alias("worst_epoch"), F.max("sd_u").alias("worst_sd"))
+    """Where the largest sigma of a session is: the first of equals."""
+    largest = F.when(F.col("sd_u").isNotNull(), F.struct("sd_u", -F.col("epoch_ix")))
+    g = track(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("lat_deg").alias("lat_min"), F.max("lon_deg").alias("lon_max"), F.max_by("epoch_ix", largest).alias("worst_epoch"), F.max("sd_u").alias("worst_sd"))
     return g.select("session_id", "n", F.round("lat_min", 10).alias("lat_min"), F.round("lon_max", 10).alias("lon_max"), "worst_epoch", F.round("worst_sd", 6).alias("worst_sd"))
