@@ -277,3 +277,17 @@ def test_equal_sessions_rank_by_their_ids(spark, tmp_path):
     odd = spark.createDataFrame([(1, 1.0), (1, float("nan")), (2, None), (3, 1e300), (3, 3e300), (4, None), (4, 0.5)], "g long, v double")
     means = {r.g: r.m for r in odd.groupBy("g").agg(stats.steady_avg("v").alias("m")).collect()}
     assert means[1] != means[1] and means[2] is None and means[3] == 2e300 and means[4] == 0.5
+
+
+def test_inverse_geodesy_takes_its_inputs_once(spark):
+    lat, lon, h = F.col("id") % 80 + 0.5, F.col("id") % 170 - 80.25, F.col("id") * 3.0
+    ref = (F.lit(32.0), F.lit(34.8), F.lit(50.0))
+    rows = spark.range(500).select(lat.alias("lat"), lon.alias("lon"), h.alias("h"))
+    got = rows.withColumn("p", geo.ecef_to_llh_struct(F.col("lat") + F.lit(6e6), F.col("lon") * 1e4, F.col("h") + F.lit(12345.0)))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("12345.0") == 1
+    back = spark.range(500).select(lat.alias("lat"), lon.alias("lon"), h.alias("h")).withColumn("p", geo.enu_to_llh(*geo.llh_to_enu(F.col("lat"), F.col("lon"), F.col("h"), ref), ref))
+    off = back.agg(F.max(F.abs(F.col("p.lat_deg") - F.col("lat"))).alias("a"), F.max(F.abs(F.col("p.lon_deg") - F.col("lon"))).alias("b"), F.max(F.abs(F.col("p.h_m") - F.col("h"))).alias("c")).first()
+    assert off.a < 1e-9 and off.b < 1e-9 and off.c < 1e-5
+    odd = spark.createDataFrame([(0.0, 0.0, 6356752.3), (0.0, 0.0, -6356752.3)], "x double, y double, z double").select(geo.ecef_to_llh_struct(F.col("x"), F.col("y"), F.col("z")).alias("p")).collect()
+    assert odd[0].p.lat_deg == 90.0 and odd[1].p.lat_deg == -90.0

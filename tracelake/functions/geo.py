@@ -24,26 +24,31 @@ def ecef_to_llh_struct(x: Column, y: Column, z: Column, rounds: int = 5) -> Colu
     """Inverse of llh_to_ecef by a fixed number of rounds: a struct of lat_deg, lon_deg, h_m.
 
     On the axis it is a pole at height |z| - b. An aggregate over the rounds
-    carries the latitude, so that the expression doesn't double with each.
+    carries the latitude, so that the expression doesn't double with each; x, y
+    and z, which may be long expressions, are evaluated once a row.
     """
-    p = F.greatest(F.sqrt(x * x + y * y), F.lit(1e-12))
 
-    def better(lat: Column) -> Column:
+    def better(v: Column, lat: Column) -> Column:
         n = F.lit(A) / F.sqrt(1.0 - E2 * F.sin(lat) * F.sin(lat))
-        return F.atan2(z, p * (1.0 - E2 * n / (n + p / F.cos(lat) - n)))
-
-    lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(z, p * (1.0 - E2)), lambda a, _: better(a))
-    n = lambda a: F.lit(A) / F.sqrt(1.0 - E2 * F.sin(a) * F.sin(a))
-    polar = p < 1e-9
-    whole = F.transform(
-        F.array(lat),
-        lambda a: F.struct(
-            F.when(polar, F.when(z >= 0, 90.0).otherwise(-90.0)).otherwise(F.degrees(a)).alias("lat_deg"),
-            F.when(polar, 0.0).otherwise(F.degrees(F.atan2(y, x))).alias("lon_deg"),
-            F.when(polar, F.abs(z) - A * math.sqrt(1.0 - E2)).otherwise(p / F.cos(a) - n(a)).alias("h_m"),
-        ),
-    )
-    return whole[0]
+        return F.atan2(v["z"], v["p"] * (1.0 - E2 * n / (n + v["p"] / F.cos(lat) - n)))
+
+    def solved(v: Column) -> Column:
+        lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(v["z"], v["p"] * (1.0 - E2)), lambda a, _: better(v, a))
+        return F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), v["p"].alias("p"), lat.alias("lat"))
+
+    def degrees(v: Column) -> Column:
+        polar, n = v["p"] < 1e-9, F.lit(A) / F.sqrt(1.0 - E2 * F.sin(v["lat"]) * F.sin(v["lat"]))
+        return F.struct(
+            F.when(polar, F.when(v["z"] >= 0, 90.0).otherwise(-90.0)).otherwise(F.degrees(v["lat"])).alias("lat_deg"),
+            F.when(polar, 0.0).otherwise(F.degrees(F.atan2(v["y"], v["x"]))).alias("lon_deg"),
+            F.when(polar, F.abs(v["z"]) - A * math.sqrt(1.0 - E2)).otherwise(v["p"] / F.cos(v["lat"]) - n).alias("h_m"),
+        )
+
+    # Arrays of one element bind what the next step uses more than once.
+    axis = lambda v: F.greatest(F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]), F.lit(1e-12))
+    given = F.array(F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    with_p = F.transform(given, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), axis(v).alias("p")))
+    return F.transform(F.transform(with_p, solved), degrees)[0]
 
 
 def ecef_vec_to_enu(dx: Column, dy: Column, dz: Column, lat: Column, lon: Column) -> tuple[Column, Column, Column]:
