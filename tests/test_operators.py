@@ -291,3 +291,18 @@ def test_inverse_geodesy_takes_its_inputs_once(spark):
     assert off.a < 1e-9 and off.b < 1e-9 and off.c < 1e-5
     odd = spark.createDataFrame([(0.0, 0.0, 6356752.3), (0.0, 0.0, -6356752.3)], "x double, y double, z double").select(geo.ecef_to_llh_struct(F.col("x"), F.col("y"), F.col("z")).alias("p")).collect()
     assert odd[0].p.lat_deg == 90.0 and odd[1].p.lat_deg == -90.0
+
+
+def test_sides_of_a_band_join_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.4, 2.0), (1, 9.0, 3.0)], T)
+    got = ranges.band_join(rows, rows.withColumnRenamed("v", "w"), 0.5)
+    assert got.count() == 5 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_track_is_spread_over_all_tasks(spark, tmp_path):
+    from tracelake.plans.tracks import track
+
+    sf = _events(spark, tmp_path, [(i, i % 50, i // 50, 1.0, 1) for i in range(400)])
+    assert track(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = kernels.per_sessions(track(spark, sf).select("session_id", "utc_s"), lambda r, cuts: {"n": np.full(len(r), len(cuts))}, {"n": types.LongType()})
+    assert kept.count() == 400 and kept.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,13 +10,14 @@ def band_join(left: DataFrame, right: DataFrame, width: float, t: str = "utc_s",
     """All pairs of one session whose times differ by less than width (or by it too).
 
     Buckets are as wide as the band, so only the right side is tripled. Columns
-    of the right side get the suffix _r.
+    of the right side get the suffix _r. Neither side is ever broadcast: by its compressed bytes a long
+    one can look small, and the driver would have to hold it.
     """
     r = right.select([F.col(c).alias(f"{c}_r") for c in right.columns])
     r = r.withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(f"{t}_r") / width) + k for k in (-1, 0, 1)])))
     lhs = left.withColumn("__bucket", F.floor(F.col(t) / width))
     gap = F.abs(F.col(t) - F.col(f"{t}_r"))
-    pairs = lhs.join(r, (F.col(by) == F.col(f"{by}_r")) & (lhs["__bucket"] == r["__bucket"]))
+    pairs = lhs.join(r.hint("merge"), (F.col(by) == F.col(f"{by}_r")) & (lhs["__bucket"] == r["__bucket"]))
     return pairs.where(gap < width if strict else gap <= width).select(*left.columns, *[f"{c}_r" for c in right.columns])
 
 

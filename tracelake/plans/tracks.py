@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.kernels import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"), "user_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k").cast("long")
     ix = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
