@@ -550,3 +550,17 @@ def test_empty_tables_clashing_names_and_long_texts(spark):
     assert ids[1] == library.encode(long) and ids[3] == []
     weights = {r.doc_id: r.n_grams for r in importance.importance_sample(docs, docs.select("doc_id")).collect()}
     assert weights[1] == 2 * 400_000 - 1 and weights[3] == 0
+
+
+def test_limits_learn_from_every_good_text(spark, monkeypatch):
+    docs = spark.range(22_000).selectExpr("id AS doc_id", "repeat(char(97 + id % 26), 64) AS text")
+    read, ratio = spark.sparkContext.accumulator(0), compression_rules._ratio
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield from ratio(iter([batch]))
+
+    monkeypatch.setattr(compression_rules, "_ratio", counted)
+    limits = compression_rules.fit_limits(docs, docs.select("doc_id"))
+    assert read.value == 22_000 and list(limits.octaves) == [6.0]

@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import common as C
+from tracelake.operators import stats
 
 #: Without fitted limits: from so many bytes on, the compression ratio must lie between low and high.
 BANDS = ((0, 0.0, 2.2), (256, 1.15, 2.8), (512, 1.30, 3.2), (1024, 1.45, 3.6), (4096, 1.60, 4.0), (16384, 1.70, 4.4))
 #: Bytes of a text's fixed chunks (the last one may be shorter), and the share of them that may lie outside the limits.
 CHUNK, CHUNK_SHARE = 4096, 0.25
-#: Most labelled rows that limits are fitted on, the fewest that count for a half octave, and how many spreads a ratio may lie off the centre.
-FIT_ROWS, LEAST_ROWS, SPREADS = 20_000, 20, 4.0
+#: The fewest rows that count for a half octave, and how many spreads a ratio may lie off the centre.
+LEAST_ROWS, SPREADS = 20, 4.0
 LEVEL = 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -104,24 +105,25 @@ def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(sizes / packed)], ["n_bytes", "ratio"])
 
 
-def fit_limits(docs: DataFrame, good_ids: DataFrame, rows: int = FIT_ROWS) -> Limits:
-    """Limits from the texts of docs (doc_id, text) whose doc_id is in good_ids.
+def fit_limits(docs: DataFrame, good_ids: DataFrame) -> Limits:
+    """Limits from all texts of docs (doc_id, text) whose doc_id is in good_ids.
 
-    Of more than rows ids those with the smallest hashes count; a table of that
-    bounded size is broadcast. For each half octave of bytes with LEAST_ROWS
-    texts or more, the centre is the median ratio and the spread what the
-    quartiles' distance is in a normal law. At most 128 rows come to the driver.
+    For each half octave of bytes with LEAST_ROWS texts or more, the centre is
+    the median ratio and the spread what the quartiles' distance is in a normal
+    law; quantiles are exact, and no task holds all of a half octave. At most 128 rows come to the driver.
     Null ids and texts teach nothing; without enough rows the fixed bands hold.
     """
-    chosen = good_ids.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.where(F.octet_length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
+    chosen = good_ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    texts = docs.where(F.octet_length("text") > 0).select("doc_id", "text").join(chosen, "doc_id", "left_semi").select("text")
     half = F.floor(2 * F.log2("n_bytes")).alias("half")
-    quartiles = F.percentile("ratio", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")
-    found = texts.mapInArrow(_ratio, "n_bytes long, ratio double").groupBy(half).agg(F.count(F.lit(1)).alias("n"), F.avg(F.log2("n_bytes")).alias("at"), quartiles)
-    known = sorted((r["at"], r["q"]) for r in found.where(F.col("n") >= LEAST_ROWS).collect())
+    # Written once: the quantiles read it three times.
+    ratios = C.materialize(texts.mapInArrow(_ratio, "n_bytes long, ratio double").select(half, "n_bytes", "ratio"))
+    at = ratios.groupBy("half").agg(F.avg(F.log2("n_bytes")).alias("at"))
+    found = stats.quantiles(ratios, "ratio", {"low": 0.25, "middle": 0.5, "high": 0.75}, ["half"]).join(at, "half")
+    known = sorted(tuple(r) for r in found.where(F.col("n") >= LEAST_ROWS).select("at", "low", "middle", "high").collect())
     if not known:
         return NO_LIMITS
-    at, low, middle, high = (np.array(x) for x in zip(*((a, *q) for a, q in known), strict=True))
+    at, low, middle, high = (np.array(x) for x in zip(*known, strict=True))
     return Limits(at, middle, np.maximum((high - low) / 1.349, 0.01))
 
 
