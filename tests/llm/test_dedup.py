@@ -305,3 +305,26 @@ def test_pieces_of_long_texts_give_what_the_whole_gives():
     starts, ends, _ = common.words(buf, offsets)
     whole = common.range_hash(common.prefix_hash(buf), starts, ends)
     assert np.array_equal(common.hash_ranges(buf, starts, ends, piece=64), whole)
+
+
+def test_spans_of_nested_repeats_hold_only_the_widest():
+    import numpy as np
+    import pyarrow as pa
+
+    # 400 suffixes that share more and more on both sides: their interval tree names most of them again and again.
+    n = 400
+    right = [b"r" * (300 if k == n else k % 300) + bytes([65 + k % 26]) * 5 for k in range(n)]
+    left = [b"l" * ((k * 7) % 300) + bytes([97 + k % 26]) * 5 for k in range(n)]
+    rows = pa.RecordBatch.from_pylist(
+        [{"anchor": 1, "around": k, "doc_id": k, "text_key": k, "pos": 300, "alone": True, "lefts": a, "rights": b} for k, (a, b) in enumerate(zip(left, right, strict=True))], schema=repeats._CONTEXT_SCHEMA
+    )
+    got = {}
+    for r in repeats._spans(rows).to_pylist():
+        got.setdefault(r["doc_id"], []).append((r["begin"], r["end"]))
+    want = {}
+    for members, lefts, end in repeats.maximal_repeats(left, right, np.ones(n, np.int64)):
+        for m, reach in zip(members.tolist(), lefts.tolist(), strict=True):
+            want.setdefault(m, set()).add((300 - reach, 300 + repeats.ANCHOR + end))
+    for m, spans in want.items():
+        assert sorted(got[m]) == sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
+    assert set(got) == set(want) and sum(map(len, got.values())) < sum(map(len, want.values()))

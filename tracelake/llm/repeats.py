@@ -31,6 +31,8 @@ REACH, NEED = LENGTH - ANCHOR, SHORT - ANCHOR
 PASSAGE_WORDS = 50
 #: Distinct surroundings of an anchor that one task sorts; more go through counts of single windows.
 GROUP = 65_536
+#: Rows of surroundings that are compared with the one before at once.
+COMPARED = 4096
 _NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -217,11 +219,14 @@ def _sorted_side(sides: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.
     width = max(1, int(sizes.max()))
     wide = np.array(sides, f"S{width}")
     order = np.lexsort((sizes, wide, group))  # a shorter side is padded with zeros and comes first
-    sizes = sizes[order]
-    grid = np.frombuffer(wide.tobytes(), np.uint8).reshape(len(sides), width)[order]
-    differ = grid[1:] != grid[:-1]
-    same = np.where(differ.any(1), differ.argmax(1), width)
-    return order, np.append(0, np.minimum(same, np.minimum(sizes[1:], sizes[:-1])))
+    sizes, grid = sizes[order], wide.view(np.uint8).reshape(len(sides), width)
+    same = np.zeros(len(sides), np.int64)
+    # Some rows at a time, so that the bytes are held once and not a copy for each step.
+    for a in range(1, len(sides), COMPARED):
+        mine, before = grid[order[a : a + COMPARED]], grid[order[a - 1 : min(a + COMPARED, len(sides)) - 1]]
+        differ = mine != before
+        same[a : a + COMPARED] = np.where(differ.any(1), differ.argmax(1), width)
+    return order, np.append(0, np.minimum(same[1:], np.minimum(sizes[1:], sizes[:-1])))
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], group: np.ndarray, need: int = NEED, walk: Callable = _walk) -> Iterator[tuple[np.ndarray, np.ndarray | int, int]]:
@@ -251,19 +256,34 @@ def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else batches[0].slice(0, 0)
 
 
+def _widest(spans: np.ndarray) -> np.ndarray:
+    """Spans (suffix, begin, end) without those inside another one of the same suffix."""
+    at, begin, end = spans[np.lexsort((-spans[:, 2], spans[:, 1], spans[:, 0]))].T
+    # On one axis, suffix after suffix.
+    reach = end + at * (int(end.max(initial=0)) + 1)
+    keep = np.append(True, reach[1:] > np.maximum.accumulate(reach)[:-1])[: len(at)]
+    return np.stack([at, begin, end], 1)[keep]
+
+
+#: Spans of an interval tree that are held before those inside others are dropped.
+HELD = 1 << 16
+
+
 def _spans(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Spans of suffixes that occur once."""
+    """Spans of suffixes that occur once; those inside others, which cover nothing more, are left out."""
     column = {n: rows.column(n) for n in rows.schema.names}
     alone = np.asarray(column["alone"].to_pylist(), bool)
     pos = column["pos"].to_numpy().astype(np.int64)
-    at, begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found, held = [np.zeros((0, 3), np.int64)], 0
     for members, left, right in maximal_repeats(column["lefts"].to_pylist(), column["rights"].to_pylist(), column["anchor"].to_numpy()):
         own = alone[members]
         members = members[own]
-        at.append(members)
-        begin.append(pos[members] - left[own])
-        end.append(pos[members] + ANCHOR + right)
-    spans = np.unique(np.stack([np.concatenate(x) for x in (at, begin, end)], 1), axis=0)
+        found.append(np.stack([members, pos[members] - left[own], pos[members] + ANCHOR + right], 1))
+        held += len(members)
+        # Nested intervals have the same members again: the tree's members are many times its suffixes.
+        if held >= max(HELD, 2 * len(found[0])):
+            found, held = [_widest(np.concatenate(found))], 0
+    spans = _widest(np.concatenate(found))
     rows_of = pa.array(spans[:, 0])
     return pa.RecordBatch.from_arrays([column["doc_id"].take(rows_of), column["text_key"].take(rows_of), pa.array(spans[:, 1]), pa.array(spans[:, 2])], schema=_SPAN_SCHEMA)
 
