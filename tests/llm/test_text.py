@@ -564,3 +564,22 @@ def test_limits_learn_from_every_good_text(spark, monkeypatch):
     monkeypatch.setattr(compression_rules, "_ratio", counted)
     limits = compression_rules.fit_limits(docs, docs.select("doc_id"))
     assert read.value == 22_000 and list(limits.octaves) == [6.0]
+
+
+def test_fitting_limits_shuffles_no_texts(spark, monkeypatch):
+    plans, write = [], common.materialize
+
+    def planned(df):
+        plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return write(df)
+
+    monkeypatch.setattr(common, "materialize", planned)
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(char(97 + id % 26), 64) AS text")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert list(compression_rules.fit_limits(docs, docs.where("doc_id < 200").select("doc_id")).octaves) == [6.0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plans[0])
+    assert moved and not any("text#" in columns for columns in moved)

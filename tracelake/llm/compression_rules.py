@@ -98,11 +98,11 @@ NO_LIMITS = Limits(*[np.zeros(0)] * 3)
 def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
-        for _, _, buf, offsets in C.slices(C.rows_of(batch, "text")):
+        for lo, hi, buf, offsets in C.slices(C.rows_of(batch, "text")):
             view = memoryview(buf)
             sizes = np.diff(offsets)
             packed = np.array([len(pack.compress(view[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(sizes / packed)], ["n_bytes", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), pa.array(sizes / packed)], ["doc_id", "n_bytes", "ratio"])
 
 
 def fit_limits(docs: DataFrame, good_ids: DataFrame) -> Limits:
@@ -114,10 +114,12 @@ def fit_limits(docs: DataFrame, good_ids: DataFrame) -> Limits:
     Null ids and texts teach nothing; without enough rows the fixed bands hold.
     """
     chosen = good_ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    texts = docs.where(F.octet_length("text") > 0).select("doc_id", "text").join(chosen, "doc_id", "left_semi").select("text")
+    texts = docs.where(F.octet_length("text") > 0).select("doc_id", "text")
     half = F.floor(2 * F.log2("n_bytes")).alias("half")
+    # Every text is packed where it is read, so that the join moves three numbers a row and no text.
+    packed = texts.mapInArrow(_ratio, f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes long, ratio double").join(chosen, "doc_id", "left_semi")
     # Written once: the quantiles read it three times.
-    ratios = C.materialize(texts.mapInArrow(_ratio, "n_bytes long, ratio double").select(half, "n_bytes", "ratio"))
+    ratios = C.materialize(packed.select(half, "n_bytes", "ratio"))
     at = ratios.groupBy("half").agg(F.avg(F.log2("n_bytes")).alias("at"))
     found = stats.quantiles(ratios, "ratio", {"low": 0.25, "middle": 0.5, "high": 0.75}, ["half"]).join(at, "half")
     known = sorted(tuple(r) for r in found.where(F.col("n") >= LEAST_ROWS).select("at", "low", "middle", "high").collect())
