@@ -284,3 +284,20 @@ def test_smoothers_with_samples_are_registered(spark):
     with pytest.raises(KeyError):
         smoothers.run("none", df)
     assert kernels.SIDE_BY_SIDE > 0
+
+
+def test_error_state_of_many_sessions_is_that_of_each():
+    parts = []
+    for s, seconds in enumerate((30, 45, 1, 30)):
+        _, epochs, samples = drive(seconds=40, noise=0.05)
+        epochs = epochs[epochs.utc_s < seconds].reset_index(drop=True)
+        epochs.loc[s + 1 :: 7, "vu"] = np.nan
+        epochs["standing"] = (epochs.utc_s > 5 * s + 3) & (epochs.utc_s < 5 * s + 8)
+        parts.append((epochs, samples.iloc[: 0 if s == 1 else len(samples)].reset_index(drop=True)))
+    epochs, samples = (pd.concat([p[k] for p in parts], ignore_index=True) for k in (0, 1))
+    cuts, sample_cuts = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 1))
+    got = error_state.smooth_all(epochs, cuts, samples, sample_cuts)
+    for s, (one, own) in enumerate(parts):
+        alone = error_state.smooth(one, own)
+        for c in error_state.OUT:
+            assert np.allclose(got[c][cuts[s] : cuts[s + 1]], alone[c], atol=1e-6), (s, c)

@@ -1,7 +1,7 @@
 """Error-state smoother of inertial samples and epochs: place, velocity, attitude and both sensors' biases.
 
 Samples between two epochs are preintegrated in the body's frame of the first
-one, with their derivatives by the biases and their noise (all steps of a session side by
+one, with their derivatives by the biases and their noise (all steps of many sessions side by
 side, so the loop is over samples of a step). The filter runs at the epochs'
 pace on a nominal state and a 15-state error, which each update moves into the
 nominal state; a backward pass smooths it.
@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelake.operators import inertial
+from tracelake.operators import kernels
 from tracelake.operators.reckoning import standing
 
 G = np.array([0.0, 0.0, -9.80665])
@@ -40,10 +41,11 @@ def turn(v: np.ndarray) -> np.ndarray:
 
 
 def turned(r: np.ndarray) -> np.ndarray:
-    """Rotation vector of a rotation matrix (below half a turn)."""
-    angle = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
-    axis = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    return axis / 2 if angle < 1e-7 else axis * angle / (2 * np.sin(angle))
+    """Rotation vectors of rotation matrices (below half a turn)."""
+    angle = np.arccos(np.clip((np.trace(r, axis1=-2, axis2=-1) - 1) / 2, -1, 1))[..., None]
+    axis = np.stack([r[..., 2, 1] - r[..., 1, 2], r[..., 0, 2] - r[..., 2, 0], r[..., 1, 0] - r[..., 0, 1]], -1)
+    small = angle < 1e-7
+    return np.where(small, axis / 2, axis * angle / (2 * np.sin(np.where(small, 1.0, angle))))
 
 
 def right_jacobian(v: np.ndarray) -> np.ndarray:
@@ -70,19 +72,28 @@ class Steps:
     covered: np.ndarray
 
 
-def preintegrate(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndarray, sigma_f: float = 0.1, sigma_w: float = 0.01, max_hold: float = 0.1) -> Steps:
-    """Sums for the steps from t[k - 1] to t[k] (none for k = 0). A sample holds until the next one, max_hold at most; epochs part it."""
+def preintegrate(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndarray, sigma_f: float = 0.1, sigma_w: float = 0.01, max_hold: float = 0.1, cuts: np.ndarray | None = None, sample_cuts: np.ndarray | None = None) -> Steps:
+    """Sums for the steps from t[k - 1] to t[k] (none for a session's first epoch). A sample holds until the next one, max_hold at most; epochs part it.
+
+    Sessions s are the epochs cuts[s] to cuts[s + 1] and the samples sample_cuts[s] to sample_cuts[s + 1]; one session without them.
+    """
     n = len(t)
+    cuts, sample_cuts = (np.array([0, len(x)]) if c is None else c for x, c in ((t, cuts), (ts, sample_cuts)))
     step = Steps(np.tile(np.eye(3), (n, 1, 1)), np.zeros((n, 3)), np.zeros((n, 3)), *(np.zeros((n, 3, 3)) for _ in range(5)), np.zeros((n, 9, 9)), np.zeros(n))
     if not len(ts):
         return step
-    ends = np.minimum(np.append(ts[1:], ts[-1] + max_hold), ts + max_hold)
+    following = np.append(ts[1:], np.inf)
+    following[sample_cuts[1:][sample_cuts[1:] > 0] - 1] = np.inf
+    ends = np.minimum(following, ts + max_hold)
     # Pieces: a sample cut at the epochs that it holds over.
-    first, last = np.searchsorted(t, ts, "right"), np.searchsorted(t, ends, "left")
+    first, last, begins, ends_at = (np.zeros(len(ts), np.int64) for _ in range(4))
+    for a, b, c, d in zip(cuts[:-1], cuts[1:], sample_cuts[:-1], sample_cuts[1:], strict=True):
+        first[c:d], last[c:d] = a + np.searchsorted(t[a:b], ts[c:d], "right"), a + np.searchsorted(t[a:b], ends[c:d], "left")
+        begins[c:d], ends_at[c:d] = a, b
     count = np.maximum(last - first + 1, 0)
     sample = np.repeat(np.arange(len(ts)), count)
     k = first[sample] + np.arange(len(sample)) - np.repeat(np.cumsum(count) - count, count)
-    inside = (k >= 1) & (k < n)
+    inside = (k > begins[sample]) & (k < ends_at[sample])
     sample, k = sample[inside], k[inside]
     begin, end = np.maximum(ts[sample], t[k - 1]), np.minimum(ends[sample], t[k])
     some = end > begin
@@ -137,11 +148,16 @@ def start_attitude(force: np.ndarray, heading: float | None) -> np.ndarray:
     return np.array([[np.sin(h), -np.cos(h), 0], [np.cos(h), np.sin(h), 0], [0, 0, 1.0]]) @ level
 
 
-def smooth(
-    epochs: pd.DataFrame, samples: pd.DataFrame, sigma_p: tuple[float, float] = (0.5, 1.0), sigma_v: tuple[float, float] = (0.3, 0.5), sigma_f: float = 0.1, sigma_w: float = 0.01, walk_f: float = 0.003, walk_w: float = 0.0003,
+def smooth(epochs: pd.DataFrame, samples: pd.DataFrame, **options: float) -> pd.DataFrame:
+    """smooth_all() of one session."""
+    return epochs.assign(**smooth_all(epochs, np.array([0, len(epochs)]), samples, np.array([0, len(samples)]), **options))
+
+
+def smooth_all(
+    epochs: pd.DataFrame, cuts: np.ndarray, samples: pd.DataFrame, sample_cuts: np.ndarray, sigma_p: tuple[float, float] = (0.5, 1.0), sigma_v: tuple[float, float] = (0.3, 0.5), sigma_f: float = 0.1, sigma_w: float = 0.01, walk_f: float = 0.003, walk_w: float = 0.0003,
     zupt: float = 0.05, sideways: float = 0.3, gate: float = 30.0, accel: float = 3.0, max_hold: float = 0.1, t: str = "utc_s",
-) -> pd.DataFrame:
-    """One session: epochs (t, e_m, n_m, u_m, ve, vn, vu, standing) and samples (t, ax to gz; forward, left, up), both in order of time.
+) -> dict[str, np.ndarray]:
+    """Many sessions side by side: epochs (t, e_m, n_m, u_m, ve, vn, vu, standing) and samples (t, ax to gz; forward, left, up), both in order of time in each session.
 
     A step that samples hold for less than half of is one of constant velocity
     with an acceleration of accel. Places or velocities whose squared
@@ -152,113 +168,113 @@ def smooth(
     z, v = epochs[["e_m", "n_m", "u_m"]].to_numpy(float), epochs[["ve", "vn", "vu"]].to_numpy(float)
     still = epochs["standing"].to_numpy(bool) if "standing" in epochs else np.zeros(len(tt), bool)
     ts, force, rate = samples[t].to_numpy(float), samples[["ax", "ay", "az"]].to_numpy(float), samples[["gx", "gy", "gz"]].to_numpy(float)
-    step = preintegrate(tt, ts, force, rate, sigma_f, sigma_w, max_hold)
-    n = len(tt)
-    fast = np.flatnonzero(np.hypot(v[:, 0], v[:, 1]) >= 1.0)
-    heading = float(np.arctan2(v[fast[0], 0], v[fast[0], 1])) if len(fast) else None
-    early = force[(ts >= tt[0]) & (ts <= tt[0] + 1.0)]
-    r = start_attitude(early.mean(0) if len(early) else np.array([0, 0, -G[2]]), heading)
-    pos, vel, ba, bg = np.nan_to_num(z[0]), np.nan_to_num(v[0]), np.zeros(3), np.zeros(3)
-    p = np.diag(np.concatenate([[9.0, 9, 25, 1, 1, 4], np.array([0.05, 0.05, 0.2 if heading is not None else 2.0]) ** 2, [0.09] * 3, [1e-4] * 3]))
-    one = np.eye(15)
-    after, before, ps, pp, fs = [], [], np.zeros((n, 15, 15)), np.zeros((n, 15, 15)), np.zeros((n, 15, 15))
-    missed = 0
-    for k in range(n):
-        h = tt[k] - tt[k - 1] if k else 0.0
-        f, q = one.copy(), np.zeros((15, 15))
-        if k and step.covered[k] >= h / 2 and h > 0:
-            dv, dp = step.v[k] + step.v_ba[k] @ ba + step.v_bg[k] @ bg, step.p[k] + step.p_ba[k] @ ba + step.p_bg[k] @ bg
-            dr = step.r[k] @ turn(step.r_bg[k] @ bg)
-            f[P, V] = h * np.eye(3)
-            f[P, A], f[P, BA], f[P, BG] = -r @ skew(dp), r @ step.p_ba[k], r @ step.p_bg[k]
-            f[V, A], f[V, BA], f[V, BG] = -r @ skew(dv), r @ step.v_ba[k], r @ step.v_bg[k]
-            f[A, A], f[A, BG] = dr.T, step.r_bg[k]
-            world = np.zeros((9, 9))
-            world[0:3, 6:9] = world[3:6, 3:6] = r
-            world[6:9, 0:3] = np.eye(3)
-            q[:9, :9] = world @ step.noise[k] @ world.T
-            pos, vel, r = pos + vel * h + G * h * h / 2 + r @ dp, vel + G * h + r @ dv, r @ dr
-        elif h > 0:
-            f[P, V] = h * np.eye(3)
-            g = np.vstack([np.eye(3) * h * h / 2, np.eye(3) * h])
-            q[:6, :6] = accel**2 * g @ g.T
-            q[A, A] = np.diag([0.01, 0.01, 0.3]) * min(h, 10.0)
-            pos = pos + vel * h
-        q[BA, BA], q[BG, BG] = np.eye(3) * walk_f**2 * h, np.eye(3) * walk_w**2 * h
-        p = f @ p @ f.T + q
-        before.append((pos, vel, r, ba, bg))
-        pp[k], fs[k] = p, f
-        dx = np.zeros(15)
-
-        def update(value: np.ndarray, where: np.ndarray, var: np.ndarray, limit: float) -> bool:
-            nonlocal p, dx
-            s = where @ p @ where.T + np.diag(var)
-            miss = value - where @ dx
-            if miss @ np.linalg.solve(s, miss) > limit:
-                return False
-            gain = np.linalg.solve(s, where @ p).T
-            dx = dx + gain @ miss
-            keep = one - gain @ where
-            p = keep @ p @ keep.T + (gain * var) @ gain.T
-            return True
-
-        if np.isfinite(z[k]).all():
-            used = update(z[k] - pos, one[P], np.array([sigma_p[0], sigma_p[0], sigma_p[1]]) ** 2, gate if missed < 5 else np.inf)
-            missed = 0 if used else missed + 1
-        both = np.isfinite(v[k])
-        if both.any():
-            update((v[k] - vel)[both], one[V][both], np.array([sigma_v[0], sigma_v[0], sigma_v[1]])[both] ** 2, gate)
-        if still[k]:
-            update(-vel, one[V], np.full(3, zupt**2), np.inf)
-        elif np.hypot(vel[0], vel[1]) >= 1.5:
-            # The body's velocity to the left: first order in velocity and attitude.
-            own = r.T @ vel
-            where = np.zeros((1, 15))
-            where[0, V], where[0, A] = r[:, 1], skew(own)[1]
-            update(-own[1:2], where, np.array([sideways**2]), gate)
-        pos, vel, r, ba, bg = pos + dx[P], vel + dx[V], r @ turn(dx[A]), ba + dx[BA], bg + dx[BG]
-        reset = one.copy()
-        reset[A, A] -= skew(dx[A]) / 2
-        p = reset @ p @ reset.T
-        p = (p + p.T) / 2
-        after.append((pos, vel, r, ba, bg))
-        ps[k] = p
-    for k in range(n - 2, -1, -1):
-        (sp, sv, sr, sba, sbg), (bp, bv, br, bba, bbg) = after[k + 1], before[k + 1]
-        apart = np.concatenate([sp - bp, sv - bv, turned(br.T @ sr), sba - bba, sbg - bbg])
-        gain = np.linalg.solve(pp[k + 1] + 1e-12 * one, fs[k + 1] @ ps[k]).T
-        dx = gain @ apart
-        pos, vel, r, ba, bg = after[k]
-        after[k] = pos + dx[P], vel + dx[V], r @ turn(dx[A]), ba + dx[BA], bg + dx[BG]
-        ps[k] = ps[k] + gain @ (ps[k + 1] - pp[k + 1]) @ gain.T
-    pos, vel, rot, ba, bg = (np.array(x) for x in zip(*after, strict=True))
+    step = preintegrate(tt, ts, force, rate, sigma_f, sigma_w, max_hold, cuts, sample_cuts)
+    side, n, m = kernels._SideBySide(cuts), len(tt), len(cuts) - 1
+    gaps = np.diff(tt, prepend=tt[:1])
+    gaps[cuts[:-1]] = 0.0
+    speed = np.hypot(v[:, 0], v[:, 1])
+    r, p = np.zeros((m, 3, 3)), np.zeros((m, 15, 15))
+    for i, s in enumerate(side.order):
+        a, b, c, d = cuts[s], cuts[s + 1], sample_cuts[s], sample_cuts[s + 1]
+        fast = a + np.flatnonzero(speed[a:b] >= 1.0)
+        heading = float(np.arctan2(v[fast[0], 0], v[fast[0], 1])) if len(fast) else None
+        early = force[c:d][(ts[c:d] >= tt[a]) & (ts[c:d] <= tt[a] + 1.0)]
+        r[i] = start_attitude(early.mean(0) if len(early) else np.array([0, 0, -G[2]]), heading)
+        p[i] = np.diag(np.concatenate([[9.0, 9, 25, 1, 1, 4], np.array([0.05, 0.05, 0.2 if heading is not None else 2.0]) ** 2, [0.09] * 3, [1e-4] * 3]))
+    pos, vel, ba, bg = np.nan_to_num(z[side.begin]), np.nan_to_num(v[side.begin]), np.zeros((m, 3)), np.zeros((m, 3))
+    one, eye, swap = np.eye(15), np.eye(3), kernels.swap
+    times = lambda a, x: (a @ x[..., None])[..., 0]
+    after, before = ([np.zeros((n, 3)), np.zeros((n, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3)), np.zeros((n, 3))] for _ in range(2))
+    ps, pp, fs = np.zeros((n, 15, 15)), np.zeros((n, 15, 15)), np.zeros((n, 15, 15))
+    missed = np.zeros(m, int)
+    var_p, var_v = (np.array([s[0], s[0], s[1]]) ** 2 for s in (sigma_p, sigma_v))
+    for k in range(side.longest):
+        at = side.rows(k)
+        pos, vel, r, ba, bg, p, missed = (x[: len(at)] for x in (pos, vel, r, ba, bg, p, missed))
+        h = gaps[at][:, None]
+        hh = h[..., None]
+        on = ((step.covered[at][:, None] >= h / 2) & (h > 0))[..., None]
+        dv, dp = step.v[at] + times(step.v_ba[at], ba) + times(step.v_bg[at], bg), step.p[at] + times(step.p_ba[at], ba) + times(step.p_bg[at], bg)
+        dr = step.r[at] @ turn(times(step.r_bg[at], bg))
+        f, q = np.tile(one, (len(at), 1, 1)), np.zeros((len(at), 15, 15))
+        f[:, P, V] = hh * eye
+        f[:, P, A], f[:, P, BA], f[:, P, BG] = (np.where(on, r @ x, 0.0) for x in (-skew(dp), step.p_ba[at], step.p_bg[at]))
+        f[:, V, A], f[:, V, BA], f[:, V, BG] = (np.where(on, r @ x, 0.0) for x in (-skew(dv), step.v_ba[at], step.v_bg[at]))
+        f[:, A, A], f[:, A, BG] = np.where(on, swap(dr), eye), np.where(on, step.r_bg[at], 0.0)
+        world = np.zeros((len(at), 9, 9))
+        world[:, 0:3, 6:9] = world[:, 3:6, 3:6] = r
+        world[:, 6:9, 0:3] = eye
+        # Without samples: constant velocity, with an acceleration that lasts for the step.
+        free = np.zeros((len(at), 9, 9))
+        free[:, P, P], free[:, P, V], free[:, V, V] = (accel**2 * x * eye for x in (hh**4 / 4, hh**3 / 2, hh**2))
+        free[:, V, P] = free[:, P, V]
+        free[:, A, A] = np.diag([0.01, 0.01, 0.3]) * np.minimum(hh, 10.0)
+        q[:, :9, :9] = np.where(on, world @ step.noise[at] @ swap(world), np.where(hh > 0, free, 0.0))
+        q[:, BA, BA], q[:, BG, BG] = eye * walk_f**2 * hh, eye * walk_w**2 * hh
+        some = on[..., 0]
+        pos = pos + vel * h + np.where(some, G * h * h / 2 + times(r, dp), 0.0)
+        vel = vel + np.where(some, G * h + times(r, dv), 0.0)
+        r = np.where(on, r @ dr, r)
+        p = f @ p @ swap(f) + q
+        for into, x in zip(before, (pos, vel, r, ba, bg), strict=True):
+            into[at] = x
+        pp[at], fs[at] = p, f
+        dx = np.zeros((len(at), 15))
+        there = np.isfinite(z[at]).all(1)
+        p, add, used = kernels.measured(p, one[P], var_p, z[at] - pos, np.repeat(there[:, None], 3, 1), np.where(missed < 5, gate, np.inf))
+        dx, missed = dx + add, np.where(there, np.where(used, 0, missed + 1), missed)
+        p, add, _ = kernels.measured(p, one[V], var_v, v[at] - vel - dx[:, V], np.isfinite(v[at]), gate)
+        dx = dx + add
+        stop = still[at]
+        if stop.any():
+            p, add, _ = kernels.measured(p, one[V], np.full(3, zupt**2), -vel - dx[:, V], np.repeat(stop[:, None], 3, 1))
+            dx = dx + add
+        # The body's velocity to the left: first order in velocity and attitude.
+        own, where = times(swap(r), vel), np.zeros((len(at), 1, 15))
+        where[:, 0, V], where[:, 0, A] = r[:, :, 1], skew(own)[:, 1]
+        drives = ~stop & (np.hypot(vel[:, 0], vel[:, 1]) >= 1.5)
+        p, add, _ = kernels.measured(p, where, np.array([sideways**2]), -own[:, 1:2] - times(where, dx), drives[:, None], gate)
+        dx = dx + add
+        pos, vel, r, ba, bg = pos + dx[:, P], vel + dx[:, V], r @ turn(dx[:, A]), ba + dx[:, BA], bg + dx[:, BG]
+        reset = np.tile(one, (len(at), 1, 1))
+        reset[:, A, A] -= skew(dx[:, A]) / 2
+        p = reset @ p @ swap(reset)
+        p = (p + swap(p)) / 2
+        for into, x in zip(after, (pos, vel, r, ba, bg), strict=True):
+            into[at] = x
+        ps[at] = p
+    for k in range(side.longest - 2, -1, -1):
+        nxt = side.rows(k + 1)
+        at = nxt - 1
+        (sp, sv, sr, sba, sbg), (bp, bv, br, bba, bbg) = ([x[nxt] for x in xs] for xs in (after, before))
+        apart = np.concatenate([sp - bp, sv - bv, turned(swap(br) @ sr), sba - bba, sbg - bbg], axis=1)
+        gain = swap(np.linalg.solve(pp[nxt] + 1e-12 * one, fs[nxt] @ ps[at]))
+        dx = times(gain, apart)
+        pos, vel, r, ba, bg = (x[at] for x in after)
+        for into, x in zip(after, (pos + dx[:, P], vel + dx[:, V], r @ turn(dx[:, A]), ba + dx[:, BA], bg + dx[:, BG]), strict=True):
+            into[at] = x
+        ps[at] += gain @ (ps[nxt] - pp[nxt]) @ swap(gain)
+    pos, vel, rot, ba, bg = after
     out = {c: x for cs, xs in ((("e_s", "n_s", "u_s"), pos), (("ve_s", "vn_s", "vu_s"), vel), (("bias_ax", "bias_ay", "bias_az"), ba), (("bias_gx", "bias_gy", "bias_gz"), bg)) for c, x in zip(cs, xs.T, strict=True)}
     forward = rot[:, :, 0]
-    out |= {
+    return out | {
         "yaw_deg": np.degrees(np.arctan2(forward[:, 0], forward[:, 1])) % 360,
         "pitch_deg": np.degrees(np.arcsin(np.clip(forward[:, 2], -1, 1))),
         "roll_deg": np.degrees(np.arctan2(rot[:, 2, 1], rot[:, 2, 2])),
         "sigma_h": np.sqrt(np.maximum(ps[:, 0, 0] + ps[:, 1, 1], 0.0)),
     }
-    return epochs.assign(**out)
 
 
 OUT = ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s", "bias_ax", "bias_ay", "bias_az", "bias_gx", "bias_gy", "bias_gz", "yaw_deg", "pitch_deg", "roll_deg", "sigma_h")
 
 
 def smooth_sessions(track: DataFrame, imu: DataFrame, by: str = "session_id", t: str = "utc_s", **options: float) -> DataFrame:
-    """track with the smoothed place, velocity, attitude and biases of smooth(), a session at a time; standing is found from the steps.
+    """track with the smoothed place, velocity, attitude and biases of smooth_all(), many sessions at a time; standing is found from the steps.
 
     Attitude: yaw from north, clockwise; pitch nose up; roll right side down. A
     session without samples is smoothed at constant velocity; samples of a
-    session without epochs give no rows. A whole session is in a task: epochs take about 5.5 kB each, samples 60 bytes and their sums.
+    session without epochs give no rows. A whole session is in a task: epochs take about 7 kB each, samples 60 bytes and their sums.
     """
-    rows = standing(track, by=by, t=t)
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in rows.dtypes), *(f"{c} double" for c in OUT)])
-    names = [*rows.columns, *OUT]
-
-    def run(epochs: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-        return smooth(epochs, samples, t=t, **options)[names] if len(epochs) else pd.DataFrame(columns=names)
-
     samples = imu.dropna(subset=[t, "ax", "ay", "az", "gx", "gy", "gz"]).select(by, t, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "az", "gx", "gy", "gz")])
-    return inertial.cogroup(rows, samples, run, schema, by, t)
+    run = lambda *sides: smooth_all(*sides, t=t, **options)
+    return kernels.per_sessions_with(standing(track, by=by, t=t), samples, run, dict.fromkeys(OUT, T.DoubleType()), by, t)
