@@ -306,3 +306,18 @@ def test_a_track_is_spread_over_all_tasks(spark, tmp_path):
     assert track(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = kernels.per_sessions(track(spark, sf).select("session_id", "utc_s"), lambda r, cuts: {"n": np.full(len(r), len(cuts))}, {"n": types.LongType()})
     assert kept.count() == 400 and kept.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_epoch_weights_of_many_sessions_are_those_of_each():
+    rng = np.random.default_rng(6)
+    cuts = np.array([0, 25, 26, 60, 72])
+    n = cuts[-1]
+    rows = pd.DataFrame(rng.normal(0, 1, (n, 6)) * [1, 1, 1, 3, 3, 1], columns=["e_m", "n_m", "u_m", "ve", "vn", "vu"])
+    rows = rows.assign(utc_s=np.concatenate([np.cumsum(rng.choice([0.0, 1.0, 20.0], k)) for k in np.diff(cuts)]), sd_n=rng.uniform(0.1, 4, n), sd_e=1.0, ns=rng.integers(4, 12, n), quality=rng.integers(1, 5, n))
+    rows.loc[::9, "vu"], rows.loc[4::11, "ve"], rows.loc[3::7, ["ve", "vn"]] = np.nan, np.nan, 0.01
+    rows.loc[30, "n_m"] = 500.0
+    for options in ({}, {"canyon": 15.0, "gate": 5.0}):
+        got = kernels.epoch_weighted_v2(rows, cuts, **options)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            alone = kernels.epoch_weighted_v2(rows.iloc[a:b].reset_index(drop=True), **options)
+            assert all(np.allclose(got[c][a:b], alone[c], atol=1e-7) for c in alone)

@@ -164,12 +164,12 @@ def epoch_weight(track: DataFrame) -> DataFrame:
 
 @register("epoch_weight_v2")
 def epoch_weight_v2(track: DataFrame) -> DataFrame:
-    return kernels.per_session(track, lambda r: {k: v for k, v in kernels.epoch_weighted_v2(r).items() if k in OUT}, OUT)
+    return kernels.per_sessions(track, lambda r, cuts: {k: v for k, v in kernels.epoch_weighted_v2(r, cuts).items() if k in OUT}, OUT)
 
 
 @register("v2_urban_canyon")
 def v2_urban_canyon(track: DataFrame) -> DataFrame:
-    return kernels.per_session(track, lambda r: {k: v for k, v in kernels.epoch_weighted_v2(r, canyon=15.0, gate=5.0).items() if k in OUT}, OUT)
+    return kernels.per_sessions(track, lambda r, cuts: {k: v for k, v in kernels.epoch_weighted_v2(r, cuts, canyon=15.0, gate=5.0).items() if k in OUT}, OUT)
 
 
 @register("ctrv")

@@ -81,7 +81,7 @@ def kernel_kalman_sigma(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def kernel_epoch_weighted(spark: SparkSession, sf: str) -> DataFrame:
     rows = _enu(spark, sf).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m", "u_m", "ve", "vn", "vu", "sd_n", "sd_e")
-    return rounded(kernels.per_session(rows, kernels.epoch_weighted_v2, {c: D for c in ("e_s", "n_s", "u_s", "eff_sigma", "innovation", "disagree_m")}), 4)
+    return rounded(kernels.per_sessions(rows, kernels.epoch_weighted_v2, {c: D for c in ("e_s", "n_s", "u_s", "eff_sigma", "innovation", "disagree_m")}), 4)
 
 
 @query(recursions.JUMP_GATE.format(track=TRACK, reason=_STATIC.replace("> 0.5", "> 5"), **dict(zip("xyz", sql_ecef("lat_deg", "lon_deg", "h_m"), strict=True))))
@@ -180,15 +180,15 @@ def kernel_clock_offset(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_mahony(spark: SparkSession, sf: str) -> DataFrame:
     """Attitude from ten inertial samples a second, at the epochs' rate."""
 
-    def run(r: pd.DataFrame) -> dict[str, np.ndarray]:
+    def run(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
         t = r["utc_s"].to_numpy(float)
         gyro = np.stack([np.zeros(len(t)), np.zeros(len(t)), np.full(len(t), 0.01)], 1)
         accel = np.stack([r["ax"].to_numpy(float), np.zeros(len(t)), np.full(len(t), 9.80665)], 1)
-        q = kernels.mahony(t - t[0], gyro, accel)
+        q = kernels.mahony_all(cuts, t - np.repeat(t[cuts[:-1]], np.diff(cuts)), gyro, accel)
         return {"qw": q[:, 0], "qx": q[:, 1], "qy": q[:, 2], "qz": q[:, 3]}
 
     rows = track(spark, sf).select("session_id", "epoch_ix", "utc_s", ((F.col("k") % 7) / 50.0).alias("ax"))
-    return rounded(kernels.per_session(rows, run, {c: D for c in ("qw", "qx", "qy", "qz")}).select("session_id", "epoch_ix", "qw", "qx", "qy", "qz"), 5)
+    return rounded(kernels.per_sessions(rows, run, {c: D for c in ("qw", "qx", "qy", "qz")}).select("session_id", "epoch_ix", "qw", "qx", "qy", "qz"), 5)
 
 
 @query()
