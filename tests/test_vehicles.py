@@ -82,3 +82,26 @@ def test_spectra_do_not_depend_on_the_blocks(spark):
     parts = spark.createDataFrame([("f", k, x[k : k + 1100].tolist()) for k in range(0, 5000, 1100)], schema)
     one, many = ({(r.start, tuple(r.power_db)) for r in media.spectrogram(b).collect()} for b in (whole, parts))
     assert len(one) == (5000 - 1024) // 512 + 1 and one == many
+
+
+def test_strapdown_of_many_sessions_is_that_of_each():
+    rng = np.random.default_rng(5)
+    parts = []
+    for n, m in ((20, 150), (1, 10), (35, 0), (12, 200)):
+        t = np.cumsum(rng.choice([1.0, 1.0, 40.0], n))
+        v = np.where(rng.random((n, 3)) < 0.2, np.nan, rng.normal(0, 1, (n, 3)))
+        v[n // 2] = 90.0
+        z = rng.normal(0, 1, (n, 3))
+        z[n // 3, 1] = np.nan if n > 1 else 0.0
+        epochs = pd.DataFrame(np.column_stack([t, z, v]), columns=["utc_s", "e_m", "n_m", "u_m", "ve", "vn", "vu"]).assign(session_id=n)
+        ts = np.sort(rng.uniform(0, t[-1] + 1, m))
+        force = rng.normal(0, 0.3, (m, 6)) + [0, 0, inertial.G, 0, 0, 0]
+        force[: m // 50, :3] = 0.0
+        parts.append((epochs, pd.DataFrame(np.column_stack([ts, force]), columns=["utc_s", "ax", "ay", "az", "gx", "gy", "gz"])))
+    epochs, samples = (pd.concat([p[k] for p in parts], ignore_index=True) for k in (0, 1))
+    cuts, sample_cuts = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 1))
+    got = inertial.strapdown_rts_all(epochs, cuts, samples, sample_cuts)
+    for s, (one, own) in enumerate(parts):
+        alone = inertial.strapdown_rts(one, own)
+        for c in inertial.STRAPDOWN:
+            assert np.isfinite(alone[c]).all() and np.allclose(got[c][cuts[s] : cuts[s + 1]], alone[c], atol=1e-7)

@@ -1,9 +1,7 @@
-"""Kernels that join inertial samples and epochs of one session: attitude, strapdown filters, calibration."""
+"""Kernels that join inertial samples and epochs of a session: attitude, strapdown filters, calibration."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,15 +14,6 @@ from tracelake.operators.ranges import interval_join
 G = 9.80665
 
 
-def cogroup(track: DataFrame, imu: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, by: str = "session_id", t: str = "utc_s") -> DataFrame:
-    """run(epochs, samples) for each session, both sorted by time; sessions with one side empty get an empty frame for it."""
-
-    def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return run(a.sort_values(t, kind="stable").reset_index(drop=True), b.sort_values(t, kind="stable").reset_index(drop=True))
-
-    return track.groupBy(by).cogroup(imu.groupBy(by)).applyInPandas(fold, schema)
-
-
 def rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Rows of v turned by rows of unit quaternions, body to world."""
     w, u = q[:, :1], q[:, 1:]
@@ -32,8 +21,19 @@ def rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return v + 2 * (w * c + np.cross(u, c))
 
 
-def strapdown_rts(epochs: pd.DataFrame, samples: pd.DataFrame, accel_noise: float = 3.0, bias_walk: float = 0.003, sigma_p: tuple[float, float] = (0.3, 0.5), sigma_v: float = 0.3, gate: float = 25.0) -> pd.DataFrame:
-    """Nine states (position, velocity, acceleration bias): samples predict, epochs update position and Doppler, then the backward pass.
+def strapdown_rts(epochs: pd.DataFrame, samples: pd.DataFrame, **options: float) -> pd.DataFrame:
+    """strapdown_rts_all() of one session."""
+    got = strapdown_rts_all(epochs, np.array([0, len(epochs)]), samples, np.array([0, len(samples)]), **options)
+    return pd.DataFrame({"session_id": epochs["session_id"], "utc_s": epochs["utc_s"].to_numpy(float), **got})
+
+
+STRAPDOWN = ("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s")
+
+
+def strapdown_rts_all(
+    epochs: pd.DataFrame, cuts: np.ndarray, samples: pd.DataFrame, sample_cuts: np.ndarray, accel_noise: float = 3.0, bias_walk: float = 0.003, sigma_p: tuple[float, float] = (0.3, 0.5), sigma_v: float = 0.3, gate: float = 25.0
+) -> dict[str, np.ndarray]:
+    """Nine states (position, velocity, acceleration bias): samples predict, epochs update position and Doppler, then the backward pass; many sessions side by side.
 
     World acceleration is the rotated specific force less gravity, averaged
     between epochs; velocity updates beyond the chi-squared gate are left out.
@@ -45,46 +45,44 @@ def strapdown_rts(epochs: pd.DataFrame, samples: pd.DataFrame, accel_noise: floa
     if len(samples):
         ts = samples["utc_s"].to_numpy(float)
         force, gyro = samples[["ax", "ay", "az"]].to_numpy(float), samples[["gx", "gy", "gz"]].to_numpy(float)
-        world = rotate(kernels.mahony(ts, gyro, force), force) - [0, 0, G]
-        total = np.vstack([np.zeros(3), np.cumsum(world, axis=0)])
-        hi, lo = np.searchsorted(ts, t), np.searchsorted(ts, np.concatenate([t[:1], t[:-1]]))
-        some = hi > lo
-        mean[some] = (total[hi[some]] - total[lo[some]]) / (hi - lo)[some, None]
-    gaps = np.clip(np.diff(t, prepend=t[0]), 0.0, 30.0)
-    hp, hv = np.hstack([np.eye(3), np.zeros((3, 6))]), np.hstack([np.zeros((3, 3)), np.eye(3), np.zeros((3, 3))])
-    rp = np.diag([sigma_p[0] ** 2, sigma_p[0] ** 2, sigma_p[1] ** 2])
-    one = np.eye(9)
-    x = np.concatenate([z[0], np.where(np.isfinite(v[0]), v[0], 0.0), np.zeros(3)])
-    p = np.diag([9.0, 9, 225, 1, 1, 4, 0.04, 0.04, 0.04])
-    n = len(t)
+        world = rotate(kernels.mahony_all(sample_cuts, ts, gyro, force), force) - [0, 0, G]
+        for a, b, c, d in zip(cuts[:-1], cuts[1:], sample_cuts[:-1], sample_cuts[1:], strict=True):
+            total = np.vstack([np.zeros(3), np.cumsum(world[c:d], axis=0)])
+            hi = np.searchsorted(ts[c:d], t[a:b])
+            lo = np.append(hi[:1], hi[:-1])
+            some = hi > lo
+            mean[a:b][some] = (total[hi[some]] - total[lo[some]]) / (hi - lo)[some, None]
+    gaps = np.diff(t, prepend=t[0])
+    gaps[cuts[:-1]] = 0.0
+    gaps = np.clip(gaps, 0.0, 30.0)
+    var_p = np.array([sigma_p[0], sigma_p[0], sigma_p[1]]) ** 2
+    side, n = kernels._SideBySide(cuts), len(t)
+    one, eye, swap = np.eye(9), np.eye(3), kernels.swap
+    first = side.begin
+    x = np.concatenate([z[first], np.where(np.isfinite(v[first]), v[first], 0.0), np.zeros((len(first), 3))], axis=1)
+    p = np.tile(np.diag([9.0, 9, 225, 1, 1, 4, 0.04, 0.04, 0.04]), (len(first), 1, 1))
     xs, ps, xp, pp, fs = np.zeros((n, 9)), np.zeros((n, 9, 9)), np.zeros((n, 9)), np.zeros((n, 9, 9)), np.zeros((n, 9, 9))
-    for k in range(n):
-        dt = gaps[k]
-        f = one.copy()
-        f[:3, 3:6], f[:3, 6:], f[3:6, 6:] = np.eye(3) * dt, -np.eye(3) * dt * dt / 2, -np.eye(3) * dt
-        drive = np.concatenate([mean[k] * dt * dt / 2, mean[k] * dt, np.zeros(3)])
-        gain_in = np.vstack([np.eye(3) * dt * dt / 2, np.eye(3) * dt])
-        q = np.zeros((9, 9))
-        q[:6, :6] = accel_noise**2 * gain_in @ gain_in.T
-        q[6:, 6:] = np.eye(3) * bias_walk**2 * dt
-        x, p = f @ x + drive, f @ p @ f.T + q + np.eye(9) * 1e-12
-        xp[k], pp[k], fs[k] = x, p, f
-        both = np.isfinite(v[k])
-        for zz, h, r, most in ((z[k], hp, rp, np.inf), (v[k][both], hv[both], np.eye(int(both.sum())) * sigma_v**2, gate)):
-            if len(zz):
-                s = h @ p @ h.T + r
-                d = zz - h @ x
-                if d @ np.linalg.solve(s, d) <= most:
-                    gain = np.linalg.solve(s, h @ p).T
-                    x, a = x + gain @ d, one - gain @ h
-                    p = a @ p @ a.T + gain @ r @ gain.T
-        xs[k], ps[k] = x, p
-    for k in range(n - 2, -1, -1):
-        xs[k] = xs[k] + ps[k] @ fs[k + 1].T @ np.linalg.solve(pp[k + 1], xs[k + 1] - xp[k + 1])
-    return pd.DataFrame({"session_id": epochs["session_id"], "utc_s": t, "e_s": xs[:, 0], "n_s": xs[:, 1], "u_s": xs[:, 2], "ve_s": xs[:, 3], "vn_s": xs[:, 4], "vu_s": xs[:, 5]})
-
-
-STRAPDOWN = "session_id long, utc_s double, e_s double, n_s double, u_s double, ve_s double, vn_s double, vu_s double"
+    there = np.repeat(np.isfinite(z).all(1)[:, None], 3, 1)
+    for k in range(side.longest):
+        at = side.rows(k)
+        dt = gaps[at][:, None, None]
+        f, q = np.tile(one, (len(at), 1, 1)), np.zeros((len(at), 9, 9))
+        f[:, :3, 3:6], f[:, :3, 6:], f[:, 3:6, 6:] = eye * dt, -eye * dt * dt / 2, -eye * dt
+        q[:, :3, :3], q[:, :3, 3:6], q[:, 3:6, 3:6] = (accel_noise**2 * s * eye for s in (dt**4 / 4, dt**3 / 2, dt**2))
+        q[:, 3:6, :3], q[:, 6:, 6:] = q[:, :3, 3:6], eye * bias_walk**2 * dt
+        push, h = mean[at], dt[:, :, 0]
+        x = (f @ x[: len(at), :, None])[..., 0] + np.concatenate([push * h * h / 2, push * h, np.zeros_like(push)], axis=1)
+        p = f @ p[: len(at)] @ swap(f) + q + one * 1e-12
+        xp[at], pp[at], fs[at] = x, p, f
+        for matrix, var, value, seen, most in ((one[:3], var_p, z[at], there[at], np.inf), (one[3:6], np.full(3, sigma_v**2), v[at], np.isfinite(v[at]), gate)):
+            p, add, _ = kernels.measured(p, matrix, var, value - (matrix @ x[:, :, None])[..., 0], seen, most)
+            x = x + add
+        xs[at], ps[at] = x, p
+    for k in range(side.longest - 2, -1, -1):
+        nxt = side.rows(k + 1)
+        at = nxt - 1
+        xs[at] += (ps[at] @ swap(fs[nxt]) @ np.linalg.solve(pp[nxt], (xs[nxt] - xp[nxt])[..., None]))[..., 0]
+    return dict(zip(STRAPDOWN, xs.T, strict=False))
 
 
 def turn_rate_ekf(t: np.ndarray, z: np.ndarray, accel: float = 1.0, turn: float = 0.2, sigma: float = 3.0) -> np.ndarray:

@@ -24,12 +24,12 @@ def local_forces(imu: DataFrame, by: str = "session_id", t: str = "utc_s") -> Da
     """by, t, a_e, a_n, a_u: samples (ax to gz, in the body) turned by their attitude to local axes, without gravity."""
     from tracelake.operators.inertial import rotate
 
-    def run(r: pd.DataFrame) -> dict[str, np.ndarray]:
+    def run(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
         force = r[["ax", "ay", "az"]].to_numpy(float)
-        local = rotate(kernels.mahony(r[t].to_numpy(float), r[["gx", "gy", "gz"]].to_numpy(float), force), force) - [0, 0, G]
+        local = rotate(kernels.mahony_all(cuts, r[t].to_numpy(float), r[["gx", "gy", "gz"]].to_numpy(float), force), force) - [0, 0, G]
         return dict(zip(FORCES, local.T, strict=True))
 
-    return kernels.per_session(imu.select(by, t, "ax", "ay", "az", "gx", "gy", "gz"), run, dict.fromkeys(FORCES, T.DoubleType()), by, t).select(by, t, *FORCES)
+    return kernels.per_sessions(imu.select(by, t, "ax", "ay", "az", "gx", "gy", "gz"), run, dict.fromkeys(FORCES, T.DoubleType()), by, t).select(by, t, *FORCES)
 
 
 def preintegrate(track: DataFrame, imu: DataFrame, max_hold: float = 0.1, by: str = "session_id", t: str = "utc_s") -> DataFrame:

@@ -66,7 +66,8 @@ def _imu(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_strapdown(spark: SparkSession, sf: str) -> DataFrame:
     """Inertial samples and epochs of each session in one filter, forwards and back."""
     rows = with_enu(track(spark, sf)).select("session_id", "utc_s", "e_m", "n_m", "u_m", "ve", "vn", "vu")
-    return rounded(inertial.cogroup(rows, _imu(spark, sf), inertial.strapdown_rts, inertial.STRAPDOWN), 3)
+    out = dict.fromkeys(inertial.STRAPDOWN, T.DoubleType())
+    return rounded(kernels.per_sessions_with(rows, _imu(spark, sf), inertial.strapdown_rts_all, out).select("session_id", "utc_s", *out), 3)
 
 
 @query()
