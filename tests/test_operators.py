@@ -321,3 +321,25 @@ def test_epoch_weights_of_many_sessions_are_those_of_each():
         for a, b in zip(cuts[:-1], cuts[1:]):
             alone = kernels.epoch_weighted_v2(rows.iloc[a:b].reset_index(drop=True), **options)
             assert all(np.allclose(got[c][a:b], alone[c], atol=1e-7) for c in alone)
+
+
+def test_masks_of_many_sessions_are_fused_as_those_of_each(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for s, kinds in ((1, (5, 10, 15, 20)), (2, (10, 20)), (3, (15,)), (None, (5, 15, 20))):
+        for t in np.cumsum(rng.choice([1.0, 1.0, 25.0], 60)):
+            for m in kinds:
+                if rng.random() < 0.9:
+                    e, n = (rng.choice([0.1, 0.5, 2.0]) * rng.normal(0, 1, 2)).tolist()
+                    rows.append((s, float(t), m, None if rng.random() < 0.05 else e, n, 0.0, 1, int(rng.integers(3, 9)), 3.0, float(rng.uniform(0.1, 0.9))))
+    long = spark.createDataFrame(rows, "session_id long, utc_s double, mask int, e_m double, n_m double, u_m double, quality int, ns int, ratio double, sd_h double").repartition(1)
+    key = lambda r: (-1 if r.session_id is None else r.session_id, r.utc_s)
+    got = sorted(masks.fuse(long).collect(), key=key)
+    alone = [r for s in (1, 2, 3, None) for r in masks.fuse(long.where(F.col("session_id").eqNullSafe(F.lit(s)))).collect()]
+    assert got == sorted(alone, key=key)
+    assert {r.session_id for r in got} == {1, 2, 3, None} and {r.mask for r in got if r.session_id == 3} == {15} and {r.mask for r in got if r.session_id == 2} == {10, 20}
+
+
+def test_masks_read_no_pivot_for_each_session(spark):
+    long = spark.range(40).selectExpr("id AS session_id", "0.0D AS utc_s", "5 AS mask", "1.0D AS e_m", "2.0D AS n_m", "0.0D AS u_m", "1 AS quality", "9 AS ns", "3.0D AS ratio", "0.2D AS sd_h")
+    assert "FlatMapGroupsInPandas" not in masks.fuse(long)._jdf.queryExecution().toString() and masks.fuse(long).count() == 40
