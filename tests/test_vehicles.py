@@ -105,3 +105,31 @@ def test_strapdown_of_many_sessions_is_that_of_each():
         alone = inertial.strapdown_rts(one, own)
         for c in inertial.STRAPDOWN:
             assert np.isfinite(alone[c]).all() and np.allclose(got[c][cuts[s] : cuts[s + 1]], alone[c], atol=1e-7)
+
+
+def test_noise_of_many_rates_is_that_of_each():
+    rng = np.random.default_rng(8)
+    for n in (8, 9, 50, 333):
+        rates, fs = rng.normal(0, 1, (5, n)).round(1), rng.uniform(1, 100, 5)
+        got = inertial.allan_parameters(rates, fs)
+        for k in range(5):
+            alone = inertial.allan_parameters(rates[k], float(fs[k]))
+            assert all(np.allclose(got[c][k], alone[c]) for c in alone)
+        x = np.cumsum(rng.uniform(0.1, 1, (2, n)), 1)
+        x[1] = np.arange(n)
+        assert np.allclose(inertial._slopes(rates[:2], x), [np.gradient(rates[k], x[k]) for k in range(2)])
+
+
+def test_calibration_goes_by_sessions_of_equal_length(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, float(t), *rng.normal(0, 1, 5).tolist(), 0.5) for s, n in ((1, 60), (2, 60), (3, 7), (None, 30), (4, 45)) for t in range(n)]
+    imu = spark.createDataFrame(rows, "session_id long, utc_s double, ax double, ay double, az double, gx double, gy double, gz double")
+    found = inertial.calibrate(imu)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {(r.session_id, r.axis): r for r in found.collect()}
+    assert len(got) == 24 and {s for s, _ in got} == {1, 2, 4, None}
+    for k, axis in enumerate(("ax", "ay", "az", "gx", "gy", "gz")):
+        for s, n in ((1, 60), (2, 60), (None, 30), (4, 45)):
+            r = got[s, axis]
+            want = inertial.allan_parameters(np.array([x[2 + k] for x in rows if x[0] == s]), 1.0) if axis != "gz" else {"random_walk": 0.0, "bias_instability": 0.0, "rate_random_walk": 0.0, "reliable": False}
+            assert r.n == n and all(np.isclose(r[c], v) for c, v in want.items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,16 +118,30 @@ def turn_rate_ekf(t: np.ndarray, z: np.ndarray, accel: float = 1.0, turn: float
     return out
 
 
-def allan_parameters(rate: np.ndarray, fs: float) -> dict[str, float | bool]:
-    """Random walk (read at 1 s), bias instability (minimum over 0.664) and rate random walk (read at 3 s) from slopes of -1/2, 0 and +1/2."""
+def allan_parameters(rate: np.ndarray, fs: np.ndarray | float) -> dict[str, np.ndarray | float | bool]:
+    """Random walk (read at 1 s), bias instability (minimum over 0.664) and rate random walk (read at 3 s) from slopes of -1/2, 0 and +1/2; of one rate, or of a stack of equal lengths."""
     tau, dev = kernels.allan_deviation(rate, fs)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        local = _slopes(np.log(dev), np.log(tau))
+
+    def read(slope: float, at: float) -> np.ndarray:
+        k = np.abs(local - slope).argmin(-1)[..., None]
+        d, x = (np.take_along_axis(np.broadcast_to(a, dev.shape), k, -1)[..., 0] for a in (dev, tau))
+        return np.exp(np.log(d) + slope * (np.log(at) - np.log(x)))
 
-    def read(slope: float, at: float) -> float:
-        local = np.gradient(np.log(dev), np.log(tau))
-        k = int(np.abs(local - slope).argmin())
-        return float(np.exp(np.log(dev[k]) + slope * (np.log(at) - np.log(tau[k]))))
+    got = {"random_walk": read(-0.5, 1.0), "bias_instability": dev.min(-1) / 0.664, "rate_random_walk": read(0.5, 3.0), "reliable": np.broadcast_to(tau[..., -1] >= 10.0, dev.shape[:-1])}
+    return got if rate.ndim > 1 else {k: x.item() for k, x in got.items()}
 
-    return {"random_walk": read(-0.5, 1.0), "bias_instability": float(dev.min() / 0.664), "rate_random_walk": read(0.5, 3.0), "reliable": bool(tau[-1] >= 10.0)}
+
+def _slopes(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """np.gradient of y by x along the last axis, each row with its own x."""
+    dx = np.diff(x)
+    a, b = dx[..., :-1], dx[..., 1:]
+    uneven = -b / (a * (a + b)) * y[..., :-2] + (b - a) / (a * b) * y[..., 1:-1] + a / (b * (a + b)) * y[..., 2:]
+    even = (y[..., 2:] - y[..., :-2]) / (2.0 * dx[..., :1])
+    inner = np.where((dx == dx[..., :1]).all(-1, keepdims=True), even, uneven)
+    ends = np.diff(y) / dx
+    return np.concatenate([ends[..., :1], inner, ends[..., -1:]], axis=-1)
 
 
 def turn_trust(t: np.ndarray, yaw_rate: np.ndarray, track_t: np.ndarray, heading_deg: np.ndarray, alpha: float = 0.2) -> tuple[float, str]:
@@ -200,22 +216,35 @@ def calibrate(imu: DataFrame, track: DataFrame | None = None, max_speed: float =
     if track is not None:
         source = "mined_zupt"
         still = interval_join(imu, islands.static_periods(track, max_speed, min_s, by, t), t=t, by=by).select(*imu.columns)
+    axes = ["ax", "ay", "az", "gx", "gy", "gz"]
     names = [by, "axis", "random_walk", "bias_instability", "rate_random_walk", "reliable", "n", "source"]
-    long = still.unpivot([by, t], ["ax", "ay", "az", "gx", "gy", "gz"], "axis", "x")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t)
-        steps = np.diff(rows[t])
-        steps = steps[steps > 0]
-        out = {by: rows[by].iloc[0], "axis": rows["axis"].iloc[0], "n": len(rows), "source": source}
-        if len(rows) < 8 or not len(steps):
-            return pd.DataFrame(columns=names)
-        x = rows["x"].to_numpy(float)
-        noise = allan_parameters(x, float(1 / np.median(steps))) if x.std() > 0 else dict.fromkeys(names[2:5], 0.0) | {"reliable": False}
-        return pd.DataFrame([out | noise])[names]
+
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        begins = kernels._session_starts(rows[by])
+        sizes = np.diff(np.append(begins, len(rows)))
+        x, times = rows[axes].to_numpy(float), rows[t].to_numpy(float)
+        usual = np.full(len(begins), np.nan)
+        for s in np.flatnonzero(sizes >= 8):
+            steps = np.diff(times[begins[s] : begins[s] + sizes[s]])
+            steps = steps[steps > 0]
+            usual[s] = np.median(steps) if len(steps) else np.nan
+        # Sessions of equal length side by side, all axes at once.
+        for n in np.unique(sizes[np.isfinite(usual)]):
+            which = np.flatnonzero(np.isfinite(usual) & (sizes == n))
+            rates = np.ascontiguousarray(np.swapaxes(x[begins[which][:, None] + np.arange(n)], 1, 2))
+            noisy = rates.std(-1) > 0
+            found = allan_parameters(rates, np.repeat(1 / usual[which][:, None], len(axes), 1))
+            yield pd.DataFrame(
+                {by: np.repeat(rows[by].to_numpy()[begins[which]], len(axes)), "axis": axes * len(which), "n": n, "source": source} | {c: np.where(noisy, v, 0).astype(v.dtype).ravel() for c, v in found.items()}
+            )[names]
+
+    def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in kernels.whole_sessions(batches, by):
+            yield from run(rows)
 
     kind = dict(imu.dtypes)[by]
-    return long.groupBy(by, "axis").applyInPandas(run, f"{by} {kind}, axis string, random_walk double, bias_instability double, rate_random_walk double, reliable boolean, n long, source string")
+    ordered = kernels.spread(still.select(by, t, *axes), by).sortWithinPartitions(by, F.asc_nulls_last(t))
+    return ordered.mapInPandas(run_all, f"{by} {kind}, axis string, random_walk double, bias_instability double, rate_random_walk double, reliable boolean, n long, source string")
 
 
 def static_bias(imu: DataFrame, periods: DataFrame, clip: float = 1.0, least: int = 20, by: str = "session_id", t: str = "utc_s") -> DataFrame:
