@@ -343,3 +343,13 @@ def test_masks_of_many_sessions_are_fused_as_those_of_each(spark):
 def test_masks_read_no_pivot_for_each_session(spark):
     long = spark.range(40).selectExpr("id AS session_id", "0.0D AS utc_s", "5 AS mask", "1.0D AS e_m", "2.0D AS n_m", "0.0D AS u_m", "1 AS quality", "9 AS ns", "3.0D AS ratio", "0.2D AS sd_h")
     assert "FlatMapGroupsInPandas" not in masks.fuse(long)._jdf.queryExecution().toString() and masks.fuse(long).count() == 40
+
+
+def test_bootstrap_of_a_stack_is_that_of_each_series():
+    x = np.random.default_rng(10).normal(0, 1, (4, 37)).round(1)
+    for block in (1, 10):
+        lo, hi = kernels.bootstrap_interval(x, kernels.median, block)
+        assert list(zip(lo, hi)) == [kernels.bootstrap_interval(one, np.median, block) for one in x]
+    x[1, 3] = np.nan
+    for part in (x, x[:, :36], x[:, :1]):
+        assert np.array_equal(kernels.median(part, axis=1), np.median(part, axis=1), equal_nan=True)

@@ -220,7 +220,7 @@ def calibrate(imu: DataFrame, track: DataFrame | None = None, max_speed: float =
     names = [by, "axis", "random_walk", "bias_instability", "rate_random_walk", "reliable", "n", "source"]
 
     def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        begins = kernels._session_starts(rows[by])
+        begins = kernels.session_starts(rows[by])
         sizes = np.diff(np.append(begins, len(rows)))
         x, times = rows[axes].to_numpy(float), rows[t].to_numpy(float)
         usual = np.full(len(begins), np.nan)

@@ -45,7 +45,7 @@ def fuse(long: DataFrame, tau: float = 0.6, hysteresis: float = 0.3, stab: float
         session, t, mask = (rows[c].to_numpy() for c in ("session_id", "utc_s", "mask"))
         # A mask's place is its rank in its own session.
         kinds = np.unique(mask)
-        begins = kernels._session_starts(rows["session_id"])
+        begins = kernels.session_starts(rows["session_id"])
         of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
         has = np.zeros((len(begins), len(kinds)), bool)
         has[of, np.searchsorted(kinds, mask)] = True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -138,14 +140,20 @@ def kernel_allan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kernel_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals of the median by rows and by blocks of ten."""
-
-    def run(r: pd.DataFrame) -> pd.DataFrame:
-        x = r.sort_values("utc_s")["sd_n"].to_numpy(float)
-        a, b = kernels.bootstrap_interval(x, np.median), kernels.bootstrap_interval(x, np.median, block=min(10, len(x)))
-        return pd.DataFrame({"session_id": [r["session_id"].iloc[0]], "lo": [a[0]], "hi": [a[1]], "block_lo": [b[0]], "block_hi": [b[1]]})
-
-    return track(spark, sf).select("session_id", "utc_s", "sd_n").groupBy("session_id").applyInPandas(run, "session_id long, lo double, hi double, block_lo double, block_hi double")
+    """Intervals of the median by rows and by blocks of ten; sessions of equal length share their draws."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in kernels.whole_sessions(batches, "session_id"):
+            begins = kernels.session_starts(rows["session_id"])
+            sizes, x, names = np.diff(np.append(begins, len(rows))), rows["sd_n"].to_numpy(float), rows["session_id"].to_numpy()
+            for n in np.unique(sizes):
+                first = begins[sizes == n]
+                series = x[first[:, None] + np.arange(n)]
+                a, b = kernels.bootstrap_interval(series, kernels.median), kernels.bootstrap_interval(series, kernels.median, block=min(10, n))
+                yield pd.DataFrame({"session_id": names[first], "lo": a[0], "hi": a[1], "block_lo": b[0], "block_hi": b[1]})
+
+    rows = kernels.spread(track(spark, sf).select("session_id", "utc_s", "sd_n"), "session_id").sortWithinPartitions("session_id", F.asc_nulls_last("utc_s"))
+    return rows.mapInPandas(run, "session_id long, lo double, hi double, block_lo double, block_hi double")
 
 
 @query()
