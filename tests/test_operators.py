@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from tracelake.functions import geo, timefn
-from tracelake.operators import asof, islands, kernels, masks, ranges, smoothers, smoothing, stats
+from tracelake.operators import asof, islands, kernels, masks, motion, ranges, smoothers, smoothing, stats
 
 T = "session_id long, utc_s double, v double"
 
@@ -360,3 +360,42 @@ def test_sessions_are_folded_in_bounded_parts():
     parts = list(kernels.whole_sessions((rows.iloc[k : k + 10_000] for k in range(0, len(rows), 10_000)), "session_id"))
     assert max(map(len, parts)) < 50_000 + 10_000 + 67 and pd.concat(parts, ignore_index=True).equals(rows)
     assert all(parts[k].session_id.iloc[-1] < parts[k + 1].session_id.iloc[0] for k in range(len(parts) - 1))
+
+
+def test_places_on_track_are_the_nearest_without_copies(spark):
+    """Against a loop: long stands, strays far away, holes in place and time, equal epochs, a key twice; nothing is copied or joined."""
+    rng = np.random.default_rng(5)
+    epochs = [(s, float(k), float(20 * k + rng.normal()) if k < 40 else 800.0, float(rng.normal(0, 60)) if k < 40 else 0.0) for s in (1, 2) for k in range(60)]
+    epochs += [(1, 100.0, 1e13, -1e13), (1, 101.0, None, 5.0), (2, 102.0, float("nan"), 5.0), (1, None, -300.0, 0.0), (4, 0.0, 0.0, 0.0)]
+    epochs = [e for e in epochs if e[:2] != (2, 30.0)] + [(2, 31.0, 700.0, 0.0)]
+    frames = [(s, k, float(rng.uniform(-100, 900)), float(rng.normal(0, 60))) for s in (1, 2, 3) for k in range(80)]
+    frames += [(1, 80, 1e13, -1e13), (1, 81, 801.0, 1.0), (1, 82, -300.0, 3.0), (1, 83, None, 0.0), (1, 5, 300.0, 0.0), (None, 1, 0.0, 0.0), (2, 84, -2e13, 0.0), (1, 85, 100.0, 250.0)]
+    track = spark.createDataFrame(epochs, "session_id long, utc_s double, e_m double, n_m double")
+    got = motion.places_on_track(spark.createDataFrame(frames, "session_id long, frame long, fe_m double, fn_m double"), track)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+    def on(p, a, b):
+        (e, n, t), (e1, n1, t1) = a, b
+        sq = (e1 - e) ** 2 + (n1 - n) ** 2
+        u = min(1.0, max(0.0, ((p[0] - e) * (e1 - e) + (p[1] - n) * (n1 - n)) / sq)) if sq >= 1e-12 else 0.0
+        return np.hypot(p[0] - e - u * (e1 - e), p[1] - n - u * (n1 - n)), None if t is None or t1 is None else t + u * (t1 - t)
+
+    want = {}
+    for s in (1, 2):
+        line = sorted(((e, n, t) for i, t, e, n in epochs if i == s), key=lambda r: (-1.0 if r[2] is None else r[2], r[0] or 0.0, r[1]))
+        good = [k for k, r in enumerate(line) if r[0] is not None and np.isfinite(r[0])]
+        for i, key, *p in frames:
+            near = [k for k in good if i == s and p[0] is not None and all(abs(np.floor(x / 100) - np.floor(y / 100)) <= 1 for x, y in zip(line[k], p))]
+            if near:
+                k = min(near, key=lambda k: ((line[k][0] - p[0]) ** 2 + (line[k][1] - p[1]) ** 2, k))
+                d = np.hypot(line[k][0] - p[0], line[k][1] - p[1])
+                ways = [(d, line[k][2])] + [on(p, *sorted((line[k], line[j]), key=lambda r: -1.0 if r[2] is None else r[2])) for j in (k - 1, k + 1) if j in good]
+                off, at = min(ways, key=lambda w: w[0])
+                if (s, key) not in want or d < want[s, key][0]:
+                    want[s, key] = (d, off, at)
+    want = {k: (at, off) for k, (_, off, at) in want.items() if off <= 25}
+    rows = {(r.session_id, r.frame): (r.utc_s, r.off_m) for r in got.collect()}
+    assert got.count() == len(rows) and rows.keys() == want.keys() and len(rows) > 60
+    for k, (at, off) in want.items():
+        assert abs(rows[k][1] - off) < 1e-9 and (rows[k][0] is None) == (at is None) and (at is None or abs(rows[k][0] - at) < 1e-6)

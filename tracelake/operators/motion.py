@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.functions import geo
 from tracelake.functions.angles import wrap_deg
@@ -137,19 +140,36 @@ def places_on_track(frames: DataFrame, enu: DataFrame, max_m: float = 25.0, cell
     The nearest epoch's two segments are looked at; frames farther than max_m
     from them have no row. Epochs meet frames through square cells: those within
     cell_m of a frame are always seen, so cell_m must exceed max_m plus half of
-    the longest step that counts.
+    the longest step that counts. Frames and epochs shuffle once and meet within
+    their session's task, so that neither copies of frames nor pairs are shuffled or sorted.
     """
-    w = ordered(by, t)
-    around = {f"{n}{k}": f(c).over(w) for k, f in (("0", F.lag), ("1", F.lead)) for n, c in (("__e", "e_m"), ("__n", "n_m"), ("__t", t))}
-    epochs = enu.select(by, t, "e_m", "n_m").withColumns(around)
-    cell = lambda c: F.floor(F.col(c) / cell_m)
-    epochs = epochs.withColumns({"__ce": cell("e_m"), "__cn": cell("n_m")})
-    near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    asked = frames.select(by, key, "fe_m", "fn_m").withColumns({"__ce": cell("fe_m"), "__cn": cell("fn_m")})
-    asked = asked.withColumn("__x", near).withColumn("__y", near).withColumns({"__ce": F.col("__ce") + F.col("__x"), "__cn": F.col("__cn") + F.col("__y")}).drop("__x", "__y")
-    d2 = (F.col("e_m") - F.col("fe_m")) ** 2 + (F.col("n_m") - F.col("fn_m")) ** 2
-    best = asked.join(epochs, [by, "__ce", "__cn"]).withColumn("__d2", d2)
-    best = best.groupBy(by, key).agg(F.min(F.struct("__d2", t, "fe_m", "fn_m", "e_m", "n_m", "__e0", "__n0", "__t0", "__e1", "__n1", "__t1")).alias("b")).select(by, key, "b.*")
+    from tracelake.operators.kernels import nearest_in_cells, per_sessions_with
+
+    chosen = [f"__{c}{k}" for k in ("", "0", "1") for c in "ent"]
+
+    def meet(rows: pd.DataFrame, cuts: np.ndarray, epochs: pd.DataFrame, epoch_cuts: np.ndarray) -> dict[str, np.ndarray]:
+        session = np.repeat(np.arange(len(cuts) - 1), np.diff(epoch_cuts))
+        # Epochs without a time come first, as in a window; those of one time by their place.
+        track = epochs[["e_m", "n_m", t]].to_numpy(float)
+        track = track[np.lexsort((track[:, 1], track[:, 0], np.nan_to_num(track[:, 2], nan=-np.inf), session))]
+        places = rows[["fe_m", "fn_m"]].to_numpy(float)
+        best, d2 = nearest_in_cells(places, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), track[:, :2], session, cell_m)
+        # Of frames with one key the nearest counts, as one frame.
+        twice = rows.duplicated([by, key], keep=False).to_numpy() & (best >= 0)
+        if twice.any():
+            at = np.flatnonzero(twice)
+            at = at[np.lexsort((*places[at].T[::-1], np.nan_to_num(track[best[at], 2], nan=-np.inf), d2[at]))]
+            best[at[rows.iloc[at].duplicated([by, key]).to_numpy()]] = -1
+        ends = np.r_[True, session[1:] != session[:-1]] if len(session) else np.zeros(0, bool)
+        none = np.full((1, 3), np.nan)
+        before = np.where(ends[:, None], np.nan, np.r_[none, track[:-1]][: len(track)])
+        after = np.where(np.r_[ends[1:], True][: len(track), None], np.nan, np.r_[track[1:], none][: len(track)])
+        found = np.r_[np.c_[track, before, after], np.full((1, 9), np.nan)][best]
+        return {"__d2": np.where(best >= 0, d2, np.nan)} | dict(zip(chosen, found.T, strict=True))
+
+    asked = frames.where(F.col(by).isNotNull()).select(by, F.lit(None).cast("double").alias(t), key, "fe_m", "fn_m")
+    track = enu.where(F.col(by).isNotNull()).select(by, t, "e_m", "n_m")
+    best = per_sessions_with(asked, track, meet, dict.fromkeys(("__d2", *chosen), T.DoubleType()), by, t).where("__d2 IS NOT NULL")
 
     def on(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column]:
         """Distance and time of the nearest place on a segment of (east, north, time) ends; null for none."""
@@ -158,10 +178,10 @@ def places_on_track(frames: DataFrame, enu: DataFrame, max_m: float = 25.0, cell
         u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("fe_m") - a[0]) * de + (F.col("fn_m") - a[1]) * dn) / F.when(sq >= 1e-12, sq)))
         return F.sqrt((F.col("fe_m") - a[0] - u * de) ** 2 + (F.col("fn_m") - a[1] - u * dn) ** 2), a[2] + u * (b[2] - a[2])
 
-    here = (F.col("e_m"), F.col("n_m"), F.col(t))
+    here = (F.col("__e"), F.col("__n"), F.col("__t"))
     d0, t0 = on((F.col("__e0"), F.col("__n0"), F.col("__t0")), here)
     d1, t1 = on(here, (F.col("__e1"), F.col("__n1"), F.col("__t1")))
     rows = best.withColumns({"__d": F.sqrt("__d2"), "__da": F.coalesce(d0, F.lit(float("inf"))), "__ta": t0, "__db": F.coalesce(d1, F.lit(float("inf"))), "__tb": t1})
     off = F.least("__d", "__da", "__db")
-    when = F.when((F.col("__da") < F.col("__d")) & (F.col("__da") <= F.col("__db")), F.col("__ta")).when(F.col("__db") < F.col("__d"), F.col("__tb")).otherwise(F.col(t))
+    when = F.when((F.col("__da") < F.col("__d")) & (F.col("__da") <= F.col("__db")), F.col("__ta")).when(F.col("__db") < F.col("__d"), F.col("__tb")).otherwise(F.col("__t"))
     return rows.select(by, key, when.alias(t), off.alias("off_m")).where(F.col("off_m") <= max_m)
