@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.operators import georef, rotations, warps
@@ -25,6 +26,25 @@ def test_one_shuffle_for_all_streams(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
 
 
+def test_frames_are_georeferenced_with_one_sort(spark):
+    rows = spark.createDataFrame([(1, float(k), *[1.0] * 13) for k in range(3)], "session_id long, utc_s double, lat_deg double, lon_deg double, h_m double, ve double, vn double, vu double, sd_e double, sd_n double, sd_u double, att_yaw double, att_pitch double, att_roll double, trust double").cache()
+    got = georef.georeference(rows.select("session_id", "utc_s"), rows, rows.select("session_id", "utc_s", "att_yaw", "att_pitch", "att_roll"), rows.select("session_id", "utc_s", "trust"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and got.count() == 3
+
+
+def test_one_sort_or_two_read_streams_alike(spark):
+    """Random times with ties between queries and samples, missing samples and times; two sorts carry what was found on queries only, and leave them in order of time."""
+    rng = np.random.default_rng(3)
+    some = lambda x: None if rng.random() < 0.1 else float(x)
+    samples = lambda n: [(int(s), some(x) if k % 9 == 0 else float(x), some(rng.normal()), some(rng.uniform(-180, 180))) for s in (1, 2) for k, x in enumerate(rng.permutation(60)[:n] / 2)]
+    streams = [georef.Stream(spark.createDataFrame(samples(n), f"session_id long, utc_s double, x{n} double, y{n} double"), (f"x{n}",) if n == 40 else (), (f"y{n}",), (f"x{n}",) if n == 25 else (), gap, (), (f"x{n}",) if n == 9 else ()) for n, gap in ((40, 2.0), (25, 1.0), (9, 5.0))]
+    asked = spark.createDataFrame([(s, some(x / 4), k) for s in (1, 2, 3) for k, x in enumerate(range(-4, 130))], "session_id long, utc_s double, query_id int")
+    two, one = (georef.join_streams(asked, streams, one_sort=o) for o in (False, True))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.dropna().count() > 10
+    assert two.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("utc_s")))._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+
+
 def test_mounting_is_kabsch_without_strays(spark):
     rng = np.random.default_rng(0)
     rows, want = [], {}

@@ -1,7 +1,7 @@
 """Georeferencing: many sample streams joined to one stream of queries at once.
 
 All streams and the queries are put on one timeline of each session, whatever
-their number: one shuffle and two sorts. Each stream is interpolated under its
+their number: one shuffle and one or two sorts. Each stream is interpolated under its
 own gap limit, lines for lengths, the shorter arc for angles, the nearer sample for labels.
 """
 
@@ -54,12 +54,13 @@ def _value(stream: Stream, col: str, lo: Column, hi: Column, t: Column) -> Colum
     return F.when(after == 0, own).when(before + after <= stream.max_gap, between)
 
 
-def join_streams(queries: DataFrame, streams: list[Stream], by: str = "session_id", t: str = "utc_s") -> DataFrame:
+def join_streams(queries: DataFrame, streams: list[Stream], by: str = "session_id", t: str = "utc_s", one_sort: bool = False) -> DataFrame:
     """queries with every stream's columns at the query's time; null where a stream has nothing near enough.
 
     A query at a sample's time gets that sample. Where a sample's own value is
     missing, so is what lies between it and its neighbours. Samples without a
     time are left out, queries without one get nothing; of equal-time samples of a stream one counts.
+    one_sort looks ahead for the next samples instead of sorting the timeline a second time, downwards: the same rows in less than half of the memory.
     """
     names = [c for s in streams for c in s.cols]
     if len(set(names)) < len(names) or {*names} & {*queries.columns}:
@@ -77,9 +78,17 @@ def join_streams(queries: DataFrame, streams: list[Stream], by: str = "session_i
     so_far = (Window.unboundedPreceding, Window.currentRow)
     up = Window.partitionBy(by).orderBy(t, "__side").rowsBetween(*so_far)
     down = Window.partitionBy(by).orderBy(F.desc(t), F.desc("__side")).rowsBetween(*so_far)
-    found = line.withColumns({f"__lo{i}": F.last(f"__s{i}", ignorenulls=True).over(up) for i in range(len(streams))})
-    found = found.withColumns({f"__hi{i}": F.last(f"__s{i}", ignorenulls=True).over(down) for i in range(len(streams))}).where("__side = 0")
-    values = [_value(s, c, F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(t)).alias(c) for i, s in enumerate(streams) for c in s.cols]
+    each = range(len(streams))
+    lo = {f"__lo{i}": F.last(f"__s{i}", ignorenulls=True).over(up) for i in each}
+    if one_sort:
+        found = line.withColumns(lo | {f"__hi{i}": F.expr(f"lead(__s{i}) IGNORE NULLS OVER (PARTITION BY `{by}` ORDER BY `{t}`, __side)") for i in each})
+        found = found.where("__side = 0").withColumn("__hi", F.struct(*[f"__hi{i}" for i in each]))
+    else:
+        # Downwards first: what is found is kept on the queries' rows only, and they come out in order of time.
+        found = line.withColumns({f"__hi{i}": F.last(f"__s{i}", ignorenulls=True).over(down) for i in each})
+        found = found.withColumn("__hi", F.when(F.col("__side") == 0, F.struct(*[f"__hi{i}" for i in each]))).drop(*[f"__hi{i}" for i in each])
+        found = found.withColumns(lo).where("__side = 0")
+    values = [_value(s, c, F.col(f"__lo{i}"), F.col(f"__hi.__hi{i}"), F.col(t)).alias(c) for i, s in enumerate(streams) for c in s.cols]
     return found.select(by, t, *[F.col(f"__q.{c}").alias(c) for c in keep], *values)
 
 
@@ -102,7 +111,7 @@ def georeference(
     ]
     if trust is not None:
         streams.append(Stream(trust, nearest=("trust",), max_gap=trust_gap))
-    rows = join_streams(frames, streams, by, t)
+    rows = join_streams(frames, streams, by, t, one_sort=True)
     session = Window.partitionBy(by).orderBy(t)
     place = F.when(F.col("lat_deg").isNotNull(), F.struct("lat_deg", "lon_deg", "h_m"))
     origin = F.first(place, ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
