@@ -120,6 +120,20 @@ def test_samples_sum_to_steps(spark):
     assert all(r.covered_s == 0 and r.dv_e == 0 and r.n_imu == 0 for s in (2, 3) for r in by[s]) and by[1][0].covered_s == 0
 
 
+def test_steps_sort_the_samples_once(spark):
+    """Samples are sorted by time only, and summed by hashing; values of any type stay with their epochs."""
+    columns = "session_id long, utc_s double, n int, name string, ok boolean, parts array<double>, ve float"
+    epochs = [(1, 0.0, 7, "a", True, [1.0, None], -0.0), (1, 1.0, None, None, None, None, None), (1, 2.0, -1, "", False, [], float("nan")), (2, 0.0, 1, "b", None, [2.0], 1.0)]
+    samples = [(1, k / 10, 1.0, 0.0, 2.0) for k in range(-3, 25)] + [(3, 0.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(epochs, columns)
+    got = preintegration.preintegrate(df, spark.createDataFrame(samples, "session_id long, utc_s double, a_e double, a_n double, a_u double"), 0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # One more sort, of steps, follows the sums.
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 2
+    assert sorted(map(str, got.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    assert [(round(r.dv_e, 9), r.n_imu) for r in got.orderBy("session_id", "utc_s").collect()] == [(0.0, 0), (1.0, 10), (1.0, 10), (0.0, 0)]
+
+
 def test_bias_is_the_moving_average(spark):
     rng = np.random.default_rng(2)
     rows = [(1, float(k), *rng.normal(0, 0.3, 6).tolist(), bool(k % 11 == 3), 7.0 if k % 7 == 0 else 1.0, 20) for k in range(60)]

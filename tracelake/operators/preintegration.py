@@ -18,6 +18,8 @@ from tracelake.operators import gates, kernels
 
 AXES, FORCES, RATES = ("e_m", "n_m", "u_m"), ("a_e", "a_n", "a_u"), ("ve", "vn", "vu")
 G = 9.80665
+#: Types whose greatest value a hash aggregation keeps in place.
+_FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
 def local_forces(imu: DataFrame, by: str = "session_id", t: str = "utc_s") -> DataFrame:
@@ -44,28 +46,35 @@ def preintegrate(track: DataFrame, imu: DataFrame, max_hold: float = 0.1, by: st
     have a step of no length between them.
     """
     keep = [c for c in track.columns if c not in (by, t)]
-    epochs = track.select(by, t, F.lit(0).alias("__side"), F.struct(F.lit(True).alias("__here"), *keep).alias("__e"), F.lit(None).cast(f"struct<t:double,{','.join(f'{c}:double' for c in FORCES)}>").alias("__s"))
+    # Values of fixed size go through the sums' hash aggregation, one of a group each; the others are part of its key.
+    kinds = dict(track.dtypes)
+    fixed = [c for c in keep if kinds[c] in _FIXED]
+    other = [c for c in keep if c not in fixed]
+    epochs = track.select(by, t, F.lit(0).alias("__side"), F.struct(F.lit(True).alias("__here"), *keep).alias("__e"), *[F.lit(None).cast("double").alias(c) for c in FORCES])
     known = imu.dropna(subset=[t, *FORCES])
-    samples = known.select(by, t, F.lit(1).alias("__side"), F.lit(None).cast(epochs.schema["__e"].dataType).alias("__e"), F.struct(F.col(t).cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in FORCES]).alias("__s"))
+    samples = known.select(by, t, F.lit(1).alias("__side"), F.lit(None).cast(epochs.schema["__e"].dataType).alias("__e"), *[F.col(c).cast("double").alias(c) for c in FORCES])
     # A sample at an epoch's time is one of the step that begins there.
     order = Window.partitionBy(by).orderBy(t, "__side")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = F.when(F.col("__side") == 1, F.struct(F.col(t).cast("double").alias("t"), *FORCES))
+    carried = {"__o": F.last(F.when(F.col("__side") == 0, F.struct(*[F.col(f"__e.{c}").alias(c) for c in other])), ignorenulls=True).over(so_far)} if other else {}
     line = samples.unionByName(epochs).withColumns(
-        {"__step": F.count("__e").over(so_far), "__f": F.last("__s", ignorenulls=True).over(so_far), "__from": F.last(F.when(F.col("__side") == 0, F.col(t)), ignorenulls=True).over(so_far), "__next": F.lead(t).over(order)}
+        {"__step": F.count("__e").over(so_far), "__f": F.last(sample, ignorenulls=True).over(so_far), "__from": F.last(F.when(F.col("__side") == 0, F.col(t)), ignorenulls=True).over(so_far), "__next": F.lead(t).over(order), **carried}
     ).where("__step > 0")
     # least() passes over nulls: before the first sample and after the last event nothing holds.
     some = F.col("__f").isNotNull() & F.col("__next").isNotNull()
     held = F.when(some, F.greatest(F.lit(0.0), F.least(F.col("__next"), F.col("__f.t") + max_hold) - F.col(t))).otherwise(0.0)
     line = line.withColumns({"__w": held, "__mid": F.col(t) - F.col("__from") + held / 2})
-    size = F.when(F.col("__side") == 1, F.sqrt(sum(F.col(f"__s.{c}") ** 2 for c in FORCES)))
+    size = F.when(F.col("__side") == 1, F.sqrt(sum(F.col(c) ** 2 for c in FORCES)))
     sums = {f"__v{c[-1]}": F.coalesce(F.sum(F.col(f"__f.{c}") * F.col("__w")), F.lit(0.0)) for c in FORCES} | {f"__m{c[-1]}": F.coalesce(F.sum(F.col(f"__f.{c}") * F.col("__w") * F.col("__mid")), F.lit(0.0)) for c in FORCES}
-    first = F.max(F.when(F.col("__side") == 0, F.struct(F.col(t).alias("__t"), "__e")))
-    steps = line.groupBy(by, "__step").agg(first.alias("__x"), F.sum(F.col("__next") - F.col(t)).alias("__len"), F.sum("__w").alias("__cov"), F.count("__s").alias("__n"), F.coalesce(F.stddev_pop(size), F.lit(0.0)).alias("__shake"), *[v.alias(k) for k, v in sums.items()])
+    own = {t: F.col(t)} | {c: F.col(f"__e.{c}") for c in fixed}
+    own = [F.max(F.when(F.col("__side") == 0, v)).alias(f"__x_{c}") for c, v in own.items()]
+    steps = line.groupBy(by, "__step", *carried).agg(*own, F.sum(F.col("__next") - F.col(t)).alias("__len"), F.sum("__w").alias("__cov"), F.count(FORCES[0]).alias("__n"), F.coalesce(F.stddev_pop(size), F.lit(0.0)).alias("__shake"), *[v.alias(k) for k, v in sums.items()])
     before = Window.partitionBy(by).orderBy("__step")
     lag = lambda c: F.coalesce(F.lag(c).over(before), F.lit(0.0))
     out = {f"dv_{c}": lag(f"__v{c}") for c in "enu"} | {f"dp_{c}": lag(F.coalesce("__len", F.lit(0.0)) * F.col(f"__v{c}") - F.col(f"__m{c}")) for c in "enu"}
     out |= {"covered_s": lag("__cov"), "n_imu": F.coalesce(F.lag("__n").over(before), F.lit(0)), "shake": lag("__shake")}
-    return steps.withColumns(out).select(by, F.col("__x.__t").alias(t), *[F.col(f"__x.__e.{c}").alias(c) for c in keep], *out)
+    return steps.withColumns(out).select(by, F.col(f"__x_{t}").alias(t), *[F.col(f"__x_{c}" if c in fixed else f"__o.{c}").alias(c) for c in keep], *out)
 
 
 def doppler_bias(steps: DataFrame, alpha: float = 0.05, medium: float = 5.0, most: float = 2.0, least: int = 10, by: str = "session_id", t: str = "utc_s") -> DataFrame:
