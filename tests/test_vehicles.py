@@ -1,5 +1,7 @@
 """Constraints, inertial filters and media operators on cases with known answers."""
 
+import math
+
 import numpy as np
 import pandas as pd
 
@@ -133,3 +135,19 @@ def test_calibration_goes_by_sessions_of_equal_length(spark):
             r = got[s, axis]
             want = inertial.allan_parameters(np.array([x[2 + k] for x in rows if x[0] == s]), 1.0) if axis != "gz" else {"random_walk": 0.0, "bias_instability": 0.0, "rate_random_walk": 0.0, "reliable": False}
             assert r.n == n and all(np.isclose(r[c], v) for c, v in want.items())
+
+
+def test_distance_from_the_normal_law_takes_one_sort(spark):
+    """Against the sum over ranks with math.erf, with many equal values and missing ones; a group's rows are sorted once."""
+    rng = np.random.default_rng(9)
+    groups = {1: rng.normal(3, 2, 300), 2: np.round(rng.exponential(2, 500)), 3: np.repeat([1.0, 2.0], 40), None: rng.normal(0, 1, 50)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in rng.permutation(v)] + [(1, None), (4, None)]
+    got = media.anderson_darling(spark.createDataFrame(rows, "g long, x double"), "x", "g")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    found = {r.g: r.a2 for r in got.collect()}
+    assert found.keys() == groups.keys()
+    for g, v in groups.items():
+        x, n = np.sort(v), len(v)
+        p = np.array([0.5 + math.erf(z / 2**0.5) / 2 for z in (x - x.mean()) / x.std(ddof=1)])
+        i = np.arange(1, n + 1)
+        assert abs(found[g] - (-n - np.sum((2 * i - 1) * (np.log(p) + np.log(1 - p[::-1]))) / n)) < 1e-3

@@ -99,17 +99,19 @@ def pick_anchors(t: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray,
 
 def anderson_darling(df: DataFrame, col: str, by: str) -> DataFrame:
     """Distance of standardised values from the normal law: a sum over ranks, for each group (0 spread gives null)."""
-    w = Window.partitionBy(by)
-    rows = df.where(F.col(col).isNotNull()).withColumns({"__m": F.avg(col).over(w), "__s": F.stddev_samp(col).over(w), "__n": F.count(F.lit(1)).over(w)})
+    up = Window.partitionBy(by).orderBy(col)
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One sort of the two columns serves the group's figures and the ranks.
+    rows = kernels.spread(df.where(F.col(col).isNotNull()).select(by, col), by)
+    rows = rows.withColumns({"__m": F.avg(col).over(whole), "__s": F.stddev_samp(col).over(whole), "__n": F.count(F.lit(1)).over(whole), "__i": F.row_number().over(up)})
     z = (F.col(col) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
     # Normal distribution function by Abramowitz and Stegun's 26.2.17, to about 1e-7.
     k = 1.0 / (1.0 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / 2.5066282746310002 * (k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))))
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.when(z >= 0, 1 - tail).otherwise(tail)))
     rows = rows.withColumn("__p", p)
-    up, down = w.orderBy(col, "__p"), w.orderBy(F.desc(col), F.desc("__p"))
-    i = F.row_number().over(up)
-    mirrored = F.row_number().over(down)
+    # Equal values have equal p, so that their order among each other doesn't count.
+    i, mirrored = F.col("__i"), F.col("__n") + 1 - F.col("__i")
     term = (2 * i - 1) * F.log("__p") + (2 * mirrored - 1) * F.log(1 - F.col("__p"))
     rows = rows.withColumn("__t", term)
     return rows.groupBy(by).agg((-F.first("__n") - F.sum("__t") / F.first("__n")).alias("a2"))
