@@ -315,3 +315,84 @@ def test_error_state_of_many_sessions_is_that_of_each():
         alone = error_state.smooth(one, own)
         for c in error_state.OUT:
             assert np.allclose(got[c][cuts[s] : cuts[s + 1]], alone[c], atol=1e-6), (s, c)
+
+
+def _odd_sessions(rng, sessions=7):
+    """Epochs with holes, missing values, stops and poor solutions, and samples with gaps; session 5 has one epoch, session 6 no samples."""
+    epochs, samples = [], []
+    for s in range(sessions):
+        n = 1 if s == 5 else int(rng.integers(30, 60))
+        t = np.cumsum(rng.choice([0.9, 1.0, 1.3, 7.0], n, p=[0.3, 0.4, 0.2, 0.1]))
+        speed = np.where(np.arange(n) % 25 < 8, 0.05, 9.0) + (0.0 if s % 2 else 2.0)
+        e = np.cumsum(speed) + rng.normal(0, 1.0, n)
+        for k in range(n):
+            vu = None if rng.random() < 0.1 else 0.0
+            quality = None if rng.random() < 0.03 else int(rng.choice([1, 2, 4, 5], p=[[0.2, 0.3, 0.1, 0.4], [0.1, 0.6, 0.1, 0.2], [0.6, 0.2, 0.1, 0.1]][s % 3]))
+            epochs.append((s, float(t[k]), float(e[k]), float(rng.normal(0, 1)), float(rng.normal(5, 2)), float(speed[k]), float(rng.normal(0, 0.1)), vu, float(rng.uniform(0.1, 5)), float(rng.uniform(0.1, 5)), 1.5, quality, int(rng.integers(4, 20))))
+        if s != 6:
+            for x in np.arange(t[0] - 0.5, t[-1] + 0.5, 0.08):
+                if rng.random() < 0.9:
+                    samples.append((s, float(x), *rng.normal(0, 0.2, 2).tolist(), 9.81, 0.0, 0.0, None if rng.random() < 0.01 else 0.01))
+    return epochs, samples
+
+
+ODD = "session_id long, utc_s double, e_m double, n_m double, u_m double, ve double, vn double, vu double, sd_n double, sd_e double, sd_u double, quality int, ns int"
+IMU = "session_id long, utc_s double, ax double, ay double, az double, gx double, gy double, gz double"
+
+
+def test_a_bake_off_folds_all_smoothers_at_once(spark):
+    from tracelake.operators import smoothers
+
+    epochs, samples = _odd_sessions(np.random.default_rng(11))
+    df, imu = spark.createDataFrame(epochs, ODD), spark.createDataFrame(samples, IMU)
+    # Some epochs have no truth, one has two.
+    true = [(r[0], r[1], r[2] + 0.3, r[3]) for k, r in enumerate(epochs) if k % 11] + [(epochs[1][0], epochs[1][1], 0.0, 1.0), (99, 1.0, 0.0, 0.0), (None, epochs[2][1], 0.0, 0.0)]
+    truth = spark.createDataFrame(true, "session_id long, utc_s double, gt_e double, gt_n double")
+    out = smoothers.run_all(df, truth, imu=imu)
+    got = out.collect()
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("MapInPandas") == 1
+    assert {r.smoother for r in got} == set(smoothers.names()) and [r.h_rmse_m for r in got] == sorted(r.h_rmse_m for r in got)
+    for r in got:
+        if r.smoother in ("raw", "gaussian_car", "ctrv", "ekf_smoothed", "v2_imu_adaptive", "fgo", "kalman_smart"):
+            d = smoothers.run(r.smoother, df, imu).select("session_id", "utc_s", "e_s", "n_s").toPandas().merge(truth.toPandas(), on=["session_id", "utc_s"])
+            d = d.assign(de=d.e_s - d.gt_e, dn=d.n_s - d.gt_n)
+            m = d.groupby("session_id")[["de", "dn"]].transform("median")
+            h = np.hypot(d.de - m.de, d.dn - m.dn)
+            assert r.n == len(h) and abs(r.h_rmse_m - np.sqrt((h**2).mean())) < 1e-4 and abs(r.h_p95_m - np.quantile(h, 0.95)) < 1e-4, r
+    none = smoothers.run_all(df.limit(0), truth, ["raw", "cv_rts"]).collect()
+    assert [(r.smoother, r.n, r.h_rmse_m) for r in none] == [("raw", 0, None), ("cv_rts", 0, None)]
+    with pytest.raises(KeyError):
+        smoothers.run_all(df, truth, ["none"])
+
+
+def test_sums_and_tiers_of_folds_equal_those_of_tables(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.operators import constraints, inertial, smoothers, smoothing
+
+    epochs, samples = _odd_sessions(np.random.default_rng(12))
+    df = spark.createDataFrame(epochs, ODD)
+    imu = spark.createDataFrame([x for x in samples if None not in x], IMU)
+    local = preintegration.local_forces(imu)
+    key = ["session_id", "utc_s"]
+    rows = df.toPandas().sort_values(key).reset_index(drop=True)
+    for name, options in (("v2_imu_adaptive", {}), ("epoch_weight_v2_imu_bridge", {"medium": 6.0, "alpha": None})):
+        want = preintegration.tiered_filter(df, local, **options).toPandas().sort_values(key)
+        got = smoothers.run(name, df, imu).toPandas().sort_values(key)
+        assert (want.n_imu > 0).sum() > 100 and np.allclose(want[["e_s", "n_s", "u_s"]], got[["e_s", "n_s", "u_s"]], atol=1e-7), name
+    want = reckoning.factor_chain(df, local).toPandas().sort_values(key)
+    assert np.allclose(want[["e_s", "n_s", "u_s"]], smoothers.run("fgo", df, imu).toPandas().sort_values(key)[["e_s", "n_s", "u_s"]], atol=2e-3)
+    # Gaussians with missing values, and the adaptive choice.
+    cuts = np.append(kernels.session_starts(rows["session_id"]), len(rows))
+    holes = df.withColumn("e_m", F.when(F.col("ns") > 5, F.col("e_m")))
+    want = smoothing.gaussian_rows(holes, ["e_m"], 2.0).toPandas().sort_values(key)["e_m_s"].to_numpy(float)
+    assert np.allclose(want, smoothing.gaussian_all(cuts, np.where(rows["ns"] > 5, rows["e_m"], np.nan)[:, None], 2.0)[:, 0], equal_nan=True)
+    want = rows[key].merge(constraints.adaptive(df).toPandas(), on=key, how="left")
+    assert want["regime"].dropna().nunique() == 3
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        x = rows[["e_m", "n_m", "u_m"]].to_numpy(float)[a:b]
+        got = constraints.adaptive_rows(rows["utc_s"].to_numpy(float)[a:b], x, rows[["ve", "vn"]].to_numpy(float)[a:b], rows["quality"].to_numpy(float)[a:b])
+        there = want[["e_m", "n_m", "u_m"]].to_numpy(float)[a:b]
+        assert np.allclose(np.where(np.isnan(there), x, there), got)
+    one = np.concatenate([inertial.turn_rate_ekf(rows["utc_s"].to_numpy()[a:b], rows[["e_m", "n_m"]].to_numpy()[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    assert np.array_equal(one, inertial.turn_rate_all(cuts, rows["utc_s"].to_numpy(), rows[["e_m", "n_m"]].to_numpy()))

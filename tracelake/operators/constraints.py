@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +88,46 @@ def adaptive(enu: DataFrame, by: str = "session_id", t: str = "utc_s") -> DataFr
     poor = smoothing.gaussian_rows(rows.where("regime = 'poor' AND quality < 5"), ["e_m", "n_m", "u_m"], 5.0, by, t)
     smooth = [df.select(by, t, "regime", *[F.col(f"{c}_s").alias(c) for c in ("e_m", "n_m", "u_m")]) for df in (mixed, poor)]
     return held.unionByName(smooth[0]).unionByName(smooth[1])
+
+
+def adaptive_rows(t: np.ndarray, x: np.ndarray, v: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """The places that adaptive() gives one session in order of time (x: east, north, up; v: east, north); rows that it leaves out keep theirs."""
+    known, out = ~np.isnan(quality), x.copy()
+    share = lambda q: 100.0 * (quality[known] == q).mean() if known.any() else 0.0
+    smooth = lambda rows, sigma: smoothing.gaussian_all(np.array([0, len(rows)]), rows, sigma)
+    if share(5) >= 30.0:
+        better = quality < 5
+        if better.any():
+            out[better] = smooth(x[better], 5.0)
+    elif share(1) < 15.0:
+        out = smooth(x, 2.0)
+    else:
+        out = held_rows(t, x, still_rows(t, x, v), quality)
+    return np.where(np.isnan(out), x, out)
+
+
+def still_rows(t: np.ndarray, x: np.ndarray, v: np.ndarray, below: float = 0.3, max_dt: float = 4.0) -> np.ndarray:
+    """classify_still() of one session."""
+    moved = np.full(len(t), np.nan)
+    dt, way = t[2:] - t[:-2], np.hypot(*(x[2:, :2] - x[:-2, :2]).T)
+    moved[1:-1] = np.where((dt > 0) & (dt <= 2 * max_dt), way / np.where(dt > 0, dt, 1.0), np.nan)
+    doppler = np.hypot(v[:, 0], v[:, 1])
+    return np.where(np.isnan(doppler), moved, doppler) < below
+
+
+def held_rows(t: np.ndarray, x: np.ndarray, still: np.ndarray, quality: np.ndarray, min_s: float = 2.0, max_spread_m: float = 2.0, min_best: int = 2) -> np.ndarray:
+    """hold_still()'s places of one session."""
+    out = x.copy()
+    begins = np.flatnonzero(still & ~np.append(False, still[:-1]))
+    ends = np.flatnonzero(still & ~np.append(still[1:], False)) + 1
+    for a, b in zip(begins, ends, strict=True):
+        some, q = x[a:b], quality[a:b]
+        reach = [np.ptp(c[~np.isnan(c)]) if (~np.isnan(c)).any() else np.nan for c in (some[:, 0], some[:, 1])]
+        if b - a < 2 or t[b - 1] - t[a] < min_s or not np.hypot(*reach) <= max_spread_m:
+            continue
+        best = q == (np.nanmin(q) if (~np.isnan(q)).any() else np.nan)
+        used = some[best] if best.sum() >= min_best else some
+        middle = [np.sort(c[~np.isnan(c)]) for c in used.T]
+        if len(middle[0]):
+            out[a:b] = [m[len(m) // 2] if len(m) else np.nan for m in middle]
+    return out

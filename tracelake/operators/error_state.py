@@ -9,7 +9,7 @@ nominal state; a backward pass smooths it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -72,24 +72,19 @@ class Steps:
     covered: np.ndarray
 
 
-def preintegrate(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndarray, sigma_f: float = 0.1, sigma_w: float = 0.01, max_hold: float = 0.1, cuts: np.ndarray | None = None, sample_cuts: np.ndarray | None = None) -> Steps:
-    """Sums for the steps from t[k - 1] to t[k] (none for a session's first epoch). A sample holds until the next one, max_hold at most; epochs part it.
+def pieces(t: np.ndarray, ts: np.ndarray, max_hold: float, cuts: np.ndarray, sample_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples cut at the epochs that they hold over: each piece's sample, the epoch that its step leads to, begin and length; and how many samples lie in each step.
 
-    Sessions s are the epochs cuts[s] to cuts[s + 1] and the samples sample_cuts[s] to sample_cuts[s + 1]; one session without them.
+    A sample holds until the next one, max_hold at most. Sessions s are the epochs cuts[s] to cuts[s + 1] and the samples sample_cuts[s] to sample_cuts[s + 1].
     """
-    n = len(t)
-    cuts, sample_cuts = (np.array([0, len(x)]) if c is None else c for x, c in ((t, cuts), (ts, sample_cuts)))
-    step = Steps(np.tile(np.eye(3), (n, 1, 1)), np.zeros((n, 3)), np.zeros((n, 3)), *(np.zeros((n, 3, 3)) for _ in range(5)), np.zeros((n, 9, 9)), np.zeros(n))
-    if not len(ts):
-        return step
     following = np.append(ts[1:], np.inf)
     following[sample_cuts[1:][sample_cuts[1:] > 0] - 1] = np.inf
     ends = np.minimum(following, ts + max_hold)
-    # Pieces: a sample cut at the epochs that it holds over.
     first, last, begins, ends_at = (np.zeros(len(ts), np.int64) for _ in range(4))
     for a, b, c, d in zip(cuts[:-1], cuts[1:], sample_cuts[:-1], sample_cuts[1:], strict=True):
         first[c:d], last[c:d] = a + np.searchsorted(t[a:b], ts[c:d], "right"), a + np.searchsorted(t[a:b], ends[c:d], "left")
         begins[c:d], ends_at[c:d] = a, b
+    within = np.bincount(first[(first > begins) & (first < ends_at)], minlength=len(t))
     count = np.maximum(last - first + 1, 0)
     sample = np.repeat(np.arange(len(ts)), count)
     k = first[sample] + np.arange(len(sample)) - np.repeat(np.cumsum(count) - count, count)
@@ -97,43 +92,70 @@ def preintegrate(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndar
     sample, k = sample[inside], k[inside]
     begin, end = np.maximum(ts[sample], t[k - 1]), np.minimum(ends[sample], t[k])
     some = end > begin
-    sample, k, dt = sample[some], k[some], (end - begin)[some]
+    return sample[some], k[some], begin[some], (end - begin)[some], within
+
+
+def preintegrate(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndarray, sigma_f: float = 0.1, sigma_w: float = 0.01, max_hold: float = 0.1, cuts: np.ndarray | None = None, sample_cuts: np.ndarray | None = None) -> Steps:
+    """Sums for the steps from t[k - 1] to t[k] (none for a session's first epoch). A sample holds until the next one, max_hold at most; epochs part it.
+
+    Sessions as in pieces(); one session without cuts.
+    """
+    return preintegrate_each(t, ts, force, rate, [sigma_f], sigma_w, max_hold, cuts, sample_cuts)[0]
+
+
+#: Steps that preintegrate_each() takes side by side.
+STEPS_AT_ONCE = 512
+
+
+def preintegrate_each(t: np.ndarray, ts: np.ndarray, force: np.ndarray, rate: np.ndarray, sigmas_f: list[float], sigma_w: float = 0.01, max_hold: float = 0.1, cuts: np.ndarray | None = None, sample_cuts: np.ndarray | None = None) -> list[Steps]:
+    """preintegrate() for each sigma_f: only the noise differs, all else is shared."""
+    n = len(t)
+    cuts, sample_cuts = (np.array([0, len(x)]) if c is None else c for x, c in ((t, cuts), (ts, sample_cuts)))
+    step = Steps(np.tile(np.eye(3), (n, 1, 1)), np.zeros((n, 3)), np.zeros((n, 3)), *(np.zeros((n, 3, 3)) for _ in range(5)), np.zeros((n, 9, 9)), np.zeros(n))
+    each = [step, *(replace(step, noise=np.zeros((n, 9, 9))) for _ in sigmas_f[1:])]
+    if not len(ts):
+        return each
+    sample, k, _, dt, _ = pieces(t, ts, max_hold, cuts, sample_cuts)
     if not len(k):
-        return step
+        return each
     np.add.at(step.covered, k, dt)
     sizes = np.bincount(k, minlength=n)
     begins = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    running = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), "right")
-    for i, active in enumerate(running):
-        s = order[:active]
-        at = begins[s] + i
-        h, f, w = dt[at][:, None], force[sample[at]], rate[sample[at]]
-        r, fx = step.r[s], skew(f)
-        hh = h[..., None]
-        rf = (r @ f[..., None])[..., 0]
-        push = r @ fx @ step.r_bg[s]
-        step.p[s] += step.v[s] * h + rf * h * h / 2
-        step.p_ba[s] += step.v_ba[s] * hh - r * hh * hh / 2
-        step.p_bg[s] += step.v_bg[s] * hh - push * hh * hh / 2
-        step.v[s] += rf * h
-        step.v_ba[s] -= r * hh
-        step.v_bg[s] -= push * hh
-        small = turn(w * h)
-        a = np.zeros((active, 9, 9))
-        a[:, :3, :3] = np.swapaxes(small, -1, -2)
-        a[:, 3:6, :3], a[:, 6:, :3] = -r @ fx * hh, -r @ fx * hh * hh / 2
-        a[:, 3:6, 3:6] = a[:, 6:, 6:] = np.eye(3)
-        a[:, 6:, 3:6] = np.eye(3) * hh
-        b = np.zeros((active, 9, 6))
-        jac = right_jacobian(w * h)
-        b[:, :3, 3:], b[:, 3:6, :3], b[:, 6:, :3] = jac * hh, r * hh, r * hh * hh / 2
-        # Densities over a piece: variances of its mean are the squares over its length.
-        power = np.concatenate([np.full(3, sigma_f**2), np.full(3, sigma_w**2)]) / h
-        step.noise[s] = a @ step.noise[s] @ np.swapaxes(a, -1, -2) + (b * power[:, None, :]) @ np.swapaxes(b, -1, -2)
-        step.r_bg[s] = np.swapaxes(small, -1, -2) @ step.r_bg[s] - jac * hh
-        step.r[s] = r @ small
-    return step
+    turns = rate[sample] * dt[:, None]
+    # As many steps at a time as the processor's cache holds.
+    for lot in range(0, n, STEPS_AT_ONCE):
+        own = order[lot : lot + STEPS_AT_ONCE]
+        own = own[sizes[own] > 0]
+        for i in range(sizes[own[0]] if len(own) else 0):
+            s = own[: np.searchsorted(-sizes[own], -(i + 1), "right")]
+            at = begins[s] + i
+            h, f = dt[at][:, None], force[sample[at]]
+            r, hh = step.r[s], h[..., None]
+            rf, r_fx = (r @ f[..., None])[..., 0], r @ skew(f)
+            push = r_fx @ step.r_bg[s]
+            step.p[s] += step.v[s] * h + rf * h * h / 2
+            step.p_ba[s] += step.v_ba[s] * hh - r * hh * hh / 2
+            step.p_bg[s] += step.v_bg[s] * hh - push * hh * hh / 2
+            step.v[s] += rf * h
+            step.v_ba[s] -= r * hh
+            step.v_bg[s] -= push * hh
+            small, jac = turn(turns[at]), right_jacobian(turns[at])
+            back = np.swapaxes(small, -1, -2)
+            a = np.zeros((len(s), 9, 9))
+            a[:, :3, :3] = back
+            a[:, 3:6, :3], a[:, 6:, :3] = -r_fx * hh, -r_fx * hh * hh / 2
+            a[:, 3:6, 3:6] = a[:, 6:, 6:] = np.eye(3)
+            a[:, 6:, 3:6] = np.eye(3) * hh
+            b = np.zeros((len(s), 9, 6))
+            b[:, :3, 3:], b[:, 3:6, :3], b[:, 6:, :3] = jac * hh, r * hh, r * hh * hh / 2
+            # Densities over a piece: variances of its mean are the squares over its length.
+            for sigma_f, steps in zip(sigmas_f, each, strict=True):
+                power = np.concatenate([np.full(3, sigma_f**2), np.full(3, sigma_w**2)]) / h
+                steps.noise[s] = a @ steps.noise[s] @ np.swapaxes(a, -1, -2) + (b * power[:, None, :]) @ np.swapaxes(b, -1, -2)
+            step.r_bg[s] = back @ step.r_bg[s] - jac * hh
+            step.r[s] = r @ small
+    return each
 
 
 def start_attitude(force: np.ndarray, heading: float | None) -> np.ndarray:
@@ -155,20 +177,21 @@ def smooth(epochs: pd.DataFrame, samples: pd.DataFrame, **options: float) -> pd.
 
 def smooth_all(
     epochs: pd.DataFrame, cuts: np.ndarray, samples: pd.DataFrame, sample_cuts: np.ndarray, sigma_p: tuple[float, float] = (0.5, 1.0), sigma_v: tuple[float, float] = (0.3, 0.5), sigma_f: float = 0.1, sigma_w: float = 0.01, walk_f: float = 0.003, walk_w: float = 0.0003,
-    zupt: float = 0.05, sideways: float = 0.3, gate: float = 30.0, accel: float = 3.0, max_hold: float = 0.1, t: str = "utc_s",
+    zupt: float = 0.05, sideways: float = 0.3, gate: float = 30.0, accel: float = 3.0, max_hold: float = 0.1, t: str = "utc_s", step: Steps | None = None, variances: bool = True,
 ) -> dict[str, np.ndarray]:
     """Many sessions side by side: epochs (t, e_m, n_m, u_m, ve, vn, vu, standing) and samples (t, ax to gz; forward, left, up), both in order of time in each session.
 
     A step that samples hold for less than half of is one of constant velocity
     with an acceleration of accel. Places or velocities whose squared
     distance in sigmas is above gate are left out (never more than five places in a row); standing epochs have no
-    velocity, moving ones (1.5 m/s and more) none sideways, sigma sideways.
+    velocity, moving ones (1.5 m/s and more) none sideways, sigma sideways. step: preintegrate()'s sums, if they are
+    there already. Without variances sigma_h is the filter's.
     """
     tt = epochs[t].to_numpy(float)
     z, v = epochs[["e_m", "n_m", "u_m"]].to_numpy(float), epochs[["ve", "vn", "vu"]].to_numpy(float)
     still = epochs["standing"].to_numpy(bool) if "standing" in epochs else np.zeros(len(tt), bool)
     ts, force, rate = samples[t].to_numpy(float), samples[["ax", "ay", "az"]].to_numpy(float), samples[["gx", "gy", "gz"]].to_numpy(float)
-    step = preintegrate(tt, ts, force, rate, sigma_f, sigma_w, max_hold, cuts, sample_cuts)
+    step = step or preintegrate(tt, ts, force, rate, sigma_f, sigma_w, max_hold, cuts, sample_cuts)
     side, n, m = kernels._SideBySide(cuts), len(tt), len(cuts) - 1
     gaps = np.diff(tt, prepend=tt[:1])
     gaps[cuts[:-1]] = 0.0
@@ -236,9 +259,9 @@ def smooth_all(
         p, add, _ = kernels.measured(p, where, np.array([sideways**2]), -own[:, 1:2] - times(where, dx), drives[:, None], gate)
         dx = dx + add
         pos, vel, r, ba, bg = pos + dx[:, P], vel + dx[:, V], r @ turn(dx[:, A]), ba + dx[:, BA], bg + dx[:, BG]
-        reset = np.tile(one, (len(at), 1, 1))
-        reset[:, A, A] -= skew(dx[:, A]) / 2
-        p = reset @ p @ swap(reset)
+        reset = eye - skew(dx[:, A]) / 2
+        p[:, A] = reset @ p[:, A]
+        p[:, :, A] = p[:, :, A] @ swap(reset)
         p = (p + swap(p)) / 2
         for into, x in zip(after, (pos, vel, r, ba, bg), strict=True):
             into[at] = x
@@ -253,7 +276,8 @@ def smooth_all(
         pos, vel, r, ba, bg = (x[at] for x in after)
         for into, x in zip(after, (pos + dx[:, P], vel + dx[:, V], r @ turn(dx[:, A]), ba + dx[:, BA], bg + dx[:, BG]), strict=True):
             into[at] = x
-        ps[at] += gain @ (ps[nxt] - pp[nxt]) @ swap(gain)
+        if variances:
+            ps[at] += gain @ (ps[nxt] - pp[nxt]) @ swap(gain)
     pos, vel, rot, ba, bg = after
     out = {c: x for cs, xs in ((("e_s", "n_s", "u_s"), pos), (("ve_s", "vn_s", "vu_s"), vel), (("bias_ax", "bias_ay", "bias_az"), ba), (("bias_gx", "bias_gy", "bias_gz"), bg)) for c, x in zip(cs, xs.T, strict=True)}
     forward = rot[:, :, 0]

@@ -65,11 +65,16 @@ def gradient(col: str, by: str = "session_id", t: str = "utc_s") -> Column:
 
 def doppler_gate(enu: DataFrame, k: float = 5.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:
     """enu with disagree_mps (position gradient against Doppler) and doppler_reject: above median + k * 1.4826 * MAD."""
+    return doppler_gates(enu, {"doppler_reject": k}, by, t)
+
+
+def doppler_gates(enu: DataFrame, gates: dict[str, float], by: str = "session_id", t: str = "utc_s") -> DataFrame:
+    """doppler_gate() for several k at once: enu with disagree_mps and a column for each entry name: k."""
     ge, gn = gradient("e_m", by, t), gradient("n_m", by, t)
     rows = enu.withColumn("disagree_mps", F.sqrt((ge - F.col("ve")) ** 2 + (gn - F.col("vn")) ** 2))
     rows = median_and_mad(rows, "disagree_mps", by)
-    flag = (F.col("disagree_mps_mad") >= 1e-9) & (F.col("disagree_mps") > F.col("disagree_mps_med") + k * 1.4826 * F.col("disagree_mps_mad"))
-    return rows.withColumn("doppler_reject", F.coalesce(flag, F.lit(False))).drop("disagree_mps_med", "disagree_mps_mad")
+    flag = lambda k: (F.col("disagree_mps_mad") >= 1e-9) & (F.col("disagree_mps") > F.col("disagree_mps_med") + k * 1.4826 * F.col("disagree_mps_mad"))
+    return rows.withColumns({name: F.coalesce(flag(k), F.lit(False)) for name, k in gates.items()}).drop("disagree_mps_med", "disagree_mps_mad")
 
 
 def plausibility(track: DataFrame, max_horiz: float = 40.0, max_vert: float = 10.0, below_m: float = 35.0, above_m: float = 50.0, k: float = 8.0, floor_m: float = 8.0, by: str = "session_id", t: str = "utc_s") -> DataFrame:

@@ -88,33 +88,43 @@ def strapdown_rts_all(
 
 
 def turn_rate_ekf(t: np.ndarray, z: np.ndarray, accel: float = 1.0, turn: float = 0.2, sigma: float = 3.0) -> np.ndarray:
-    """Five states (east, north, heading, speed, turn rate) with constant turn rate and speed; returns east and north of each row."""
-    first = z[1] - z[0] if len(z) > 1 else np.array([0.0, 1.0])
-    gap = max(t[1] - t[0], 1e-3) if len(t) > 1 else 1.0
-    x = np.array([z[0, 0], z[0, 1], np.arctan2(first[0], first[1]), np.hypot(*first) / gap, 0.0])
-    p = np.diag([sigma**2, sigma**2, 1.0, 25.0, 0.1])
-    h, out = np.eye(2, 5), np.zeros((len(t), 2))
-    for k in range(len(t)):
-        dt = t[k] - t[k - 1] if k else 0.0
-        e, n, a, s, w = x
-        if abs(w) < 1e-6:
-            x = np.array([e + s * dt * np.sin(a), n + s * dt * np.cos(a), a, s, w])
-            da = np.array([s * dt * np.cos(a), -s * dt * np.sin(a)])
-            ds, dw = np.array([dt * np.sin(a), dt * np.cos(a)]), np.array([s * dt * dt * np.cos(a) / 2, -s * dt * dt * np.sin(a) / 2])
-        else:
-            b = a + w * dt
-            x = np.array([e + s / w * (np.cos(a) - np.cos(b)), n + s / w * (np.sin(b) - np.sin(a)), b, s, w])
-            da = s / w * np.array([np.sin(b) - np.sin(a), np.cos(b) - np.cos(a)])
-            ds = np.array([np.cos(a) - np.cos(b), np.sin(b) - np.sin(a)]) / w
-            dw = s / w * (dt * np.array([np.sin(b), np.cos(b)]) - ds)
-        f = np.eye(5)
-        f[:2, 2], f[:2, 3], f[:2, 4], f[2, 4] = da, ds, dw, dt
-        g = np.array([[dt * dt / 2 * np.sin(x[2]), 0], [dt * dt / 2 * np.cos(x[2]), 0], [0, dt * dt / 2], [dt, 0], [0, dt]])
-        p = f @ p @ f.T + g @ np.diag([accel**2, turn**2]) @ g.T
-        gain = np.linalg.solve(h @ p @ h.T + np.eye(2) * sigma**2, h @ p).T
-        x = x + gain @ (z[k] - x[:2])
+    """turn_rate_all() of one session."""
+    return turn_rate_all(np.array([0, len(t)]), t, z, accel, turn, sigma)
+
+
+def turn_rate_all(cuts: np.ndarray, t: np.ndarray, z: np.ndarray, accel: float = 1.0, turn: float = 0.2, sigma: float = 3.0) -> np.ndarray:
+    """Five states (east, north, heading, speed, turn rate) with constant turn rate and speed, many sessions side by side; returns east and north of each row."""
+    side, out = kernels._SideBySide(cuts), np.zeros((len(t), 2))
+    begin, pair = side.begin, side.running[1] if side.longest > 1 else 0
+    first, gap = np.tile([0.0, 1.0], (len(begin), 1)), np.ones(len(begin))
+    first[:pair], gap[:pair] = z[begin[:pair] + 1] - z[begin[:pair]], np.maximum(t[begin[:pair] + 1] - t[begin[:pair]], 1e-3)
+    x = np.stack([z[begin, 0], z[begin, 1], np.arctan2(first[:, 0], first[:, 1]), np.hypot(first[:, 0], first[:, 1]) / gap, np.zeros(len(begin))], 1)
+    p = np.tile(np.diag([sigma**2, sigma**2, 1.0, 25.0, 0.1]), (len(begin), 1, 1))
+    var, noise, h = np.array([accel**2, turn**2]), np.eye(2) * sigma**2, np.eye(2, 5)
+    for k in range(side.longest):
+        at = side.rows(k)
+        (e, n, a, s, w), p = x[: len(at)].T, p[: len(at)]
+        dt = t[at] - t[at - 1] if k else np.zeros(len(at))
+        straight = np.abs(w) < 1e-6
+        safe = np.where(straight, 1.0, w)
+        b = a + w * dt
+        sin_a, cos_a, sin_b, cos_b = np.sin(a), np.cos(a), np.sin(b), np.cos(b)
+        # Path, and path over speed, by east and north: along an arc, or along a line where it doesn't turn.
+        path = np.where(straight, [s * dt * sin_a, s * dt * cos_a], [s / safe * (cos_a - cos_b), s / safe * (sin_b - sin_a)])
+        ds = np.where(straight, [dt * sin_a, dt * cos_a], np.array([cos_a - cos_b, sin_b - sin_a]) / safe)
+        da = np.where(straight, [s * dt * cos_a, -s * dt * sin_a], [s / safe * (sin_b - sin_a), s / safe * (cos_b - cos_a)])
+        dw = np.where(straight, [s * dt * dt * cos_a / 2, -s * dt * dt * sin_a / 2], s / safe * (dt * np.array([sin_b, cos_b]) - ds))
+        x = np.stack([e + path[0], n + path[1], np.where(straight, a, b), s, w], 1)
+        f = np.tile(np.eye(5), (len(at), 1, 1))
+        f[:, :2, 2], f[:, :2, 3], f[:, :2, 4], f[:, 2, 4] = da.T, ds.T, dw.T, dt
+        g = np.zeros((len(at), 5, 2))
+        g[:, 0, 0], g[:, 1, 0], g[:, 3, 0] = dt * dt / 2 * np.sin(x[:, 2]), dt * dt / 2 * np.cos(x[:, 2]), dt
+        g[:, 2, 1], g[:, 4, 1] = dt * dt / 2, dt
+        p = f @ p @ kernels.swap(f) + (g * var) @ kernels.swap(g)
+        gain = kernels.swap(np.linalg.solve(p[:, :2, :2] + noise, p[:, :2]))
+        x = x + (gain @ (z[at] - x[:, :2])[..., None])[..., 0]
         p = (np.eye(5) - gain @ h) @ p
-        out[k] = x[:2]
+        out[at] = x[:, :2]
     return out
 
 

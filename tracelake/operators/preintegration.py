@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,8 +111,7 @@ def tiered_filter(
     than half of it isn't carried.
     """
     rows = gates.doppler_gate(gates.bad_doppler(track), 4.0)
-    sd = F.sqrt(F.col("sd_n") ** 2 + F.col("sd_e") ** 2 + floor**2)
-    rows = rows.withColumn("sigma_eff", F.coalesce(F.least(F.lit(ceiling), F.greatest(F.lit(floor), sd)), F.lit(4.0)))
+    rows = rows.withColumn("sigma_eff", sigma_eff(floor, ceiling))
     zero = F.lit(0.0)
     if imu is None:
         rows = rows.withColumns({c: zero for k in "enu" for c in (f"dv_{k}", f"dp_{k}")} | {"covered_s": zero, "n_imu": F.lit(0), "shake": zero})
@@ -131,24 +130,86 @@ def tiered_filter(
     rows = rows.withColumns({"__dt": step, "__carried": carried, "__usual": F.coalesce(usual, F.lit(1.0))})
 
     def fold(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
-        z, v = r[[*AXES]].to_numpy(float), r[[*RATES]].to_numpy(float)
-        dt, on = np.maximum(r["__dt"].to_numpy(float), 0.0)[:, None], r["__carried"].to_numpy(bool)[:, None]
-        rate = r[["bias_e", "bias_n", "bias_u"]].to_numpy(float) / r["__usual"].to_numpy(float)[:, None]
-        kick = np.where(on, r[["dv_e", "dv_n", "dv_u"]].to_numpy(float) - rate * dt, 0.0)
-        shift = np.where(on, r[["dp_e", "dp_n", "dp_u"]].to_numpy(float) - rate * dt**2 / 2, 0.0)
-        sigma = r["sigma_eff"].to_numpy(float)
-        share = np.clip((sigma - medium) / max(weak - medium, 0.01), 0.0, 1.0)
-        share[r["tier"].to_numpy() == "weak"] = 1.0
-        r_pos = ((sigma * (1 + share * (wider - 1)))[:, None] * np.array([1.0, 1.0, 2.5])) ** 2
-        z = np.where(r["doppler_reject"].to_numpy(bool)[:, None], np.nan, z)
-        still = np.hypot(v[:, 0], v[:, 1]) < zupt_speed
-        v = np.where(r["bad_doppler"].to_numpy(bool)[:, None], np.nan, v)
-        r_vel = np.full(v.shape, 0.3**2)
-        v[still], r_vel[still] = 0.0, zupt_sigma**2
-        first, known = kernels._first_known(cuts, z)
-        start = np.where(known, np.take_along_axis(z, first, 0), 0.0), np.nan_to_num(v[cuts[:-1]]), 9.0, 4.0
-        x, vel, _, _ = kernels.two_state(cuts, z, r_pos, dt[:, 0], sigma_a, start, v, r_vel, push=(shift, kick))
-        return {f"{c}_s": x[:, k] for k, c in enumerate("enu")} | {f"v{c}_s": vel[:, k] for k, c in enumerate("enu")}
+        dv, dp, bias = (r[[f"{c}_{k}" for k in "enu"]].to_numpy(float) for c in ("dv", "dp", "bias"))
+        return carried_filter(
+            cuts, r[[*AXES]].to_numpy(float), r[[*RATES]].to_numpy(float), r["__dt"].to_numpy(float), r["__carried"].to_numpy(bool), dv, dp, bias, r["__usual"].to_numpy(float), r["sigma_eff"].to_numpy(float),
+            r["tier"].to_numpy() == "weak", r["doppler_reject"].to_numpy(bool), r["bad_doppler"].to_numpy(bool), medium, weak, wider, sigma_a, zupt_speed, zupt_sigma,
+        )
 
     out = dict.fromkeys(("e_s", "n_s", "u_s", "ve_s", "vn_s", "vu_s"), T.DoubleType())
     return kernels.per_sessions(rows, fold, out, by, t).select(*track.columns, "tier", "covered_s", "n_imu", *[F.col(f"bias_{c}") for c in "enu"], *out)
+
+
+def sigma_eff(floor: float = 0.1, ceiling: float = 8.0) -> Column:
+    sd = F.sqrt(F.col("sd_n") ** 2 + F.col("sd_e") ** 2 + floor**2)
+    return F.coalesce(F.least(F.lit(ceiling), F.greatest(F.lit(floor), sd)), F.lit(4.0))
+
+
+def carried_filter(
+    cuts: np.ndarray, z: np.ndarray, v: np.ndarray, dt: np.ndarray, carried: np.ndarray, dv: np.ndarray, dp: np.ndarray, bias: np.ndarray, usual: np.ndarray, sigma: np.ndarray, is_weak: np.ndarray, reject: np.ndarray, bad: np.ndarray,
+    medium: float = 5.0, weak: float = 6.0, wider: float = 2.5, sigma_a: float = 0.15, zupt_speed: float = 0.3, zupt_sigma: float = 0.02,
+) -> dict[str, np.ndarray]:
+    """The filter of tiered_filter() for the rows of many sessions."""
+    dt, on = np.maximum(dt, 0.0)[:, None], carried[:, None]
+    rate = bias / usual[:, None]
+    kick = np.where(on, dv - rate * dt, 0.0)
+    shift = np.where(on, dp - rate * dt**2 / 2, 0.0)
+    share = np.clip((sigma - medium) / max(weak - medium, 0.01), 0.0, 1.0)
+    share[is_weak] = 1.0
+    r_pos = ((sigma * (1 + share * (wider - 1)))[:, None] * np.array([1.0, 1.0, 2.5])) ** 2
+    z = np.where(reject[:, None], np.nan, z)
+    still = np.hypot(v[:, 0], v[:, 1]) < zupt_speed
+    v = np.where(bad[:, None], np.nan, v)
+    r_vel = np.full(v.shape, 0.3**2)
+    v[still], r_vel[still] = 0.0, zupt_sigma**2
+    first, known = kernels._first_known(cuts, z)
+    start = np.where(known, np.take_along_axis(z, first, 0), 0.0), np.nan_to_num(v[cuts[:-1]]), 9.0, 4.0
+    x, vel, _, _ = kernels.two_state(cuts, z, r_pos, dt[:, 0], sigma_a, start, v, r_vel, push=(shift, kick), variances=False)
+    return {f"{c}_s": x[:, k] for k, c in enumerate("enu")} | {f"v{c}_s": vel[:, k] for k, c in enumerate("enu")}
+
+
+def tiered_rows(
+    cuts: np.ndarray, z: np.ndarray, v: np.ndarray, times: np.ndarray, sigma: np.ndarray, reject: np.ndarray, bad: np.ndarray, sums: tuple[np.ndarray, ...] | None, medium: float = 5.0, weak: float = 6.0, gap_s: float = 3.0, alpha: float | None = 0.05, least: int = 10
+) -> dict[str, np.ndarray]:
+    """tiered_filter() of many sessions' rows; sums are step_sums()."""
+    dv, dp, covered, n_imu = sums or (np.zeros(z.shape), np.zeros(z.shape), np.zeros(len(z)), np.zeros(len(z), int))
+    bias = doppler_bias_rows(cuts, dv, v, sigma, bad, n_imu, alpha, medium) if alpha else np.zeros(z.shape)
+    step = np.diff(times, prepend=times[:1])
+    step[cuts[:-1]] = 0.0
+    is_weak = reject | (sigma >= weak)
+    poor = is_weak | (sigma >= medium)
+    led = np.append(False, poor[:-1])
+    led[cuts[:-1]] = False
+    gap = (step > gap_s) & (covered >= step / 2)
+    carried = (gap | ((poor | led) & (step <= gap_s))) & (n_imu > least)
+    return carried_filter(cuts, z, v, step, carried, dv, dp, bias, kernels.usual_step(times, cuts), sigma, is_weak, reject, bad, medium, weak)
+
+
+def step_sums(cuts: np.ndarray, times: np.ndarray, sample_cuts: np.ndarray, ts: np.ndarray, force: np.ndarray, max_hold: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """preintegrate() of many sessions' rows and samples (local axes): dv, dp, covered_s and n_imu of the step to each row."""
+    from tracelake.operators.error_state import pieces
+
+    n = len(times)
+    sample, k, begin, dt, within = pieces(times, ts, max_hold, cuts, sample_cuts) if len(ts) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(n, int))
+    mid = begin - times[k - 1] + dt / 2
+    length = np.diff(times, prepend=times[:1])
+    total = lambda w: np.bincount(k, w, minlength=n)
+    dv, lag = (np.stack([total(force[sample, c] * w) for c in range(3)], 1) for w in (dt, dt * mid))
+    return dv, length[:, None] * dv - lag, total(dt), within
+
+
+def doppler_bias_rows(cuts: np.ndarray, dv: np.ndarray, v: np.ndarray, sigma: np.ndarray, bad: np.ndarray, n_imu: np.ndarray, alpha: float = 0.05, medium: float = 5.0, most: float = 2.0, least: int = 10) -> np.ndarray:
+    """doppler_bias() of many sessions' rows."""
+    first = cuts[:-1]
+    change = np.diff(v, axis=0, prepend=v[:1])
+    change[first] = np.nan
+    off = dv - np.where(np.isnan(change) & [False, False, True], 0.0, change)
+    led = np.append(True, bad[:-1])
+    led[first] = True
+    good = (sigma <= medium) & ~bad & ~led & (n_imu >= 5) & (np.sqrt((off**2).sum(1)) <= most)
+    so_far = np.cumsum(good)
+    count = np.add.reduceat(good, first, dtype=np.int64)
+    later = np.repeat(so_far[cuts[1:] - 1], np.diff(cuts)) - so_far
+    weight = np.where(good, alpha * (1 - alpha) ** later, 0.0)
+    bias = np.add.reduceat(weight[:, None] * np.where(good[:, None], off, 0.0), first, axis=0)
+    return np.repeat(np.where(count[:, None] >= least, bias, 0.0), np.diff(cuts), axis=0)

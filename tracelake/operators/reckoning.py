@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,27 +95,40 @@ def dead_reckon(track: DataFrame, accel: float = 1.0, sigma_p: tuple[float, floa
     float's; a null quality measures no place); Doppler counts where all three parts are known; vertical
     acceleration is twice as uncertain. An outage is just a long step.
     """
-    scale = F.create_map(*[F.lit(v) for kv in QUALITY_SCALE.items() for v in kv])
-    rows = standing(track, stop_speed, stop_s, by, t).withColumn("__scale", F.coalesce(F.get(F.map_values(F.map_filter(scale, lambda k, _: k == F.col("quality"))), F.lit(0)), F.when(F.col("quality").isNotNull(), 10.0)))
+    rows = standing(track, stop_speed, stop_s, by, t).withColumn("__scale", reckon_scale())
 
     def fold(d: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
-        z, v = d[[*AXES]].to_numpy(float), d[[*RATES]].to_numpy(float)
-        known = d["__scale"].to_numpy(float)[:, None]
-        z_seen = np.where(np.isfinite(known), z, np.nan)
-        z_seen[cuts[:-1]] = z[cuts[:-1]]
-        r = (np.nan_to_num(known, nan=1.0) * np.array([sigma_p[0], sigma_p[0], sigma_p[1]])) ** 2
-        start_v = np.where(np.isfinite(v[:, :2]).all(1, keepdims=True), np.nan_to_num(v), 0.0)
-        v = np.where(np.isfinite(v).all(1, keepdims=True), v, np.nan)
-        v[cuts[:-1]] = start_v[cuts[:-1]]
-        rv = np.broadcast_to(np.array([sigma_v[0], sigma_v[0], sigma_v[1]]) ** 2, v.shape)
-        gaps = np.maximum(np.diff(d[t].to_numpy(float), prepend=0.0), 0.0)
-        first = np.array([9.0, 9.0, 100.0]), np.array([1.0, 1.0, 4.0]), np.array([4.0, 4.0, 8.0])
-        x, vel, var = reckon(cuts, z_seen, r, v, rv, gaps, d["standing"].to_numpy(bool), accel * np.array([1.0, 1.0, 2.0]), first)
-        return dict(zip(SMOOTH, [*x.T, *vel.T], strict=True)) | {"sigma_h": np.sqrt(np.maximum(var[:, :2].sum(1), 0.0))}
+        return reckon_rows(cuts, d[[*AXES]].to_numpy(float), d[[*RATES]].to_numpy(float), d["__scale"].to_numpy(float), d[t].to_numpy(float), d["standing"].to_numpy(bool), accel, sigma_p, sigma_v)
 
     return kernels.per_sessions(rows, fold, dict.fromkeys((*SMOOTH, "sigma_h"), T.DoubleType()), by, t).drop("__scale")
 
 
+def _by_quality(scale: dict[int, float]) -> Column:
+    """A quality's entry, null without one."""
+    scales = F.create_map(*[F.lit(v) for kv in scale.items() for v in kv])
+    return F.get(F.map_values(F.map_filter(scales, lambda k, _: k == F.col("quality"))), F.lit(0))
+
+
+def reckon_scale() -> Column:
+    return F.coalesce(_by_quality(QUALITY_SCALE), F.when(F.col("quality").isNotNull(), 10.0))
+
+
+def reckon_rows(cuts: np.ndarray, z: np.ndarray, v: np.ndarray, scale: np.ndarray, times: np.ndarray, still: np.ndarray, accel: float = 1.0, sigma_p: tuple[float, float] = (0.5, 1.5), sigma_v: tuple[float, float] = (0.3, 0.5)) -> dict[str, np.ndarray]:
+    """dead_reckon() of many sessions' rows; scale is reckon_scale()."""
+    known = scale[:, None]
+    z_seen = np.where(np.isfinite(known), z, np.nan)
+    z_seen[cuts[:-1]] = z[cuts[:-1]]
+    r = (np.nan_to_num(known, nan=1.0) * np.array([sigma_p[0], sigma_p[0], sigma_p[1]])) ** 2
+    start_v = np.where(np.isfinite(v[:, :2]).all(1, keepdims=True), np.nan_to_num(v), 0.0)
+    v = np.where(np.isfinite(v).all(1, keepdims=True), v, np.nan)
+    v[cuts[:-1]] = start_v[cuts[:-1]]
+    rv = np.broadcast_to(np.array([sigma_v[0], sigma_v[0], sigma_v[1]]) ** 2, v.shape)
+    gaps = np.maximum(np.diff(times, prepend=0.0), 0.0)
+    first = np.array([9.0, 9.0, 100.0]), np.array([1.0, 1.0, 4.0]), np.array([4.0, 4.0, 8.0])
+    x, vel, var = reckon(cuts, z_seen, r, v, rv, gaps, still, accel * np.array([1.0, 1.0, 2.0]), first)
+    return dict(zip(SMOOTH, [*x.T, *vel.T], strict=True)) | {"sigma_h": np.sqrt(np.maximum(var[:, :2].sum(1), 0.0))}
+
+
 def robust_chain(
     cuts: np.ndarray, z: np.ndarray, sigma: np.ndarray, v: np.ndarray, sigma_v: np.ndarray, dt: np.ndarray, sigma_a: float, push: tuple[np.ndarray, np.ndarray] | None = None, huber: float = 1.345, rounds: int = 30, tolerance: float = 1e-4
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +146,7 @@ def robust_chain(
     start = np.where(known, np.take_along_axis(z, first, 0), 0.0), np.nan_to_num(v[cuts[:-1]]), 1e4, 1e2
     before = None
     for _ in range(rounds):
-        x, vel, _, _ = kernels.two_state(cuts, z, sigma**2 / weight[:, None], dt, sigma_a, start, v, sigma_v**2, push=push)
+        x, vel, _, _ = kernels.two_state(cuts, z, sigma**2 / weight[:, None], dt, sigma_a, start, v, sigma_v**2, push=push, variances=False)
         if before is not None and np.abs(x - before).max() <= tolerance:
             break
         before = x
@@ -154,22 +167,31 @@ def factor_chain(track: DataFrame, imu: DataFrame | None = None, sigma_a: float
     """
     from tracelake.operators.preintegration import preintegrate
 
-    scale = F.create_map(*[F.lit(v) for kv in CHAIN_SCALE.items() for v in kv])
-    rows = track.withColumn("__scale", F.get(F.map_values(F.map_filter(scale, lambda k, _: k == F.col("quality"))), F.lit(0)))
+    rows = track.withColumn("__scale", chain_scale())
     zero = F.lit(0.0)
     rows = rows.withColumns({c: zero for k in "enu" for c in (f"dv_{k}", f"dp_{k}")} | {"covered_s": zero, "n_imu": F.lit(0), "shake": zero}) if imu is None else preintegrate(rows, imu, max_hold, by, t)
 
     def fold(d: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
-        known = d["__scale"].to_numpy(float)[:, None]
-        z = np.where(np.isfinite(known), d[[*AXES]].to_numpy(float), np.nan)
-        sd = np.nan_to_num(np.hypot(d["sd_e"].to_numpy(float), d["sd_n"].to_numpy(float)), nan=1.0)
-        sigma = np.maximum(sd, least_sigma)[:, None] * np.nan_to_num(known, nan=1.0) * np.array([1.0, 1.0, vertical])
-        v = d[[*RATES]].to_numpy(float)
-        gaps = np.maximum(np.diff(d[t].to_numpy(float), prepend=0.0), 0.0)
-        gaps[cuts[:-1]] = 0.0
-        on = (d["covered_s"].to_numpy(float) >= gaps / 2)[:, None] & (gaps > 0)[:, None]
-        push = np.where(on, d[["dp_e", "dp_n", "dp_u"]].to_numpy(float), 0.0), np.where(on, d[["dv_e", "dv_n", "dv_u"]].to_numpy(float), 0.0)
-        x, vel, weight = robust_chain(cuts, z, sigma, v, np.full(v.shape, sigma_v), gaps, sigma_a, push, huber)
-        return dict(zip(SMOOTH, [*x.T, *vel.T], strict=True)) | {"weight": weight}
+        sums = d[["dv_e", "dv_n", "dv_u"]].to_numpy(float), d[["dp_e", "dp_n", "dp_u"]].to_numpy(float), d["covered_s"].to_numpy(float)
+        return chain_rows(cuts, d[[*AXES]].to_numpy(float), d[[*RATES]].to_numpy(float), d["__scale"].to_numpy(float), d[t].to_numpy(float), np.hypot(d["sd_e"].to_numpy(float), d["sd_n"].to_numpy(float)), sums, sigma_a, sigma_v, vertical, least_sigma, huber)
 
     return kernels.per_sessions(rows, fold, dict.fromkeys((*SMOOTH, "weight"), T.DoubleType()), by, t).select(*track.columns, *SMOOTH, "weight")
+
+
+def chain_scale() -> Column:
+    return _by_quality(CHAIN_SCALE)
+
+
+def chain_rows(
+    cuts: np.ndarray, z: np.ndarray, v: np.ndarray, scale: np.ndarray, times: np.ndarray, sd: np.ndarray, sums: tuple[np.ndarray, np.ndarray, np.ndarray] | None, sigma_a: float = 0.5, sigma_v: float = 0.3, vertical: float = 2.5, least_sigma: float = 0.2, huber: float = 1.345
+) -> dict[str, np.ndarray]:
+    """factor_chain() of many sessions' rows; scale is chain_scale(), sums are what samples add to velocity and place in each step and how long they hold."""
+    known = scale[:, None]
+    z = np.where(np.isfinite(known), z, np.nan)
+    sigma = np.maximum(np.nan_to_num(sd, nan=1.0), least_sigma)[:, None] * np.nan_to_num(known, nan=1.0) * np.array([1.0, 1.0, vertical])
+    gaps = np.maximum(np.diff(times, prepend=0.0), 0.0)
+    gaps[cuts[:-1]] = 0.0
+    dv, dp, covered = sums or (np.zeros(z.shape), np.zeros(z.shape), np.zeros(len(z)))
+    on = (covered >= gaps / 2)[:, None] & (gaps > 0)[:, None]
+    x, vel, weight = robust_chain(cuts, z, sigma, v, np.full(v.shape, sigma_v), gaps, sigma_a, (np.where(on, dp, 0.0), np.where(on, dv, 0.0)), huber)
+    return dict(zip(SMOOTH, [*x.T, *vel.T], strict=True)) | {"weight": weight}

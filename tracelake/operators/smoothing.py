@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,23 @@ def gaussian_rows(df: DataFrame, cols: list[str], sigma: float, by: str = "sessi
     return rows.drop("__ix", "__n", "__w")
 
 
+def gaussian_all(cuts: np.ndarray, x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """gaussian_rows() without weights, of the columns of x and many sessions (session s at rows cuts[s] to cuts[s + 1])."""
+    kernel = np.array(gaussian_kernel(sigma, truncate))
+    half, sizes = len(kernel) // 2, np.diff(cuts)
+    # Every session with its ends repeated, so that none reaches into the next one.
+    wide = np.concatenate([[0], np.cumsum(sizes + 2 * half)])
+    rows = np.arange(wide[-1]) - np.repeat(wide[:-1] - cuts[:-1] + half, sizes + 2 * half)
+    rows = np.clip(rows, np.repeat(cuts[:-1], sizes + 2 * half), np.repeat(cuts[1:] - 1, sizes + 2 * half))
+    middle = np.arange(cuts[-1]) + np.repeat(wide[:-1] - cuts[:-1], sizes)
+    known = ~np.isnan(x)
+    out = np.empty(x.shape)
+    for c in range(x.shape[1]):
+        total, share = (np.convolve(v[rows, c], kernel, "valid")[middle] for v in (np.where(known, x, 0.0), known.astype(float)))
+        out[:, c] = np.where(known[:, c] & (share > 0), total / np.where(share > 0, share, 1.0), np.nan)
+    return out
+
+
 def gaussian_circular(df: DataFrame, col: str, sigma: float, by: str = "session_id", t: str = "utc_s") -> DataFrame:
     """An angle in degrees smoothed by its sine and cosine, to [0, 360)."""
     rows = df.withColumns({"__sin": F.sin(F.radians(col)), "__cos": F.cos(F.radians(col))})

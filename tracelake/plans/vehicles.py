@@ -72,12 +72,12 @@ def kernel_strapdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kernel_turn_rate(spark: SparkSession, sf: str) -> DataFrame:
-    def run(r: pd.DataFrame) -> dict[str, np.ndarray]:
-        out = inertial.turn_rate_ekf(r["utc_s"].to_numpy(float), r[["e_m", "n_m"]].to_numpy(float))
+    def run(r: pd.DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
+        out = inertial.turn_rate_all(cuts, r["utc_s"].to_numpy(float), r[["e_m", "n_m"]].to_numpy(float))
         return {"e_s": out[:, 0], "n_s": out[:, 1]}
 
     rows = with_enu(track(spark, sf)).select("session_id", "epoch_ix", "utc_s", "e_m", "n_m")
-    return rounded(kernels.per_session(rows, run, {"e_s": T.DoubleType(), "n_s": T.DoubleType()}).select("session_id", "epoch_ix", "e_s", "n_s"), 3)
+    return rounded(kernels.per_sessions(rows, run, {"e_s": T.DoubleType(), "n_s": T.DoubleType()}).select("session_id", "epoch_ix", "e_s", "n_s"), 3)
 
 
 @query()
